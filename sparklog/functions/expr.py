@@ -107,5 +107,16 @@ def is_present(c: str | Column) -> Column:
     return c.isNotNull() & (c.cast("string") != "")
 
 
+def round_to(c: str | Column, digits: int) -> Column:
+    """Round a double the way the binary value decides: round(x * 10^d) / 10^d.
+
+    ``F.round`` rounds the shortest decimal form half-up, so 79.695 (stored as
+    79.69499...) would become 79.70; scaling first keeps the binary value's side of
+    the tie, as the reference's Python ``round`` and DuckDB do.
+    """
+    scale = float(10 ** digits)
+    return F.round(col(c) * F.lit(scale), 0) / F.lit(scale)
+
+
 def round6(c: str | Column) -> Column:
-    return F.round(col(c), 6)
+    return round_to(c, 6)

@@ -269,7 +269,7 @@ def dataset_risk(logs: DataFrame, high_risk: DataFrame, cap: int = 500) -> DataF
     j = n.crossJoin(hr)
     return j.select(
         "total", "high_risk",
-        F.round(F.least(F.lit(1.0), F.col("high_risk") * 3.0 / F.greatest(F.col("total"), F.lit(1))), 4).alias("threat_score"),
+        X.round_to(F.least(F.lit(1.0), F.col("high_risk") * 3.0 / F.greatest(F.col("total"), F.lit(1))), 4).alias("threat_score"),
         X.round6(F.least(F.lit(0.99), F.lit(0.65) + F.col("high_risk") / F.greatest(F.col("total"), F.lit(1)))).alias("confidence"),
         F.when(F.col("high_risk") > 0, F.lit("HIGH")).otherwise(F.lit("LOW")).alias("risk_level"))
 

@@ -23,10 +23,10 @@ def threat_score(df: DataFrame, score: str = "anomaly_score", severity: str = "s
     base = F.col(score) * 100.0
     final = F.least(base * m, F.lit(100.0))
     return (df.withColumn("_final", final)
-            .withColumn("threat_score", F.round("_final", 2))
+            .withColumn("threat_score", X.round_to("_final", 2))
             .withColumn("threat_level", X.threat_level(F.col("_final") / 100.0))
-            .withColumn("base_score", F.round(base, 2))
-            .withColumn("multiplier", F.round(m, 2))
+            .withColumn("base_score", X.round_to(base, 2))
+            .withColumn("multiplier", X.round_to(m, 2))
             .withColumn("confidence", F.col(score))
             .drop("_final"))
 
@@ -73,4 +73,4 @@ def threat_risk_score(severity: str = "severity", confidence: str = "confidence_
     """weight(severity)*100*confidence*min(1 + .1*systems, 2), capped at 100, rounded to 2."""
     w = X.lookup(R.THREAT_RISK_WEIGHTS, F.col(severity), R.THREAT_RISK_DEFAULT_WEIGHT)
     scope = F.least(F.lit(1.0) + F.size(F.col(systems)) * 0.1, F.lit(2.0))
-    return F.round(F.least(w * 100.0 * F.col(confidence) * scope, F.lit(100.0)), 2)
+    return X.round_to(F.least(w * 100.0 * F.col(confidence) * scope, F.lit(100.0)), 2)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import expr as X
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -100,7 +102,7 @@ def latest_connect_asof(device_events: DataFrame) -> DataFrame:
     secs = (F.unix_micros(F.col("event_time").cast("timestamp")) -
             F.unix_micros(F.col("connected_at").cast("timestamp"))) / 1e6
     return d.select("device_id", "seq", "connected_at", F.col("event_time").alias("removed_at"),
-                    F.round(secs, 2).alias("duration_seconds"))
+                    X.round_to(secs, 2).alias("duration_seconds"))
 
 
 def node_names(per_node: DataFrame, nodes: DataFrame, key: str = "source_node") -> DataFrame:

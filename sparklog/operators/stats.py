@@ -128,7 +128,7 @@ def exact_sample(df: DataFrame, target: int, key: str = "id", seed: int = 42,
         fr = {k: c / n for k, c in counts.items()}
         tg = {k: int(math.floor(f * target)) for k, f in fr.items()}
         rem = target - sum(tg.values())
-        for k in sorted(fr, key=lambda k: -(fr[k] * target - tg[k]))[:max(rem, 0)]:
+        for k in sorted(fr, key=lambda k: (-(fr[k] * target - tg[k]), str(k)))[:max(rem, 0)]:
             tg[k] += 1
         targets = tg
     frac = min(1.0, 3.0 * target / n + 1e-9)

@@ -533,7 +533,7 @@ def _session_listing(t):
     dur = F.when(F.col("end_time").isNull(), F.lit(0.0)).otherwise(
         (F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))) / 1e6)
     return s.select("session_id", "start_time", F.upper(F.coalesce("status", F.lit("completed"))).alias("status"),
-                    F.round(dur, 2).alias("duration_seconds"),
+                    X.round_to(dur, 2).alias("duration_seconds"),
                     F.coalesce(p["algorithm"], F.lit("statistical")).alias("algorithm"),
                     F.coalesce(p["threshold"], F.lit(0.7)).alias("threshold"))
 
@@ -667,10 +667,10 @@ query("g03_threat_scores", """
 , b AS (SELECT a.id, a.anomaly_score AS s, l.severity, l.event_type, hour(l."timestamp") AS h
         FROM anomalies a JOIN logs l ON a.log_id = l.id)
 , m AS (SELECT id, s, s * 100.0 AS base,
-               1.0 * (CASE WHEN upper(coalesce(severity, '')) IN ('CRITICAL', 'HIGH', 'ERROR') THEN 1.2 ELSE 1.0 END)
+               1.0::DOUBLE * (CASE WHEN upper(coalesce(severity, '')) IN ('CRITICAL', 'HIGH', 'ERROR') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END)
                    * (CASE WHEN contains(lower(coalesce(event_type, '')), 'failed') OR contains(lower(coalesce(event_type, '')), 'error')
-                           OR contains(lower(coalesce(event_type, '')), 'unauthorized') THEN 1.15 ELSE 1.0 END)
-                   * (CASE WHEN h IS NOT NULL AND (h < 6 OR h > 22) THEN 1.1 ELSE 1.0 END) AS mult FROM b)
+                           OR contains(lower(coalesce(event_type, '')), 'unauthorized') THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END)
+                   * (CASE WHEN h IS NOT NULL AND (h < 6 OR h > 22) THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END) AS mult FROM b)
 SELECT id, round(least(base * mult, 100.0), 2) AS threat_score,
        CASE WHEN least(base * mult, 100.0) / 100.0 >= 0.95 THEN 'CRITICAL' WHEN least(base * mult, 100.0) / 100.0 >= 0.85 THEN 'HIGH'
             WHEN least(base * mult, 100.0) / 100.0 >= 0.70 THEN 'MEDIUM' WHEN least(base * mult, 100.0) / 100.0 >= 0.50 THEN 'LOW'
