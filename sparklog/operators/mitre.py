@@ -145,8 +145,8 @@ def load_attack_bundle(spark: SparkSession, path: str) -> DataFrame:
 
     refs = opt("external_references", "array<struct<source_name:string,external_id:string>>")
     phases = opt("kill_chain_phases", "array<struct<phase_name:string>>")
-    first_ref = F.element_at(F.filter(refs, lambda r: r["source_name"] == "mitre-attack"), 1)
-    first_phase = F.element_at(phases, 1)
+    first_ref = F.try_element_at(F.filter(refs, lambda r: r["source_name"] == "mitre-attack"), F.lit(1))
+    first_phase = F.try_element_at(phases, F.lit(1))
     out = (obj.filter(F.col("type") == "attack-pattern")
            .select(first_ref["external_id"].alias("technique_id"),
                    F.coalesce(opt("name", "string"), F.lit("")).alias("technique_name"),

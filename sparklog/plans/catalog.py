@@ -34,5 +34,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> tuple[dict, dict]:
-    from . import registered, registered_detect  # noqa: F401  (registers on import)
+    from . import registered, registered_detect, registered_parse  # noqa: F401  (registers on import)
     return dict(REGISTRY), dict(ORACLE)

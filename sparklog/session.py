@@ -35,6 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     builder = (builder
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("SPARKLOG_DRIVER_MEMORY", "16g"))
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for key, value in REQUIRED_CONF.items():

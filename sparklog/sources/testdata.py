@@ -188,7 +188,15 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One driver table.  A scan with fewer splits than the session has cores (a
+        single-row-group file) is spread round-robin so CPU-heavy operators use every
+        core; a many-file production input never takes this branch.  Filters and
+        column pruning still reach the scan through the repartition."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        return df
 
     @cached_property
     def events(self) -> DataFrame:
@@ -232,3 +240,58 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     if t is None:
         t = _CACHE[key] = Tables(spark, sf_dir)
     return t
+
+
+# ---------------------------------------------------------------- rendered lines
+# Log lines rendered from `logs` so the parsers run over data that grows with the tables.
+SYSLOG_CODE = [("CRITICAL", 2), ("HIGH", 3), ("ERROR", 3), ("MEDIUM", 4), ("WARNING", 4), ("LOW", 5), ("INFO", 6)]
+
+
+def render_syslog_lines(logs: DataFrame) -> DataFrame:
+    """(id, line): RFC 5424 for id % 3 = 0, RFC 3164 for 1, priority-less BSD for 2."""
+    code = F.coalesce(X.lookup(SYSLOG_CODE, F.col("severity")), F.lit(7))
+    pri = ((F.col("id") % 24) * 8 + code).cast("string")
+    iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    bsd = F.concat(F.date_format("timestamp", "MMM"), F.lit(" "), F.lpad(F.dayofmonth("timestamp").cast("string"), 2, " "),
+                   F.lit(" "), F.date_format("timestamp", "HH:mm:ss"))
+    host = F.coalesce(F.col("hostname"), F.lit("localhost"))
+    tag = F.concat(F.col("source"), F.when(F.col("process_id").isNotNull(),
+                                           F.concat(F.lit("["), F.col("process_id").cast("string"), F.lit("]")))
+                   .otherwise(F.lit("")))
+    r5424 = F.concat_ws(" ", F.concat(F.lit("<"), pri, F.lit(">1")), iso, F.coalesce("hostname", F.lit("-")),
+                        F.col("source"), F.coalesce(F.col("process_id").cast("string"), F.lit("-")),
+                        F.coalesce("event_id", F.lit("-")), F.lit("-"), F.col("message"))
+    r3164 = F.concat(F.lit("<"), pri, F.lit(">"), bsd, F.lit(" "), host, F.lit(" "), tag, F.lit(": "), F.col("message"))
+    simple = F.concat(bsd, F.lit(" "), host, F.lit(" "), tag, F.lit(": "), F.col("message"))
+    m = F.col("id") % 3
+    return logs.select("id", F.when(m == 0, r5424).when(m == 1, r3164).otherwise(simple).alias("line"))
+
+
+def render_json_lines(logs: DataFrame) -> DataFrame:
+    """(id, line): JSON objects with alias keys (@timestamp in epoch ms, msg, level, host, user, service)."""
+    ms = (F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000).cast("bigint").cast("string")
+    obj = F.struct(ms.alias("@timestamp"), F.col("message").alias("msg"), F.col("severity").alias("level"),
+                   F.col("hostname").alias("host"), F.col("username").alias("user"),
+                   F.col("source").alias("service"), F.col("event_id").alias("event_code"))
+    return logs.select("id", F.to_json(obj).alias("line"))
+
+
+def render_kv_lines(logs: DataFrame) -> DataFrame:
+    """(id, line): key=value records; the message is quoted, blank values are left out."""
+    def kv(k, c, quote=False):
+        v = F.concat(F.lit('"'), c, F.lit('"')) if quote else c
+        return F.when(c.isNotNull(), F.concat(F.lit(f"{k}="), v))
+    ts = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    return logs.select("id", F.concat_ws(" ", kv("time", ts), kv("severity", F.col("severity")),
+                                         kv("source", F.col("source")), kv("message", F.col("message"), True),
+                                         kv("host", F.col("hostname")), kv("account", F.col("username"))).alias("line"))
+
+
+def document_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, line_number, line, source_name): every physical line of every document, stripped, non-blank."""
+    from ..operators import parse as P
+    parts = documents.select("doc_id", F.posexplode(F.split(F.col("text"), "\r\n|\r|\n")).alias("pos", "raw"))
+    return (parts.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_number"),
+                         P.strip(F.col("raw")).alias("line"),
+                         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_name"))
+            .filter(F.col("line") != ""))
