@@ -344,18 +344,27 @@ def windows_event_fields(event: Column, as_of: _dt.datetime) -> Column:
 
 
 # ------------------------------------------------------------------ stream parse
-def stream_struct(line: str | Column, file_name: Column, now: Column) -> Column:
-    """Optional-priority BSD, then 5424 subset, else the whole line is the message."""
-    line = strip(X.col(line))
-    b = line.rlike(STREAM_BSD)
-    r = line.rlike(STREAM_5424)
-    g = F.regexp_extract
-    return F.when(line == "", F.lit(None)).otherwise(F.struct(
-        line.alias("raw"), file_name.alias("source_file"),
-        F.when(b, g(line, STREAM_BSD, 1)).when(r, g(line, STREAM_5424, 2)).otherwise(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("timestamp"),
-        F.when(b, g(line, STREAM_BSD, 2)).when(r, g(line, STREAM_5424, 3)).alias("hostname"),
-        F.when(b, g(line, STREAM_BSD, 3)).when(r, g(line, STREAM_5424, 4)).alias("source"),
-        F.when(b, F.nullif(g(line, STREAM_BSD, 4), F.lit(""))).when(r, g(line, STREAM_5424, 5)).alias("pid"),
-        F.when(b, g(line, STREAM_BSD, 5)).when(r, g(line, STREAM_5424, 6)).otherwise(line).alias("message"),
-        F.when(r & ~b, g(line, STREAM_5424, 1)).alias("priority"),
-    ))
+def stream_parse(lines: DataFrame, now: Column, line_col: str = "line", file_col: str = "source_file") -> DataFrame:
+    """Optional-priority BSD, then the 5424 subset, else the whole line is the message.
+
+    Staged like ``parse_syslog``: each pattern runs once per line; blank lines are
+    dropped by a cheap test on the stripped line.
+    """
+    keep = [c for c in lines.columns if c != line_col]
+    d = (lines.select(*keep, strip(F.col(line_col)).alias("_l"))
+         .filter(F.col("_l") != "")
+         .withColumn("_b", _groups(F.col("_l"), STREAM_BSD, 5))
+         .withColumn("_r", F.when(F.col("_b").isNull(), _groups(F.col("_l"), STREAM_5424, 6))))
+    b, r = F.col("_b").isNotNull(), F.col("_r").isNotNull()
+    return d.select(
+        *keep,
+        F.col("_l").alias("raw"),
+        F.col(file_col).alias("source_file") if file_col != "source_file" else F.lit(None).cast("string").alias("_unused"),
+        F.when(b, _gi("_b", 1)).when(r, _gi("_r", 2))
+         .otherwise(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("timestamp"),
+        F.when(b, _gi("_b", 2)).when(r, _gi("_r", 3)).alias("hostname"),
+        F.when(b, _gi("_b", 3)).when(r, _gi("_r", 4)).alias("source"),
+        F.when(b, F.nullif(_gi("_b", 4), F.lit(""))).when(r, _gi("_r", 5)).alias("pid"),
+        F.when(b, _gi("_b", 5)).when(r, _gi("_r", 6)).otherwise(F.col("_l")).alias("message"),
+        F.when(r, _gi("_r", 1)).alias("priority"),
+    ).drop("_unused")
