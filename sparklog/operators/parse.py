@@ -278,7 +278,7 @@ def parse_records(records: DataFrame, as_of: _dt.datetime, fmt: str = "csv", sou
     """S03 + P11: rows of any reader (CSV with header, JSON) -> log fields via the key aliases."""
     cols = [c for c in records.columns if c not in keep]
     k = [c for c in keep if c in records.columns]
-    m = F.from_json(F.to_json(F.struct(*[F.col(c).cast("string") for c in cols])), "map<string,string>")
+    m = F.from_json(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in cols])), "map<string,string>")
     st = (records.select(*k, F.lit(source_name).alias("_src"), F.to_json(F.struct(*cols)).alias("_raw"),
                          lower_keys(m).alias("_rec"))
           .select(*k, "_src", "_raw", *_record_picks(F.col("_rec")))

@@ -19,6 +19,12 @@ from ..operators import parse as P
 
 MEDIA_SUFFIXES = (".evtx", ".log", ".syslog", ".txt")
 
+# the parts of an exported Windows event the parser reads (missing parts are NULL)
+EVENT_XML_SCHEMA = ("System struct<Provider: struct<_Name: string>, EventID: string, Level: string, "
+                    "TimeCreated: struct<_SystemTime: string>, Computer: string>, "
+                    "EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>, "
+                    "RenderingInfo struct<Message: string>")
+
 
 def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = True, glob: str | None = None,
                ignore_corrupt: bool = True) -> DataFrame:
@@ -112,7 +118,8 @@ def read_csv_logs(spark: SparkSession, path: str, as_of: _dt.datetime) -> DataFr
 
 def read_windows_events(spark: SparkSession, path: str, as_of: _dt.datetime) -> DataFrame:
     """Exported Windows event XML (rowTag Event) -> log fields."""
-    ev = spark.read.format("xml").option("rowTag", "Event").option("valueTag", "_VALUE").load(path)
+    ev = (spark.read.format("xml").option("rowTag", "Event").option("valueTag", "_VALUE")
+          .schema(EVENT_XML_SCHEMA).load(path))
     s = P.windows_event_fields(F.struct(*[F.col(c) for c in ev.columns]), as_of)
     return ev.select(s.alias("_s")).select("_s.*")
 
