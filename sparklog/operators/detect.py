@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,20 +116,27 @@ def keyword_scores(logs: DataFrame, out: str = "keyword_score") -> DataFrame:
 
 
 # ------------------------------------------------------------------ D08 / D09
-def redistribute(df: DataFrame, col: str, out: str = "anomaly_score", order_key: str = "id") -> DataFrame:
-    """min-max -> logistic(6(x - .5)) -> .1 + .89 s; a flat input spreads .1 .. .9 by row order."""
+def redistribute(df: DataFrame, col: str, out: str = "anomaly_score", order_key: str = "id",
+                 return_count: bool = False):
+    """min-max -> logistic(6(x - .5)) -> .1 + .89 s; a flat input spreads .1 .. .9 by row order.
+
+    One aggregate pass gives min, max and the row count (returned with ``return_count``
+    so the percentile step does not count again).
+    """
     mm = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"), F.count(F.lit(1)).alias("_n")).first()
-    if mm["_n"] == 0:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    if mm["_mx"] - mm["_mn"] < 1e-8:
+    n = mm["_n"]
+    if n == 0:
+        res = df.withColumn(out, F.lit(None).cast("double"))
+    elif mm["_mx"] - mm["_mn"] < 1e-8:
         lo, hi = R.CONSTANT_SPREAD
-        n = mm["_n"]
         pos = stats.row_positions(df, [F.col(col), F.col(order_key)], "_pos")
         step = (hi - lo) / (n - 1) if n > 1 else 0.0
-        return pos.withColumn(out, F.lit(lo) + F.col("_pos") * F.lit(step)).drop("_pos")
-    norm = (F.col(col) - F.lit(mm["_mn"])) / F.lit(mm["_mx"] - mm["_mn"])
-    spread = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-R.REDISTRIBUTE_STEEPNESS) * (norm - F.lit(0.5))))
-    return df.withColumn(out, F.lit(R.REDISTRIBUTE_FLOOR) + F.lit(R.REDISTRIBUTE_SPAN) * spread)
+        res = pos.withColumn(out, F.lit(lo) + F.col("_pos") * F.lit(step)).drop("_pos")
+    else:
+        norm = (F.col(col) - F.lit(mm["_mn"])) / F.lit(mm["_mx"] - mm["_mn"])
+        spread = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-R.REDISTRIBUTE_STEEPNESS) * (norm - F.lit(0.5))))
+        res = df.withColumn(out, F.lit(R.REDISTRIBUTE_FLOOR) + F.lit(R.REDISTRIBUTE_SPAN) * spread)
+    return (res, n) if return_count else res
 
 
 def percentile_cut(df: DataFrame, col: str = "anomaly_score", p: float = R.PREDICTION_PERCENTILE,
@@ -210,18 +218,30 @@ def forest_fit(feats: DataFrame, names=FEATURES, n_trees: int = R.ISOLATION_TREE
                sample_size: int = R.ISOLATION_SAMPLE, seed: int = R.RANDOM_SEED) -> DataFrame:
     """Grow ``n_trees`` isolation trees, each on its own seeded sample of min(256, n) rows.
 
-    A Bernoulli pre-sample bounds the candidates (about 2 x trees x 256 rows) before
-    rows are replicated per tree, so sampling cost does not grow with the table.
+    A Bernoulli pre-sample bounds the candidates (about 2 x trees x 256 rows); each
+    (candidate, tree) pair is then thinned by its own hash to about 4 x 256 per
+    tree before the per-tree window picks the exact 256, so neither step grows
+    with the table.  A tree left short by the thinning is re-drawn from all its
+    candidates (checked by one small per-tree count).
     """
     n = feats.count()
+    want = min(sample_size, n)
     frac = min(1.0, 2.0 * n_trees * sample_size / max(n, 1))
     cand = feats.select("id", *names)
     if frac < 1.0:
         cand = cand.filter(stats.hash_uniform(F.col("id"), seed=seed) < frac)
+    m = max(int(frac * n), 1)
+    keep_p = min(1.0, 4.0 * sample_size / m)
     per_tree = (cand.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
                 .withColumn("_u", stats.hash_uniform(F.col("id"), F.col("tree"), seed=seed + 1)))
+    thinned = per_tree.filter(F.col("_u") < keep_p) if keep_p < 1.0 else per_tree
+    if keep_p < 1.0:
+        short = thinned.groupBy("tree").count().filter(F.col("count") < want).count() + \
+            (n_trees - thinned.select("tree").distinct().count())
+        if short > 0:
+            thinned = per_tree
     w = W.partitionBy("tree").orderBy("_u", "id")
-    sample = per_tree.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_size)
+    sample = thinned.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_size)
     return (sample.select("tree", *names).groupBy("tree")
             .applyInPandas(_tree_builder(list(names), seed), FOREST_SCHEMA))
 
@@ -248,11 +268,13 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_siz
 
     def score(it):
         trees_, cpsi = bc.value
-        leaf_c = {}
+        # path length of every node if it were the leaf: depth + c(size), computed once per tree
+        prepared = [(feat, thr, lch, rch, dep + np.array([_c(int(z)) for z in size]))
+                    for feat, thr, lch, rch, size, dep in trees_]
         for pdf in it:
             x = pdf[names].to_numpy(dtype=np.float64)
             total = np.zeros(len(pdf))
-            for feat, thr, lch, rch, size, dep in trees_:
+            for feat, thr, lch, rch, path_len in prepared:
                 node = np.zeros(len(pdf), dtype=np.int64)
                 active = feat[node] >= 0
                 while active.any():
@@ -261,14 +283,13 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_siz
                     go_left = x[ia, feat[nd]] < thr[nd]
                     node[ia] = np.where(go_left, lch[nd], rch[nd])
                     active = feat[node] >= 0
-                sizes = size[node]
-                adj = np.array([leaf_c.setdefault(int(s), _c(s)) for s in sizes]) if len(sizes) else np.zeros(0)
-                total += dep[node] + adj
-            s = np.power(2.0, -(total / max(len(trees_), 1)) / cpsi)
+                total += path_len[node]
+            s = np.power(2.0, -(total / max(len(prepared), 1)) / cpsi)
             yield pdf.assign(**{raw_col: s})
 
     schema = T.StructType(feats.schema.fields + [T.StructField(raw_col, T.DoubleType())])
-    raw = feats.mapInPandas(score, schema)
+    # the Python scorer runs once: its output is kept for the min/max pass and the consumers
+    raw = feats.mapInPandas(score, schema).persist(StorageLevel.MEMORY_AND_DISK)
     return _minmax(raw, raw_col, out).drop(raw_col)
 
 
@@ -323,7 +344,7 @@ def svm_score(feats: DataFrame, model: dict, names=FEATURES, out: str = "svm_sco
             yield pdf.assign(**{raw_col: -dec})
 
     schema = T.StructType(feats.schema.fields + [T.StructField(raw_col, T.DoubleType())])
-    raw = feats.mapInPandas(score, schema)
+    raw = feats.mapInPandas(score, schema).persist(StorageLevel.MEMORY_AND_DISK)
     return _minmax(raw, raw_col, out).drop(raw_col)
 
 

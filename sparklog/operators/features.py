@@ -22,7 +22,7 @@ ENCODER_WINDOW_ROWS = 1_000_000
 
 
 def ordinal_encoding(values: DataFrame, value_col: str, code_col: str = "code",
-                     max_single_task: int = ENCODER_WINDOW_ROWS) -> DataFrame:
+                     max_single_task: int = ENCODER_WINDOW_ROWS, known_small: bool | None = None) -> DataFrame:
     """(value, 0-based index of value in the sorted distinct set).
 
     Small sets are ranked with ``row_number`` in one task (bounded by
@@ -30,8 +30,8 @@ def ordinal_encoding(values: DataFrame, value_col: str, code_col: str = "code",
     numbered with per-partition offsets, so no task ever holds the whole set.
     """
     d = values.select(F.col(value_col).alias("value")).distinct()
-    n = d.count()
-    if n <= max_single_task:
+    small = known_small if known_small is not None else d.count() <= max_single_task
+    if small:
         return d.select("value", (F.row_number().over(W.orderBy("value")) - 1).cast("bigint").alias(code_col))
     srt = d.repartitionByRange("value").sortWithinPartitions("value") \
         .withColumn("_p", F.spark_partition_id()) \
@@ -81,12 +81,18 @@ def feature_frame(logs: DataFrame, keep=("id",), encoders: tuple[DataFrame, Data
         *[F.col(k) for k in keep if k in ("timestamp", "source", "event_type", "message", "severity")],
     )
     if encoders is None:
-        src_codes = ordinal_encoding(base, "_src", "source_encoded")
-        et_codes = ordinal_encoding(base, "_et", "event_type_encoded")
+        # one cheap pass sizes both distinct sets (HLL, map-side); the margin covers its error
+        est = base.agg(F.approx_count_distinct("_src", 0.02).alias("s"),
+                       F.approx_count_distinct("_et", 0.02).alias("e")).first()
+        small = max(est["s"], est["e"]) <= ENCODER_WINDOW_ROWS // 2
+        src_codes = ordinal_encoding(base, "_src", "source_encoded", known_small=small)
+        et_codes = ordinal_encoding(base, "_et", "event_type_encoded", known_small=small)
+        src_b = F.broadcast(src_codes) if small else src_codes
+        et_b = F.broadcast(et_codes) if small else et_codes
     else:
-        src_codes, et_codes = encoders
-    base = (base.join(checked_broadcast(src_codes.withColumnRenamed("value", "_src")), "_src", "left")
-                .join(checked_broadcast(et_codes.withColumnRenamed("value", "_et")), "_et", "left"))
+        src_b, et_b = checked_broadcast(encoders[0]), checked_broadcast(encoders[1])
+    base = (base.join(src_b.withColumnRenamed("value", "_src"), "_src", "left")
+                .join(et_b.withColumnRenamed("value", "_et"), "_et", "left"))
 
     hour = F.coalesce(F.hour("_ts"), F.lit(12)).cast("double")
     lm = F.col("_lmsg")

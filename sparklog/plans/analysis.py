@@ -133,8 +133,8 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
     blended = D.blend(feats, weights, "combined")
     if persist:
         blended = blended.persist(StorageLevel.MEMORY_AND_DISK)
-    final = D.redistribute(blended, "combined", "anomaly_score")
-    scored, thr = D.percentile_cut(final, "anomaly_score")
+    final, n = D.redistribute(blended, "combined", "anomaly_score", return_count=True)
+    scored, thr = D.percentile_cut(final, "anomaly_score", n=n)
     return scored, {"algorithm": algorithm, "percentile_threshold": thr, "members": members}, model
 
 
@@ -160,23 +160,21 @@ def analyze_logs(logs: DataFrame, techniques: DataFrame, algorithm: str = "ensem
                  session_id: str = "session", as_of=None, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
     """(anomalies, session row) of one analysis run."""
     from ..operators.filters import analysis_scan
-    spark = logs.sparkSession
     scan = analysis_scan(logs, start, end, source)
-    n = scan.count()
-    algo = resolve_algorithm(algorithm, n)
+    norm = (algorithm or "").strip().lower()
+    # the row count is only needed to resolve an automatic algorithm choice
+    n = scan.count() if norm not in SUPPORTED else None
+    algo = resolve_algorithm(algorithm, n or 0)
     as_of = as_of or _dt.datetime.utcnow()
-    if n == 0:
-        anomalies = spark.createDataFrame([], "log_id bigint, anomaly_score double")
-        n_anom = 0
-    else:
-        scored, info, _ = score_logs(scan, algo, model)
-        anomalies = accepted_anomalies(scored, techniques, algo, threshold, as_of, session_id)
-        n_anom = anomalies.count()
+    scored, info, _ = score_logs(scan, algo, model)
+    anomalies = accepted_anomalies(scored, techniques, algo, threshold, as_of, session_id)
     params = json.dumps({"algorithm": algo, "start_time": start.isoformat() if start else None,
                          "end_time": end.isoformat() if end else None, "threshold": threshold,
                          "log_source": source})
-    session = spark.createDataFrame(
-        [(session_id, as_of, as_of, "completed", n, n_anom, params)],
-        "session_id string, start_time timestamp, end_time timestamp, status string, "
-        "logs_analyzed bigint, anomalies_detected bigint, parameters string")
+    # one lazy row: counts come from the (persisted) scored frame when the caller asks for it
+    session = (scored.agg(F.count(F.lit(1)).alias("logs_analyzed"))
+               .crossJoin(anomalies.agg(F.count(F.lit(1)).alias("anomalies_detected")))
+               .select(F.lit(session_id).alias("session_id"), F.lit(as_of).cast("timestamp").alias("start_time"),
+                       F.lit(as_of).cast("timestamp").alias("end_time"), F.lit("completed").alias("status"),
+                       "logs_analyzed", "anomalies_detected", F.lit(params).alias("parameters")))
     return anomalies, session

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,16 +187,22 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         """One driver table.  A scan with fewer splits than the session has cores (a
         single-row-group file) is spread round-robin so CPU-heavy operators use every
         core; a many-file production input never takes this branch.  Filters and
         column pruning still reach the scan through the repartition."""
+        key = name
+        if key in self._raw:
+            return self._raw[key]
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+            # spread once and keep the (small) spread copy, so later jobs do not re-shuffle it
+            df = df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+        self._raw[key] = df
         return df
 
     @cached_property
