@@ -34,5 +34,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> tuple[dict, dict]:
-    from . import registered, registered_detect, registered_parse, registered_stream  # noqa: F401
+    from . import registered, registered_detect, registered_more, registered_parse, registered_stream  # noqa: F401
     return dict(REGISTRY), dict(ORACLE)
