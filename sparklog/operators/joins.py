@@ -84,24 +84,34 @@ def assign_sessions(df: DataFrame, sessions: DataFrame, as_of, ts_col: str = "de
             .join(days, ["_day"], "inner").filter(cond).drop("_day"))
 
 
-def latest_connect_asof(device_events: DataFrame) -> DataFrame:
+def latest_connect_asof(device_events: DataFrame, bucket: str = "day") -> DataFrame:
     """Each disconnect takes the latest earlier connect of the same device.
 
-    A window per device (partitioned, so it spreads over tasks by device) carries the
-    last connect time forward: ``last(connected_at, ignorenulls)`` over rows up to
-    the current one.  Duration = seconds between them, rounded to 2.
-    A device that holds a third of all rows is still one window partition; the
-    window streams its rows in order and keeps one value of state, so the hot key
-    costs time in one task but not memory.
+    Skew-safe two-level form: a device may hold a third of all rows, so the
+    window is partitioned by (device, time bucket), not by device alone.
+
+    1. inside each (device, bucket): ``last(connect_time, ignorenulls)`` over the
+       preceding rows;
+    2. per (device, bucket): the bucket's last connect (a partial/final aggregate,
+       combined map-side);
+    3. per device, over its buckets only (a small table): the last connect of the
+       earlier buckets, carried forward;
+    4. connected_at = in-bucket value, else the carried value.
+
+    Duration = seconds between them, rounded to 2.
     """
-    w = (W.partitionBy("device_id").orderBy("event_time", "seq")
-         .rowsBetween(W.unboundedPreceding, -1))
+    ev = device_events.withColumn("_b", F.date_trunc(bucket, F.col("event_time")))
     conn_ts = F.when(F.col("event") == "connected", F.col("event_time"))
-    j = device_events.withColumn("connected_at", F.last(conn_ts, ignorenulls=True).over(w))
-    d = j.filter(F.col("event") == "disconnected")
+    w_in = W.partitionBy("device_id", "_b").orderBy("event_time", "seq").rowsBetween(W.unboundedPreceding, -1)
+    ev = ev.withColumn("_in", F.last(conn_ts, ignorenulls=True).over(w_in))
+    buckets = ev.groupBy("device_id", "_b").agg(F.max(conn_ts).alias("_last"))
+    w_dev = W.partitionBy("device_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carry = buckets.select("device_id", "_b", F.last("_last", ignorenulls=True).over(w_dev).alias("_carry"))
+    d = ev.filter(F.col("event") == "disconnected").join(carry, ["device_id", "_b"], "left")
+    connected = F.coalesce("_in", "_carry")
     secs = (F.unix_micros(F.col("event_time").cast("timestamp")) -
-            F.unix_micros(F.col("connected_at").cast("timestamp"))) / 1e6
-    return d.select("device_id", "seq", "connected_at", F.col("event_time").alias("removed_at"),
+            F.unix_micros(connected.cast("timestamp"))) / 1e6
+    return d.select("device_id", "seq", connected.alias("connected_at"), F.col("event_time").alias("removed_at"),
                     X.round_to(secs, 2).alias("duration_seconds"))
 
 

@@ -55,9 +55,9 @@ def map_techniques(logs: DataFrame, techniques: DataFrame, rules: DataFrame | No
     spark = logs.sparkSession
     rules = rules if rules is not None else default_rules(spark)
     live = resolved_rules(rules, techniques)
-    n_rules = live.count()
-    if n_rules <= max_literal_rules:
-        return _map_with_literals(logs, live.collect())
+    rows = live.limit(max_literal_rules + 1).collect()   # bounded: at most the literal bound + 1 rows
+    if len(rows) <= max_literal_rules:
+        return _map_with_literals(logs, rows)
     return _map_with_joins(logs, live)
 
 

@@ -19,26 +19,53 @@ def display_ids(limited: DataFrame, order_cols: list[Column], out: str = "displa
     return limited.withColumn(out, F.row_number().over(W.orderBy(*order_cols)).cast("bigint"))
 
 
-def running_counter(df: DataFrame, key: str, order: list[str], value: str, out: str = "counter") -> DataFrame:
-    """Running sum of ``value`` per key — a monotone counter like a byte or packet total."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(out, F.sum(value).over(w))
+def running_counter(df: DataFrame, key: str, order: list[str], value: str, out: str = "counter",
+                    bucket: str = "day") -> DataFrame:
+    """Running sum of ``value`` per key — a monotone counter like a byte or packet total.
 
-
-def counter_rate(df: DataFrame, key: str, order: list[str], counter: str, out: str = "rate") -> DataFrame:
-    """Difference to the previous sample of the same key, clamped at 0 (first sample NULL)."""
-    w = W.partitionBy(key).orderBy(*order)
-    return df.withColumn(out, F.greatest(F.col(counter) - F.lag(counter).over(w), F.lit(0.0)))
+    Skew-safe: the running sum runs inside (key, time bucket) windows and adds the
+    totals of the key's earlier buckets (a small per-bucket table), so a hot key is
+    spread over its buckets instead of one task.  ``order[0]`` is the time column.
+    """
+    d = df.withColumn("_b", F.date_trunc(bucket, F.col(order[0])))
+    w_in = W.partitionBy(key, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumn("_in", F.sum(value).over(w_in))
+    tot = d.groupBy(key, "_b").agg(F.sum(value).alias("_t"))
+    w_prev = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carry = tot.select(key, "_b", F.coalesce(F.sum("_t").over(w_prev), F.lit(0)).alias("_c"))
+    return d.join(carry, [key, "_b"]).withColumn(out, F.col("_c") + F.col("_in")).drop("_b", "_in", "_c")
+
+
+def counter_rate(df: DataFrame, key: str, order: list[str], counter: str, out: str = "rate",
+                 bucket: str = "day") -> DataFrame:
+    """Difference to the previous sample of the same key, clamped at 0 (first sample NULL).
+
+    Skew-safe like ``running_counter``: ``lag`` inside (key, bucket); the first
+    sample of a bucket takes the last sample of the key's previous non-empty bucket
+    (``max_by`` per bucket, carried over a window of the small per-bucket table).
+    """
+    d = df.withColumn("_b", F.date_trunc(bucket, F.col(order[0])))
+    w_in = W.partitionBy(key, "_b").orderBy(*order)
+    d = d.withColumn("_prev", F.lag(counter).over(w_in))
+    last = d.groupBy(key, "_b").agg(F.max_by(counter, F.struct(*order)).alias("_l"))
+    w_prev = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carry = last.select(key, "_b", F.last("_l", ignorenulls=True).over(w_prev).alias("_c"))
+    d = d.join(carry, [key, "_b"])
+    prev = F.coalesce(F.col("_prev"), F.col("_c"))
+    return d.withColumn(out, F.greatest(F.col(counter) - prev, F.lit(0.0))).drop("_b", "_prev", "_c")
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key under ``order`` (row_number = 1, partitioned by key).
+    """The greatest row of each key under ``order`` (columns compared descending,
+    later ones break ties), e.g. [ingestion_time, id] -> latest ingestion, highest id.
 
-    For very skewed keys ``max_by`` over a struct is the cheaper equivalent (a
-    partial aggregate); the window form keeps every column of the row.
+    A ``max_by`` aggregation, partial then final: a key holding a third of all rows
+    is reduced map-side to one candidate per partition before the shuffle (a
+    row_number window would put the whole key in one task).
     """
-    w = W.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    cols = [c for c in df.columns]
+    best = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
+    return best.select("_r.*")
 
 
 def continue_ids(df: DataFrame, order_cols: list[Column], current_max: int, out: str = "id") -> DataFrame:

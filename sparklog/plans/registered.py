@@ -596,7 +596,7 @@ WHERE rn = 1
 
 def _w04(t):
     from ..operators import windows as WN
-    return WN.latest_per_key(t.logs, "source", [F.desc("ingestion_time"), F.desc("id")]) \
+    return WN.latest_per_key(t.logs, "source", [F.col("ingestion_time"), F.col("id")]) \
         .select("source", F.col("id").alias("latest_id"), F.col("timestamp").alias("latest_ts"))
 
 
