@@ -103,8 +103,12 @@ WHERE CASE upper(a.severity) WHEN 'INFO' THEN 0 WHEN 'LOW' THEN 1 WHEN 'MEDIUM'
 """)(lambda t: FL.min_severity(t.anomalies, "HIGH", 0.8).select("id", "severity", _r6("anomaly_score").alias("anomaly_score")))
 
 query("f13_session_lookup", """
-SELECT session_id, start_time, end_time, status FROM analysis_sessions WHERE session_id = 's2'
-""")(lambda t: FL.lookup_key(t.sessions, "session_id", "s2").select("session_id", "start_time", "end_time", "status"))
+SELECT s.session_id, s.start_time, s.end_time, s.status,
+       (SELECT CAST(count(*) AS BIGINT) FROM anomalies a WHERE a.detected_at >= s.start_time
+          AND a.detected_at <= coalesce(s.end_time, TIMESTAMP '2024-01-31 00:00:00')) AS anomalies_detected
+FROM analysis_sessions s WHERE s.session_id = 's2'
+""")(lambda t: FL.lookup_key(t.sessions, "session_id", "s2").select("session_id", "start_time", "end_time", "status")
+     .crossJoin(A.table_count(J.within_session(t.anomalies, t.sessions, "s2", AS_OF), "anomalies_detected")))
 
 query("f14_retention_survivors", """
 SELECT id, "timestamp", source FROM logs
@@ -519,23 +523,33 @@ FROM d
     .otherwise(F.lit("LOW")))))
 
 query("a35_session_listing", """
-SELECT session_id, start_time, upper(coalesce(status, 'completed')) AS status,
-       round(CASE WHEN end_time IS NULL THEN 0.0 ELSE (epoch_us(end_time) - epoch_us(start_time)) / 1e6 END, 2) AS duration_seconds,
-       coalesce(json_extract_string(parameters, '$.algorithm'), 'statistical') AS algorithm,
-       CAST(coalesce(json_extract_string(parameters, '$.threshold'), '0.7') AS DOUBLE) AS threshold
-FROM analysis_sessions
+, cnt AS (SELECT s.session_id, count(a.id) AS n FROM analysis_sessions s LEFT JOIN anomalies a
+            ON a.detected_at >= s.start_time AND a.detected_at <= coalesce(s.end_time, TIMESTAMP '2024-01-31 00:00:00')
+          GROUP BY 1)
+, lg AS (SELECT s.session_id, count(l.id) AS n FROM analysis_sessions s LEFT JOIN logs l
+           ON l."timestamp" >= s.start_time AND l."timestamp" <= coalesce(s.end_time, TIMESTAMP '2024-01-31 00:00:00')
+         GROUP BY 1)
+, dom AS (SELECT session_id, source FROM (
+            SELECT s.session_id, l.source, row_number() OVER (PARTITION BY s.session_id ORDER BY count(*) DESC, l.source) AS rn
+            FROM anomalies a JOIN logs l ON l.id = a.log_id JOIN analysis_sessions s
+              ON a.detected_at >= s.start_time AND (s.end_time IS NULL OR a.detected_at <= s.end_time)
+            GROUP BY s.session_id, l.source) WHERE rn = 1)
+SELECT s.session_id, s.start_time, upper(coalesce(s.status, 'completed')) AS status,
+       round(CASE WHEN s.end_time IS NULL THEN 0.0 ELSE (epoch_us(s.end_time) - epoch_us(s.start_time)) / 1e6 END, 2) AS duration_seconds,
+       coalesce(json_extract_string(s.parameters, '$.algorithm'), 'statistical') AS algorithm,
+       CAST(coalesce(json_extract_string(s.parameters, '$.threshold'), '0.7') AS DOUBLE) AS threshold,
+       CAST(lg.n AS BIGINT) AS total_logs, CAST(cnt.n AS BIGINT) AS anomalies_found,
+       CASE WHEN lower(coalesce(json_extract_string(s.parameters, '$.log_source'), '')) NOT IN ('', 'all', 'latest')
+              THEN json_extract_string(s.parameters, '$.log_source')
+            WHEN lower(coalesce(json_extract_string(s.parameters, '$.log_source'), '')) = 'all' THEN 'all'
+            ELSE coalesce(dom.source, 'unknown') END AS source_filename
+FROM analysis_sessions s JOIN cnt USING (session_id) JOIN lg USING (session_id) LEFT JOIN dom USING (session_id)
 """)(lambda t: _session_listing(t))
 
 
 def _session_listing(t):
-    s = t.sessions
-    p = F.from_json("parameters", "algorithm string, threshold double, log_source string")
-    dur = F.when(F.col("end_time").isNull(), F.lit(0.0)).otherwise(
-        (F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))) / 1e6)
-    return s.select("session_id", "start_time", F.upper(F.coalesce("status", F.lit("completed"))).alias("status"),
-                    X.round_to(dur, 2).alias("duration_seconds"),
-                    F.coalesce(p["algorithm"], F.lit("statistical")).alias("algorithm"),
-                    F.coalesce(p["threshold"], F.lit(0.7)).alias("threshold"))
+    from ..operators import reports as RP
+    return RP.session_listing(t.sessions, t.logs, t.anomalies, AS_OF)
 
 
 query("a36_coverage_by_tactic", """

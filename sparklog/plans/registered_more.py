@@ -266,3 +266,34 @@ def _a39(t):
     return s.select("total_threats", "average_confidence", "first_seen", "last_seen",
                     F.coalesce(F.try_element_at("by_severity", F.lit("CRITICAL")), F.lit(0)).cast("bigint").alias("n_critical"),
                     F.coalesce(F.try_element_at("by_severity", F.lit("MEDIUM")), F.lit(0)).cast("bigint").alias("n_medium"))
+
+
+query("l06_recent_sessions", """
+, cnt AS (SELECT s.session_id, count(a.id) AS n FROM analysis_sessions s LEFT JOIN anomalies a
+            ON a.detected_at >= s.start_time AND a.detected_at <= coalesce(s.end_time, TIMESTAMP '2024-01-31 00:00:00')
+          GROUP BY 1)
+SELECT s.session_id, s.start_time, CAST(cnt.n AS BIGINT) AS anomalies_found
+FROM analysis_sessions s JOIN cnt USING (session_id) ORDER BY s.start_time DESC, s.session_id DESC LIMIT 2
+""")(lambda t: _l06(t))
+
+
+def _l06(t):
+    from ..operators import reports as RP
+    return RP.recent_sessions(RP.session_listing(t.sessions, t.logs, t.anomalies, AS_OF), 2) \
+        .select("session_id", "start_time", "anomalies_found")
+
+
+query("l07_nodes_by_last_seen", f"""
+, {HUB_SQL}
+, per AS (SELECT source_node AS node_id, count(*) AS total_anomalies, max(imported_at) AS last_seen FROM hub GROUP BY 1)
+SELECT node_id, CAST(total_anomalies AS BIGINT) AS total_anomalies, last_seen FROM per
+ORDER BY last_seen DESC NULLS LAST, node_id LIMIT 3
+""")(lambda t: _l07(t))
+
+
+def _l07(t):
+    from ..operators import reports as RP
+    hub = H.hub_state(t.hub_anomalies)
+    nodes = hub.groupBy(F.col("source_node").alias("node_id")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("total_anomalies"), F.max("imported_at").alias("last_seen"))
+    return RP.nodes_by_last_seen(nodes, 3)

@@ -88,3 +88,9 @@ def test_retention_null_predicate_keeps_row(spark):
                                "id int, timestamp timestamp, source string")
     keep, gone = FL.retention_split(df, start=dt.datetime(2024, 1, 1))
     assert [r.id for r in keep.collect()] == [1] and [r.id for r in gone.collect()] == [2]
+
+
+def test_related_session(spark, t):
+    from sparklog.operators import reports as RP
+    assert RP.related_session(t.sessions, "sshd").first().session_id == "s1"      # same source wins
+    assert RP.related_session(t.sessions, "nginx").first().session_id == "s3"     # else the latest completed
