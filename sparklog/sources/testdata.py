@@ -10,7 +10,6 @@ from __future__ import annotations
 import datetime as _dt
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,19 +189,28 @@ class Tables:
         self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        """One driver table.  A scan with fewer splits than the session has cores (a
-        single-row-group file) is spread round-robin so CPU-heavy operators use every
-        core; a many-file production input never takes this branch.  Filters and
-        column pruning still reach the scan through the repartition."""
-        key = name
-        if key in self._raw:
-            return self._raw[key]
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One driver table.
+
+        A file with fewer splits than the session has cores (the driver's tables are
+        one parquet row group each) is copied once, spread over ``cores`` files,
+        into the session's checkpoint folder and read from there, so CPU-heavy
+        operators use every core while scans keep column pruning and filter
+        push-down.  A many-file production input never takes this branch.
+        """
+        if name in self._raw:
+            return self._raw[name]
+        path = f"{self.sf_dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
         cores = self.spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
-            # spread once and keep the (small) spread copy, so later jobs do not re-shuffle it
-            df = df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-        self._raw[key] = df
+            from ..session import ensure_checkpoint_dir
+            base = ensure_checkpoint_dir(self.spark).rstrip("/")
+            tag = self.sf_dir.strip("/").replace("/", "_")
+            copy = f"{base}/spread/{tag}/{name}.parquet"
+            if not _committed(self.spark, copy):
+                df.repartition(cores).write.mode("overwrite").parquet(copy)
+            df = self.spark.read.parquet(copy)
+        self._raw[name] = df
         return df
 
     @cached_property
@@ -238,6 +246,14 @@ class Tables:
         return derive_device_log(self.events)
 
 
+def _committed(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` holds a completely written table (its _SUCCESS marker exists)."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(marker))
+
+
 _CACHE: dict = {}
 
 
