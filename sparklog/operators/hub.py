@@ -109,7 +109,7 @@ def cross_node_correlations(hub: DataFrame, min_nodes: int = 2) -> DataFrame:
             .orderBy(F.desc("node_count"), F.desc("total_hits"), "mitre_technique_id"))
 
 
-def tactic_heatmap_long(hub: DataFrame) -> DataFrame:
+def tactic_heatmap_long(hub: DataFrame, max_cells: int = 10_000_000) -> DataFrame:
     """A31 long form: every (node, tactic) pair of the observed sets, zero-filled.
 
     The spine is nodes x tactics of the *observed* distinct sets — both are small
@@ -119,6 +119,10 @@ def tactic_heatmap_long(hub: DataFrame) -> DataFrame:
     counts = h.groupBy("source_node", "mitre_tactic").agg(_n().alias("count"))
     nodes = h.select("source_node").distinct()
     tactics = h.select("mitre_tactic").distinct()
+    # the zero-filled matrix is the feature: its size is nodes x tactics, so check it first
+    n_nodes, n_tactics = nodes.count(), tactics.count()
+    if n_nodes * n_tactics > max_cells:
+        raise ValueError(f"heatmap of {n_nodes} x {n_tactics} cells exceeds {max_cells}; use the sparse counts")
     spine = nodes.crossJoin(F.broadcast(tactics))
     return (spine.join(counts, ["source_node", "mitre_tactic"], "left")
             .select("source_node", "mitre_tactic", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
