@@ -157,7 +157,7 @@ def derive_hub_anomalies(anomalies: DataFrame, logs: DataFrame, copies: int = 2)
                    F.col("timestamp").alias("log_timestamp"), "source", "event_type",
                    F.substring(F.coalesce("message", F.lit("")), 1, 500).alias("message"),
                    "hostname", "username")
-    parts = [one.withColumn("imported_at", F.lit(AS_OF) - F.make_dt_interval(hours=F.lit(24 * (copies - i))))
+    parts = [one.withColumn("imported_at", F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(24 * (copies - i))))
              .withColumn("import_batch", F.lit(i)) for i in range(copies)]
     out = parts[0]
     for p in parts[1:]:
