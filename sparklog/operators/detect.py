@@ -290,6 +290,7 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_siz
     schema = T.StructType(feats.schema.fields + [T.StructField(raw_col, T.DoubleType())])
     # the Python scorer runs once: its output is kept for the min/max pass and the consumers
     raw = feats.mapInPandas(score, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    raw.count()   # materialise before the min/max pass and the consumers read it (no concurrent re-scoring)
     return _minmax(raw, raw_col, out).drop(raw_col)
 
 
@@ -345,6 +346,7 @@ def svm_score(feats: DataFrame, model: dict, names=FEATURES, out: str = "svm_sco
 
     schema = T.StructType(feats.schema.fields + [T.StructField(raw_col, T.DoubleType())])
     raw = feats.mapInPandas(score, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    raw.count()   # materialise before the min/max pass and the consumers read it (no concurrent re-scoring)
     return _minmax(raw, raw_col, out).drop(raw_col)
 
 

@@ -103,7 +103,9 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
     feats = FE.feature_frame(logs, keep=KEEP, encoders=model.encoders)
     feats = feats.withColumn("keyword_score", D.keyword_score_expr())
     if persist:
+        # materialise once: the parameter aggregates below would otherwise race to compute it
         feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+        feats.count()
     members = []
     if algorithm in ("statistical", "ensemble"):
         if model.zparams is None:
