@@ -176,3 +176,16 @@ def test_append_logs_assigns_dense_ids(spark, tmp_path):
     out = SK.append_logs(parsed, str(tmp_path / "logs"), current_max_id=100)
     ids = sorted(r.id for r in spark.read.parquet(str(tmp_path / "logs")).select("id").collect())
     assert ids == list(range(101, 121)) and out.count() == 20
+
+
+def test_media_files_and_inventory(spark, tmp_path):
+    (tmp_path / "big.log").write_text("x" * 200)
+    (tmp_path / "small.txt").write_text("x")
+    (tmp_path / "other.bin").write_text("x" * 500)
+    got = [os.path.basename(r.path) for r in LF.media_files(spark, str(tmp_path)).collect()]
+    assert got == ["big.log"]
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "modificationTime")
+    ds = LF.register_datasets(spark, str(tmp_path))
+    logs = ds.select("dataset_id").withColumn("n", F.lit(1))
+    inv = LF.dataset_inventory(files, ds, logs).collect()
+    assert len(inv) == 3 and all(r.records == 1 for r in inv)

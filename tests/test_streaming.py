@@ -68,3 +68,31 @@ def test_logs_per_hour_stream_equals_batch(spark, sf_small, tmp_path):
     s = L.run_to_completion(L.logs_per_hour_stream(logs_s), name, str(tmp_path / "ck"), "complete")
     b = A.logs_by_hour(TD.derive_logs(spark.read.parquet(f"{sf_small}/events.parquet")))
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_timeline_stream_buckets(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 30, 2, 5), "CRITICAL"), (dt.datetime(2024, 1, 30, 3, 59), "HIGH"),
+            (dt.datetime(2024, 1, 30, 4, 0), "critical")]
+    src = tmp_path / "an"
+    spark.createDataFrame(rows, "detected_at timestamp_ntz, severity string").write.parquet(str(src))
+    stream = spark.readStream.schema("detected_at timestamp_ntz, severity string").parquet(str(src))
+    name = f"tl_{uuid.uuid4().hex[:8]}"
+    out = L.run_to_completion(L.timeline_stream(stream), name, str(tmp_path / "ck"), "complete")
+    got = {r.bucket_start: (r.anomalies, r.critical) for r in out.collect()}
+    assert got == {dt.datetime(2024, 1, 30, 2): (2, 1), dt.datetime(2024, 1, 30, 4): (1, 1)}
+
+
+def test_on_event_callback_and_persist(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.log").write_text("Failed password for root\nall good\n")
+    scored = L.score_lines(L.line_stream(spark, str(src)), AS_OF)
+    seen = []
+    q = L.on_event(scored, lambda df, epoch: seen.append(df.count()), str(tmp_path / "ck1"),
+                   trigger={"availableNow": True})
+    q.awaitTermination()
+    assert sum(seen) == 2
+    q2 = L.persist_stream(scored, str(tmp_path / "logs"), str(tmp_path / "ck2"), trigger={"availableNow": True})
+    q2.awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "logs")).collect()
+    assert [r.event_type for r in kept] == ["realtime"] and kept[0].message == "Failed password for root"
