@@ -50,17 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder; set a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only a local test session without it gets a fresh scratch folder.
+    Only a session without it (a local test) gets a fresh scratch folder, set on the
+    SparkContext (the conf key itself cannot be changed at runtime).
     """
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
-    existing = spark.sparkContext.getCheckpointDir()
+    existing = sc.getCheckpointDir()
     if existing:
         return existing
-    scratch = tempfile.mkdtemp(prefix="sparklog-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparklog-ckpt-"))
+    return sc.getCheckpointDir()

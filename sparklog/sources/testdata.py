@@ -258,7 +258,7 @@ _CACHE: dict = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     t = _CACHE.get(key)
     if t is None:
         t = _CACHE[key] = Tables(spark, sf_dir)
