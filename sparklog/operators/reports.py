@@ -56,3 +56,27 @@ def related_session(sessions: DataFrame, source_name: str, window: int = 50) ->
     done = sessions.filter(F.lower("status") == "completed").orderBy(F.desc("start_time")).limit(window)
     match = (F.lower(F.coalesce(p["log_source"], F.lit(""))) == source_name.lower()).cast("int")
     return done.withColumn("_m", match).orderBy(F.desc("_m"), F.desc("start_time")).limit(1).drop("_m")
+
+
+def recent_logs_search(logs: DataFrame, anomalies: DataFrame, q: str | None = None, limit: int = 50) -> DataFrame:
+    """Newest logs (id breaks ties), optionally searched (F04), with anomaly severity."""
+    from .filters import search_logs
+    base = search_logs(logs, q) if q else logs
+    return J.logs_with_anomalies(base, anomalies).orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+
+
+def top_anomalies(anomalies_with_logs: DataFrame, limit: int = 15) -> DataFrame:
+    """Highest-scoring anomalies (15 / 20 / 50 / 100 in the reports), id breaks ties."""
+    return anomalies_with_logs.orderBy(F.desc("anomaly_score"), F.asc("id")).limit(limit)
+
+
+def score_timeline(anomalies: DataFrame) -> DataFrame:
+    """(detected_at, score, severity) ascending; no timeline when fewer than two points."""
+    n = anomalies.agg(F.count(F.lit(1)).alias("_n"))
+    return (anomalies.join(F.broadcast(n), F.lit(True)).filter(F.col("_n") >= 2).drop("_n")
+            .orderBy("detected_at", "id"))
+
+
+def recent_critical(anomalies: DataFrame, limit: int = 10) -> DataFrame:
+    """Newest CRITICAL anomalies."""
+    return anomalies.filter(F.col("severity") == "CRITICAL").orderBy(F.desc("detected_at"), F.desc("id")).limit(limit)

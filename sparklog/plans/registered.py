@@ -19,6 +19,7 @@ from ..operators import filters as FL
 from ..operators import hub as H
 from ..operators import joins as J
 from ..operators import mitre as M
+from ..operators import reports as RP
 from ..sources.testdata import AS_OF
 from .catalog import query
 from .oracle_detect import FEATURE_SQL, KEYWORD_SQL, STAT_CHAIN_SQL, ZSCORE_SQL
@@ -638,28 +639,27 @@ SELECT l.id, l."timestamp", l.source, coalesce(a.severity, l.severity, 'LOW') AS
 FROM logs l LEFT JOIN anomalies a ON a.log_id = l.id
 WHERE contains(lower(l.message), 'user1') OR contains(lower(l.source), 'user1') OR contains(lower(l.severity), 'user1')
 ORDER BY l."timestamp" DESC, l.id DESC LIMIT 50
-""")(lambda t: J.logs_with_anomalies(FL.search_logs(t.logs, "user1"), t.anomalies)
-     .orderBy(F.desc("timestamp"), F.desc("id")).limit(50).select("id", "timestamp", "source", "severity", "message"))
+""")(lambda t: RP.recent_logs_search(t.logs, t.anomalies, "user1", 50)
+     .select("id", "timestamp", "source", "severity", "message"))
 
 query("l02_top_anomalies", f"""
 SELECT round(a.anomaly_score, 6) AS anomaly_score, a.severity, a.mitre_technique_id, a.mitre_tactic,
        l."timestamp" AS log_timestamp, l.source, l.event_id, a.id
 FROM anomalies a JOIN logs l ON a.log_id = l.id WHERE {S2_SQL}
 ORDER BY a.anomaly_score DESC, a.id ASC LIMIT 20
-""")(lambda t: J.anomalies_with_logs(J.within_session(t.anomalies, t.sessions, "s2", AS_OF), t.logs)
-     .orderBy(F.desc("anomaly_score"), F.asc("id")).limit(20)
+""")(lambda t: RP.top_anomalies(J.anomalies_with_logs(J.within_session(t.anomalies, t.sessions, "s2", AS_OF), t.logs), 20)
      .select(_r6("anomaly_score").alias("anomaly_score"), "severity", "mitre_technique_id", "mitre_tactic",
              "log_timestamp", "source", "event_id", "id"))
 
 query("l03_score_timeline", f"""
 SELECT a.detected_at, round(a.anomaly_score, 6) AS anomaly_score, a.severity, a.id FROM anomalies a WHERE {S3_SQL}
-""")(lambda t: J.within_session(t.anomalies, t.sessions, "s3", AS_OF).orderBy("detected_at", "id")
+""")(lambda t: RP.score_timeline(J.within_session(t.anomalies, t.sessions, "s3", AS_OF))
      .select("detected_at", _r6("anomaly_score").alias("anomaly_score"), "severity", "id"))
 
 query("l09_recent_critical", """
 SELECT id, detected_at, round(anomaly_score, 6) AS anomaly_score FROM anomalies WHERE severity = 'CRITICAL'
 ORDER BY detected_at DESC, id DESC LIMIT 10
-""")(lambda t: t.anomalies.filter(F.col("severity") == "CRITICAL").orderBy(F.desc("detected_at"), F.desc("id")).limit(10)
+""")(lambda t: RP.recent_critical(t.anomalies, 10)
      .select("id", "detected_at", _r6("anomaly_score").alias("anomaly_score")))
 
 # ==================================================================== 2.8 sets
