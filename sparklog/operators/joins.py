@@ -66,13 +66,15 @@ def within_session(df: DataFrame, sessions: DataFrame, session_id: str, as_of,
 
 
 def assign_sessions(df: DataFrame, sessions: DataFrame, as_of, ts_col: str = "detected_at",
-                    max_sessions: int = 100_000) -> DataFrame:
+                    max_sessions: int = 1_000) -> DataFrame:
     """J06 for all sessions at once: (row, session) pairs with start <= ts <= end.
 
     Sessions overlap only at shared bounds, so a row matches one or two sessions.
-    The session table is broadcast after a size check; beyond it the interval join
-    is bucketed by day (equi-join on day + range filter) so it never becomes a
-    nested loop over two big sides.
+    Up to ``max_sessions`` the session table is broadcast and the range predicate is
+    evaluated per (row, session) — cheap for a handful of sessions.  Beyond it the
+    interval join is bucketed by day: sessions are exploded to the days they cover
+    and equi-joined on the row's day, then range-filtered, so the work per row is the
+    number of sessions touching its day, not the number of sessions.
     """
     b = session_bounds(sessions, as_of)
     n = b.count()
@@ -122,19 +124,21 @@ def node_names(per_node: DataFrame, nodes: DataFrame, key: str = "source_node")
     return j.withColumn("node_name", F.coalesce("_host", F.substring(F.col(key), 1, 12))).drop("_nid", "_host")
 
 
-def dominant_source(anomalies: DataFrame, logs: DataFrame, sessions: DataFrame, as_of) -> DataFrame:
+def dominant_source(anomalies: DataFrame, logs: DataFrame, sessions: DataFrame, as_of=None) -> DataFrame:
     """Per session the most frequent log source among its anomalies (ties -> smallest name).
 
-    The count is a grouped aggregate keyed by (session, source); the top-1 is a
-    window partitioned by session over that small result.
+    A session without an end is open (the reference's ``? IS NULL OR ...``): its
+    bound is the latest anomaly time, which admits every row, so the session join
+    can use the bucketed interval join.  The count is keyed by (session, source);
+    the top-1 is a window partitioned by session over that small result.
     """
     a = anomalies.select("log_id", "detected_at").join(
         logs.select(F.col("id").alias("_lid"), "source"), F.col("log_id") == F.col("_lid"))
-    # open upper bound when the session has no end, as the reference's (? IS NULL OR ...) does
-    s = sessions.select("session_id", "start_time", "end_time")
-    cond = (F.col("detected_at") >= F.col("start_time")) & (
-        F.col("end_time").isNull() | (F.col("detected_at") <= F.col("end_time")))
-    counts = a.join(F.broadcast(s), cond).groupBy("session_id", "source").agg(F.count(F.lit(1)).alias("cnt"))
+    hi = anomalies.agg(F.max("detected_at")).first()[0]
+    if hi is None:
+        hi = as_of
+    paired = assign_sessions(a, sessions.select("session_id", "start_time", "end_time"), hi)
+    counts = paired.groupBy("session_id", "source").agg(F.count(F.lit(1)).alias("cnt"))
     w = W.partitionBy("session_id").orderBy(F.desc("cnt"), F.asc_nulls_last("source"))
     return (counts.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
             .select("session_id", F.col("source").alias("dominant_source"), F.col("cnt").cast("bigint").alias("dominant_count")))

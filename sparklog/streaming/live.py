@@ -109,13 +109,18 @@ class RecentBuffer:
         self.size = size
 
     def _latest(self, spark: SparkSession) -> DataFrame | None:
-        try:
-            versions = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-                .load(self.path).select(F.regexp_extract("path", r"v=(\d+)", 1).cast("long").alias("v")) \
-                .agg(F.max("v")).first()[0]
-        except Exception:  # noqa: BLE001 — nothing written yet
+        """The newest committed version folder (listed through the Hadoop file system)."""
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
             return None
-        return None if versions is None else spark.read.parquet(f"{self.path}/v={versions:012d}")
+        done = []
+        for st in fs.listStatus(root):
+            name = st.getPath().getName()
+            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                done.append(name)
+        return spark.read.parquet(f"{self.path}/{max(done)}") if done else None
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession

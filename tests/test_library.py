@@ -94,3 +94,12 @@ def test_related_session(spark, t):
     from sparklog.operators import reports as RP
     assert RP.related_session(t.sessions, "sshd").first().session_id == "s1"      # same source wins
     assert RP.related_session(t.sessions, "nginx").first().session_id == "s3"     # else the latest completed
+
+
+def test_bucketed_session_join_equals_broadcast(t):
+    from sparklog.operators import joins as J
+    from sparklog.sources.testdata import AS_OF
+    a = t.anomalies.select("id", "detected_at")
+    small = {(r.id, r.session_id) for r in J.assign_sessions(a, t.sessions, AS_OF).collect()}
+    big = {(r.id, r.session_id) for r in J.assign_sessions(a, t.sessions, AS_OF, max_sessions=0).collect()}
+    assert small == big and len(small) > 0
