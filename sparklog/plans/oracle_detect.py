@@ -55,7 +55,7 @@ FEATURE_SQL = f"""
   SELECT b.id, b.source, b.event_id, b.event_type, b.severity, b.message, b.ts AS "timestamp",
          CAST(coalesce(hour(b.ts), 12) AS DOUBLE) AS hour_of_day,
          CAST(coalesce(isodow(b.ts) - 1, 0) AS DOUBLE) AS day_of_week,
-         CASE WHEN coalesce(hour(b.ts), 12) < 6 OR coalesce(hour(b.ts), 12) > 22 THEN 1.0 ELSE 0.0 END AS after_hours,
+         CASE WHEN coalesce(hour(b.ts), 12) < 6 OR coalesce(hour(b.ts), 12) > 22 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS after_hours,
          {_case_map('b.sev', R.FEATURE_SEVERITY_LEVEL, _d(float(R.FEATURE_SEVERITY_DEFAULT)))} AS severity_level,
          CAST(sc.code AS DOUBLE) AS source_encoded,
          {_case_map('lower(b.src)', R.FEATURE_SOURCE_RISK, _d(R.FEATURE_SOURCE_RISK_DEFAULT))} AS source_risk,
@@ -64,17 +64,17 @@ FEATURE_SQL = f"""
          CAST(least(len(list_filter(string_split_regex(b.msg, '\\s+'), lambda x: x <> '')), 50) AS DOUBLE) AS word_count,
          {_max_weight('b.lmsg', R.FEATURE_RISK_KEYWORDS, '0.0')} AS keyword_risk,
          CASE WHEN {_present('b.event_id')} THEN CAST(CAST(('0x' || substr(md5(b.event_id), 1, 8)) AS BIGINT) % 10000 AS DOUBLE)
-              ELSE 0.0 END AS event_id_hash,
-         CASE WHEN {_present('b.username')} THEN 1.0 ELSE 0.0 END AS has_username,
-         CASE WHEN {_present('b.hostname')} THEN 1.0 ELSE 0.0 END AS has_hostname,
-         CASE WHEN {_present('b.process_name')} THEN 1.0 ELSE 0.0 END AS has_process,
+              ELSE 0.0::DOUBLE END AS event_id_hash,
+         CASE WHEN {_present('b.username')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_username,
+         CASE WHEN {_present('b.hostname')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_hostname,
+         CASE WHEN {_present('b.process_name')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_process,
          CASE WHEN coalesce(b.process_id, 0) <> 0 THEN CAST(((b.process_id % 1000) + 1000) % 1000 AS DOUBLE)
-              ELSE 0.0 END AS process_id_norm,
-         CASE WHEN {_any('b.lmsg', R.FAILURE_TOKENS)} THEN 1.0 ELSE 0.0 END AS has_failure_signal,
-         CASE WHEN {_any('b.lmsg', R.PRIVILEGE_TOKENS)} THEN 1.0 ELSE 0.0 END AS has_privilege_signal,
-         CASE WHEN {_any('b.lmsg', R.AUTH_TOKENS)} THEN 1.0 ELSE 0.0 END AS has_auth_signal,
-         CASE WHEN regexp_matches(b.msg, {_s(R.IP_PATTERN)}) THEN 1.0 ELSE 0.0 END AS has_ip_address,
-         CASE WHEN regexp_matches(b.lmsg, {_s(R.PORT_PATTERN)}) THEN 1.0 ELSE 0.0 END AS has_port_number
+              ELSE 0.0::DOUBLE END AS process_id_norm,
+         CASE WHEN {_any('b.lmsg', R.FAILURE_TOKENS)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_failure_signal,
+         CASE WHEN {_any('b.lmsg', R.PRIVILEGE_TOKENS)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_privilege_signal,
+         CASE WHEN {_any('b.lmsg', R.AUTH_TOKENS)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_auth_signal,
+         CASE WHEN regexp_matches(b.msg, {_s(R.IP_PATTERN)}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_ip_address,
+         CASE WHEN regexp_matches(b.lmsg, {_s(R.PORT_PATTERN)}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_port_number
   FROM feat_base b JOIN src_codes sc ON sc.src = b.src JOIN et_codes ec ON ec.et = b.et
 )
 """
