@@ -215,7 +215,7 @@ def _tree_builder(names, seed):
 
 
 def forest_fit(feats: DataFrame, names=FEATURES, n_trees: int = R.ISOLATION_TREES,
-               sample_size: int = R.ISOLATION_SAMPLE, seed: int = R.RANDOM_SEED) -> DataFrame:
+               sample_size: int = R.ISOLATION_SAMPLE, seed: int = R.RANDOM_SEED, n: int | None = None) -> DataFrame:
     """Grow ``n_trees`` isolation trees, each on its own seeded sample of min(256, n) rows.
 
     A Bernoulli pre-sample bounds the candidates (about 2 x trees x 256 rows); each
@@ -224,7 +224,7 @@ def forest_fit(feats: DataFrame, names=FEATURES, n_trees: int = R.ISOLATION_TREE
     with the table.  A tree left short by the thinning is re-drawn from all its
     candidates (checked by one small per-tree count).
     """
-    n = feats.count()
+    n = feats.count() if n is None else n
     want = min(sample_size, n)
     frac = min(1.0, 2.0 * n_trees * sample_size / max(n, 1))
     cand = feats.select("id", *names)
@@ -236,9 +236,8 @@ def forest_fit(feats: DataFrame, names=FEATURES, n_trees: int = R.ISOLATION_TREE
                 .withColumn("_u", stats.hash_uniform(F.col("id"), F.col("tree"), seed=seed + 1)))
     thinned = per_tree.filter(F.col("_u") < keep_p) if keep_p < 1.0 else per_tree
     if keep_p < 1.0:
-        short = thinned.groupBy("tree").count().filter(F.col("count") < want).count() + \
-            (n_trees - thinned.select("tree").distinct().count())
-        if short > 0:
+        per = thinned.groupBy("tree").count().collect()          # one row per tree: bounded
+        if len(per) < n_trees or min(r["count"] for r in per) < want:
             thinned = per_tree
     w = W.partitionBy("tree").orderBy("_u", "id")
     sample = thinned.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_size)
@@ -251,10 +250,10 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_siz
     """Anomaly score 2^(-E[h(x)]/c(psi)) of every row, then min-max scaled (the
     contamination offset of the reference cancels in the scaling).  Columns of
     ``feats`` pass through, so no join back on the id is needed."""
-    n_nodes = forest.count()
-    if n_nodes > max_nodes:
-        raise ValueError(f"forest has {n_nodes} nodes, above the broadcast bound {max_nodes}")
-    nodes = forest.orderBy("tree", "node").toPandas()  # bounded: checked above
+    # bounded by construction: trees x (2 x sample - 1) nodes; re-checked after collection
+    nodes = forest.orderBy("tree", "node").limit(max_nodes + 1).toPandas()
+    if len(nodes) > max_nodes:
+        raise ValueError(f"forest has more than {max_nodes} nodes, above the broadcast bound")
     trees = []
     for _, g in nodes.groupby("tree", sort=True):
         trees.append((g["feature"].to_numpy(np.int64), g["threshold"].to_numpy(np.float64),
@@ -296,10 +295,11 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_siz
 
 # ------------------------------------------------------------------ D04 one-class SVM (RFF)
 def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: int = 256,
-            max_samples: int = R.SVM_MAX_SAMPLES, seed: int = R.RANDOM_SEED, epochs: int = 30) -> dict:
+            max_samples: int = R.SVM_MAX_SAMPLES, seed: int = R.RANDOM_SEED, epochs: int = 30,
+            n: int | None = None) -> dict:
     """Standardise on the capped sample, map with random Fourier features of the RBF
     kernel (gamma = 1/d), and minimise the primal one-class objective."""
-    sample = stats.exact_sample(feats.select("id", *names), max_samples, seed=seed)
+    sample = stats.exact_sample(feats.select("id", *names), max_samples, seed=seed, n=n)
     d = len(names)
     rows = sample.toPandas()  # bounded by max_samples (D12 cap)
     x = rows[list(names)].to_numpy(dtype=np.float64)

@@ -108,14 +108,14 @@ def hash_uniform(*cols: Column, seed: int = 42) -> Column:
 
 
 def exact_sample(df: DataFrame, target: int, key: str = "id", seed: int = 42,
-                 label: str | None = None) -> DataFrame:
+                 label: str | None = None, n: int | None = None) -> DataFrame:
     """Exactly ``target`` rows (all rows when fewer), chosen by a seeded hash of ``key``.
 
     With ``label``: proportional class targets, largest remainder first.  A
     Bernoulli pre-filter keeps about 3x the target, so the final row_number runs
     over a bounded candidate set, never over the whole table.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     if n <= target:
         return df
     u = hash_uniform(F.col(key), seed=seed)

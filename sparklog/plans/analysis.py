@@ -105,7 +105,9 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
     if persist:
         # materialise once: the parameter aggregates below would otherwise race to compute it
         feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-        feats.count()
+        n_rows = feats.count()
+    else:
+        n_rows = None
     members = []
     if algorithm in ("statistical", "ensemble"):
         if model.zparams is None:
@@ -114,12 +116,12 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
         members.append("statistical")
     if algorithm in ("isolation_forest", "ensemble"):
         if model.forest is None:
-            model.forest = D.forest_fit(feats).persist(StorageLevel.MEMORY_AND_DISK)
+            model.forest = D.forest_fit(feats, n=n_rows).persist(StorageLevel.MEMORY_AND_DISK)
         feats = D.forest_score(feats, model.forest)
         members.append("isolation_forest")
     if algorithm in ("one_class_svm", "ensemble"):
         if model.svm is None:
-            model.svm = D.svm_fit(feats)
+            model.svm = D.svm_fit(feats, n=n_rows)
         feats = D.svm_score(feats, model.svm)
         members.append("one_class_svm")
     col_of = {"statistical": "stat_score", "isolation_forest": "if_score", "one_class_svm": "svm_score",
