@@ -64,6 +64,11 @@ def feature_frame(logs: DataFrame, keep=("id",), encoders: tuple[DataFrame, Data
     ``encoders`` = (source_codes, event_type_codes) from a stored model (D11);
     without them they are built from ``logs`` itself, as the reference does per run.
     """
+    return feature_frame_and_encoders(logs, keep, encoders)[0]
+
+
+def feature_frame_and_encoders(logs: DataFrame, keep=("id",), encoders=None):
+    """``feature_frame`` plus the (source, event type) code tables it used."""
     base = logs.select(
         *[F.col(k) for k in keep if k not in ("timestamp", "source", "event_type", "message", "severity")],
         F.col("timestamp").alias("_ts"),
@@ -90,6 +95,7 @@ def feature_frame(logs: DataFrame, keep=("id",), encoders: tuple[DataFrame, Data
         src_b = F.broadcast(src_codes) if small else src_codes
         et_b = F.broadcast(et_codes) if small else et_codes
     else:
+        src_codes, et_codes = encoders
         src_b, et_b = checked_broadcast(encoders[0]), checked_broadcast(encoders[1])
     base = (base.join(src_b.withColumnRenamed("value", "_src"), "_src", "left")
                 .join(et_b.withColumnRenamed("value", "_et"), "_et", "left"))
@@ -120,7 +126,8 @@ def feature_frame(logs: DataFrame, keep=("id",), encoders: tuple[DataFrame, Data
         "has_port_number": lm.rlike(R.PORT_PATTERN).cast("double"),
     }
     kept = [k for k in keep]
-    return base.select(*[F.col(k) for k in kept], *[feats[n].alias(n) for n in R.FEATURE_NAMES])
+    frame = base.select(*[F.col(k) for k in kept], *[feats[n].alias(n) for n in R.FEATURE_NAMES])
+    return frame, (src_codes, et_codes)
 
 
 def encoders_of(logs: DataFrame) -> tuple[DataFrame, DataFrame]:

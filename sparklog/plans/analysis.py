@@ -54,6 +54,9 @@ class Model:
         self.forest = forest
         self.svm = svm
 
+    PARAMS = {"n_trees": R.ISOLATION_TREES, "sample_size": R.ISOLATION_SAMPLE, "svm_max_samples": R.SVM_MAX_SAMPLES,
+              "zscore_threshold": R.ZSCORE_THRESHOLD, "seed": R.RANDOM_SEED}
+
     def save(self, path: str) -> None:
         """Parquet tables + one JSON/npz file per array model, under ``path``."""
         if self.encoders is not None:
@@ -68,7 +71,8 @@ class Model:
             row = {k: (v.tolist() if isinstance(v, np.ndarray) else v) for k, v in self.svm.items()}
             spark.createDataFrame([(json.dumps(row),)], "model string").write.mode("overwrite").json(f"{path}/svm")
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(len(R.FEATURE_NAMES), "v1")], "n_features int, version string") \
+        spark.createDataFrame([(len(R.FEATURE_NAMES), "v1", json.dumps(self.PARAMS, sort_keys=True))],
+                              "n_features int, version string, params string") \
             .write.mode("overwrite").json(f"{path}/meta")
 
     @classmethod
@@ -80,6 +84,8 @@ class Model:
             return None
         if meta is None or meta["n_features"] != n_features:
             return None
+        if "params" in meta.asDict() and meta["params"] != json.dumps(cls.PARAMS, sort_keys=True):
+            return None   # fitted with other parameters: retrain
 
         def opt(sub):
             try:
@@ -100,7 +106,7 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
                with_keywords: bool = True, persist: bool = True) -> tuple[DataFrame, dict, Model]:
     """Score every log: returns (frame with anomaly_score and prediction, info, fitted model)."""
     model = model or Model()
-    feats = FE.feature_frame(logs, keep=KEEP, encoders=model.encoders)
+    feats, model.encoders = FE.feature_frame_and_encoders(logs, keep=KEEP, encoders=model.encoders)
     feats = feats.withColumn("keyword_score", D.keyword_score_expr())
     if persist:
         # materialise once: the parameter aggregates below would otherwise race to compute it
@@ -161,8 +167,18 @@ def accepted_anomalies(scored: DataFrame, techniques: DataFrame, algorithm: str,
 
 def analyze_logs(logs: DataFrame, techniques: DataFrame, algorithm: str = "ensemble",
                  threshold: float = R.DEFAULT_ACCEPT_THRESHOLD, start=None, end=None, source: str | None = None,
-                 session_id: str = "session", as_of=None, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
-    """(anomalies, session row) of one analysis run."""
+                 session_id: str = "session", as_of=None, model: Model | None = None,
+                 model_path: str | None = None, force_retrain: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(anomalies, session row) of one analysis run.
+
+    D11: with ``model_path`` a stored model is reused unless it was fitted for
+    another feature count or other parameters, or ``force_retrain`` is set; a newly
+    fitted model is saved there.
+    """
+    spark_ = logs.sparkSession
+    if model is None and model_path and not force_retrain:
+        model = Model.load(spark_, model_path)
+    fitted_here = model is None
     from ..operators.filters import analysis_scan
     scan = analysis_scan(logs, start, end, source)
     norm = (algorithm or "").strip().lower()
@@ -170,7 +186,9 @@ def analyze_logs(logs: DataFrame, techniques: DataFrame, algorithm: str = "ensem
     n = scan.count() if norm not in SUPPORTED else None
     algo = resolve_algorithm(algorithm, n or 0)
     as_of = as_of or _dt.datetime.utcnow()
-    scored, info, _ = score_logs(scan, algo, model)
+    scored, info, fitted = score_logs(scan, algo, model)
+    if model_path and fitted_here:
+        fitted.save(model_path)
     anomalies = accepted_anomalies(scored, techniques, algo, threshold, as_of, session_id)
     params = json.dumps({"algorithm": algo, "start_time": start.isoformat() if start else None,
                          "end_time": end.isoformat() if end else None, "threshold": threshold,

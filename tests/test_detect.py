@@ -107,3 +107,20 @@ def test_model_round_trip(spark, t, tmp_path):
     loaded = AN.Model.load(spark, str(tmp_path / "m"))
     assert loaded is not None and loaded.zparams.count() == 1
     assert AN.Model.load(spark, str(tmp_path / "m"), n_features=19) is None
+
+
+def test_stored_model_is_reused_and_params_checked(spark, t, tmp_path):
+    from sparklog.sources.testdata import AS_OF
+    path = str(tmp_path / "model")
+    a1, _ = AN.analyze_logs(t.logs, t.techniques, "statistical", 0.0, as_of=AS_OF, model_path=path)
+    first = sorted((r.log_id, round(r.anomaly_score, 9)) for r in a1.collect())
+    loaded = AN.Model.load(spark, path)
+    assert loaded is not None and loaded.zparams is not None and loaded.encoders is not None
+    a2, _ = AN.analyze_logs(t.logs, t.techniques, "statistical", 0.0, as_of=AS_OF, model_path=path)
+    assert sorted((r.log_id, round(r.anomaly_score, 9)) for r in a2.collect()) == first
+    old = dict(AN.Model.PARAMS)
+    try:
+        AN.Model.PARAMS = {**old, "n_trees": 7}
+        assert AN.Model.load(spark, path) is None        # other parameters -> retrain
+    finally:
+        AN.Model.PARAMS = old
