@@ -70,10 +70,10 @@ def zscore_score(feats: DataFrame, params: DataFrame, names=FEATURES, out: str =
 # ------------------------------------------------------------------ D02 IQR
 def iqr_fit(feats: DataFrame, names=FEATURES) -> dict[str, tuple[float, float, float]]:
     """Exact (q1, q3, iqr) per feature with linear interpolation (iqr 0 -> 1e-10)."""
+    qs = stats.exact_percentiles(feats, list(names), [0.25, 0.75])
     out = {}
     for f in names:
-        q1 = stats.exact_percentile(feats, f, 0.25)
-        q3 = stats.exact_percentile(feats, f, 0.75)
+        q1, q3 = qs[f]
         iqr = q3 - q1
         out[f] = (q1, q3, iqr if iqr != 0 else R.ZERO_STD_REPLACEMENT)
     return out

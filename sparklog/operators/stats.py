@@ -79,6 +79,22 @@ def exact_percentile(df: DataFrame, col: str, p: float, direct_rows: int = DIREC
     raise RuntimeError("exact_percentile did not converge")
 
 
+def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
+                      direct_rows: int = DIRECT_ROWS) -> dict[str, list[float | None]]:
+    """Exact linear percentiles of several columns.
+
+    Below ``direct_rows`` (non-NULL values of every column) all of them come from
+    one aggregation pass; otherwise each column goes through the bracketed
+    ``exact_percentile``.
+    """
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
+    if max(counts[c] for c in cols) <= direct_rows:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(c)
+                       for c in cols]).first()
+        return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
+    return {c: [exact_percentile(df, c, p, n=counts[c]) for p in probs] for c in cols}
+
+
 def row_positions(df: DataFrame, order_cols: list[Column], pos_col: str = "pos",
                   single_task_rows: int = 1_000_000) -> DataFrame:
     """0-based position of every row in the total order ``order_cols``.
