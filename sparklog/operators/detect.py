@@ -236,6 +236,8 @@ def forest_fit(feats: DataFrame, names=FEATURES, n_trees: int = R.ISOLATION_TREE
                 .withColumn("_u", stats.hash_uniform(F.col("id"), F.col("tree"), seed=seed + 1)))
     thinned = per_tree.filter(F.col("_u") < keep_p) if keep_p < 1.0 else per_tree
     if keep_p < 1.0:
+        # about 4 x 256 rows per tree: small, kept so the check and the sample share one pass
+        thinned = thinned.persist(StorageLevel.MEMORY_AND_DISK)
         per = thinned.groupBy("tree").count().collect()          # one row per tree: bounded
         if len(per) < n_trees or min(r["count"] for r in per) < want:
             thinned = per_tree
