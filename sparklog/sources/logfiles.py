@@ -64,6 +64,22 @@ def media_files(spark: SparkSession, path: str, min_bytes: int = 100) -> DataFra
     return files.filter(cond & (F.col("length") > min_bytes))
 
 
+# FIXED VALUE: signature of a Windows event log file
+EVTX_MAGIC = b"ElfFile\x00"
+
+
+def evtx_files(spark: SparkSession, path: str) -> DataFrame:
+    """S08, EVTX branch: files named *.evtx whose first 8 bytes are the event-log signature.
+
+    (Decoding the binary chunks is out of scope — see README; exported event XML is
+    read by ``read_windows_events``.)
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", "*.[eE][vV][tT][xX]").load(path)
+    return files.filter(F.substring("content", 1, 8) == F.lit(bytearray(EVTX_MAGIC))) \
+        .select("path", "length", "modificationTime")
+
+
 def detect_formats(lines: DataFrame, explicit: str | None = None) -> DataFrame:
     """S08 + S09: per file 'evtx' | 'syslog' | 'csv' | 'text'.
 

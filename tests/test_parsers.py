@@ -189,3 +189,10 @@ def test_media_files_and_inventory(spark, tmp_path):
     logs = ds.select("dataset_id").withColumn("n", F.lit(1))
     inv = LF.dataset_inventory(files, ds, logs).collect()
     assert len(inv) == 3 and all(r.records == 1 for r in inv)
+
+
+def test_evtx_signature(spark, tmp_path):
+    (tmp_path / "a.evtx").write_bytes(b"ElfFile\x00" + b"\x00" * 100)
+    (tmp_path / "b.evtx").write_bytes(b"NotAnEvtx" + b"\x00" * 100)
+    got = [os.path.basename(r.path) for r in LF.evtx_files(spark, str(tmp_path)).collect()]
+    assert got == ["a.evtx"]
