@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
-import os
 
 import numpy as np
 from pyspark import StorageLevel

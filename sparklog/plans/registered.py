@@ -22,7 +22,6 @@ from ..operators import mitre as M
 from ..operators import reports as RP
 from ..sources.testdata import AS_OF
 from .catalog import query
-from .oracle_detect import FEATURE_SQL, KEYWORD_SQL, STAT_CHAIN_SQL, ZSCORE_SQL
 
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 S2_START, S2_END = _dt.datetime(2024, 1, 10), _dt.datetime(2024, 1, 20)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import expr as X
 from ..operators import aggregations as A

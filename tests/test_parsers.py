@@ -6,7 +6,6 @@ import datetime as dt
 import json
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from sparklog.operators import parse as P
