@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,7 +28,7 @@ EVENT_XML_SCHEMA = ("System struct<Provider: struct<_Name: string>, EventID: str
 
 
 def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = True, glob: str | None = None,
-               ignore_corrupt: bool = True) -> DataFrame:
+               ignore_corrupt: bool = True, max_broadcast_splits: int = 200_000) -> DataFrame:
     """S01 + S02: (file_path, line_number, line) of every non-blank line, stripped.
 
     ``line_number`` counts every physical line of the file from 1, blank ones too,
@@ -45,7 +46,10 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     splits = raw.groupBy("file_path", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     offs = splits.select("file_path", "_blk", "_m0", F.coalesce(F.sum("_n").over(
         W.partitionBy("file_path").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    numbered = raw.join(F.broadcast(offs), ["file_path", "_blk"])
+    # one row per file split: built anyway, so keep it, count it, and broadcast it only while small
+    offs = offs.persist(StorageLevel.MEMORY_AND_DISK)
+    small = offs.count() <= max_broadcast_splits
+    numbered = raw.join(F.broadcast(offs) if small else offs, ["file_path", "_blk"])
     line = P.strip(P.clean_utf8(F.col("_raw")))
     return (numbered.select("file_path",
                             (F.col("_o") + F.col("_mid") - F.col("_m0") + 1).cast("bigint").alias("line_number"),

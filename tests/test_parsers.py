@@ -101,6 +101,8 @@ def test_read_lines_numbers_are_exact_across_splits(spark, tmp_path):
         df = LF.read_lines(spark, str(tmp_path))
         assert df.rdd.getNumPartitions() >= 1
         rows = {r.line_number: r.line for r in df.collect()}
+        rows_join = {r.line_number: r.line for r in LF.read_lines(spark, str(tmp_path), max_broadcast_splits=0).collect()}
+        assert rows_join == rows
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     expect = {i: f"line {i}" for i in range(1, 20001) if i % 7}
@@ -195,3 +197,31 @@ def test_evtx_signature(spark, tmp_path):
     (tmp_path / "b.evtx").write_bytes(b"NotAnEvtx" + b"\x00" * 100)
     got = [os.path.basename(r.path) for r in LF.evtx_files(spark, str(tmp_path)).collect()]
     assert got == ["a.evtx"]
+
+
+def _kv_brute(line: str) -> dict:
+    """The key=value rules stated directly: keys [A-Za-z0-9_.-]+, values "..." | '...' | non-space run,
+    quotes stripped, keys lower-cased, a later key wins (dict order kept)."""
+    import re
+    out = {}
+    for k, v in re.findall(r'([A-Za-z0-9_.-]+)=(".*?"|\'.*?\'|\S+)', line):
+        out[k.lower()] = v.strip().strip('"').strip("'")
+    return out
+
+
+def test_kv_parser_against_brute_force(spark):
+    from hypothesis import given, settings, strategies as st
+    key = st.text(alphabet="abcXYZ_.-1", min_size=1, max_size=4)
+    val = st.one_of(st.text(alphabet="xyz09:/", min_size=1, max_size=5),
+                    st.text(alphabet="ab cd", min_size=0, max_size=6).map(lambda v: '"' + v + '"'))
+    pair = st.tuples(key, val).map(lambda kv: kv[0] + "=" + kv[1])
+    lines = st.lists(st.lists(pair, min_size=1, max_size=5).map(" ".join), min_size=20, max_size=20)
+
+    @settings(max_examples=5, deadline=None)
+    @given(lines)
+    def check(batch):
+        df = spark.createDataFrame([(i, l) for i, l in enumerate(batch)], "i int, line string")
+        got = {r.i: dict(r.m) for r in df.select("i", P.kv_map(F.col("line")).alias("m")).collect()}
+        for i, l in enumerate(batch):
+            assert got[i] == _kv_brute(l), l
+    check()
