@@ -93,3 +93,27 @@ FROM msg
      .select("doc_id", "line_number", "fmt",
              F.when(F.col("fmt") == "plaintext", F.col("severity")).alias("text_severity"),
              F.when(F.col("fmt") == "plaintext", F.col("message")).alias("text_message")))
+
+
+query("p16_p18_windows_event_parse", """
+SELECT id, coalesce(event_id, 'Unknown') AS event_id,
+       coalesce(CASE event_id WHEN '4624' THEN 'Account Logon' WHEN '4625' THEN 'Failed Logon'
+                 WHEN '4634' THEN 'Account Logoff' WHEN '4672' THEN 'Special Privileges Assigned'
+                 WHEN '4720' THEN 'User Account Created' WHEN '4732' THEN 'Member Added to Security Group'
+                 WHEN '4688' THEN 'Process Created' WHEN '5140' THEN 'Network Share Accessed'
+                 WHEN '7045' THEN 'Service Installed' END, 'Event-' || coalesce(event_id, 'Unknown')) AS event_type,
+       CASE severity WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'HIGH' THEN 'HIGH' WHEN 'ERROR' THEN 'HIGH'
+            WHEN 'MEDIUM' THEN 'MEDIUM' WHEN 'WARNING' THEN 'MEDIUM' ELSE 'INFO' END AS severity,
+       source, hostname, coalesce(username, 'svc') AS username, process_name, process_id, message,
+       date_trunc('second', "timestamp") AS "timestamp"
+FROM logs
+""")(lambda t: _p16(t))
+
+
+def _p16(t):
+    from ..sources.logfiles import EVENT_XML_SCHEMA
+    x = TD.render_event_xml(t.logs)
+    ev = x.select("id", F.from_xml("xml", EVENT_XML_SCHEMA, {"valueTag": "_VALUE"}).alias("e"))
+    f = ev.select("id", P.windows_event_fields(F.col("e"), AS_OF).alias("w")).select("id", "w.*")
+    return f.select("id", "event_id", "event_type", "severity", "source", "hostname", "username", "process_name",
+                    "process_id", "message", _ntz("timestamp"))

@@ -318,3 +318,30 @@ def document_lines(documents: DataFrame) -> DataFrame:
                          P.strip(F.col("raw")).alias("line"),
                          F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_name"))
             .filter(F.col("line") != ""))
+
+
+WINDOWS_LEVEL_OF = [("CRITICAL", "1"), ("HIGH", "2"), ("ERROR", "2"), ("MEDIUM", "3"), ("WARNING", "3"), ("INFO", "4")]
+
+
+def render_event_xml(logs: DataFrame) -> DataFrame:
+    """(id, xml): one exported Windows event per log (elements left out when the value is NULL)."""
+    def el(tag, c):
+        return F.when(c.isNotNull(), F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))).otherwise(F.lit(""))
+
+    def data(name, c):
+        return F.when(c.isNotNull(), F.concat(F.lit(f'<Data Name="{name}">'), c, F.lit("</Data>"))).otherwise(F.lit(""))
+    level = F.coalesce(X.lookup(WINDOWS_LEVEL_OF, F.col("severity")), F.lit("0"))
+    xml = F.concat(
+        F.lit("<Event><System>"),
+        F.concat(F.lit('<Provider Name="'), F.col("source"), F.lit('"/>')),
+        el("EventID", F.col("event_id")), el("Level", level),
+        F.concat(F.lit('<TimeCreated SystemTime="'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"/>')),
+        el("Computer", F.col("hostname")),
+        F.lit("</System><EventData>"),
+        data("SubjectUserName", F.lit("svc")), data("TargetUserName", F.col("username")),
+        data("ProcessName", F.col("process_name")),
+        data("ProcessId", F.when(F.col("process_id").isNotNull(),
+                                 F.concat(F.lit("0x"), F.lower(F.hex(F.col("process_id")))))),
+        F.lit("</EventData><RenderingInfo>"), el("Message", F.col("message")),
+        F.lit("</RenderingInfo></Event>"))
+    return logs.select("id", xml.alias("xml"))
