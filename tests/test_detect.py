@@ -124,3 +124,13 @@ def test_stored_model_is_reused_and_params_checked(spark, t, tmp_path):
         assert AN.Model.load(spark, path) is None        # other parameters -> retrain
     finally:
         AN.Model.PARAMS = old
+
+
+def test_exact_percentiles_multi_column_paths(spark):
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=2000), np.concatenate([np.zeros(900), rng.exponential(size=1100)])
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").repartition(4)
+    for direct in (10_000_000, 10):                  # one aggregation pass / bracketed per column
+        got = ST.exact_percentiles(df, ["a", "b"], [0.25, 0.75], direct_rows=direct)
+        for c, v in (("a", a), ("b", b)):
+            assert got[c] == pytest.approx([float(np.percentile(v, 25)), float(np.percentile(v, 75))], abs=1e-12)
