@@ -225,3 +225,48 @@ def test_kv_parser_against_brute_force(spark):
         for i, l in enumerate(batch):
             assert got[i] == _kv_brute(l), l
     check()
+
+
+def _syslog_brute(line: str):
+    """The syslog cascade stated with Python's re: 5424, else 3164, else priority-less BSD."""
+    import re
+    sev = {0: "CRITICAL", 1: "CRITICAL", 2: "CRITICAL", 3: "HIGH", 4: "MEDIUM", 5: "INFO", 6: "INFO", 7: "INFO"}
+    m = re.match(P.RFC5424, line)
+    if m:
+        g = m.groups()
+        return ("rfc5424", None if g[3] == "-" else g[3], "syslog" if g[4] == "-" else g[4], g[8], sev[int(g[0]) & 7])
+    m = re.match(P.RFC3164, line)
+    if m:
+        g = m.groups()
+        return ("rfc3164", g[2], g[3], g[5], sev[int(g[0]) & 7])
+    m = re.match(P.SIMPLE, line)
+    if m:
+        g = m.groups()
+        return ("simple", g[1], g[2], g[4], "INFO")
+    return None
+
+
+def test_syslog_parser_against_brute_force(spark):
+    from hypothesis import given, settings, strategies as st
+    word = st.text(alphabet="abcxyz09-_.", min_size=1, max_size=6)
+    msg = st.text(alphabet="abc XYZ:[]=-019", min_size=0, max_size=12)
+    bsd = st.tuples(st.sampled_from(["Jan", "Feb", "Mar"]), st.integers(1, 28), st.sampled_from([" ", "  "])) \
+        .map(lambda t: f"{t[0]}{t[2] if t[1] < 10 else ' '}{t[1]} 10:11:12")
+    tag = st.tuples(word, st.one_of(st.none(), st.integers(1, 999))).map(lambda t: t[0] + (f"[{t[1]}]" if t[1] else ""))
+    l3164 = st.tuples(st.integers(0, 191), bsd, word, tag, msg).map(lambda t: f"<{t[0]}>{t[1]} {t[2]} {t[3]}: {t[4]}")
+    lsimple = st.tuples(bsd, word, tag, msg).map(lambda t: f"{t[0]} {t[1]} {t[2]}: {t[3]}")
+    l5424 = st.tuples(st.integers(0, 191), word, word, st.sampled_from(["-", "12"]), word, msg) \
+        .map(lambda t: f"<{t[0]}>1 2024-01-02T03:04:05Z {t[1]} {t[2]} {t[3]} {t[4]} - {t[5]}")
+    junk = msg
+    lines = st.lists(st.one_of(l3164, lsimple, l5424, junk), min_size=25, max_size=25)
+
+    @settings(max_examples=4, deadline=None)
+    @given(lines)
+    def check(batch):
+        batch = [b for b in batch if b.strip() == b]        # the parser sees stripped lines
+        df = spark.createDataFrame([(i, l) for i, l in enumerate(batch)], "i int, line string")
+        got = {r.i: (r.fmt, r.hostname, r.source, r.message, r.severity)
+               for r in P.parse_syslog(df, AS_OF).collect()}
+        for i, l in enumerate(batch):
+            assert got.get(i) == _syslog_brute(l), l
+    check()
