@@ -140,9 +140,17 @@ def redistribute(df: DataFrame, col: str, out: str = "anomaly_score", order_key:
 
 
 def percentile_cut(df: DataFrame, col: str = "anomaly_score", p: float = R.PREDICTION_PERCENTILE,
-                   out: str = "prediction", n: int | None = None) -> tuple[DataFrame, float]:
-    """Prediction -1 when score >= the exact p-th percentile (linear), else 1."""
-    thr = stats.exact_percentile(df, col, p, n=n)
+                   out: str = "prediction", n: int | None = None, approx_accuracy: int | None = None
+                   ) -> tuple[DataFrame, float]:
+    """Prediction -1 when score >= the p-th percentile (linear, exact), else 1.
+
+    ``approx_accuracy`` switches to ``percentile_approx`` (one pass, rank error at
+    most n / accuracy) for runs where the exact cut is not required.
+    """
+    if approx_accuracy:
+        thr = df.agg(F.percentile_approx(col, F.lit(p), approx_accuracy)).first()[0]
+    else:
+        thr = stats.exact_percentile(df, col, p, n=n)
     if thr is None:
         return df.withColumn(out, F.lit(1)), float("nan")
     return df.withColumn(out, F.when(F.col(col) >= F.lit(thr), F.lit(-1)).otherwise(F.lit(1))), thr

@@ -102,7 +102,8 @@ class Model:
 
 
 def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None = None,
-               with_keywords: bool = True, persist: bool = True) -> tuple[DataFrame, dict, Model]:
+               with_keywords: bool = True, persist: bool = True,
+               approx_accuracy: int | None = None) -> tuple[DataFrame, dict, Model]:
     """Score every log: returns (frame with anomaly_score and prediction, info, fitted model)."""
     model = model or Model()
     feats, model.encoders = FE.feature_frame_and_encoders(logs, keep=KEEP, encoders=model.encoders)
@@ -143,7 +144,7 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
     if persist:
         blended = blended.persist(StorageLevel.MEMORY_AND_DISK)
     final, n = D.redistribute(blended, "combined", "anomaly_score", return_count=True)
-    scored, thr = D.percentile_cut(final, "anomaly_score", n=n)
+    scored, thr = D.percentile_cut(final, "anomaly_score", n=n, approx_accuracy=approx_accuracy)
     return scored, {"algorithm": algorithm, "percentile_threshold": thr, "members": members}, model
 
 

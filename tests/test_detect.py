@@ -134,3 +134,12 @@ def test_exact_percentiles_multi_column_paths(spark):
         got = ST.exact_percentiles(df, ["a", "b"], [0.25, 0.75], direct_rows=direct)
         for c, v in (("a", a), ("b", b)):
             assert got[c] == pytest.approx([float(np.percentile(v, 25)), float(np.percentile(v, 75))], abs=1e-12)
+
+
+def test_approximate_percentile_option(t):
+    exact, info_e, _ = AN.score_logs(t.logs, "statistical")
+    approx, info_a, _ = AN.score_logs(t.logs, "statistical", approx_accuracy=10_000)
+    s = np.sort(np.array([r.anomaly_score for r in exact.select("anomaly_score").collect()]))
+    v, target, err = info_a["percentile_threshold"], 0.85 * (len(s) - 1), len(s) / 10_000 + 1
+    lo, hi = np.searchsorted(s, v, "left"), np.searchsorted(s, v, "right") - 1   # the value's tie range
+    assert lo - err <= target <= hi + err
