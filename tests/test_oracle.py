@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from sparklog.plans.catalog import load_all
 from tests.oracle_check import compare, duck
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = {k: v for k, v in E.queries().items() if k in load_all()[0]}
+ORACLES = load_all()[1]
 
 
 @pytest.fixture(scope="module")
