@@ -26,8 +26,10 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _SIGNALS = [*_COUNTS, "n_lines", "n_upper", "n_exclaim"]
 WINDOW = 5
 ITERATIONS = 50
-#: Starting point of the estimate: share of good documents; P(vote good | good); P(vote bad | bad).
-START_PRIOR, START_GOOD, START_BAD = 0.9, 0.95, 0.6
+#: Starting point of the estimate: share of good documents; P(vote | good) and P(vote | bad).
+START_PRIOR = 0.9
+START_GOOD = {-1: 0.02, 0: 0.5, 1: 0.48}
+START_BAD = {-1: 0.5, 0: 0.35, 1: 0.15}
 #: Pseudo-counts that keep every estimate strictly inside (0, 1).
 SMOOTH = 1.0
 
@@ -83,11 +85,13 @@ def rules(q) -> dict[str, tuple[Column, Column]]:
     return {
         "length": (q["n_words"] >= 20, q["n_words"] < 10),
         "word_length": (q["word_chars"].between(3 * words, 10 * words), ~q["word_chars"].between(2 * words, 16 * words)),
-        "symbols": (20 * q["n_symbols"] <= words, 4 * q["n_symbols"] > words),
-        "dup_lines": (20 * q["n_dup_lines"] <= lines, 4 * q["n_dup_lines"] > lines),
-        "repeats": (20 * q["n_repeat_words"] <= words, 5 * q["n_repeat_words"] > words),
-        "capitals": (4 * q["n_upper"] <= q["word_chars"], 2 * q["n_upper"] > q["word_chars"]),
-        "exclaims": (20 * q["n_exclaim"] <= words, 4 * q["n_exclaim"] > words),
+        "symbols_per_word": (F.lit(False), 4 * q["n_symbols"] > words),
+        "symbols_per_char": (F.lit(False), 20 * q["n_symbols"] > q["word_chars"]),
+        "plain_share": (F.lit(False), 15 * (q["n_symbols"] + q["n_exclaim"]) > q["word_chars"]),
+        "dup_lines": (F.lit(False), 4 * q["n_dup_lines"] > lines),
+        "repeats": (F.lit(False), 5 * q["n_repeat_words"] > words),
+        "capitals": (F.lit(False), 2 * q["n_upper"] > q["word_chars"]),
+        "exclaims": (F.lit(False), 4 * q["n_exclaim"] > words),
     }
 
 
@@ -95,36 +99,37 @@ def _votes(q) -> dict[str, Column]:
     return {k: F.when(bad, -1).when(good, 1).otherwise(0) for k, (good, bad) in rules(q).items()}
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[float], list[float]]:
-    """EM over (votes, count) patterns: share of good, P(+1 | good, voted), P(-1 | bad, voted) per rule."""
-    prior, good, bad = START_PRIOR, [START_GOOD] * n_rules, [START_BAD] * n_rules
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[dict], list[dict]]:
+    """EM over (votes, count) patterns: share of good documents, and per rule P(vote | good), P(vote | bad).
+
+    A rule is never taken to vote bad more often on good documents than on bad ones (nor good more
+    often on bad ones), which fixes which of the two classes is "good".
+    """
+    prior, good, bad = START_PRIOR, [dict(START_GOOD) for _ in range(n_rules)], [dict(START_BAD) for _ in range(n_rules)]
+    total = sum(count for _, count in patterns)
     for _ in range(ITERATIONS):
-        mass = [SMOOTH * START_PRIOR, SMOOTH * (1 - START_PRIOR)]
-        hit = [[SMOOTH * START_GOOD, SMOOTH * START_BAD] for _ in range(n_rules)]
-        seen = [[SMOOTH, SMOOTH] for _ in range(n_rules)]
+        mass = 0.0
+        seen = [[{v: SMOOTH * p for v, p in start.items()} for start in (START_GOOD, START_BAD)] for _ in range(n_rules)]
         for votes, count in patterns:
-            odds = math.log(prior / (1 - prior))
-            for v, a, b in zip(votes, good, bad):
-                if v:
-                    odds += math.log(a / (1 - b)) if v > 0 else math.log((1 - a) / b)
+            odds = math.log(prior / (1 - prior)) + sum(math.log(a[v] / b[v]) for v, a, b in zip(votes, good, bad))
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            for y, share in ((0, p * count), (1, (1 - p) * count)):
-                mass[y] += share
-                for r, v in enumerate(votes):
-                    if v:
-                        seen[r][y] += share
-                        hit[r][y] += share * (v == (1, -1)[y])
-        prior = min(max(mass[0] / sum(mass), 1e-6), 1 - 1e-6)
-        # a rule is taken to be no worse than chance on good documents, which fixes which class is "good"
-        good = [min(max(hit[r][0] / seen[r][0], 0.5), 1 - 1e-6) for r in range(n_rules)]
-        bad = [min(max(hit[r][1] / seen[r][1], 1e-6), 1 - 1e-6) for r in range(n_rules)]
+            mass += p * count
+            for r, v in enumerate(votes):
+                seen[r][0][v] += p * count
+                seen[r][1][v] += (1 - p) * count
+        prior = (SMOOTH * START_PRIOR + mass) / (SMOOTH + total)
+        for r in range(n_rules):
+            good[r], bad[r] = ({v: n / sum(y.values()) for v, n in y.items()} for y in seen[r])
+            for v, low, high in ((-1, good[r], bad[r]), (1, bad[r], good[r])):
+                low[v] = min(low[v], high[v])
     return prior, good, bad
 
 
-def _posterior(votes: dict[str, Column], prior: float, good: list[float], bad: list[float]) -> Column:
+def _posterior(votes: dict[str, Column], prior: float, good: list[dict], bad: list[dict]) -> Column:
     odds = F.lit(math.log(prior / (1 - prior)))
-    for v, a, b in zip(votes.values(), good, bad):
-        odds = odds + F.when(v > 0, math.log(a / (1 - b))).when(v < 0, math.log((1 - a) / b)).otherwise(0.0)
+    for vote, a, b in zip(votes.values(), good, bad):
+        w = {v: math.log(a[v] / b[v]) for v in a}
+        odds = odds + F.when(vote < 0, w[-1]).when(vote > 0, w[1]).otherwise(w[0])
     return 1 / (1 + F.exp(-odds))
 
 

@@ -55,7 +55,8 @@ def test_estimate_recovers_planted_accuracies():
         counts[votes] = counts.get(votes, 0) + 1
     prior, g, b = quality.estimate(sorted(counts.items()), 4)
     assert abs(prior - 0.85) < 0.03
-    assert all(abs(x - y) < 0.05 for x, y in zip(g, good)) and all(abs(x - y) < 0.08 for x, y in zip(b, bad))
+    assert all(abs(x[1] / (x[1] + x[-1]) - y) < 0.05 for x, y in zip(g, good))
+    assert all(abs(x[-1] / (x[1] + x[-1]) - y) < 0.08 for x, y in zip(b, bad))
 
 
 def test_labels_agree(spark):
