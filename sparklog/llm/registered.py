@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from . import chat, urls
+from .chat import op2_chat_format
 from .quality import op10_quality_rules
+from .urls import op9_url_filter
 
 QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_chat_format": chat.ORACLE,
+    "op9_url_filter": urls.ORACLE,
+}
