@@ -5,10 +5,12 @@ from __future__ import annotations
 from . import chat, urls
 from .chat import op2_chat_format
 from .quality import op10_quality_rules
+from .tokens import op4_token_files
 from .urls import op9_url_filter
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op4_token_files": op4_token_files,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
