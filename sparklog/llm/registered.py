@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import chat, urls
 from .chat import op2_chat_format
+from .packing import op6_best_fit_packing
 from .quality import op10_quality_rules
 from .tokens import op4_token_files
 from .urls import op9_url_filter
@@ -11,6 +12,7 @@ from .urls import op9_url_filter
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op4_token_files": op4_token_files,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
