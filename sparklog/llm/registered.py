@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, urls
+from . import chat, decontaminate, urls
 from .chat import op2_chat_format
+from .decontaminate import op3_decontaminate
 from .packing import op6_best_fit_packing
 from .quality import op10_quality_rules
 from .tokens import op4_token_files
@@ -11,6 +12,7 @@ from .urls import op9_url_filter
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_url_filter": op9_url_filter,
@@ -18,5 +20,6 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.ORACLE,
+    "op3_decontaminate": decontaminate.ORACLE,
     "op9_url_filter": urls.ORACLE,
 }
