@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import chat, decontaminate, urls
 from .chat import op2_chat_format
 from .decontaminate import op3_decontaminate
+from .neardup import op1_near_duplicates
 from .packing import op6_best_fit_packing
 from .quality import op10_quality_rules
 from .tokens import op4_token_files
 from .urls import op9_url_filter
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
