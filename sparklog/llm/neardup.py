@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, LOWER, NON_SPACE, Words, mix, signed, small_batches, table, text_chunks, written
+from .common import _ODD, LOWER, NON_SPACE, Words, mix, packed, signed, small_batches, table, text_chunks, written
 
 SHINGLE = 5
 #: Linked when 100 * intersection >= SHARE * union.
@@ -130,13 +130,6 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of ``pairs(a, b, afa, bfa)`` (document ids and set fingerprints) the linked ones, on the full sets: (a, b)."""
     small_batches(docs.sparkSession)
 
-    def pack(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([press.compress((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "packed"])
-
     def one(text: bytes) -> tuple[np.ndarray, int]:
         data = np.frombuffer(text, np.uint8)
         sets, at = shingle_sets(data, np.array([0, len(data)]))
@@ -145,12 +138,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def compare(batches):
         spread, seen = zstandard.ZstdDecompressor(), {}
 
-        def get(packed: bytes):
-            if packed not in seen:
+        def get(blob: bytes):
+            if blob not in seen:
                 if len(seen) >= 64:
                     seen.clear()
-                seen[packed] = one(spread.decompress(packed))
-            return seen[packed]
+                seen[blob] = one(spread.decompress(blob))
+            return seen[blob]
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(6)]
@@ -163,7 +156,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    texts = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(pack, "doc_id long, packed binary")
+    texts = packed(docs.select("doc_id", "text").where("doc_id is not null")).withColumnRenamed("text", "packed")
     joined = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta")), "a")
               .join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b"))
     return joined.select("a", "b", "afa", "bfa", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, urls
+from . import chat, decontaminate, substrings, urls
 from .chat import op2_chat_format
 from .decontaminate import op3_decontaminate
 from .neardup import op1_near_duplicates
 from .packing import op6_best_fit_packing
 from .quality import op10_quality_rules
+from .substrings import op8_substring_dedup
 from .tokens import op4_token_files
 from .urls import op9_url_filter
 
@@ -17,11 +18,13 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
     "op9_url_filter": urls.ORACLE,
 }
