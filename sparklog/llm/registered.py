@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import chat, decontaminate, substrings, urls
 from .chat import op2_chat_format
 from .decontaminate import op3_decontaminate
+from .extract import op5_main_text
 from .licenses import op7_license_scan
 from .neardup import op1_near_duplicates
 from .packing import op6_best_fit_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
+    "op5_main_text": op5_main_text,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_license_scan": op7_license_scan,
     "op8_substring_dedup": op8_substring_dedup,
