@@ -6,6 +6,7 @@ whole-stage codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -18,6 +19,16 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ntz(t: _dt.datetime | None) -> Column:
+    """A naive datetime as a timestamp_ntz literal (no detour over the host's time zone)."""
+    return F.lit(None if t is None else t.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def instant(t: _dt.datetime | None) -> Column:
+    """A naive datetime, read in the session's time zone (UTC), as a timestamp literal."""
+    return F.lit(None if t is None else t.isoformat(sep=" ")).cast("timestamp")
+
+
 def lit_map(pairs: Sequence[tuple]) -> Column:
     """Literal ``map`` from ordered (key, value) pairs; a later duplicate key wins."""
     merged: dict = {}

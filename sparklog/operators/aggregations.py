@@ -101,10 +101,10 @@ def timeline_24h(anomalies: DataFrame, as_of: _dt.datetime, hours: int = 24, ste
     n_buckets = hours // step
     spine = spark.range(n_buckets).select(
         F.col("id").cast("int").alias("bucket"),
-        (F.lit(start) + F.make_dt_interval(hours=(F.col("id") * step).cast("int"))).alias("bucket_start"))
+        (X.ntz(start) + F.make_dt_interval(hours=(F.col("id") * step).cast("int"))).alias("bucket_start"))
     secs = (F.unix_timestamp(F.col("detected_at").cast("timestamp")) -
-            F.unix_timestamp(F.lit(start).cast("timestamp")))
-    hit = (anomalies.filter(F.col("detected_at").isNotNull() & (F.col("detected_at") >= F.lit(start)))
+            F.unix_timestamp(X.instant(start)))
+    hit = (anomalies.filter(F.col("detected_at").isNotNull() & (F.col("detected_at") >= X.ntz(start)))
            .select(F.floor(secs / (step * 3600)).cast("int").alias("bucket"),
                    (F.upper(F.coalesce("severity", F.lit(""))) == "CRITICAL").alias("crit"))
            .filter(F.col("bucket") < n_buckets)
@@ -261,10 +261,10 @@ def dataset_severity(logs: DataFrame) -> DataFrame:
     return g.crossJoin(total).orderBy(F.desc("count"), "severity")
 
 
-def dataset_risk(logs: DataFrame, high_risk: DataFrame, cap: int = 500) -> DataFrame:
-    """Threat score and confidence from the high-risk count (capped as the reference's list is)."""
+def dataset_risk(logs: DataFrame, high_risk: DataFrame) -> DataFrame:
+    """Threat score and confidence from the count of all high-risk logs."""
     n = logs.agg(_n().alias("total"))
-    hr = high_risk.agg(F.least(_n(), F.lit(cap)).cast("bigint").alias("high_risk"))
+    hr = high_risk.agg(_n().cast("bigint").alias("high_risk"))
     j = n.crossJoin(hr)
     return j.select(
         "total", "high_risk",

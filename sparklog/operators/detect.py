@@ -150,7 +150,7 @@ def percentile_cut(df: DataFrame, col: str = "anomaly_score", p: float = R.PREDI
     if approx_accuracy:
         thr = df.agg(F.percentile_approx(col, F.lit(p), approx_accuracy)).first()[0]
     else:
-        thr = stats.exact_percentile(df, col, p, n=n)
+        thr = stats.exact_percentile(df, col, p)
     if thr is None:
         return df.withColumn(out, F.lit(1)), float("nan")
     return df.withColumn(out, F.when(F.col(col) >= F.lit(thr), F.lit(-1)).otherwise(F.lit(1))), thr

@@ -12,35 +12,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import expr as X
 from ..functions import rules as R
-from .joins import checked_broadcast
+from . import stats
 
-ENCODER_WINDOW_ROWS = 1_000_000
 
-
-def ordinal_encoding(values: DataFrame, value_col: str, code_col: str = "code",
-                     max_single_task: int = ENCODER_WINDOW_ROWS, known_small: bool | None = None) -> DataFrame:
-    """(value, 0-based index of value in the sorted distinct set).
-
-    Small sets are ranked with ``row_number`` in one task (bounded by
-    ``max_single_task``); larger sets are range-partitioned by a global sort and
-    numbered with per-partition offsets, so no task ever holds the whole set.
-    """
+def ordinal_encoding(values: DataFrame, value_col: str, code_col: str = "code") -> DataFrame:
+    """(value, 0-based index of value in the sorted distinct set), numbered range by range."""
     d = values.select(F.col(value_col).alias("value")).distinct()
-    small = known_small if known_small is not None else d.count() <= max_single_task
-    if small:
-        return d.select("value", (F.row_number().over(W.orderBy("value")) - 1).cast("bigint").alias(code_col))
-    srt = d.repartitionByRange("value").sortWithinPartitions("value") \
-        .withColumn("_p", F.spark_partition_id()) \
-        .withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy("value")) - 1)
-    srt = srt.checkpoint()
-    sizes = srt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))).alias("_o"))
-    return (srt.join(F.broadcast(offs), "_p")
-            .select("value", (F.coalesce("_o", F.lit(0)) + F.col("_i")).cast("bigint").alias(code_col)))
+    return stats.row_positions(d, [F.col("value")], code_col).select("value", code_col)
 
 
 def _unknown_if_blank(c: str) -> Column:
@@ -86,19 +67,10 @@ def feature_frame_and_encoders(logs: DataFrame, keep=("id",), encoders=None):
         *[F.col(k) for k in keep if k in ("timestamp", "source", "event_type", "message", "severity")],
     )
     if encoders is None:
-        # one cheap pass sizes both distinct sets (HLL, map-side); the margin covers its error
-        est = base.agg(F.approx_count_distinct("_src", 0.02).alias("s"),
-                       F.approx_count_distinct("_et", 0.02).alias("e")).first()
-        small = max(est["s"], est["e"]) <= ENCODER_WINDOW_ROWS // 2
-        src_codes = ordinal_encoding(base, "_src", "source_encoded", known_small=small)
-        et_codes = ordinal_encoding(base, "_et", "event_type_encoded", known_small=small)
-        src_b = F.broadcast(src_codes) if small else src_codes
-        et_b = F.broadcast(et_codes) if small else et_codes
-    else:
-        src_codes, et_codes = encoders
-        src_b, et_b = checked_broadcast(encoders[0]), checked_broadcast(encoders[1])
-    base = (base.join(src_b.withColumnRenamed("value", "_src"), "_src", "left")
-                .join(et_b.withColumnRenamed("value", "_et"), "_et", "left"))
+        encoders = (ordinal_encoding(base, "_src", "source_encoded"), ordinal_encoding(base, "_et", "event_type_encoded"))
+    src_codes, et_codes = encoders
+    base = (base.join(src_codes.withColumnRenamed("value", "_src"), "_src", "left")
+                .join(et_codes.withColumnRenamed("value", "_et"), "_et", "left"))
 
     hour = F.coalesce(F.hour("_ts"), F.lit(12)).cast("double")
     lm = F.col("_lmsg")

@@ -1,9 +1,9 @@
 """Filters, predicates and projections.
 
 Predicates are plain column expressions so Catalyst pushes the comparable ones into
-the Parquet scan (time range, source equality, IN lists); the "latest source" and
-"fallback when empty" rules are one-row aggregates joined back with a broadcast
-(one row: a proven size bound), never a driver round trip.
+the Parquet scan (time range, source equality, IN lists).  The "latest source" and
+"fallback when empty" rules are decided by one value or one row before the plan is
+built, so the scan itself filters on a literal.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ def time_window(df: DataFrame, start: datetime | None = None, end: datetime | No
                 ts_col: str = "timestamp") -> DataFrame:
     """Inclusive [start, end] on a timestamp column (either bound optional)."""
     if start is not None:
-        df = df.filter(F.col(ts_col) >= F.lit(start))
+        df = df.filter(F.col(ts_col) >= X.ntz(start))
     if end is not None:
-        df = df.filter(F.col(ts_col) <= F.lit(end))
+        df = df.filter(F.col(ts_col) <= X.ntz(end))
     return df
 
 
@@ -44,15 +44,12 @@ def analysis_scan(logs: DataFrame, start: datetime | None = None, end: datetime
     if not norm or norm == "all":
         out = base
     elif norm == "latest":
-        latest = logs.agg(F.max_by("source", F.struct("ingestion_time", "id")).alias("_latest"))
-        out = (base.join(F.broadcast(latest), F.lit(True), "inner")
-               .filter(F.col("_latest").isNull() | (F.col("source") == F.col("_latest")))
-               .drop("_latest"))
+        # one value decides; as a literal it reaches the scan
+        latest = logs.agg(F.max_by("source", F.struct("ingestion_time", "id"))).first()[0]
+        out = base if latest is None else base.filter(F.col("source") == F.lit(latest))
     else:
-        has = base.agg(F.max((F.col("source") == F.lit(source)).cast("int")).alias("_has"))
-        out = (base.join(F.broadcast(has), F.lit(True), "inner")
-               .filter(F.coalesce(F.col("_has"), F.lit(0)).eqNullSafe(0) | (F.col("source") == F.lit(source)))
-               .drop("_has"))
+        named = base.filter(F.col("source") == F.lit(source))
+        out = base if named.limit(1).isEmpty() else named
     return out.select(*ANALYSIS_COLUMNS)
 
 
@@ -140,9 +137,9 @@ def retention_split(logs: DataFrame, start: datetime | None = None, end: datetim
     """
     conds = []
     if start is not None:
-        conds.append(F.col("timestamp") >= F.lit(start))
+        conds.append(F.col("timestamp") >= X.ntz(start))
     if end is not None:
-        conds.append(F.col("timestamp") <= F.lit(end))
+        conds.append(F.col("timestamp") <= X.ntz(end))
     if source is not None:
         conds.append(F.col("source") == F.lit(source))
     pred = F.lit(True)
@@ -155,34 +152,39 @@ def retention_split(logs: DataFrame, start: datetime | None = None, end: datetim
 
 _WRITE_WORDS = ["INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE", "REPLACE",
                 "MERGE", "GRANT", "REVOKE", "COPY", "EXPORT", "IMPORT", "INSTALL", "PRAGMA", "SET", "CALL"]
-_BLOCKED = ["ATTACH", "DETACH", "LOAD_EXTENSION"]
+_BLOCKED = ["ATTACH", "DETACH", "LOAD_EXTENSION", "REFLECT", "TRY_REFLECT", "JAVA_METHOD"]
+_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"")
+_FILE_RELATION = re.compile(r"\b(?:parquet|csv|json|orc|text|avro|xml|binaryfile|delta)\s*\.\s*`", re.I)
 
 
 def validate_select(q: str) -> str:
-    """F15 guard: one read-only SELECT statement without comments; returns the stripped text."""
+    """F15 guard: one read-only SELECT over views, without comments; returns the stripped text.
+
+    Words are looked for outside string literals; functions that call into the JVM and
+    relations that name files (``parquet.`/path` ``) are refused.
+    """
     text = (q or "").strip()
     if not text:
         raise ValueError("empty query")
-    upper = text.upper()
-    if not upper.startswith("SELECT"):
+    if not text.upper().startswith("SELECT"):
         raise ValueError("only SELECT queries are allowed")
-    if "--" in text or "/*" in text:
+    bare = _LITERAL.sub("''", text)
+    if "--" in bare or "/*" in bare:
         raise ValueError("comments are not allowed")
     for w in _WRITE_WORDS + _BLOCKED:
-        if re.search(rf"\b{w}\b", upper):
+        if re.search(rf"\b{w}\b", bare.upper()):
             raise ValueError(f"keyword not allowed: {w}")
-    if ";" in text.rstrip(";"):
+    if _FILE_RELATION.search(bare):
+        raise ValueError("files can't be queried by path")
+    if ";" in bare.rstrip(";"):
         raise ValueError("one statement only")
     return text.rstrip(";").strip()
 
 
-def guarded_sql(spark: SparkSession, q: str, limit: int = 1000) -> DataFrame:
-    """validated ad-hoc SELECT over the registered temp views, limited when it has no LIMIT."""
-    text = validate_select(q)
-    df = spark.sql(text)
-    if "LIMIT" not in text.upper():
-        df = df.limit(limit)
-    return df
+def guarded_sql(spark: SparkSession, q: str, limit: int | None = 1000) -> DataFrame:
+    """validated ad-hoc SELECT over the registered temp views, with at most ``limit`` rows (None: all)."""
+    df = spark.sql(validate_select(q))
+    return df if limit is None else df.limit(limit)
 
 
 def default_score(df: DataFrame) -> Column:

@@ -45,43 +45,35 @@ def logs_with_anomalies(logs: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 def session_bounds(sessions: DataFrame, as_of) -> DataFrame:
     """Sessions as closed intervals [start_time, coalesce(end_time, as_of)]."""
-    return sessions.select("session_id", "start_time",
-                           F.coalesce("end_time", F.lit(as_of)).alias("end_bound"))
+    return sessions.select("session_id", "start_time", F.coalesce("end_time", X.ntz(as_of)).alias("end_bound"))
 
 
 def within_session(df: DataFrame, sessions: DataFrame, session_id: str, as_of,
                    ts_col: str = "detected_at", open_ended: bool = False) -> DataFrame:
     """Rows whose ``ts_col`` falls in the session's interval.
 
-    The session is one row (filtered by id) — broadcast, then a range predicate;
-    ``open_ended`` is the lower-bound-only variant (later rows leak in, as in the
-    reference's results listing).
+    The session's two bounds are looked up first and compared as literals, so the range
+    reaches the scan.  ``open_ended`` is the lower-bound-only variant (later rows leak in,
+    as in the reference's results listing).  An unknown session has no rows.
     """
-    s = session_bounds(sessions.filter(F.col("session_id") == session_id), as_of)
-    s = F.broadcast(s.select(F.col("start_time").alias("_s"), F.col("end_bound").alias("_e")))
-    cond = F.col(ts_col) >= F.col("_s")
-    if not open_ended:
-        cond = cond & (F.col(ts_col) <= F.col("_e"))
-    return df.join(s, cond, "inner").drop("_s", "_e")
+    s = session_bounds(sessions.filter(F.col("session_id") == session_id), as_of).agg(
+        F.min("start_time").alias("s"), F.max("end_bound").alias("e")).first()
+    if s["s"] is None:
+        return df.filter(F.lit(False))
+    cond = F.col(ts_col) >= X.ntz(s["s"])
+    return df.filter(cond if open_ended else cond & (F.col(ts_col) <= X.ntz(s["e"])))
 
 
-def assign_sessions(df: DataFrame, sessions: DataFrame, as_of, ts_col: str = "detected_at",
-                    max_sessions: int = 1_000) -> DataFrame:
+def assign_sessions(df: DataFrame, sessions: DataFrame, as_of, ts_col: str = "detected_at") -> DataFrame:
     """J06 for all sessions at once: (row, session) pairs with start <= ts <= end.
 
-    Sessions overlap only at shared bounds, so a row matches one or two sessions.
-    Up to ``max_sessions`` the session table is broadcast and the range predicate is
-    evaluated per (row, session) — cheap for a handful of sessions.  Beyond it the
-    interval join is bucketed by day: sessions are exploded to the days they cover
-    and equi-joined on the row's day, then range-filtered, so the work per row is the
-    number of sessions touching its day, not the number of sessions.
+    The interval join is bucketed by day: sessions are exploded to the days they cover and
+    equi-joined on the row's day, then range-filtered, so the work per row is the number
+    of sessions touching its day, not the number of sessions.
     """
     b = session_bounds(sessions, as_of)
-    n = b.count()
-    cond = (F.col(ts_col) >= F.col("start_time")) & (F.col(ts_col) <= F.col("end_bound"))
-    if n <= max_sessions:
-        return df.join(F.broadcast(b), cond, "inner")
     days = b.withColumn("_day", F.explode(F.sequence(F.to_date("start_time"), F.to_date("end_bound"))))
+    cond = (F.col(ts_col) >= F.col("start_time")) & (F.col(ts_col) <= F.col("end_bound"))
     return (df.withColumn("_day", F.to_date(F.col(ts_col)))
             .join(days, ["_day"], "inner").filter(cond).drop("_day"))
 

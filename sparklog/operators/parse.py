@@ -60,7 +60,7 @@ def bsd_time(text: Column, as_of: _dt.datetime) -> Column:
     """P07: 'Mon dd HH:MM:SS' in the year of ``as_of``; unparsable -> as_of."""
     collapsed = F.regexp_replace(text, r"\s+", " ")
     ts = F.try_to_timestamp(F.concat(collapsed, F.lit(f" {as_of.year}")), F.lit("MMM d HH:mm:ss yyyy"))
-    return F.coalesce(ts, F.lit(as_of).cast("timestamp"))
+    return F.coalesce(ts, X.instant(as_of))
 
 
 def iso_time(text: Column) -> Column:
@@ -113,7 +113,7 @@ def parse_syslog(lines: DataFrame, as_of: _dt.datetime, line_col: str = "line")
     tag = F.when(k3, _gi("_a3", 4)).otherwise(_gi("_as", 3))
     out = g.select(
         *keep,
-        F.when(k5, F.coalesce(iso_time(_gi("_a5", 3)), F.lit(as_of).cast("timestamp")))
+        F.when(k5, F.coalesce(iso_time(_gi("_a5", 3)), X.instant(as_of)))
          .otherwise(bsd_time(bsd, as_of)).alias("timestamp"),
         F.when(k5, F.when(_gi("_a5", 5) == "-", F.lit("syslog")).otherwise(_gi("_a5", 5))).otherwise(tag).alias("source"),
         F.when(k5, dash_null(_gi("_a5", 7))).alias("event_id"),
@@ -164,8 +164,8 @@ def flexible_time(value: str | Column, as_of: _dt.datetime) -> Column:
         F.try_to_timestamp(raw, F.lit("yyyy-MM-dd HH:mm:ss")),
         bsd,
     )
-    return F.when(raw.isNull() | (raw == ""), F.lit(as_of).cast("timestamp")) \
-        .otherwise(F.coalesce(parsed, F.lit(as_of).cast("timestamp")))
+    return F.when(raw.isNull() | (raw == ""), X.instant(as_of)) \
+        .otherwise(F.coalesce(parsed, X.instant(as_of)))
 
 
 def lower_keys(m: Column) -> Column:
@@ -188,9 +188,9 @@ def fallback_message(m: Column) -> Column:
 
 
 def json_map(line: Column) -> Column:
-    """The line as a JSON object (values as text), NULL unless it is '{...}' and parses."""
+    """The line as a JSON object (values as text), NULL unless it is '{...}', parses and has a key."""
     obj = F.from_json(line, "map<string,string>", {"mode": "PERMISSIVE"})
-    return F.when(line.startswith("{") & line.endswith("}"), obj)
+    return F.when(line.startswith("{") & line.endswith("}") & (F.size(obj) > 0), obj)
 
 
 def kv_map(line: Column) -> Column:
@@ -247,8 +247,8 @@ def parse_plaintext(lines: DataFrame, as_of: _dt.datetime, line_col: str = "line
     is_text = F.col("_fmt") == "plaintext"
     c = c.withColumn("_msg", F.when(is_text, text_msg).otherwise(F.coalesce("_m1", "_m2")))
     text_ts = F.when(F.col("_iso").isNotNull(),
-                     F.coalesce(iso_time(F.col("_iso").getItem(0)), F.lit(as_of).cast("timestamp"))) \
-        .otherwise(F.lit(as_of).cast("timestamp"))
+                     F.coalesce(iso_time(F.col("_iso").getItem(0)), X.instant(as_of))) \
+        .otherwise(X.instant(as_of))
     rec_ts = flexible_time(F.col("_t"), as_of)
     if keep_leading_ts:
         lead = F.when(F.col("_line").rlike(ISO_LINE), iso_time(F.regexp_extract(F.col("_line"), ISO_LINE, 1)))
@@ -279,8 +279,12 @@ def parse_records(records: DataFrame, as_of: _dt.datetime, fmt: str = "csv", sou
     cols = [c for c in records.columns if c not in keep]
     k = [c for c in keep if c in records.columns]
     m = F.from_json(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in cols])), "map<string,string>")
-    st = (records.select(*k, F.lit(source_name).alias("_src"), F.to_json(F.struct(*cols)).alias("_raw"),
-                         lower_keys(m).alias("_rec"))
+    return parse_maps(records.select(*k, F.lit(source_name).alias("_src"), m.alias("_map")), as_of, fmt, k)
+
+
+def parse_maps(records: DataFrame, as_of: _dt.datetime, fmt: str, k: list[str]) -> DataFrame:
+    """S03 + P11: rows (kept columns ``k``, _src, _map of column name -> text) -> log fields."""
+    st = (records.select(*k, "_src", F.to_json("_map").alias("_raw"), lower_keys(F.col("_map")).alias("_rec"))
           .select(*k, "_src", "_raw", *_record_picks(F.col("_rec")))
           .withColumn("_msg", F.coalesce("_m1", "_m2")))
     out = st.select(
@@ -330,7 +334,7 @@ def windows_event_fields(event: Column, as_of: _dt.datetime) -> Column:
         .otherwise(pid_txt.try_cast("bigint"))
     msg = event["RenderingInfo"]["Message"]
     return F.struct(
-        F.coalesce(iso_time(system["TimeCreated"]["_SystemTime"]), F.lit(as_of).cast("timestamp")).alias("timestamp"),
+        F.coalesce(iso_time(system["TimeCreated"]["_SystemTime"]), X.instant(as_of)).alias("timestamp"),
         F.coalesce(system["Provider"]["_Name"], F.lit("Unknown")).alias("source"),
         F.coalesce(eid, F.lit("Unknown")).alias("event_id"),
         F.coalesce(X.lookup(R.WINDOWS_EVENT_TYPES, eid), F.concat(F.lit("Event-"), F.coalesce(eid, F.lit("Unknown")))).alias("event_type"),

@@ -1,17 +1,11 @@
 """Population statistics that stay distributed: exact percentiles, row positions, exact samples.
 
-``exact_percentile`` reproduces numpy's linear-interpolation percentile without
-ever holding the column in one buffer:
-
-1. n = count; small inputs (``direct_rows``) use Spark's exact ``percentile``.
-2. Otherwise ``percentile_approx`` gives two values whose ranks bracket the
-   target rank (its rank error is at most n/accuracy), the rows below the
-   bracket are counted, and the rows inside it are reduced to (value, count)
-   pairs — ties (one score held by a third of the rows) collapse to one pair.
-3. The pairs are small (bounded by ``max_pairs`` — checked); walking their
-   cumulative counts gives the two order statistics to interpolate.  If the
-   bracket was too wide it is narrowed by another approximate pass on the
-   candidates only.
+``exact_percentiles`` reproduces numpy's linear-interpolation percentile without ever
+holding a column in one buffer: values are reduced to (column, value, count) by a
+partial aggregation, range-sorted, and counted per range; the ranges that hold the
+wanted ranks (one or two per percentile) are found from those counts and only their
+values are accumulated.  What reaches the driver is one row per column and range, and
+the order statistics themselves.
 """
 
 from __future__ import annotations
@@ -22,90 +16,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-DIRECT_ROWS = 2_000_000
-MAX_PAIRS = 2_000_000
-
-
-def _interp(lo_v: float, hi_v: float, frac: float) -> float:
-    # numpy's linear interpolation form
-    return lo_v + (hi_v - lo_v) * frac
-
-
-def exact_percentile(df: DataFrame, col: str, p: float, direct_rows: int = DIRECT_ROWS,
-                     accuracy: int = 100_000, max_pairs: int = MAX_PAIRS, n: int | None = None) -> float | None:
-    """numpy-style linear percentile of the non-NULL values of ``col`` (``n``: their count, if known)."""
-    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = vals.count() if n is None else n
-    if n == 0:
-        return None
-    if n <= direct_rows:
-        return vals.agg(F.percentile("v", F.lit(p))).first()[0]
-    k = p * (n - 1)
-    lo_i = int(math.floor(k))
-    hi_i = min(lo_i + 1, n - 1)
-    frac = k - lo_i
-    cand = vals
-    below = 0  # rows strictly below the candidate set, in full-population ranks
-    eps = 2.0 / accuracy
-    for _ in range(6):
-        m = cand.count()
-        q_lo = max(0.0, (lo_i - below) / max(m - 1, 1) - eps)
-        q_hi = min(1.0, (hi_i - below) / max(m - 1, 1) + eps)
-        b = cand.agg(F.percentile_approx("v", F.array(F.lit(q_lo), F.lit(q_hi)), accuracy).alias("b")).first()["b"]
-        lo_v, hi_v = float(b[0]), float(b[1])
-        c = cand.agg(F.count_if(F.col("v") < lo_v).alias("lt"),
-                     F.count_if((F.col("v") >= lo_v) & (F.col("v") <= hi_v)).alias("inn")).first()
-        new_below = below + c["lt"]
-        if not (new_below <= lo_i and hi_i < new_below + c["inn"]):
-            eps *= 4  # bracket missed the target ranks: widen and retry
-            continue
-        inside = cand.filter((F.col("v") >= lo_v) & (F.col("v") <= hi_v))
-        pairs = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        n_pairs = pairs.count()
-        if n_pairs <= max_pairs:
-            rows = sorted(pairs.collect(), key=lambda r: r["v"])
-            pos = new_below
-            got = {}
-            for r in rows:
-                start, pos = pos, pos + r["c"]
-                for idx in (lo_i, hi_i):
-                    if idx not in got and start <= idx < pos:
-                        got[idx] = r["v"]
-                if len(got) == 2 or (lo_i == hi_i and got):
-                    break
-            return _interp(got[lo_i], got[hi_i], frac)
-        cand, below = inside, new_below
-        eps = 2.0 / accuracy
-    raise RuntimeError("exact_percentile did not converge")
-
-
-def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
-                      direct_rows: int = DIRECT_ROWS) -> dict[str, list[float | None]]:
-    """Exact linear percentiles of several columns.
-
-    Below ``direct_rows`` (non-NULL values of every column) all of them come from
-    one aggregation pass; otherwise each column goes through the bracketed
-    ``exact_percentile``.
-    """
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    if max(counts[c] for c in cols) <= direct_rows:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(c)
-                       for c in cols]).first()
-        return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
-    return {c: [exact_percentile(df, c, p, n=counts[c]) for p in probs] for c in cols}
-
-
-def row_positions(df: DataFrame, order_cols: list[Column], pos_col: str = "pos",
-                  single_task_rows: int = 1_000_000) -> DataFrame:
-    """0-based position of every row in the total order ``order_cols``.
 
-    Bounded inputs use ``row_number`` in one task; larger inputs are range-sorted,
-    numbered inside each partition and shifted by the preceding partitions'
-    sizes (a table with one row per partition), so no task holds everything.
+def order_statistics(df: DataFrame, cols: list[str], ranks) -> dict[str, dict[int, float]]:
+    """Per column the values at the 0-based ``ranks(n)`` of its n sorted non-NULL values."""
+    spark = df.sparkSession
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v"))
+                                         for i, c in enumerate(cols)])).alias("x")).select("x.k", "x.v")
+    pairs = long.filter(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    srt = pairs.repartitionByRange("k", "v").withColumn("_p", F.spark_partition_id()).checkpoint()
+    sizes = sorted(map(tuple, srt.groupBy("k", "_p").agg(F.sum("c")).collect()))  # columns x ranges rows
+    total: dict[int, int] = {}
+    for k, _, n in sizes:
+        total[k] = total.get(k, 0) + n
+    wanted, before = [], {}
+    for k, part, n in sizes:
+        at = before.get(k, 0)
+        wanted += [(k, part, r, r - at) for r in ranks(total[k]) if at <= r < at + n]
+        before[k] = at + n
+    out: dict[str, dict[int, float]] = {c: {} for c in cols}
+    if wanted:
+        w = spark.createDataFrame(wanted, "k int, _p int, rank long, local long")
+        held = srt.join(F.broadcast(w.select("k", "_p").distinct()), ["k", "_p"])  # a row per wanted range
+        held = held.withColumn("end", F.sum("c").over(W.partitionBy("k", "_p").orderBy("v")))
+        hits = held.join(F.broadcast(w), ["k", "_p"]).filter("local < end and local >= end - c")
+        for r in hits.select("k", "rank", "v").collect():
+            out[cols[r["k"]]][r["rank"]] = r["v"]
+    for c, k in zip(cols, range(len(cols))):
+        out[c][-1] = total.get(k, 0)
+    return out
+
+
+def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact linear percentiles (numpy's interpolation) of several columns in one pass."""
+    def ranks(n: int) -> list[int]:
+        return sorted({r for p in probs for r in (math.floor(p * (n - 1)), min(math.floor(p * (n - 1)) + 1, n - 1))})
+
+    found = order_statistics(df, cols, ranks)
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        n, at = found[c][-1], found[c]
+        out[c] = []
+        for p in probs:
+            low = math.floor(p * (n - 1)) if n else 0
+            out[c].append(at[low] + (at[min(low + 1, n - 1)] - at[low]) * (p * (n - 1) - low) if n else None)
+    return out
+
+
+def exact_percentile(df: DataFrame, col: str, p: float) -> float | None:
+    """numpy-style linear percentile of the non-NULL values of ``col``."""
+    return exact_percentiles(df, [col], [p])[col][0]
+
+
+def row_positions(df: DataFrame, order_cols: list[Column], pos_col: str = "pos") -> DataFrame:
+    """0-based position of every row in the total order ``order_cols``.
+
+    Rows are range-sorted, numbered inside each range and shifted by the sizes of the
+    ranges before (a table with one row per range), so no task holds everything.
     """
-    n = df.count()
-    if n <= single_task_rows:
-        return df.withColumn(pos_col, (F.row_number().over(W.orderBy(*order_cols)) - 1).cast("bigint"))
     srt = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
     srt = srt.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     srt = srt.checkpoint()

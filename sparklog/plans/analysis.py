@@ -25,6 +25,7 @@ from ..functions import rules as R
 from ..operators import detect as D
 from ..operators import features as FE
 from ..operators import mitre as M
+from ..session import path_exists
 
 SUPPORTED = ("ensemble", "isolation_forest", "one_class_svm", "statistical")
 KEEP = ("id", "timestamp", "source", "event_id", "event_type", "severity", "message")
@@ -77,27 +78,21 @@ class Model:
     @classmethod
     def load(cls, spark: SparkSession, path: str, n_features: int = len(R.FEATURE_NAMES)) -> "Model | None":
         """The stored model, or None when missing or fitted for another feature count."""
-        try:
-            meta = spark.read.json(f"{path}/meta").first()
-        except Exception:  # noqa: BLE001 — no stored model
+        if not path_exists(spark, f"{path}/meta"):
             return None
+        meta = spark.read.json(f"{path}/meta").first()
         if meta is None or meta["n_features"] != n_features:
             return None
         if "params" in meta.asDict() and meta["params"] != json.dumps(cls.PARAMS, sort_keys=True):
             return None   # fitted with other parameters: retrain
 
         def opt(sub):
-            try:
-                return spark.read.parquet(f"{path}/{sub}")
-            except Exception:  # noqa: BLE001
-                return None
+            return spark.read.parquet(f"{path}/{sub}") if path_exists(spark, f"{path}/{sub}") else None
         enc = (opt("source_codes"), opt("event_type_codes"))
         svm = None
-        try:
+        if path_exists(spark, f"{path}/svm"):
             js = json.loads(spark.read.json(f"{path}/svm").first()["model"])
             svm = {k: (np.asarray(v) if isinstance(v, list) else v) for k, v in js.items()}
-        except Exception:  # noqa: BLE001
-            pass
         return cls(enc if enc[0] is not None else None, opt("zscore"), opt("forest"), svm)
 
 
@@ -196,7 +191,7 @@ def analyze_logs(logs: DataFrame, techniques: DataFrame, algorithm: str = "ensem
     # one lazy row: counts come from the (persisted) scored frame when the caller asks for it
     session = (scored.agg(F.count(F.lit(1)).alias("logs_analyzed"))
                .crossJoin(anomalies.agg(F.count(F.lit(1)).alias("anomalies_detected")))
-               .select(F.lit(session_id).alias("session_id"), F.lit(as_of).cast("timestamp").alias("start_time"),
-                       F.lit(as_of).cast("timestamp").alias("end_time"), F.lit("completed").alias("status"),
+               .select(F.lit(session_id).alias("session_id"), X.instant(as_of).alias("start_time"),
+                       X.instant(as_of).alias("end_time"), F.lit("completed").alias("status"),
                        "logs_analyzed", "anomalies_detected", F.lit(params).alias("parameters")))
     return anomalies, session

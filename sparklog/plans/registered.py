@@ -431,7 +431,7 @@ FROM logs GROUP BY 1
 """)(lambda t: A.dataset_severity(t.logs))
 
 query("a25_dataset_risk", """
-, hr AS (SELECT CAST(least(count(*), 500) AS BIGINT) AS high_risk FROM logs
+, hr AS (SELECT CAST(count(*) AS BIGINT) AS high_risk FROM logs
          WHERE lower(coalesce(severity, '')) IN ('critical', 'high', 'error')
             OR contains(lower(coalesce(message, '')), 'failed') OR contains(lower(coalesce(message, '')), 'unauthorized'))
 , n AS (SELECT CAST(count(*) AS BIGINT) AS total FROM logs)

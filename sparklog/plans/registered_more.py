@@ -74,7 +74,7 @@ _DEVICES_SQL = f"""
 def _devices(t):
     d = (t.device_events.groupBy("device_id", "name", "vendor_id").agg(F.min("event_time").alias("first_seen")))
     d = DV.classify_devices(d)
-    return d.withColumn("is_new", F.col("first_seen") >= F.lit(_dt.datetime(2024, 1, 1, 6)))
+    return d.withColumn("is_new", F.col("first_seen") >= X.ntz(_dt.datetime(2024, 1, 1, 6)))
 
 
 query("a33_device_scan_summary", _DEVICES_SQL + """
@@ -164,7 +164,7 @@ query("p21_p22_parse_stats", """
 , raw AS (SELECT doc_id, unnest(p) AS raw FROM parts)
 , ln AS (SELECT doc_id, regexp_replace(raw, '^[\\s\\x{1c}-\\x{1f}\\p{Zs}\\x{85}\\x{2028}\\x{2029}]+|[\\s\\x{1c}-\\x{1f}\\p{Zs}\\x{85}\\x{2028}\\x{2029}]+$', '', 'g') AS line FROM raw)
 , cls AS (SELECT doc_id,
-    NOT (NOT (starts_with(line, '{') AND ends_with(line, '}') AND CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END)
+    NOT (NOT (starts_with(line, '{') AND ends_with(line, '}') AND CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' AND len(json_keys(line)) > 0 ELSE false END)
          AND contains(line, '=')
          AND len(regexp_extract_all(line, '([A-Za-z0-9_.-]+)=("[^"]*?"|''[^'']*?''|\\S+)', 1)) > 0
          AND len(list_filter(list_transform(regexp_extract_all(line, '([A-Za-z0-9_.-]+)=("[^"]*?"|''[^'']*?''|\\S+)', 1),
@@ -206,7 +206,7 @@ def _j14(t):
                           F.lit(None).cast("bigint").alias("anomalies_detected"))
     counts = J.assign_sessions(t.anomalies, t.sessions, AS_OF).groupBy("session_id") \
         .agg(F.count(F.lit(1)).cast("bigint").alias("anomalies_detected"))
-    upd = (t.sessions.select("session_id", F.coalesce("end_time", F.lit(AS_OF).cast("timestamp_ntz")).alias("end_time"))
+    upd = (t.sessions.select("session_id", F.coalesce("end_time", X.ntz(AS_OF)).alias("end_time"))
            .join(counts, "session_id", "left")
            .select("session_id", F.lit("completed").alias("status"),
                    F.coalesce("anomalies_detected", F.lit(0)).cast("bigint").alias("anomalies_detected"), "end_time"))
@@ -237,9 +237,9 @@ SELECT name, CAST(n AS BIGINT) AS n, side FROM (
 
 def _u03(t):
     from ..operators import sets as S
-    l = (t.logs.filter(F.col("timestamp") < F.lit(_dt.datetime(2024, 1, 15))).groupBy(F.col("source").alias("name"))
+    l = (t.logs.filter(F.col("timestamp") < X.ntz(_dt.datetime(2024, 1, 15))).groupBy(F.col("source").alias("name"))
          .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
-    r = (t.logs.filter((F.col("timestamp") >= F.lit(_dt.datetime(2024, 1, 10)))
+    r = (t.logs.filter((F.col("timestamp") >= X.ntz(_dt.datetime(2024, 1, 10)))
                        & F.col("source").isin("sshd", "sudo", "kernel", "nginx"))
          .groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     return S.merge_catalogues(l, r, "name")

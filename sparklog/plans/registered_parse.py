@@ -73,7 +73,7 @@ query("p15_text_line_parse", f"""
                 regexp_replace(raw, '^{_WS}+|{_WS}+$', '', 'g') AS line FROM raw)
 , cls AS (
   SELECT *,
-    CASE WHEN starts_with(line, '{{') AND ends_with(line, '}}') AND CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END THEN 'json'
+    CASE WHEN starts_with(line, '{{') AND ends_with(line, '}}') AND CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' AND len(json_keys(line)) > 0 ELSE false END THEN 'json'
          WHEN contains(line, '=') AND len(regexp_extract_all(line, '([A-Za-z0-9_.-]+)=("[^"]*?"|''[^'']*?''|\\S+)', 1)) > 0 THEN 'kv'
          ELSE 'plaintext' END AS fmt,
     list_filter(list_transform(regexp_extract_all(line, '([A-Za-z0-9_.-]+)=("[^"]*?"|''[^'']*?''|\\S+)', 1), lambda k: lower(k)),

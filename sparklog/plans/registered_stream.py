@@ -1,8 +1,9 @@
 """Registered streaming queries (§2.12).
 
-Each streaming query reads the driver's ``events`` table as a file stream
-(``availableNow``), runs the live operators, and returns the memory-sink result;
-its oracle is the SQL of the equivalent batch result.
+Every query here starts a stream: it reads the driver's ``events`` table as a file
+stream (``availableNow``), runs the live operators into parquet in the shared
+folder, and returns that table; its oracle is the SQL of the equivalent batch
+result.
 """
 
 from __future__ import annotations
@@ -42,9 +43,14 @@ def _events_stream(t):
 
 
 def _scratch(t, tag: str) -> tuple[str, str]:
-    base = ensure_checkpoint_dir(t.spark).rstrip("/")
-    name = f"{tag}_{uuid.uuid4().hex[:10]}"
-    return name, f"{base}/stream-{name}"
+    """(result folder, streaming checkpoint) in the shared folder."""
+    base = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex[:10]}"
+    return f"{base}/out", f"{base}/ck"
+
+
+def _scored(t):
+    logs = TD.derive_logs(_events_stream(t))
+    return L.score_lines(TD.render_syslog_lines(logs).withColumn("source_file", F.lit("syslog")), AS_OF)
 
 
 query("t01_t03_stream_scoring", f"""
@@ -53,8 +59,9 @@ query("t01_t03_stream_scoring", f"""
 SELECT id, source, hostname, round(s, 6) AS anomaly_score, {_SEV} AS severity,
        CASE WHEN s >= 0.70 THEN 'anomaly' ELSE 'new_log' END AS event
 FROM sc
-""")(lambda t: L.score_lines(TD.render_syslog_lines(t.logs).withColumn("source_file", F.lit("syslog")), AS_OF)
-     .select("id", "source", "hostname", X.round6("anomaly_score").alias("anomaly_score"), "severity", "event"))
+""")(lambda t: L.run_to_completion(
+    _scored(t).select("id", "source", "hostname", X.round6("anomaly_score").alias("anomaly_score"), "severity", "event"),
+    *_scratch(t, "t01")))
 
 query("t04_stream_counters", f"""
 , sc AS (SELECT {_Q} AS s FROM logs)
@@ -63,10 +70,8 @@ SELECT CAST(count(*) AS BIGINT) AS lines_processed, CAST(count(*) FILTER (WHERE
 
 
 def _t04(t):
-    logs = TD.derive_logs(_events_stream(t))
-    scored = L.score_lines(TD.render_syslog_lines(logs).withColumn("source_file", F.lit("syslog")), AS_OF)
-    name, ck = _scratch(t, "t04")
-    return L.run_to_completion(L.running_counters(scored), name, ck, "complete") \
+    counted = L.running_counters(_scored(t)).withColumn("k", F.lit(1))
+    return L.run_updates(counted, ["k"], *_scratch(t, "t04")) \
         .select(F.col("lines_processed").cast("bigint"), F.col("anomalies_found").cast("bigint"))
 
 
@@ -75,9 +80,7 @@ query("t05_stream_subscriber_filter", f"""
 SELECT id, {_SEV} AS severity FROM sc
 WHERE CASE {_SEV} WHEN 'INFO' THEN 0 WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 END >= 3
   AND s >= 0.8
-""")(lambda t: L.subscriber_filter(
-    L.score_lines(TD.render_syslog_lines(t.logs).withColumn("source_file", F.lit("syslog")), AS_OF), "HIGH", 0.8)
-    .select("id", "severity"))
+""")(lambda t: L.run_to_completion(L.subscriber_filter(_scored(t), "HIGH", 0.8).select("id", "severity"), *_scratch(t, "t05")))
 
 query("t07_stream_device_pairing", """
 , w AS (
@@ -92,17 +95,18 @@ FROM w WHERE event = 'disconnected'
 
 
 def _t07(t):
-    dev = TD.derive_device_log(_events_stream(t))
-    name, ck = _scratch(t, "t07")
-    return L.run_to_completion(L.pair_device_events(dev), name, ck, "append")
+    out, ck = _scratch(t, "t07")
+    return L.run_pairing(TD.derive_device_log(_events_stream(t)), L.DevicePairing(out), ck)
 
 
 query("t09_stream_logs_per_hour", """
 SELECT strftime("timestamp", '%Y-%m-%d %H:00') AS hour, CAST(count(*) AS BIGINT) AS count FROM logs GROUP BY 1
-""")(lambda t: _t09(t))
-
-
-def _t09(t):
-    logs = TD.derive_logs(_events_stream(t))
-    name, ck = _scratch(t, "t09")
-    return L.run_to_completion(L.logs_per_hour_stream(logs), name, ck, "complete")
+""")(lambda t: L.run_updates(L.logs_per_hour_stream(TD.derive_logs(_events_stream(t))), ["hour"], *_scratch(t, "t09")))
+
+query("t09_stream_timeline", """
+SELECT time_bucket(INTERVAL '2 hours', "timestamp") AS bucket_start, CAST(count(*) AS BIGINT) AS anomalies,
+       CAST(count(*) FILTER (WHERE upper(coalesce(severity, '')) = 'CRITICAL') AS BIGINT) AS critical
+FROM logs WHERE "timestamp" IS NOT NULL GROUP BY 1
+""")(lambda t: L.run_updates(
+    L.timeline_stream(TD.derive_logs(_events_stream(t)).withColumnRenamed("timestamp", "detected_at")), ["bucket_start"],
+    *_scratch(t, "t09b")))

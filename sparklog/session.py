@@ -46,6 +46,12 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` exists in its file system (errors other than absence rise)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder; set a scratch one only when unset.
 

@@ -4,15 +4,14 @@ Files are read by Spark's file sources (splittable, distributed); nothing reads
 file on the driver.  Line numbers are exact per file even when a file is split
 over many tasks: rows keep their order inside a split, so a line's number is its
 position in its split plus the line count of the file's earlier splits (a table
-with one row per split, joined back with a broadcast).
+with one row per split, joined back).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,7 +27,7 @@ EVENT_XML_SCHEMA = ("System struct<Provider: struct<_Name: string>, EventID: str
 
 
 def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = True, glob: str | None = None,
-               ignore_corrupt: bool = True, max_broadcast_splits: int = 200_000) -> DataFrame:
+               ignore_corrupt: bool = True) -> DataFrame:
     """S01 + S02: (file_path, line_number, line) of every non-blank line, stripped.
 
     ``line_number`` counts every physical line of the file from 1, blank ones too,
@@ -46,10 +45,7 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     splits = raw.groupBy("file_path", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     offs = splits.select("file_path", "_blk", "_m0", F.coalesce(F.sum("_n").over(
         W.partitionBy("file_path").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    # one row per file split: built anyway, so keep it, count it, and broadcast it only while small
-    offs = offs.persist(StorageLevel.MEMORY_AND_DISK)
-    small = offs.count() <= max_broadcast_splits
-    numbered = raw.join(F.broadcast(offs) if small else offs, ["file_path", "_blk"])
+    numbered = raw.join(offs, ["file_path", "_blk"])  # one row per file split: Spark broadcasts it while it is small
     line = P.strip(P.clean_utf8(F.col("_raw")))
     return (numbered.select("file_path",
                             (F.col("_o") + F.col("_mid") - F.col("_m0") + 1).cast("bigint").alias("line_number"),
@@ -112,28 +108,69 @@ def detect_formats(lines: DataFrame, explicit: str | None = None) -> DataFrame:
 
 
 def parse_files(spark: SparkSession, path: str, as_of: _dt.datetime, parser: str | None = None) -> DataFrame:
-    """Ingest a folder of text logs: detect each file's format and parse its lines.
+    """Ingest a folder of logs: detect each file's format and parse its lines.
 
-    Syslog files go through P01-P04 (unmatched lines dropped), text files through
-    P15; CSV files are read by the CSV reader (see ``read_csv_logs``).
+    Syslog files go through P01-P04 (unmatched lines dropped), text files through P15, CSV files
+    through their own header (S03).  Files without a row here are listed by ``ingest_report``.
     """
     lines = read_lines(spark, path)
-    fmts = detect_formats(lines, parser)
-    j = lines.join(F.broadcast(fmts), "file_path")
+    j = lines.join(detect_formats(lines, parser), "file_path")
     src = F.element_at(F.split(F.col("file_path"), "/"), -1)
     sys_rows = P.parse_syslog(j.filter(F.col("format") == "syslog").drop("format"), as_of)
     txt = j.filter(F.col("format") == "text").drop("format").withColumn("source_name", src)
     txt_rows = P.parse_plaintext(txt, as_of).drop("source_name")
-    return sys_rows.drop("priority", "facility").unionByName(txt_rows, allowMissingColumns=True)
+    csv_rows = parse_csv_lines(j.filter(F.col("format") == "csv").drop("format"), as_of)
+    return (sys_rows.drop("priority", "facility").unionByName(txt_rows, allowMissingColumns=True)
+            .unionByName(csv_rows, allowMissingColumns=True))
+
+
+def _csv_fields(line: Column) -> Column:
+    """The fields of one CSV line (RFC 4180 quoting) as an array."""
+    # fields are split at commas outside quotes, then unquoted
+    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'((?:[^,"]|"(?:[^"]|"")*+")*+),'), 1)
+    return F.transform(cells, lambda c: F.when(
+        F.trim(c).startswith('"') & F.trim(c).endswith('"') & (F.length(F.trim(c)) > 1),
+        F.replace(F.substr(F.trim(c), F.lit(2), F.length(F.trim(c)) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def parse_csv_lines(lines: DataFrame, as_of: _dt.datetime) -> DataFrame:
+    """S03 over (file_path, line_number, line) of CSV files: every file by the names in its own first line.
+
+    A quoted field may not span lines.  Fields beyond the header are dropped, missing ones are NULL.
+    """
+    heads = lines.groupBy("file_path").agg(F.min("line_number").alias("_first"), F.min_by("line", "line_number").alias("_head"))
+    j = lines.join(heads, "file_path").filter(F.col("line_number") > F.col("_first"))
+    names = F.transform(_csv_fields(F.col("_head")), lambda c: P.strip(c))
+    rows = j.select("file_path", "line_number", F.element_at(F.split("file_path", "/"), -1).alias("_src"),
+                    names.alias("_n"), _csv_fields(F.col("line")).alias("_v"))
+    cells = F.transform("_n", lambda n, i: F.struct(n.alias("k"), F.nullif(F.get("_v", i), F.lit("")).alias("v")))
+    m = F.map_from_entries(F.filter(cells, lambda e: e["k"].isNotNull() & (e["k"] != "")))
+    return P.parse_maps(rows.withColumn("_map", m), as_of, "csv", ["file_path", "line_number"])
 
 
 def read_csv_logs(spark: SparkSession, path: str, as_of: _dt.datetime) -> DataFrame:
-    """CSV (header) -> log fields via key aliases; '.tsv' files are read comma-delimited too."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path) \
-        .withColumn("file_path", F.col("_metadata.file_path"))
-    src = F.element_at(F.split(F.col("file_path"), "/"), -1)
-    out = P.parse_records(df.withColumn("line_number", F.lit(None).cast("bigint")), as_of, "csv", "upload")
-    return out.withColumn("source", F.when(F.col("source") == "upload", src).otherwise(F.col("source")))
+    """CSV files (each by its own header) -> log fields via key aliases; '.tsv' files are read comma-delimited too."""
+    return parse_csv_lines(read_lines(spark, path), as_of)
+
+
+def ingest_report(spark: SparkSession, path: str, as_of: _dt.datetime, parser: str | None = None) -> DataFrame:
+    """Per file of a folder: file_path, bytes, format, lines, parsed, errors, status.
+
+    ``status`` is 'ok', 'no rows' (lines, but none parsed), 'unsupported' (binary event logs) or
+    'unreadable' (bytes, but no line came back).  Spark's file listing leaves out files of no bytes.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.col("path").alias("file_path"), F.col("length").alias("bytes"))
+    lines = read_lines(spark, path)
+    counted = lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("lines")).join(detect_formats(lines, parser), "file_path")
+    parsed = parse_files(spark, path, as_of, parser).groupBy("file_path").agg(F.count(F.lit(1)).alias("parsed"))
+    n, p = F.coalesce("lines", F.lit(0)), F.coalesce("parsed", F.lit(0))
+    body = F.greatest(n - (F.col("format") == "csv").cast("int"), F.lit(0))  # a header is no record
+    evtx = F.lower("file_path").endswith(".evtx")
+    return files.join(counted, "file_path", "left").join(parsed, "file_path", "left").select(
+        "file_path", "bytes", F.when(evtx, "evtx").otherwise(F.col("format")).alias("format"), n.cast("bigint").alias("lines"),
+        p.cast("bigint").alias("parsed"), F.when(evtx, F.lit(0)).otherwise(F.coalesce(body, F.lit(0)) - p).cast("bigint").alias("errors"),
+        F.when(evtx, "unsupported").when(p > 0, "ok").when(n > 0, "no rows").otherwise("unreadable").alias("status"))
 
 
 def read_windows_events(spark: SparkSession, path: str, as_of: _dt.datetime) -> DataFrame:

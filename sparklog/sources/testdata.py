@@ -157,7 +157,7 @@ def derive_hub_anomalies(anomalies: DataFrame, logs: DataFrame, copies: int = 2)
                    F.col("timestamp").alias("log_timestamp"), "source", "event_type",
                    F.substring(F.coalesce("message", F.lit("")), 1, 500).alias("message"),
                    "hostname", "username")
-    parts = [one.withColumn("imported_at", F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(24 * (copies - i))))
+    parts = [one.withColumn("imported_at", X.ntz(AS_OF) - F.make_dt_interval(hours=F.lit(24 * (copies - i))))
              .withColumn("import_batch", F.lit(i)) for i in range(copies)]
     out = parts[0]
     for p in parts[1:]:
@@ -189,29 +189,16 @@ class Tables:
         self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        """One driver table.
+        """One driver table, read from its own path.
 
-        A file with fewer splits than the session has cores (the driver's tables are
-        one parquet row group each) is copied once, spread over ``cores`` files,
-        into the session's checkpoint folder and read from there, so CPU-heavy
-        operators use every core while scans keep column pruning and filter
-        push-down.  A many-file production input never takes this branch.
+        A table with fewer splits than the session has cores is dealt out inside the
+        plan; projections and filters are still pushed below that exchange.
         """
-        if name in self._raw:
-            return self._raw[name]
-        path = f"{self.sf_dir}/{name}.parquet"
-        df = self.spark.read.parquet(path)
-        cores = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            from ..session import ensure_checkpoint_dir
-            base = ensure_checkpoint_dir(self.spark).rstrip("/")
-            tag = self.sf_dir.strip("/").replace("/", "_")
-            copy = f"{base}/spread/{tag}/{name}.parquet"
-            if not _committed(self.spark, copy):
-                df.repartition(cores).write.mode("overwrite").parquet(copy)
-            df = self.spark.read.parquet(copy)
-        self._raw[name] = df
-        return df
+        if name not in self._raw:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            self._raw[name] = df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        return self._raw[name]
 
     @cached_property
     def events(self) -> DataFrame:
@@ -246,23 +233,8 @@ class Tables:
         return derive_device_log(self.events)
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds a completely written table (its _SUCCESS marker exists)."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(marker))
-
-
-_CACHE: dict = {}
-
-
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
-    t = _CACHE.get(key)
-    if t is None:
-        t = _CACHE[key] = Tables(spark, sf_dir)
-    return t
+    return Tables(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- rendered lines

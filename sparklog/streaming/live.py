@@ -10,14 +10,11 @@ DataFrames, so the same code runs in batch for tests.
 from __future__ import annotations
 
 import datetime as _dt
-import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import expr as X
 from ..functions import rules as R
@@ -72,7 +69,7 @@ def score_lines(lines: DataFrame, as_of: _dt.datetime | None = None, line_col: s
     ``current_timestamp()``.  Each stage is its own projection so every value is
     computed once per line.
     """
-    now = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
+    now = X.instant(as_of) if as_of is not None else F.current_timestamp()
     out = P.stream_parse(lines, now, line_col, file_col).withColumn("processed_at", now)
     out = out.withColumn("anomaly_score", quick_score("message", F.hour("processed_at")))
     out = out.withColumn("severity", X.stream_severity("anomaly_score"))
@@ -104,74 +101,113 @@ class RecentBuffer:
     """
 
     def __init__(self, path: str, order_cols: list[str], size: int = R.STREAM_BUFFER):
-        self.path = path.rstrip("/")
+        self.versions = Versions(path)
         self.order_cols = order_cols
         self.size = size
 
-    def _latest(self, spark: SparkSession) -> DataFrame | None:
-        """The newest committed version folder (listed through the Hadoop file system)."""
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        done = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                done.append(name)
-        return spark.read.parquet(f"{self.path}/{max(done)}") if done else None
-
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
         order = [F.desc(c) for c in self.order_cols]
         newest = batch.orderBy(*order).limit(self.size)
-        prev = self._latest(spark)
+        prev = self.versions.latest(batch.sparkSession, epoch_id)
         merged = newest if prev is None else newest.unionByName(prev)
-        merged.orderBy(*order).limit(self.size).write.mode("overwrite").parquet(f"{self.path}/v={epoch_id:012d}")
+        self.versions.write(merged.orderBy(*order).limit(self.size), epoch_id)
 
     def snapshot(self, spark: SparkSession, limit: int | None = None) -> DataFrame | None:
         """The buffer's rows newest first, optionally only the last ``limit``."""
-        df = self._latest(spark)
+        df = self.versions.latest(spark)
         if df is None:
             return None
         df = df.orderBy(*[F.desc(c) for c in self.order_cols])
         return df.limit(limit) if limit else df
 
 
+# ------------------------------------------------------------------ versions of a small state table
+class Versions:
+    """A table kept as numbered, committed versions under one folder; older versions are removed."""
+
+    def __init__(self, path: str, keep: int = 3):
+        self.path, self.keep = path.rstrip("/"), keep
+
+    def _fs(self, spark: SparkSession):
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, spark: SparkSession) -> list[str]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        root, fs = self._fs(spark)
+        if not fs.exists(root):
+            return []
+        names = [st.getPath().getName() for st in fs.listStatus(root)]
+        return sorted(n for n in names if n.startswith("v=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def latest(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The newest version (older than epoch ``before``, so that a repeated epoch starts from the same state)."""
+        done = [n for n in self._names(spark) if before is None or n < self._name(before)]
+        return spark.read.parquet(f"{self.path}/{done[-1]}") if done else None
+
+    @staticmethod
+    def _name(epoch: int) -> str:
+        return f"v={epoch:012d}"
+
+    def write(self, df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{self.path}/{self._name(epoch)}")
+        _, fs = self._fs(spark)
+        for n in self._names(spark)[:-self.keep]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}"), True)
+
+
 # ------------------------------------------------------------------ T07 device pairing
-PAIR_SCHEMA = "device_id string, seq long, connected_at timestamp_ntz, removed_at timestamp_ntz, duration_seconds double"
-PAIR_STATE = "last_connect timestamp_ntz"
-
-
-def _pair_devices(key, pdfs, state):
-    """Per device: carry the latest connect time; each disconnect emits its pairing."""
-    last = state.get[0] if state.exists else None
-    out = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["event_time", "seq"])
-        for ev, t, seq in zip(pdf["event"], pdf["event_time"], pdf["seq"]):
-            if ev == "connected":
-                last = t
-            elif ev == "disconnected":
-                dur = None
-                if last is not None and not pd.isna(last):
-                    dur = (pd.Timestamp(t) - pd.Timestamp(last)).total_seconds()
-                    dur = math.floor(dur * 100.0 + 0.5) / 100.0  # half-up, as Spark/DuckDB round
-                out.append((key[0], int(seq), last, t, dur))
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["device_id", "seq", "connected_at", "removed_at", "duration_seconds"])
-
-
-def pair_device_events(events: DataFrame) -> DataFrame:
-    """Live connect/disconnect pairing with duration, state keyed by device.
-
-    Within one micro-batch the device's events are ordered by (event_time, seq);
-    the state carries the last connect time to later batches.
+class DevicePairing:
+    """Live connect/disconnect pairing in event-time order, as a ``foreachBatch`` function.
+
+    A disconnect is answered once the watermark (greatest event time seen, less ``delay``) has passed it, so
+    events may arrive out of order, within and across micro-batches, by up to ``delay``.  The state is a table:
+    events the watermark has not passed, and each device's last connect before it.  The pairing itself is the
+    batch as-of join (windows inside (device, day), no Python, no device in one group).  Batches write
+    ``out/epoch=<n>``, so a repeated epoch replaces its own rows.  ``finish`` answers what is still held when
+    the stream has ended.
     """
-    return events.groupBy("device_id").applyInPandasWithState(
-        _pair_devices, PAIR_SCHEMA, PAIR_STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def __init__(self, path: str, delay: str = "1 hour"):
+        self.path, self.delay = path.rstrip("/"), delay
+        self.state = Versions(f"{self.path}/state")
+
+    def __call__(self, batch: DataFrame, epoch: int, last: bool = False) -> None:
+        new = batch.select("device_id", "event_time", "event", "seq")
+        old = self.state.latest(batch.sparkSession, epoch)
+        # the newest event time travels with the state as a row without a device
+        pool = (new if old is None else new.unionByName(old)).persist()
+        seen = pool.agg(F.max("event_time")).first()[0]
+        if seen is not None:
+            mark = X.ntz(seen) - F.expr(f"interval {self.delay}")
+            passed = F.lit(True) if last else F.col("event_time") <= mark
+            events = pool.filter("device_id is not null")
+            ready = events.filter(passed)
+            from ..operators.joins import latest_connect_asof
+            latest_connect_asof(ready).write.mode("overwrite").parquet(f"{self.path}/out/epoch={epoch}")
+            connect = (ready.filter("event = 'connected'").groupBy("device_id")
+                       .agg(F.max_by(F.struct("event_time", "event", "seq"), F.struct("event_time", "seq")).alias("r"))
+                       .select("device_id", "r.*"))
+            newest = events.sparkSession.range(1).select(
+                F.lit(None).cast("string").alias("device_id"), X.ntz(seen).alias("event_time"),
+                F.lit("watermark").alias("event"), F.lit(-1).cast("long").alias("seq"))
+            held = events.filter(~passed).unionByName(connect).unionByName(newest)
+            self.state.write(held, epoch)
+        pool.unpersist()
+
+    def finish(self, spark: SparkSession) -> None:
+        """Answers everything still held (the stream has ended)."""
+        old = self.state.latest(spark)
+        if old is not None:
+            self(old.limit(0), 1 << 40, last=True)
+
+    def result(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(PAIR_SCHEMA).parquet(f"{self.path}/out").select(
+            "device_id", "seq", "connected_at", "removed_at", "duration_seconds")
+
+
+PAIR_SCHEMA = "device_id string, seq long, connected_at timestamp_ntz, removed_at timestamp_ntz, duration_seconds double"
 
 
 # ------------------------------------------------------------------ T09 event-time aggregates
@@ -215,9 +251,35 @@ def persist_stream(scored: DataFrame, table_path: str, checkpoint: str, trigger=
     return w.start()
 
 
-def run_to_completion(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive a streaming DataFrame over everything available into a memory table and return it."""
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
+def run_to_completion(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drive an append-mode stream over everything available into parquet at ``path`` and return that table."""
+    q = (df.writeStream.format("parquet").option("path", path).outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_updates(df: DataFrame, key: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Drive an update-mode aggregate over everything available; the latest row of each ``key`` wins.
+
+    Each micro-batch writes the changed groups as ``epoch=<n>`` (a repeated epoch replaces its rows), so late
+    rows within the watermark correct earlier counts and older state can be dropped.
+    """
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    q = (df.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    schema = T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])
+    rows = df.sparkSession.read.schema(schema).parquet(path)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*df.columns), "epoch").alias("r")).select("r.*")
+
+
+def run_pairing(events: DataFrame, pairing: DevicePairing, checkpoint: str) -> DataFrame:
+    """Drive T07 over everything available and return all pairings."""
+    q = (events.writeStream.foreachBatch(pairing).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    pairing.finish(events.sparkSession)
+    return pairing.result(events.sparkSession)

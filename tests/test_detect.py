@@ -39,13 +39,13 @@ def test_exact_percentile_bracket_path_matches_numpy(spark, p):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])   # a value holding a third of rows
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(6)
-    got = ST.exact_percentile(df, "x", p, direct_rows=10, accuracy=50, max_pairs=200)
+    got = ST.exact_percentile(df, "x", p)
     assert got == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-12)
 
 
 def test_row_positions_distributed_path(spark):
     df = spark.range(5000).withColumn("k", (F.col("id") * 7919) % 5000).repartition(7)
-    pos = ST.row_positions(df, [F.col("k"), F.col("id")], "pos", single_task_rows=10)
+    pos = ST.row_positions(df, [F.col("k"), F.col("id")], "pos")
     got = {r.k: r.pos for r in pos.collect()}
     assert got == {k: k for k in range(5000)}
 
@@ -130,10 +130,9 @@ def test_exact_percentiles_multi_column_paths(spark):
     rng = np.random.default_rng(11)
     a, b = rng.normal(size=2000), np.concatenate([np.zeros(900), rng.exponential(size=1100)])
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").repartition(4)
-    for direct in (10_000_000, 10):                  # one aggregation pass / bracketed per column
-        got = ST.exact_percentiles(df, ["a", "b"], [0.25, 0.75], direct_rows=direct)
-        for c, v in (("a", a), ("b", b)):
-            assert got[c] == pytest.approx([float(np.percentile(v, 25)), float(np.percentile(v, 75))], abs=1e-12)
+    got = ST.exact_percentiles(df, ["a", "b"], [0.25, 0.75])
+    for c, v in (("a", a), ("b", b)):
+        assert got[c] == pytest.approx([float(np.percentile(v, 25)), float(np.percentile(v, 75))], abs=1e-12)
 
 
 def test_approximate_percentile_option(t):

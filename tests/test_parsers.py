@@ -101,8 +101,6 @@ def test_read_lines_numbers_are_exact_across_splits(spark, tmp_path):
         df = LF.read_lines(spark, str(tmp_path))
         assert df.rdd.getNumPartitions() >= 1
         rows = {r.line_number: r.line for r in df.collect()}
-        rows_join = {r.line_number: r.line for r in LF.read_lines(spark, str(tmp_path), max_broadcast_splits=0).collect()}
-        assert rows_join == rows
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     expect = {i: f"line {i}" for i in range(1, 20001) if i % 7}
@@ -270,3 +268,18 @@ def test_syslog_parser_against_brute_force(spark):
         for i, l in enumerate(batch):
             assert got.get(i) == _syslog_brute(l), l
     check()
+
+
+def test_csv_files_by_their_own_header_and_ingest_report(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('timestamp,severity,message,source\n2024-01-01 10:00:00,HIGH,"disk, ""full""",db\n')
+    (tmp_path / "b.csv").write_text("source,message,severity,timestamp\nweb,started,LOW,2024-01-02 10:00:00\nweb,no time\n")
+    (tmp_path / "c.log").write_text("<13>Jan  5 10:00:00 h1 sshd[1]: hello\n")
+    (tmp_path / "d.txt").write_text("{}\nplain error\n")
+    (tmp_path / "e.evtx").write_bytes(b"ElfFile\x00")
+    (tmp_path / "f.log").write_bytes(b"")
+    rows = sorted((r.source, r.severity, r.message) for r in LF.parse_files(spark, str(tmp_path), AS_OF).collect())
+    assert ("db", "HIGH", 'disk, "full"') in rows and ("web", "LOW", "started") in rows and len(rows) == 6
+    assert {m for s, _, m in rows if s == "d.txt"} == {"plain error", "{}"}
+    got = {r.file_path.rsplit("/", 1)[1]: (r.format, r.parsed, r.errors, r.status) for r in LF.ingest_report(spark, str(tmp_path), AS_OF).collect()}
+    assert got == {"a.csv": ("csv", 1, 0, "ok"), "b.csv": ("csv", 2, 0, "ok"), "c.log": ("syslog", 1, 0, "ok"), "d.txt": ("text", 2, 0, "ok"),
+                   "e.evtx": ("evtx", 0, 0, "unsupported")}

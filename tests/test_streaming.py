@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+import random
 
 from pyspark.sql import functions as F
 
@@ -28,8 +28,7 @@ def test_line_stream_matches_batch(spark, tmp_path):
     (src / "a.log").write_text("<13>Jan  5 10:00:00 h1 sshd[1]: Failed password\n\nplain error here\n")
     (src / "b.log").write_text("<34>1 2024-01-01T10:00:00Z host1 su - ID47 - 'su root' failed\n")
     stream = L.score_lines(L.line_stream(spark, str(src)), AS_OF)
-    name = f"s_{uuid.uuid4().hex[:8]}"
-    out = L.run_to_completion(stream, name, str(tmp_path / "ck"))
+    out = L.run_to_completion(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     got = sorted((r.source_file, r.message, r.severity) for r in out.collect())
     assert got == [("a.log", "Failed password", "CRITICAL"), ("a.log", "plain error here", "HIGH"),
                    ("b.log", "'su root' failed", "HIGH")]
@@ -44,13 +43,27 @@ def test_device_pairing_state_spans_batches(spark, tmp_path):
     spark.createDataFrame(rows2, schema).coalesce(1).write.parquet(str(d / "p2"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
         .option("recursiveFileLookup", "true").parquet(str(d))
-    name = f"p_{uuid.uuid4().hex[:8]}"
-    out = L.run_to_completion(L.pair_device_events(stream), name, str(tmp_path / "ck"))
+    out = L.run_pairing(stream, L.DevicePairing(str(tmp_path / "out")), str(tmp_path / "ck"))
     got = {r.seq: (r.device_id, r.connected_at, r.duration_seconds) for r in out.collect()}
     assert got[2] == ("d2", None, None)
     assert got[3] == ("d1", dt.datetime(2024, 1, 1, 10), 1.5)
 
 
+def test_device_pairing_of_shuffled_events_equals_the_batch_join(spark, tmp_path):
+    from sparklog.operators import joins as J
+    rnd, rows, t0 = random.Random(4), [], dt.datetime(2024, 1, 1)
+    for i in range(400):
+        rows.append((f"d{rnd.randrange(3)}", t0 + dt.timedelta(seconds=30 * i), rnd.choice(["connected", "disconnected"]), i))
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rnd.randint(0, 50)))  # out of order by less than the delay
+    schema = "device_id string, event_time timestamp_ntz, event string, seq long"
+    for k in range(8):  # eight files, one per micro-batch
+        spark.createDataFrame(late[k * 50:(k + 1) * 50], schema).coalesce(1).write.parquet(str(tmp_path / f"dev/p{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "dev"))
+    out = L.run_pairing(stream, L.DevicePairing(str(tmp_path / "out")), str(tmp_path / "ck"))
+    want = J.latest_connect_asof(spark.createDataFrame(rows, schema))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
 def test_recent_buffer_keeps_newest(spark, tmp_path):
     buf = L.RecentBuffer(str(tmp_path / "buf"), ["seq"], size=5)
     for epoch, lo in enumerate((0, 3, 10)):
@@ -64,8 +77,7 @@ def test_logs_per_hour_stream_equals_batch(spark, sf_small, tmp_path):
     from sparklog.sources import testdata as TD
     schema = spark.read.parquet(f"{sf_small}/events.parquet").schema
     logs_s = TD.derive_logs(L.table_stream(spark, sf_small, "events.parquet", schema))
-    name = f"h_{uuid.uuid4().hex[:8]}"
-    s = L.run_to_completion(L.logs_per_hour_stream(logs_s), name, str(tmp_path / "ck"), "complete")
+    s = L.run_updates(L.logs_per_hour_stream(logs_s), ["hour"], str(tmp_path / "out"), str(tmp_path / "ck"))
     b = A.logs_by_hour(TD.derive_logs(spark.read.parquet(f"{sf_small}/events.parquet")))
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
@@ -76,8 +88,7 @@ def test_timeline_stream_buckets(spark, tmp_path):
     src = tmp_path / "an"
     spark.createDataFrame(rows, "detected_at timestamp_ntz, severity string").write.parquet(str(src))
     stream = spark.readStream.schema("detected_at timestamp_ntz, severity string").parquet(str(src))
-    name = f"tl_{uuid.uuid4().hex[:8]}"
-    out = L.run_to_completion(L.timeline_stream(stream), name, str(tmp_path / "ck"), "complete")
+    out = L.run_updates(L.timeline_stream(stream), ["bucket_start"], str(tmp_path / "out"), str(tmp_path / "ck"))
     got = {r.bucket_start: (r.anomalies, r.critical) for r in out.collect()}
     assert got == {dt.datetime(2024, 1, 30, 2): (2, 1), dt.datetime(2024, 1, 30, 4): (1, 1)}
 
