@@ -305,36 +305,57 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_siz
 
 # ------------------------------------------------------------------ D04 one-class SVM (RFF)
 def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: int = 256,
-            max_samples: int = R.SVM_MAX_SAMPLES, seed: int = R.RANDOM_SEED, epochs: int = 30,
-            n: int | None = None) -> dict:
-    """Standardise on the capped sample, map with random Fourier features of the RBF
-    kernel (gamma = 1/d), and minimise the primal one-class objective."""
-    sample = stats.exact_sample(feats.select("id", *names), max_samples, seed=seed, n=n)
-    d = len(names)
-    rows = sample.toPandas()  # bounded by max_samples (D12 cap)
-    x = rows[list(names)].to_numpy(dtype=np.float64)
-    mean = x.mean(axis=0)
-    std = x.std(axis=0)
+            seed: int = R.RANDOM_SEED, epochs: int = R.SVM_EPOCHS) -> dict:
+    """Standardise, map with random Fourier features of the RBF kernel (gamma = 1/d), and
+    minimise the primal one-class objective by gradient steps over the whole population.
+
+    Every step is one distributed pass: tasks sum the mapped rows per margin bin, the sums are
+    reduced per (bin, component), and ``bins x components`` numbers reach the driver whatever the
+    table.  The bins give rho (the nu-quantile of the margins) and the violators' sum at once.
+    """
+    names, d, bins = list(names), len(names), R.SVM_MARGIN_BINS
+    row = feats.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    mean = np.array([row[f"m_{c}"] or 0.0 for c in names])
+    std = np.array([row[f"s_{c}"] or 0.0 for c in names])
     std = np.where(std == 0, 1.0, std)
-    xs = (x - mean) / std
     rng = np.random.default_rng(seed)
-    gamma = 1.0 / d
-    w_rff = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(d, n_components))
+    w_rff = rng.normal(0.0, math.sqrt(2.0 / d), size=(d, n_components))
     b_rff = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
-    z = math.sqrt(2.0 / n_components) * np.cos(xs @ w_rff + b_rff)
-    n = z.shape[0]
-    w = z.mean(axis=0)
-    rho = float(np.quantile(z @ w, nu))
-    lr = 0.5
+    scale = math.sqrt(2.0 / n_components)
+
+    def sums(w: np.ndarray | None) -> np.ndarray:
+        """bins x (1 + components): rows and their mapped sum per margin bin (all in bin 0 without weights)."""
+        reach = 1.0 if w is None else scale * float(np.abs(w).sum()) or 1.0  # |margin| can't exceed it
+
+        def local(it):
+            total = np.zeros((bins, 1 + n_components))
+            for pdf in it:
+                z = scale * np.cos((pdf[names].to_numpy(dtype=np.float64) - mean) / std @ w_rff + b_rff)
+                at = np.zeros(len(z), np.int64) if w is None else np.clip(((z @ w / reach + 1) / 2 * bins).astype(np.int64), 0, bins - 1)
+                for k in np.unique(at):
+                    total[k, 0] += (at == k).sum()
+                    total[k, 1:] += z[at == k].sum(axis=0)
+            k = np.flatnonzero(total[:, 0])
+            yield pd.DataFrame({"bin": k.astype(np.int32), "v": [r.tolist() for r in total[k]]})
+
+        part = feats.select(*names).mapInPandas(local, "bin int, v array<double>")
+        out = np.zeros((bins, 1 + n_components))
+        for r in part.select("bin", F.posexplode("v").alias("i", "x")).groupBy("bin", "i").agg(F.sum("x").alias("x")).collect():
+            out[r["bin"], r["i"]] = r["x"]
+        return out
+
+    first = sums(None).sum(axis=0)
+    n = max(first[0], 1.0)
+    w = first[1:] / n
+    rho = 0.0
     for epoch in range(epochs):
-        margin = z @ w
-        viol = margin < rho
-        grad_w = w - (z[viol].sum(axis=0) / (nu * n))
-        grad_rho = viol.sum() / (nu * n) - 1.0
-        step = lr / (1.0 + epoch)
-        w -= step * grad_w
-        rho -= step * grad_rho
-    rho = float(np.quantile(z @ w, nu))
+        by_bin = sums(w)
+        below = np.cumsum(by_bin[:, 0])
+        cut = int(np.searchsorted(below, nu * n))  # margins of the bins up to the nu-quantile violate rho
+        reach = scale * float(np.abs(w).sum()) or 1.0
+        rho = (2 * (cut + 1) / bins - 1) * reach
+        viol = by_bin[:cut + 1].sum(axis=0)
+        w = w - (w - viol[1:] / max(viol[0], 1.0)) * (R.SVM_RATE / (1.0 + epoch))
     return {"mean": mean, "std": std, "w_rff": w_rff, "b_rff": b_rff, "w": w, "rho": rho,
             "n_components": n_components}
 

@@ -54,7 +54,7 @@ class Model:
         self.forest = forest
         self.svm = svm
 
-    PARAMS = {"n_trees": R.ISOLATION_TREES, "sample_size": R.ISOLATION_SAMPLE, "svm_max_samples": R.SVM_MAX_SAMPLES,
+    PARAMS = {"n_trees": R.ISOLATION_TREES, "sample_size": R.ISOLATION_SAMPLE, "svm_epochs": R.SVM_EPOCHS,
               "zscore_threshold": R.ZSCORE_THRESHOLD, "seed": R.RANDOM_SEED}
 
     def save(self, path: str) -> None:
@@ -122,7 +122,7 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
         members.append("isolation_forest")
     if algorithm in ("one_class_svm", "ensemble"):
         if model.svm is None:
-            model.svm = D.svm_fit(feats, n=n_rows)
+            model.svm = D.svm_fit(feats)
         feats = D.svm_score(feats, model.svm)
         members.append("one_class_svm")
     col_of = {"statistical": "stat_score", "isolation_forest": "if_score", "one_class_svm": "svm_score",
