@@ -4,7 +4,7 @@ A document is its set of distinct 5-word shingles.  ``COLLECTIONS`` small hash c
 minhashes each are computed per set; a table key is the pair of two collections' values, so m
 collections give m (m - 1) / 2 tables of 2 * ROWS minhashes for m * ROWS minhashes computed.  Two sets
 meet in a table when two collections agree; at similarity 0.75 they miss every table with probability
-(1 - p) ** m + m p (1 - p) ** (m - 1), p = 0.75 ** ROWS, which is 8e-8 for m = 24, ROWS = 2.
+(1 - p) ** m + m p (1 - p) ** (m - 1), p = 0.75 ** ROWS, which is 6e-7 for m = 32, ROWS = 3.
 
 1. Documents with equal sets become one representative (their smallest id), by a partial aggregation.
 2. Collection values that only one set has are dropped before pairs are formed.
@@ -13,8 +13,9 @@ meet in a table when two collections agree; at similarity 0.75 they miss every t
    nothing is lost) and then on the full sets.  Components of these links are found by alternating
    large-star / small-star rounds.
 4. What a star can miss is a link between bucket members of different components.  Those pairs are
-   compared block by block inside tasks (``BLOCK`` members to a block) on the sketches; the ones that
-   the sketches can't exclude are checked on the full sets and join the components.
+   compared block by block inside tasks (``BLOCK`` members to a block) on the sketches; a pair that the
+   sketches can't exclude is handed on by the first table in which it meets, checked on the full sets,
+   and joins the components.
 
 No pair inside a component is formed, nothing is capped, and no table or component reaches the driver.
 
@@ -37,9 +38,9 @@ from .common import _ODD, LOWER, NON_SPACE, Words, mix, packed, signed, small_ba
 SHINGLE = 5
 #: Linked when 100 * intersection >= SHARE * union.
 SHARE = 75
-COLLECTIONS, ROWS = 24, 2
+COLLECTIONS, ROWS = 32, 3
 #: Members of one block when bucket members of different components are compared.
-BLOCK = 256
+BLOCK = 512
 
 _random = np.random.default_rng(2024)
 _XOR = _random.integers(1, 2**63, COLLECTIONS * ROWS, dtype=np.uint64)
@@ -201,20 +202,23 @@ def _cells(batches):
     cell, members = None, []
 
     def close():
-        members.sort(key=lambda m: m[3])
-        for i, (p, side, comp, n, fa, sketch) in enumerate(members):
-            for q, other, comp2, n2, fa2, sketch2 in members[i + 1:]:
+        members.sort(key=lambda m: m[4])
+        for i, (t, p, side, comp, n, fa, sketch, coll) in enumerate(members):
+            for _, q, other, comp2, n2, fa2, sketch2, coll2 in members[i + 1:]:
                 if (100 + SHARE) * (n2 - n) > (100 - SHARE) * (n + n2):
                     break  # sorted by size: all further ones are larger still
                 if comp != comp2 and (side != other or side == 2) and not far_apart(n, n2, sketch, sketch2):
-                    yield (p, q, fa, fa2) if p < q else (q, p, fa2, fa)
+                    first, second = np.flatnonzero(coll == coll2)[:2]
+                    if t == first * COLLECTIONS + second:  # of all tables that the pair meets in, only the first
+                        yield (p, q, fa, fa2) if p < q else (q, p, fa2, fa)
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["a", "b", "afa", "bfa"])
 
     for batch in batches:
         out = []
-        for key, ci, cj, *member in zip(*(batch.column(i).to_pylist() for i in range(9))):
+        coll = np.asarray(batch.column(10).flatten()).reshape(-1, COLLECTIONS)
+        for key, ci, cj, *member in zip(*(batch.column(i).to_pylist() for i in range(10)), coll):
             if (key, ci, cj) != cell:
                 out += close()
                 cell, members = (key, ci, cj), []
@@ -235,8 +239,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("value")
     mine = values.join(common, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("v")).where(F.size("v") > 1)
     keys = F.flatten(F.transform("v", lambda x, i: F.transform(
-        F.slice("v", i + 2, COLLECTIONS), lambda y: F.xxhash64(x["value"], y["value"]))))
-    buckets = mine.select("id", F.explode(keys).alias("key"))
+        F.slice("v", i + 2, COLLECTIONS), lambda y: F.struct(
+            F.xxhash64(x["value"], y["value"]).alias("key"), (x["c"] * COLLECTIONS + y["c"]).alias("t")))))
+    buckets = mine.select("id", F.explode(keys).alias("b")).select("id", "b.key", "b.t")
     size = buckets.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1")
     buckets = written(buckets.join(size, "key"), "buckets")
 
@@ -245,17 +250,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = components(links)
 
     # members of a bucket that are in different components so far
-    told = buckets.join(label, "id", "left").select("key", "id", "k", F.coalesce("component", F.col("id")).alias("comp"))
+    told = buckets.join(label, "id", "left").select("key", "t", "id", "k", F.coalesce("component", F.col("id")).alias("comp"))
     mixed = told.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    rows = told.join(mixed, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = told.join(mixed, "key").join(sets.select("id", "n", "fa", "sketch", "coll"), "id")
+    rows = rows.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(sets.select("id", "n", "fa", "sketch"), "id").select(
-        "key", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "id",
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "comp", "n", "fa", "sketch")
+    rows = rows.select(
+        "key", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "t", "id",
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+        "comp", "n", "fa", "sketch", "coll")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = (rows.repartition(parts, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
-            .mapInArrow(_cells, "a long, b long, afa long, bfa long").distinct())
+            .mapInArrow(_cells, "a long, b long, afa long, bfa long"))
     more = written(verified(written(rest, "rest-pairs"), docs), "rest-links")
     if more.isEmpty():
         final = label
