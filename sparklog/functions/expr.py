@@ -107,11 +107,6 @@ def normalize_severity(severity: str | Column) -> Column:
     return F.when(s.isin("CRITICAL", "HIGH", "MEDIUM"), s).otherwise(F.lit("LOW"))
 
 
-def blank_to_null(c: str | Column) -> Column:
-    c = col(c)
-    return F.when(F.trim(c) == "", F.lit(None)).otherwise(c)
-
-
 def is_present(c: str | Column) -> Column:
     """Python truthiness of an optional string: not NULL and not empty."""
     c = col(c)

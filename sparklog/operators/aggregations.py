@@ -63,14 +63,6 @@ def logs_by_hour(logs: DataFrame) -> DataFrame:
             .agg(_n().alias("count")).orderBy(F.desc_nulls_last("hour")))
 
 
-def log_statistics(logs: DataFrame) -> DataFrame:
-    """Log statistics roll-up in one pass: total, time range, distinct sources/severities."""
-    return logs.agg(_n().alias("total_logs"),
-                    F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest"),
-                    F.countDistinct("source").cast("bigint").alias("sources"),
-                    F.countDistinct("severity").cast("bigint").alias("severities"))
-
-
 # ------------------------------------------------------------ anomaly summaries
 def anomaly_summary(anomalies: DataFrame) -> DataFrame:
     """Count and mean score per severity x algorithm."""

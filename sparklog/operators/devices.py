@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import expr as X
 from ..functions import rules as R
+from . import stats
 
 
 def _n() -> Column:
@@ -75,32 +76,28 @@ def snapshot_diff(previous: DataFrame, current: DataFrame, key: str = "device_id
     return new.unionByName(gone, allowMissingColumns=True)
 
 
-def snapshot_history_diff(snapshots: DataFrame, key: str = "device_id", snap: str = "snapshot",
-                          max_snapshots: int = 1_000_000) -> DataFrame:
+def snapshot_history_diff(snapshots: DataFrame, key: str = "device_id", snap: str = "snapshot") -> DataFrame:
     """U01 over a whole history of numbered snapshots, without a device x snapshot grid.
 
-    Snapshot ids get dense ordinals (a small, size-checked table).  For each device,
+    Snapshot ids get dense ordinals (numbered range by range).  For each device,
     ``lag``/``lead`` over the snapshots it appears in find the gaps: a device appears
     (connected) where its previous appearance is not the previous snapshot, and
     disappears (disconnected) at the snapshot after an appearance that is not
     followed by the next one.  Output rows = real events only.
     """
     snaps = snapshots.select(snap).distinct()
-    n = snaps.count()
-    if n > max_snapshots:
-        raise ValueError(f"{n} snapshots exceed the ordinal table bound {max_snapshots}")
-    ords = snaps.select(snap, (F.row_number().over(W.orderBy(snap)) - 1).alias("_o"))   # bounded: checked above
+    ords = stats.row_positions(snaps, [F.col(snap)], "pos").select(snap, F.col("pos").alias("_o"))
     by_o = ords.select(F.col("_o").alias("_eo"), F.col(snap).alias("_es"))
-    last_o = n - 1
-    present = snapshots.select(key, snap).distinct().join(F.broadcast(ords), snap)
+    last_o = ords.agg(F.max("_o")).first()[0]
+    present = snapshots.select(key, snap).distinct().join(ords, snap)
     w = W.partitionBy(key).orderBy("_o")
     g = present.withColumn("_prev", F.lag("_o").over(w)).withColumn("_next", F.lead("_o").over(w))
     conn = g.filter(F.col("_prev").isNull() | (F.col("_prev") < F.col("_o") - 1)) \
         .select(key, F.col(snap), F.lit("connected").alias("event"))
-    gone = g.filter((F.col("_next").isNull() & (F.col("_o") < last_o)) |
+    gone = g.filter((F.col("_next").isNull() & (F.col("_o") < F.lit(last_o))) |
                     (F.col("_next").isNotNull() & (F.col("_next") > F.col("_o") + 1))) \
         .select(key, (F.col("_o") + 1).alias("_eo"))
-    gone = gone.join(F.broadcast(by_o), "_eo").select(key, F.col("_es").alias(snap), F.lit("disconnected").alias("event"))
+    gone = gone.join(by_o, "_eo").select(key, F.col("_es").alias(snap), F.lit("disconnected").alias("event"))
     return conn.unionByName(gone)
 
 

@@ -100,9 +100,3 @@ def feature_frame_and_encoders(logs: DataFrame, keep=("id",), encoders=None):
     kept = [k for k in keep]
     frame = base.select(*[F.col(k) for k in kept], *[feats[n].alias(n) for n in R.FEATURE_NAMES])
     return frame, (src_codes, et_codes)
-
-
-def encoders_of(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fitted encoders (D11): code tables of sources and event types of ``logs``."""
-    base = logs.select(_unknown_if_blank("source").alias("_src"), _unknown_if_blank("event_type").alias("_et"))
-    return (ordinal_encoding(base, "_src", "source_encoded"), ordinal_encoding(base, "_et", "event_type_encoded"))

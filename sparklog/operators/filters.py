@@ -93,11 +93,6 @@ def recent_logs(logs: DataFrame, limit: int = 100) -> DataFrame:
             .select("timestamp", "source", "event_type", "severity", "message"))
 
 
-def accept_anomalies(scored: DataFrame, threshold: float = R.DEFAULT_ACCEPT_THRESHOLD) -> DataFrame:
-    """prediction -1 and score >= threshold."""
-    return scored.filter((F.col("prediction") == -1) & (F.col("anomaly_score") >= F.lit(threshold)))
-
-
 def list_anomalies(anomalies: DataFrame, logs: DataFrame, sessions: DataFrame | None = None,
                    session_id: str | None = None, severity: str | None = None, limit: int = 100) -> DataFrame:
     """F10 (+J01, J07): anomalies joined to their log, optional session lower bound and severity."""

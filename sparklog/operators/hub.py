@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import expr as X
 from ..functions import rules as R
@@ -62,15 +61,12 @@ def package_rows(anomalies: DataFrame, logs: DataFrame, top: int = 500) -> DataF
 def merge_into_hub(existing: DataFrame | None, incoming: DataFrame, imported_at=None) -> DataFrame:
     """Rows of ``incoming`` whose (original_id, source_node) the hub does not hold yet.
 
-    Incoming duplicates keep their first occurrence (earliest import batch when
-    present); message cut to 500.  Returns the rows to append.
+    Of incoming duplicates the earliest import batch stays (ties and no batch: the smallest row), chosen
+    by a partial aggregation; message cut to 500.  Returns the rows to append.
     """
-    inc = incoming
-    if "import_batch" in inc.columns:
-        w = W.partitionBy(*HUB_KEY).orderBy("import_batch")
-        inc = inc.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    else:
-        inc = inc.dropDuplicates(HUB_KEY)
+    rest = [c for c in incoming.columns if c not in HUB_KEY and c != "import_batch"]
+    first = [c for c in ("import_batch",) if c in incoming.columns]
+    inc = incoming.groupBy(*HUB_KEY).agg(F.min(F.struct(*first, *rest)).alias("_r")).select(*HUB_KEY, "_r.*").select(*incoming.columns)
     if existing is not None:
         inc = inc.join(existing.select(*HUB_KEY), HUB_KEY, "left_anti")
     inc = inc.withColumn("message", F.substring(F.coalesce("message", F.lit("")), 1, R.CAP_HUB_MESSAGE))
@@ -109,43 +105,22 @@ def cross_node_correlations(hub: DataFrame, min_nodes: int = 2) -> DataFrame:
             .orderBy(F.desc("node_count"), F.desc("total_hits"), "mitre_technique_id"))
 
 
-def tactic_heatmap_long(hub: DataFrame, max_cells: int = 10_000_000) -> DataFrame:
+def tactic_heatmap_long(hub: DataFrame) -> DataFrame:
     """A31 long form: every (node, tactic) pair of the observed sets, zero-filled.
 
-    The spine is nodes x tactics of the *observed* distinct sets — both are small
-    dimension sets (checked), joined with the per-pair counts.
+    The spine is nodes x tactics of the *observed* distinct sets (the zero-filled matrix is the feature),
+    joined with the per-pair counts.
     """
     h = hub.filter(F.col("mitre_tactic").isNotNull())
     counts = h.groupBy("source_node", "mitre_tactic").agg(_n().alias("count"))
     nodes = h.select("source_node").distinct()
     tactics = h.select("mitre_tactic").distinct()
-    # the zero-filled matrix is the feature: its size is nodes x tactics, so check it first
-    n_nodes, n_tactics = nodes.count(), tactics.count()
-    if n_nodes * n_tactics > max_cells:
-        raise ValueError(f"heatmap of {n_nodes} x {n_tactics} cells exceeds {max_cells}; use the sparse counts")
-    spine = nodes.crossJoin(F.broadcast(tactics))
+    spine = nodes.crossJoin(tactics)
     return (spine.join(counts, ["source_node", "mitre_tactic"], "left")
             .select("source_node", "mitre_tactic", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def tactic_heatmap_wide(hub: DataFrame) -> DataFrame:
-    """A31 wide form: one row per node, one column per tactic (pivot), zeros filled."""
-    h = hub.filter(F.col("mitre_tactic").isNotNull())
-    return h.groupBy("source_node").pivot("mitre_tactic").count().na.fill(0)
-
-
 def node_threat_level(total_anomalies: Column, total_logs: Column) -> Column:
     """CLEAN when no anomalies, else by anomaly rate .20 / .10 / .05."""
     rate = total_anomalies / F.greatest(total_logs, F.lit(1))
     return F.when(total_anomalies == 0, F.lit("CLEAN")).otherwise(X.scale(rate, R.NODE_RATE_LEVELS, "LOW"))
-
-
-def registry_snapshot(hub: DataFrame, logs_per_node: DataFrame, status: str = "inactive") -> DataFrame:
-    """Node registry rows derived from hub contents (one per node)."""
-    t = hub.groupBy("source_node").agg(_n().alias("total_anomalies"), F.max("imported_at").alias("last_sync"))
-    return (t.join(logs_per_node, "source_node", "left")
-            .select(F.col("source_node").alias("node_id"),
-                    F.concat(F.lit("host-"), F.col("source_node")).alias("hostname"),
-                    F.lit(status).alias("status"),
-                    F.coalesce("total_logs", F.lit(0)).cast("bigint").alias("total_logs"),
-                    "total_anomalies", "last_sync"))

@@ -147,7 +147,7 @@ def accepted_anomalies(scored: DataFrame, techniques: DataFrame, algorithm: str,
                        threshold: float = R.DEFAULT_ACCEPT_THRESHOLD, detected_at=None,
                        session_id: str | None = None) -> DataFrame:
     """F09 + G01 + D14 + M01: the anomaly rows of a scored frame."""
-    acc = scored.filter((F.col("prediction") == -1) & (F.col("anomaly_score") >= F.lit(threshold)))
+    acc = scored.filter((F.col("prediction") == -1) & (F.col("anomaly_score") >= F.lit(threshold)))  # F09
     feat_map = F.create_map(*[x for n in R.FEATURE_NAMES for x in (F.lit(n), F.col(n))])
     acc = acc.select(
         F.col("id").alias("log_id"), "anomaly_score", F.lit(algorithm).alias("algorithm"),

@@ -20,6 +20,7 @@ from ..operators import hub as H
 from ..operators import joins as J
 from ..operators import mitre as M
 from ..operators import reports as RP
+from ..operators import windows as WN
 from ..sources.testdata import AS_OF
 from .catalog import query
 
@@ -580,10 +581,9 @@ SELECT CAST(row_number() OVER (ORDER BY "timestamp" DESC, id DESC) AS BIGINT) AS
 
 
 def _w01(t):
-    from pyspark.sql import Window as W
-    r = FL.search_logs(t.logs, "refused", ["message"]).orderBy(F.desc("timestamp"), F.desc("id")).limit(200)
-    return r.select((F.row_number().over(W.orderBy(F.desc("timestamp"), F.desc("id")))).cast("bigint").alias("display_id"),
-                    "id", "timestamp", "source", "message")
+    order = [F.desc("timestamp"), F.desc("id")]
+    r = FL.search_logs(t.logs, "refused", ["message"]).orderBy(*order).limit(200)
+    return WN.display_ids(r, order).select("display_id", "id", "timestamp", "source", "message")
 
 
 query("w03_counter_rates", """

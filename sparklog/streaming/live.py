@@ -121,6 +121,11 @@ class RecentBuffer:
         return df.limit(limit) if limit else df
 
 
+def metric_ring(path: str, order_cols: list[str]) -> RecentBuffer:
+    """The ring of the newest metric samples (an hour at one sample a second)."""
+    return RecentBuffer(path, order_cols, R.METRIC_RING)
+
+
 # ------------------------------------------------------------------ versions of a small state table
 class Versions:
     """A table kept as numbered, committed versions under one folder; older versions are removed."""

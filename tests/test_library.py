@@ -34,6 +34,37 @@ def test_sync_package_round_trip_is_idempotent(spark, t, tmp_path):
     assert again.count() == 0
 
 
+def test_guard_looks_outside_literals_and_at_functions(spark):
+    assert FL.validate_select("SELECT id FROM logs WHERE message = 'failed to SET; -- x'")
+    for bad in ("SELECT reflect('java.lang.System','getProperty','user.dir')", "SELECT * FROM parquet.`/tmp/x`",
+                "SELECT 1; SELECT 2", "SELECT * FROM logs -- x"):
+        with pytest.raises(ValueError):
+            FL.validate_select(bad)
+
+
+def test_two_snapshots(spark):
+    from sparklog.operators import devices as DV
+    a, b = (spark.createDataFrame([(i,) for i in ids], "device_id string") for ids in ("xy", "yz"))
+    assert sorted(map(tuple, DV.snapshot_diff(a, b).collect())) == [("x", "disconnected"), ("z", "connected")]
+
+
+def test_append_raises_on_a_damaged_table(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "part-0.parquet").write_bytes(b"not parquet")
+    rows = spark.range(3).select(F.lit(None).cast("timestamp").alias("timestamp"), F.col("id").alias("line_number"))
+    with pytest.raises(Exception):
+        SK.append_logs(rows, str(tmp_path / "logs"))
+
+
+def test_tables_are_read_where_they_are(spark, tmp_path):
+    from sparklog.sources.testdata import tables
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ev.limit(700).write.parquet(str(tmp_path / "events.parquet"))
+    assert tables(spark, str(tmp_path)).events.count() == 700
+    ev.limit(300).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert tables(spark, str(tmp_path)).events.count() == 300
+
+
 def test_guarded_sql(spark, t):
     t.logs.createOrReplaceTempView("logs")
     assert FL.guarded_sql(spark, "SELECT id FROM logs").count() <= 1000

@@ -70,6 +70,11 @@ def test_recent_buffer_keeps_newest(spark, tmp_path):
         buf(spark.range(lo, lo + 4).withColumnRenamed("id", "seq"), epoch)
     assert [r.seq for r in buf.snapshot(spark).collect()] == [13, 12, 11, 10, 6]
     assert [r.seq for r in buf.snapshot(spark, 2).collect()] == [13, 12]
+    ring = L.metric_ring(str(tmp_path / "ring"), ["seq"])
+    for epoch in range(6):  # older versions go
+        ring(spark.range(epoch * 1000, (epoch + 1) * 1000).withColumnRenamed("id", "seq"), epoch)
+    assert ring.snapshot(spark).count() == 3600 and ring.snapshot(spark).agg(F.min("seq")).first()[0] == 2400
+    assert len([p for p in (tmp_path / "ring").iterdir() if p.name.startswith("v=")]) == 3
 
 
 def test_logs_per_hour_stream_equals_batch(spark, sf_small, tmp_path):
