@@ -122,6 +122,23 @@ def technique_summary(anomalies: DataFrame, techniques: DataFrame) -> DataFrame:
             .orderBy(F.desc("detections"), "id"))
 
 
+def technique_totals(summary: DataFrame) -> DataFrame:
+    """A10 totals over ``technique_summary``: the sorted tactics and all detections (one row)."""
+    return summary.agg(F.array_join(F.array_sort(F.collect_set("tactic")), ",").alias("tactics"),
+                       F.coalesce(F.sum("detections"), F.lit(0)).cast("bigint").alias("total_detections"))
+
+
+def matrix_techniques(matrix: DataFrame) -> DataFrame:
+    """A11 nested list of ``attack_matrix`` as rows: tactic, technique, detected, detections."""
+    return matrix.select("tactic", F.explode("techniques").alias("t")).select("tactic", "t.*")
+
+
+def matrix_totals(matrix: DataFrame) -> DataFrame:
+    """A11 grand totals (one row)."""
+    return matrix.agg(F.coalesce(F.sum("total_techniques"), F.lit(0)).cast("bigint").alias("total_techniques"),
+                      F.coalesce(F.sum("detected_techniques"), F.lit(0)).cast("bigint").alias("total_detected"))
+
+
 def attack_matrix(techniques: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Per tactic, total and detected techniques plus the nested technique list."""
     det = (anomalies.filter(F.col("mitre_technique_id").isNotNull())
@@ -206,6 +223,13 @@ def report_header(logs: DataFrame, anomalies: DataFrame) -> DataFrame:
                                                  .otherwise(F.col("total_anomalies") / F.col("total_logs") * 100.0))))
 
 
+def report_periods(sessions: DataFrame) -> DataFrame:
+    """A21 analysis period of every session: 'start to end', or 'start to Present'."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return sessions.select("session_id", F.concat(text("start_time"), F.lit(" to "), F.coalesce(text("end_time"), F.lit("Present")))
+                           .alias("analysis_period"))
+
+
 def risk_index(anomalies: DataFrame) -> DataFrame:
     """Weighted severity index 0-100 (half-even rounding) and its label."""
     weight = X.lookup(R.RISK_INDEX_WEIGHTS, F.col("severity"), 0)
@@ -307,7 +331,13 @@ def listed_severity(anomalies: DataFrame, limit: int = 100) -> DataFrame:
     return listed.groupBy("severity").agg(_n().alias("count")).orderBy(F.desc("count"), "severity")
 
 
-def threat_summary(threats: DataFrame, top: int = 5) -> DataFrame:
+def top_affected_systems(threats: DataFrame, top: int = 5) -> DataFrame:
+    """The systems named by most threats (ties: name order), at most ``top``."""
+    return (threats.select(F.explode("affected_systems").alias("system")).groupBy("system").agg(_n().alias("threats"))
+            .orderBy(F.desc("threats"), "system").limit(top))
+
+
+def threat_summary(threats: DataFrame) -> DataFrame:
     """Totals by severity and category, mean confidence, time range (one row)."""
     by_sev = threats.groupBy("severity").agg(_n().alias("n"))
     by_cat = threats.groupBy("category").agg(_n().alias("n"))

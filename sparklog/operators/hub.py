@@ -90,6 +90,11 @@ def node_totals(hub: DataFrame) -> DataFrame:
         F.max("imported_at").alias("last_sync"))
 
 
+def hub_totals(hub: DataFrame) -> DataFrame:
+    """A29 totals over ``node_totals`` rows: nodes and anomalies (one row)."""
+    return node_totals(hub).agg(_n().alias("total_nodes"), F.coalesce(F.sum("total_anomalies"), F.lit(0)).cast("bigint").alias("total_anomalies"))
+
+
 def cross_node_correlations(hub: DataFrame, min_nodes: int = 2) -> DataFrame:
     """Techniques seen on >= ``min_nodes`` nodes with hits, node list, score, first/last seen."""
     g = (hub.filter(F.col("mitre_technique_id").isNotNull())

@@ -347,6 +347,24 @@ SELECT t.tactic, CAST(count(*) AS BIGINT) AS total_techniques,
 FROM mitre_techniques t LEFT JOIN det d ON d.technique_id = t.technique_id GROUP BY t.tactic
 """)(lambda t: A.attack_matrix(t.techniques, t.anomalies).drop("techniques"))
 
+query("a10_technique_totals", """
+SELECT string_agg(DISTINCT coalesce(a.mitre_tactic, mt.tactic, 'Unknown'), ',' ORDER BY coalesce(a.mitre_tactic, mt.tactic, 'Unknown')) AS tactics,
+       CAST(count(*) AS BIGINT) AS total_detections
+FROM anomalies a LEFT JOIN mitre_techniques mt ON a.mitre_technique_id = mt.technique_id WHERE a.mitre_technique_id IS NOT NULL
+""")(lambda t: A.technique_totals(A.technique_summary(t.anomalies, t.techniques)))
+
+query("a11_attack_matrix_techniques", """
+, det AS (SELECT mitre_technique_id AS technique_id, count(*) AS n FROM anomalies WHERE mitre_technique_id IS NOT NULL GROUP BY 1)
+SELECT t.tactic, t.technique_id, t.technique_name, d.n IS NOT NULL AS detected, CAST(coalesce(d.n, 0) AS BIGINT) AS detection_count
+FROM mitre_techniques t LEFT JOIN det d ON d.technique_id = t.technique_id
+""")(lambda t: A.matrix_techniques(A.attack_matrix(t.techniques, t.anomalies)))
+
+query("a11_attack_matrix_totals", """
+SELECT CAST(count(*) AS BIGINT) AS total_techniques,
+       CAST(count(*) FILTER (WHERE technique_id IN (SELECT mitre_technique_id FROM anomalies)) AS BIGINT) AS total_detected
+FROM mitre_techniques
+""")(lambda t: A.matrix_totals(A.attack_matrix(t.techniques, t.anomalies)))
+
 query("a12_detected_tactics", """
 SELECT DISTINCT mitre_tactic AS tactic FROM anomalies WHERE mitre_tactic IS NOT NULL
 """)(lambda t: M.all_tactics(t.anomalies.filter(F.col("mitre_tactic").isNotNull())
@@ -472,6 +490,11 @@ SELECT source_node, CAST(count(*) AS BIGINT) AS total_anomalies,
 FROM hub GROUP BY source_node
 """)(lambda t: H.node_totals(H.hub_state(t.hub_anomalies)))
 
+query("a29_hub_totals", f"""
+, {HUB_SQL}
+SELECT CAST(count(DISTINCT source_node) AS BIGINT) AS total_nodes, CAST(count(*) AS BIGINT) AS total_anomalies FROM hub
+""")(lambda t: H.hub_totals(H.hub_state(t.hub_anomalies)))
+
 query("a30_cross_node_correlations", f"""
 , {HUB_SQL}
 SELECT mitre_technique_id, mitre_tactic, CAST(count(DISTINCT source_node) AS BIGINT) AS node_count,

@@ -267,6 +267,13 @@ def _a39(t):
                     F.coalesce(F.try_element_at("by_severity", F.lit("MEDIUM")), F.lit(0)).cast("bigint").alias("n_medium"))
 
 
+query("a39_top_systems", """
+SELECT l.hostname AS system, CAST(count(*) AS BIGINT) AS threats FROM anomalies a JOIN logs l ON a.log_id = l.id
+WHERE l.hostname IS NOT NULL AND l.hostname <> '' GROUP BY 1 ORDER BY threats DESC, system LIMIT 5
+""")(lambda t: A.top_affected_systems(C.classify_threats(
+    t.logs.join(t.anomalies.select(F.col("log_id").alias("_aid"), "anomaly_score"), t.logs["id"] == F.col("_aid")))))
+
+
 query("l06_recent_sessions", """
 , cnt AS (SELECT s.session_id, count(a.id) AS n FROM analysis_sessions s LEFT JOIN anomalies a
             ON a.detected_at >= s.start_time AND a.detected_at <= coalesce(s.end_time, TIMESTAMP '2024-01-31 00:00:00')

@@ -135,3 +135,11 @@ def test_bucketed_session_join_equals_a_loop(t):
     ends = [(s.session_id, s.start_time, s.end_time or AS_OF) for s in t.sessions.collect()]
     big = {(r.id, i) for r in a.collect() for i, lo, hi in ends if lo <= r.detected_at <= hi}
     assert small == big and len(small) > 0
+
+
+def test_report_periods(spark):
+    from sparklog.operators import aggregations as A
+    s = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2, 3, 4, 5)), ("b", dt.datetime(2024, 1, 3), None)],
+                              "session_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    assert {r.session_id: r.analysis_period for r in A.report_periods(s).collect()} == {
+        "a": "2024-01-01 00:00:00 to 2024-01-02 03:04:05", "b": "2024-01-03 00:00:00 to Present"}
