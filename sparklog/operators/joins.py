@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import expr as X
+from . import stats
 
 BROADCAST_ROWS = 1_000_000
 
@@ -78,30 +79,30 @@ def assign_sessions(df: DataFrame, sessions: DataFrame, as_of, ts_col: str = "de
             .join(days, ["_day"], "inner").filter(cond).drop("_day"))
 
 
-def latest_connect_asof(device_events: DataFrame, bucket: str = "day") -> DataFrame:
+def latest_connect_asof(device_events: DataFrame) -> DataFrame:
     """Each disconnect takes the latest earlier connect of the same device.
 
-    Skew-safe two-level form: a device may hold a third of all rows, so the
-    window is partitioned by (device, time bucket), not by device alone.
+    Skew-safe two-level form: a device may hold a third of all rows, so events are
+    range-partitioned by (device, time) and the window is per (device, range).
 
-    1. inside each (device, bucket): ``last(connect_time, ignorenulls)`` over the
+    1. inside each (device, range): ``last(connect_time, ignorenulls)`` over the
        preceding rows;
-    2. per (device, bucket): the bucket's last connect (a partial/final aggregate,
+    2. per (device, range): the range's last connect (a partial/final aggregate,
        combined map-side);
-    3. per device, over its buckets only (a small table): the last connect of the
-       earlier buckets, carried forward;
-    4. connected_at = in-bucket value, else the carried value.
+    3. per device, over its ranges only (a small table): the last connect of the
+       earlier ranges, carried forward;
+    4. connected_at = in-range value, else the carried value.
 
     Duration = seconds between them, rounded to 2.
     """
-    ev = device_events.withColumn("_b", F.date_trunc(bucket, F.col("event_time")))
+    ev = stats.in_ranges(device_events, ["device_id", "event_time", "seq"])
     conn_ts = F.when(F.col("event") == "connected", F.col("event_time"))
-    w_in = W.partitionBy("device_id", "_b").orderBy("event_time", "seq").rowsBetween(W.unboundedPreceding, -1)
+    w_in = W.partitionBy("device_id", "_p").orderBy("event_time", "seq").rowsBetween(W.unboundedPreceding, -1)
     ev = ev.withColumn("_in", F.last(conn_ts, ignorenulls=True).over(w_in))
-    buckets = ev.groupBy("device_id", "_b").agg(F.max(conn_ts).alias("_last"))
-    w_dev = W.partitionBy("device_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = buckets.select("device_id", "_b", F.last("_last", ignorenulls=True).over(w_dev).alias("_carry"))
-    d = ev.filter(F.col("event") == "disconnected").join(carry, ["device_id", "_b"], "left")
+    parts = ev.groupBy("device_id", "_p").agg(F.max(conn_ts).alias("_last"))
+    w_dev = W.partitionBy("device_id").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carry = parts.select("device_id", "_p", F.last("_last", ignorenulls=True).over(w_dev).alias("_carry"))
+    d = ev.filter(F.col("event") == "disconnected").join(carry, ["device_id", "_p"], "left")
     connected = F.coalesce("_in", "_carry")
     secs = (F.unix_micros(F.col("event_time").cast("timestamp")) -
             F.unix_micros(connected.cast("timestamp"))) / 1e6

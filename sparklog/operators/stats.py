@@ -67,6 +67,16 @@ def exact_percentile(df: DataFrame, col: str, p: float) -> float | None:
     return exact_percentiles(df, [col], [p])[col][0]
 
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` range-partitioned by ``order`` with the range's number in ``_p``.
+
+    Ranges hold about equally many rows whatever the keys, so a window by (key, ``_p``) never holds more
+    than one range of a hot key; numbers rise along the order, so per-range results can be carried on.
+    Checkpointed, because the numbers must not change between reads.
+    """
+    return df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+
+
 def row_positions(df: DataFrame, order_cols: list[Column], pos_col: str = "pos") -> DataFrame:
     """0-based position of every row in the total order ``order_cols``.
 

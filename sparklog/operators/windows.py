@@ -19,40 +19,35 @@ def display_ids(limited: DataFrame, order_cols: list[Column], out: str = "displa
     return limited.withColumn(out, F.row_number().over(W.orderBy(*order_cols)).cast("bigint"))
 
 
-def running_counter(df: DataFrame, key: str, order: list[str], value: str, out: str = "counter",
-                    bucket: str = "day") -> DataFrame:
+def running_counter(df: DataFrame, key: str, order: list[str], value: str, out: str = "counter") -> DataFrame:
     """Running sum of ``value`` per key — a monotone counter like a byte or packet total.
 
-    Skew-safe: the running sum runs inside (key, time bucket) windows and adds the
-    totals of the key's earlier buckets (a small per-bucket table), so a hot key is
-    spread over its buckets instead of one task.  ``order[0]`` is the time column.
+    Skew-safe: rows are range-partitioned by (key, order); the running sum runs inside (key, range) windows and
+    adds the totals of the key's earlier ranges (a small per-range table), so a hot key is spread over ranges.
     """
-    d = df.withColumn("_b", F.date_trunc(bucket, F.col(order[0])))
-    w_in = W.partitionBy(key, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = stats.in_ranges(df, [key, *order])
+    w_in = W.partitionBy(key, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("_in", F.sum(value).over(w_in))
-    tot = d.groupBy(key, "_b").agg(F.sum(value).alias("_t"))
-    w_prev = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = tot.select(key, "_b", F.coalesce(F.sum("_t").over(w_prev), F.lit(0)).alias("_c"))
-    return d.join(carry, [key, "_b"]).withColumn(out, F.col("_c") + F.col("_in")).drop("_b", "_in", "_c")
+    tot = d.groupBy(key, "_p").agg(F.sum(value).alias("_t"))
+    w_prev = W.partitionBy(key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carry = tot.select(key, "_p", F.coalesce(F.sum("_t").over(w_prev), F.lit(0)).alias("_c"))
+    return d.join(carry, [key, "_p"]).withColumn(out, F.col("_c") + F.col("_in")).drop("_p", "_in", "_c")
 
 
-def counter_rate(df: DataFrame, key: str, order: list[str], counter: str, out: str = "rate",
-                 bucket: str = "day") -> DataFrame:
+def counter_rate(df: DataFrame, key: str, order: list[str], counter: str, out: str = "rate") -> DataFrame:
     """Difference to the previous sample of the same key, clamped at 0 (first sample NULL).
 
-    Skew-safe like ``running_counter``: ``lag`` inside (key, bucket); the first
-    sample of a bucket takes the last sample of the key's previous non-empty bucket
-    (``max_by`` per bucket, carried over a window of the small per-bucket table).
+    Skew-safe like ``running_counter``: ``lag`` inside (key, range); the first sample of a range takes the last
+    sample of the key's earlier ranges (``max_by`` per range, carried over a small per-range table).
     """
-    d = df.withColumn("_b", F.date_trunc(bucket, F.col(order[0])))
-    w_in = W.partitionBy(key, "_b").orderBy(*order)
-    d = d.withColumn("_prev", F.lag(counter).over(w_in))
-    last = d.groupBy(key, "_b").agg(F.max_by(counter, F.struct(*order)).alias("_l"))
-    w_prev = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = last.select(key, "_b", F.last("_l", ignorenulls=True).over(w_prev).alias("_c"))
-    d = d.join(carry, [key, "_b"])
+    d = stats.in_ranges(df, [key, *order])
+    d = d.withColumn("_prev", F.lag(counter).over(W.partitionBy(key, "_p").orderBy(*order)))
+    last = d.groupBy(key, "_p").agg(F.max_by(counter, F.struct(*order)).alias("_l"))
+    w_prev = W.partitionBy(key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carry = last.select(key, "_p", F.last("_l", ignorenulls=True).over(w_prev).alias("_c"))
+    d = d.join(carry, [key, "_p"])
     prev = F.coalesce(F.col("_prev"), F.col("_c"))
-    return d.withColumn(out, F.greatest(F.col(counter) - prev, F.lit(0.0))).drop("_b", "_prev", "_c")
+    return d.withColumn(out, F.greatest(F.col(counter) - prev, F.lit(0.0))).drop("_p", "_prev", "_c")
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -169,7 +169,7 @@ class DevicePairing:
     A disconnect is answered once the watermark (greatest event time seen, less ``delay``) has passed it, so
     events may arrive out of order, within and across micro-batches, by up to ``delay``.  The state is a table:
     events the watermark has not passed, and each device's last connect before it.  The pairing itself is the
-    batch as-of join (windows inside (device, day), no Python, no device in one group).  Batches write
+    batch as-of join (windows inside (device, range), no Python, no device in one group).  Batches write
     ``out/epoch=<n>``, so a repeated epoch replaces its own rows.  ``finish`` answers what is still held when
     the stream has ended.
     """
