@@ -19,6 +19,7 @@ aggregates; scoring itself is a narrow projection.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -255,11 +256,9 @@ def forest_fit(feats: DataFrame, names=FEATURES, n_trees: int = R.ISOLATION_TREE
             .applyInPandas(_tree_builder(list(names), seed), FOREST_SCHEMA))
 
 
-def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_size: int = R.ISOLATION_SAMPLE,
-                 out: str = "if_score", max_nodes: int = 2_000_000) -> DataFrame:
-    """Anomaly score 2^(-E[h(x)]/c(psi)) of every row, then min-max scaled (the
-    contamination offset of the reference cancels in the scaling).  Columns of
-    ``feats`` pass through, so no join back on the id is needed."""
+def forest_raw(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_size: int = R.ISOLATION_SAMPLE,
+               out: str = "_if_score_raw", max_nodes: int = 2_000_000) -> DataFrame:
+    """``feats`` with the anomaly score 2^(-E[h(x)]/c(psi)) of every row; only the features go to Python."""
     # bounded by construction: trees x (2 x sample - 1) nodes; re-checked after collection
     nodes = forest.orderBy("tree", "node").limit(max_nodes + 1).toPandas()
     if len(nodes) > max_nodes:
@@ -273,9 +272,9 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_siz
     c_psi = _c(min(sample_size, max(psi, 1))) or 1.0
     bc = feats.sparkSession.sparkContext.broadcast((trees, c_psi))
     names = list(names)
-    raw_col = f"_{out}_raw"
 
-    def score(it):
+    @F.pandas_udf("double")
+    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         trees_, cpsi = bc.value
         # path length of every node if it were the leaf: depth + c(size), computed once per tree
         prepared = [(feat, thr, lch, rch, dep + np.array([_c(int(z)) for z in size]))
@@ -293,14 +292,26 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_siz
                     node[ia] = np.where(go_left, lch[nd], rch[nd])
                     active = feat[node] >= 0
                 total += path_len[node]
-            s = np.power(2.0, -(total / max(len(prepared), 1)) / cpsi)
-            yield pdf.assign(**{raw_col: s})
+            yield pd.Series(np.power(2.0, -(total / max(len(prepared), 1)) / cpsi))
 
-    schema = T.StructType(feats.schema.fields + [T.StructField(raw_col, T.DoubleType())])
-    # the Python scorer runs once: its output is kept for the min/max pass and the consumers
-    raw = feats.mapInPandas(score, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    raw.count()   # materialise before the min/max pass and the consumers read it (no concurrent re-scoring)
-    return _minmax(raw, raw_col, out).drop(raw_col)
+    return feats.withColumn(out, score(F.struct(*names)))
+
+
+def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, out: str = "if_score") -> DataFrame:
+    """The raw score min-max scaled over the population (the reference's contamination offset cancels)."""
+    return scaled(forest_raw(feats, forest, names, out=f"_{out}_raw"), {f"_{out}_raw": out})
+
+
+def scaled(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Raw member scores min-max scaled: {raw column: scaled column}.  The Python scorers run once: their
+    output is kept for the one min/max pass and the consumers."""
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    bounds = raw.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))])
+    out = raw.join(F.broadcast(bounds), F.lit(True), "inner")  # one row
+    for c, name in columns.items():
+        span = F.col(f"hi_{c}") - F.col(f"lo_{c}")
+        out = out.withColumn(name, F.when(span > 0, (F.col(c) - F.col(f"lo_{c}")) / span).otherwise(F.lit(0.0)))
+    return out.drop(*bounds.columns, *columns)
 
 
 # ------------------------------------------------------------------ D04 one-class SVM (RFF)
@@ -360,25 +371,25 @@ def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: in
             "n_components": n_components}
 
 
-def svm_score(feats: DataFrame, model: dict, names=FEATURES, out: str = "svm_score") -> DataFrame:
-    """-(decision function) of every row, min-max scaled; columns of ``feats`` pass through."""
+def svm_raw(feats: DataFrame, model: dict, names=FEATURES, out: str = "_svm_score_raw") -> DataFrame:
+    """``feats`` with -(decision function) of every row; only the features go to Python."""
     bc = feats.sparkSession.sparkContext.broadcast(model)
     names = list(names)
-    raw_col = f"_{out}_raw"
 
-    def score(it):
+    @F.pandas_udf("double")
+    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         m = bc.value
         scale = math.sqrt(2.0 / m["n_components"])
         for pdf in it:
             x = (pdf[names].to_numpy(dtype=np.float64) - m["mean"]) / m["std"]
-            z = scale * np.cos(x @ m["w_rff"] + m["b_rff"])
-            dec = z @ m["w"] - m["rho"]
-            yield pdf.assign(**{raw_col: -dec})
-
-    schema = T.StructType(feats.schema.fields + [T.StructField(raw_col, T.DoubleType())])
-    raw = feats.mapInPandas(score, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    raw.count()   # materialise before the min/max pass and the consumers read it (no concurrent re-scoring)
-    return _minmax(raw, raw_col, out).drop(raw_col)
+            yield pd.Series(m["rho"] - scale * np.cos(x @ m["w_rff"] + m["b_rff"]) @ m["w"])
+
+    return feats.withColumn(out, score(F.struct(*names)))
+
+
+def svm_score(feats: DataFrame, model: dict, names=FEATURES, out: str = "svm_score") -> DataFrame:
+    """The raw score min-max scaled over the population."""
+    return scaled(svm_raw(feats, model, names, out=f"_{out}_raw"), {f"_{out}_raw": out})
 
 
 # ------------------------------------------------------------------ D13-D15 explanations

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def merge_catalogues(left: DataFrame, right: DataFrame, key: str, subset: list[str] | None = None) -> DataFrame:
@@ -13,5 +12,5 @@ def merge_catalogues(left: DataFrame, right: DataFrame, key: str, subset: list[s
     u = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)), allowMissingColumns=True)
     if subset is not None:
         u = u.filter(F.col(key).isin(*subset))
-    w = W.partitionBy(key).orderBy(F.desc("side"))
-    return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in u.columns if c not in (key, "side")]
+    return u.groupBy(key).agg(F.max(F.struct("side", *rest)).alias("_r")).select(key, "_r.*").select(*u.columns)

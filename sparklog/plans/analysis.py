@@ -115,16 +115,29 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
             model.zparams = D.zscore_fit(feats).persist(StorageLevel.MEMORY_AND_DISK)
         feats = D.zscore_score(feats, model.zparams)
         members.append("statistical")
+    failed, raw, base = [], {}, feats
     if algorithm in ("isolation_forest", "ensemble"):
-        if model.forest is None:
-            model.forest = D.forest_fit(feats, n=n_rows).persist(StorageLevel.MEMORY_AND_DISK)
-        feats = D.forest_score(feats, model.forest)
-        members.append("isolation_forest")
+        try:
+            if model.forest is None:
+                model.forest = D.forest_fit(base, n=n_rows).persist(StorageLevel.MEMORY_AND_DISK)
+            feats = D.forest_raw(feats, model.forest)
+            raw["_if_score_raw"] = "if_score"
+            members.append("isolation_forest")
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError):  # a member that can't be fitted counts 0
+            failed.append("isolation_forest")
+            feats = feats.withColumn("if_score", F.lit(0.0))
     if algorithm in ("one_class_svm", "ensemble"):
-        if model.svm is None:
-            model.svm = D.svm_fit(feats)
-        feats = D.svm_score(feats, model.svm)
-        members.append("one_class_svm")
+        try:
+            if model.svm is None:
+                model.svm = D.svm_fit(base)
+            feats = D.svm_raw(feats, model.svm)
+            raw["_svm_score_raw"] = "svm_score"
+            members.append("one_class_svm")
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+            failed.append("one_class_svm")
+            feats = feats.withColumn("svm_score", F.lit(0.0))
+    if raw:
+        feats = D.scaled(feats, raw)
     col_of = {"statistical": "stat_score", "isolation_forest": "if_score", "one_class_svm": "svm_score",
               "keyword": "keyword_score"}
     if algorithm == "ensemble":
@@ -140,7 +153,7 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
         blended = blended.persist(StorageLevel.MEMORY_AND_DISK)
     final, n = D.redistribute(blended, "combined", "anomaly_score", return_count=True)
     scored, thr = D.percentile_cut(final, "anomaly_score", n=n, approx_accuracy=approx_accuracy)
-    return scored, {"algorithm": algorithm, "percentile_threshold": thr, "members": members}, model
+    return scored, {"algorithm": algorithm, "percentile_threshold": thr, "members": members, "failed": failed}, model
 
 
 def accepted_anomalies(scored: DataFrame, techniques: DataFrame, algorithm: str,
