@@ -6,14 +6,14 @@ start in a document with a smaller id are removed.
 1. Anchors.  Of the ``ANCHOR``-word grams inside a window the one with the smallest hash stands for the
    window, so equal windows have equal anchors.  One pass counts on how many documents an anchor falls
    (partial aggregation); an anchor of one document can't belong to a repeated window.
-2. Documents get back the places of their repeated anchors and cut out, per place, the segment of words
-   that its windows cover.  Only these segments can hold a repeated window; they are streamed, each to the
+2. Documents get back their repeated anchors and cut out, per place of one, the segment of words that its
+   windows cover.  Only these segments can hold a repeated window; they are streamed, each to the
    shard of its anchor.
 3. A shard confirms the windows that occur in two documents or more, compiles them into an Aho-Corasick
    automaton (a letter per word, built with pyahocorasick, a bounded number of segments at a time) and
    runs every segment through it: each occurrence is located, and those that have a smaller document
    elsewhere are hits.
-4. An anchor of more than ``HOT`` occurrences (a line or passage that a great part of all documents
+4. An anchor of more than ``HOT`` documents (a line or passage that a great part of all documents
    shares) would fill one shard.  Its windows are confirmed one by one instead, by a partial aggregation
    on the window itself, and the occurrences are joined back (a skewed join is split by Spark).  Both
    ways find every occurrence.
@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, SAME, Words, packed, signed, small_batches, table, text_chunks, unpacked, written
+from .common import _ODD, NON_SPACE, SAME, Words, mix, packed, signed, small_batches, table, text_chunks, unpacked, written
 
 WINDOW = 13
 ANCHOR = 5
-#: Occurrences of an anchor above which its windows are confirmed one by one.
+#: Documents of an anchor above which its windows are confirmed one by one.
 HOT = 2000
 #: Segments compiled into one automaton (whole anchors; fewer than this plus ``HOT``).
 SHARD_SEGMENTS = 20_000
@@ -49,7 +49,6 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(words.hash)
     if n < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    from .common import _ODD, mix
     grams = np.zeros(n - ANCHOR + 1, np.uint64)
     for k in range(ANCHOR):
         grams += words.hash[k:k + len(grams)] * _ODD[k]
@@ -64,108 +63,158 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, start + at[start], grams
 
 
+def _by_row(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """One key per (row, value)."""
+    return mix(value + mix(row.astype(np.uint64) + np.uint64(1)))
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(g, doc_id, pos): every anchor of every document."""
+    """(g, doc_id): the anchors of every row, each once."""
     def find(batches):
         for batch in batches:
             for rows, data, offsets in text_chunks(batch):
                 words = Words(data, offsets, NON_SPACE, SAME)
                 _, anchor, grams = _anchors(words)
                 at = anchor[np.flatnonzero(np.diff(anchor, prepend=-1))]  # anchors never move back
-                doc = words.doc[at]
+                at = at[np.unique(_by_row(words.doc[at], grams[at]), return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(grams[at])), rows.column(0).take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
-                    ["g", "doc_id", "pos"])
+                    [pa.array(signed(grams[at])), rows.column(0).take(pa.array(words.doc[at]))], ["g", "doc_id"])
+
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(find, "g long, doc_id long")
+
+
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words joined by one space (none after a ``last`` word); where each word begins there."""
+    size = end - start
+    step = size + ~last
+    begin = np.cumsum(step) - step
+    out = np.full(int(step.sum()), 0x20, np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + within] = data[np.repeat(start, size) + within]
+    return out, begin
+
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(find, "g long, doc_id long, pos int")
+def _strings(data: np.ndarray, bounds: np.ndarray, kind=pa.large_string()) -> pa.Array:
+    """Consecutive pieces of ``data`` as an Arrow array."""
+    return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def _segments(batches):
-    """Packed documents with their repeated anchors -> (hot, key, doc_id, fp, start, words)."""
+    """Packed documents with their repeated anchors -> (hot, key, doc_id, fp, starts, words)."""
     for batch in batches:
         batch = unpacked(batch, "text")
         for rows, data, offsets in text_chunks(batch):
             words = Words(data, offsets, NON_SPACE, SAME)
             start, anchor, grams = _anchors(words)
-            mark = np.zeros(len(words.hash) + 1, np.int8)
-            for d, places in enumerate(rows.column(3).to_pylist()):
-                for p in places:
-                    if p["pos"] < words.count[d]:
-                        mark[words.first[d] + p["pos"]] = 2 if p["hot"] else 1
-            kind = mark[anchor]
-            hot, cold = np.flatnonzero(kind == 2), np.flatnonzero(kind == 1)
-            # hot anchors: every window by itself
-            _, hashes = words.windows(WINDOW)
+            own = _by_row(words.doc[anchor], grams[anchor])
+            kinds = []
+            for c in (3, 4):
+                given = rows.column(c)
+                row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(given.offsets)))
+                kinds.append(np.isin(own, _by_row(row, np.asarray(given.flatten()).astype(np.int64).view(np.uint64))))
+            cold, hot = np.flatnonzero(kinds[0]), np.flatnonzero(kinds[1])
+            # hot anchors: every window by itself, with all its places in the document
+            window = words.windows(WINDOW)[1][hot]
+            place, row = start[hot], words.doc[start[hot]]
+            order = np.argsort(_by_row(row, window), kind="stable")
+            window, place, row = window[order], place[order], row[order]
+            first = np.ones(len(order), bool)
+            first[1:] = (window[1:] != window[:-1]) | (row[1:] != row[:-1])
+            head = np.flatnonzero(first)
             # other anchors: the run of windows that share the anchor, as one segment
             run = np.ones(len(cold), bool)
             run[1:] = (anchor[cold][1:] != anchor[cold][:-1]) | (words.doc[start[cold]][1:] != words.doc[start[cold]][:-1])
-            first = np.flatnonzero(run)
-            last = np.append(first[1:], len(cold))[:len(first)] - 1
-            low, high = start[cold[first]], start[cold[last]] + WINDOW
-            spelled = [b" ".join([data[words.start[w]:words.end[w]].tobytes() for w in range(a, b)]).decode() for a, b in zip(low, high)]
-            place = np.concatenate([start[hot], low])
-            doc = words.doc[place]
-            n = len(hot)
+            begin = np.flatnonzero(run)
+            until = np.append(begin[1:], len(cold))[:len(begin)] - 1
+            low, high = start[cold[begin]], start[cold[until]] + WINDOW
+            size = words.end[high - 1] - words.start[low]  # the segment as it stands, white space included
+            within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            text = data[np.repeat(words.start[low], size) + within]
+            n = len(head)
+            bounds = np.concatenate([np.zeros(n + 1, np.int64), np.cumsum(size)])
+            doc = np.concatenate([row[head], words.doc[low]])
+            places = np.concatenate([place - words.first[row], low - words.first[words.doc[low]]]).astype(np.int32)
+            counts = np.concatenate([np.diff(np.append(head, len(order))), np.ones(len(low), np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(place)) < n), pa.array(signed(np.concatenate([hashes[hot], grams[anchor[cold[first]]]]))),
+                [pa.array(np.arange(len(doc)) < n), pa.array(signed(np.concatenate([window[head], grams[anchor[cold[begin]]]]))),
                  rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)),
-                 pa.array((place - words.first[doc]).astype(np.int32)), pa.array([None] * n + spelled, pa.string())],
-                ["hot", "key", "doc_id", "fp", "start", "words"])
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(places)),
+                 _strings(text, bounds, pa.large_binary()).cast(pa.binary())],
+                ["hot", "key", "doc_id", "fp", "starts", "words"])
 
 
-def shard_hits(segments: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int]]:
-    """Of (doc_id, fp, start, words) segments the windows that a smaller document has too: (doc_id, fp, start)."""
+def shard_hits(doc: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of segments (document, words as bytes) the windows that a smaller document has too: (segment, word in it)."""
     import ahocorasick
-    letters: dict[str, str] = {}
-
-    def letter(word: str) -> str:
-        c = letters.get(word)
-        if c is None:
-            n = len(letters) + 1
-            c = letters[word] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are no letters
-        return c
-
-    spelled = ["".join([letter(w) for w in s[3].split(" ")]) for s in segments]
-    least: dict[str, int] = {}
-    most: dict[str, int] = {}
-    for (doc, *_), text in zip(segments, spelled):
-        for i in range(len(text) - WINDOW + 1):
-            w = text[i:i + WINDOW]
-            if least.setdefault(w, doc) > doc:
-                least[w] = doc
-            if most.setdefault(w, doc) < doc:
-                most[w] = doc
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    texts = texts.cast(pa.large_binary())
+    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset))
+    flat = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+    words = Words(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), NON_SPACE, SAME)
+    at, window = words.windows(WINDOW)
+    if not len(at):
+        return none
+    # confirm: windows of two documents or more, with the smallest
+    order = np.lexsort((doc[words.doc[at]], window))
+    new = np.ones(len(order), bool)
+    new[1:] = window[order][1:] != window[order][:-1]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(order)) - 1
+    least, most = doc[words.doc[at[order[head]]]], doc[words.doc[at[order[tail]]]]
+    repeated = np.flatnonzero(least < most)
+    if not len(repeated):
+        return none
+    # compile: one letter per distinct word, segments set apart by a letter of no word
+    letter = np.unique(words.hash, return_inverse=True)[1].astype(np.uint32) + 2
+    letter[letter >= 0xD800] += 0x800  # surrogates are no letters
+    spelled = np.ones(len(letter) + len(sizes), np.uint32)
+    moved = np.arange(len(letter)) + words.doc  # a word's place once every segment ends with a letter 1
+    spelled[moved] = letter
+    text = spelled.astype("<u4").tobytes().decode("utf-32-le")
     automaton = ahocorasick.Automaton()
-    for w, doc in least.items():
-        if doc != most[w]:
-            automaton.add_word(w, doc)
-    if not len(automaton):
-        return []
+    for i, p in zip(repeated.tolist(), moved[at[order[head[repeated]]]].tolist()):
+        automaton.add_word(text[p:p + WINDOW], i)
     automaton.make_automaton()
-    hits = []
-    for (doc, fp, start, _), text in zip(segments, spelled):
-        hits += [(doc, fp, start + end - WINDOW + 1) for end, first in automaton.iter(text) if first < doc]
-    return hits
+    # locate: every occurrence in the segments
+    found = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
+    place = np.searchsorted(moved, found[:, 0] - WINDOW + 1)
+    segment = words.doc[place]
+    hit = least[found[:, 1]] < doc[segment]
+    return segment[hit], place[hit] - words.first[segment[hit]]
 
 
 def _shards(batches):
     """Segments sorted by anchor -> hits, a bounded number of whole anchors at a time."""
-    held, last = [], None
+    held: list[pa.RecordBatch] = []
 
     def close():
-        hits = shard_hits(held)
-        held.clear()
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        segment, word = shard_hits(np.asarray(t.column(1)), t.column(4))
+        taken = t.take(pa.array(segment))
+        starts = np.asarray(t.column(3).flatten())[segment] + word
         return pa.RecordBatch.from_arrays(
-            [pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int32())],
-            ["doc_id", "fp", "start"])
+            [taken.column(1), taken.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(segment) + 1, dtype=np.int32)), pa.array(starts.astype(np.int32)))],
+            ["doc_id", "fp", "starts"])
 
+    rows = 0
     for batch in batches:
-        for key, *segment in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if key != last and len(held) >= SHARD_SEGMENTS:
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column(0))
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        begin = 0
+        if held and held[-1].column(0)[-1].as_py() != key[0] and rows >= SHARD_SEGMENTS:
+            yield close()
+            held, rows = [], 0
+        for end in ends:
+            if rows + end - begin >= SHARD_SEGMENTS and end < len(key):
+                held.append(batch.slice(begin, end - begin))
                 yield close()
-            last = key
-            held.append(segment)
-    yield close()
+                held, rows, begin = [], 0, end
+        held.append(batch.slice(begin))
+        rows += len(key) - begin
+    if held:
+        yield close()
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -174,17 +223,18 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = anchor_rows(docs)
     shared = (found.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("k"))
               .where("a < b").select("g", (F.col("k") > HOT).alias("hot")))
-    places = found.join(shared, "g").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hot")).alias("places"))
+    places = found.join(shared, "g").groupBy("doc_id").agg(
+        F.collect_list(F.when(~F.col("hot"), F.col("g"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("hot"))
     texts = packed(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"), "text"))
-    cut = written(texts.join(places, "doc_id").select("doc_id", "fp", "text", "places").mapInArrow(
-        _segments, "hot boolean, key long, doc_id long, fp long, start int, words string"), "segments")
+    cut = written(texts.join(places, "doc_id").select("doc_id", "fp", "text", "cold", "hot").mapInArrow(
+        _segments, "hot boolean, key long, doc_id long, fp long, starts array<int>, words binary"), "segments")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = (cut.where("not hot").select("key", "doc_id", "fp", "start", "words").repartition(parts, "key").sortWithinPartitions("key")
-            .mapInArrow(_shards, "doc_id long, fp long, start int"))
-    windows = cut.where("hot").select("key", "doc_id", "fp", "start")
+    cold = (cut.where("not hot").select("key", "doc_id", "fp", "starts", "words").repartition(parts, "key").sortWithinPartitions("key")
+            .mapInArrow(_shards, "doc_id long, fp long, starts array<int>"))
+    windows = cut.where("hot").select("key", "doc_id", "fp", "starts")
     least = windows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    hot = windows.join(least, "key").where("doc_id > least").select("doc_id", "fp", "start")
-    return cold.unionByName(hot).groupBy("doc_id", "fp").agg(F.collect_set("start").alias("starts"))
+    hot = windows.join(least, "key").where("doc_id > least").select("doc_id", "fp", "starts")
+    return cold.unionByName(hot).groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _kept(batches, text: str, out):
@@ -194,15 +244,20 @@ def _kept(batches, text: str, out):
         for rows, data, offsets in text_chunks(batch, text):
             words = Words(data, offsets, NON_SPACE, SAME, hashes=False)
             change = np.zeros(len(words.start) + WINDOW + 1, np.int64)
-            for d, starts in enumerate(rows.column(rows.num_columns - 1).to_pylist()):
-                if starts:
-                    at = words.first[d] + np.array(starts)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + WINDOW, -1)
-            keep = np.cumsum(change)[:len(words.start)] == 0
-            removed = words.count - np.bincount(words.doc[keep], minlength=len(words.count))
-            texts = [b" ".join([data[words.start[w]:words.end[w]].tobytes() for w in np.flatnonzero(keep[a:b]) + a]).decode()
-                     for a, b in zip(words.first[:-1], words.first[1:])]
+            starts = rows.column(rows.num_columns - 1)
+            row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(starts.offsets)))
+            at = words.first[row] + np.asarray(starts.flatten()).astype(np.int64)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + WINDOW, -1)
+            keep = np.flatnonzero(np.cumsum(change)[:len(words.start)] == 0)
+            doc = words.doc[keep]
+            count = np.bincount(doc, minlength=rows.num_rows)
+            last = np.ones(len(keep), bool)
+            last[:-1] = doc[1:] != doc[:-1]
+            flat, begin = _joined(data, words.start[keep], words.end[keep], last)
+            bounds = np.append(begin, len(flat))[np.concatenate([[0], np.cumsum(count)])]
+            removed = words.count - count
+            texts = _strings(flat, bounds)
             yield out(rows, words.count, removed, texts)
 
 
@@ -216,7 +271,7 @@ def deduplicated_words(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     def out(rows, n, removed, texts):
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)),
-                                           pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+                                           texts.cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return _with_starts(docs, ["doc_id", "text"]).mapInArrow(
         lambda batches: _kept(batches, "text", out), "doc_id long, n_words long, n_removed long, kept_text string")
@@ -232,6 +287,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         cols = [rows.column(i) for i in range(len(names))]
         i = names.index("text")
         olds = cols[i].to_pylist()
+        texts = texts.to_pylist()
         cols[i] = pa.array([t if r else old for t, r, old in zip(texts, removed, olds)], pa.string())
         if chars is not None:
             cols[chars] = pa.array([len(t) if r else old for t, r, old in zip(texts, removed, cols[chars].to_pylist())], cols[chars].type)
