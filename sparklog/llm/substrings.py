@@ -14,9 +14,9 @@ start in a document with a smaller id are removed.
    runs every segment through it: each occurrence is located, and those that have a smaller document
    elsewhere are hits.
 4. An anchor of more than ``HOT`` documents (a line or passage that a great part of all documents
-   shares) would fill one shard.  Its windows are confirmed one by one instead, by a partial aggregation
-   on the window itself, and the occurrences are joined back (a skewed join is split by Spark).  Both
-   ways find every occurrence.
+   shares) would fill one shard.  Its segments are compared as wholes instead, by a partial aggregation on
+   the words, and the windows of each segment's first document one by one; occurrences are joined back (a
+   skewed join is split by Spark).  Both ways find every occurrence.
 5. Hits return to their documents, which drop the covered words.
 
 Defined cases: a null text has no words; a text shorter than a window loses nothing; rows sharing a
@@ -99,48 +99,65 @@ def _strings(data: np.ndarray, bounds: np.ndarray, kind=pa.large_string()) -> pa
     return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
 
+def _runs(words: Words, start: np.ndarray, anchor: np.ndarray, window: np.ndarray, chosen: np.ndarray):
+    """Runs of the ``chosen`` windows that share an anchor, equal runs of one row taken together.
+
+    Returns, per distinct run: row, key (of its words), first and last window (index), and how many of the
+    places (first words, row by row) that follow are its own.
+    """
+    new = np.ones(len(chosen), bool)
+    new[1:] = (anchor[chosen][1:] != anchor[chosen][:-1]) | (words.doc[start[chosen]][1:] != words.doc[start[chosen]][:-1])
+    begin = np.flatnonzero(new)
+    until = np.append(begin[1:], len(chosen))[:len(begin)] - 1
+    first, last = chosen[begin], chosen[until]
+    low = start[first]
+    row = words.doc[low]
+    # the first and the last window of a run cover all of its words
+    key = mix(window[first] + mix(window[last] + (until - begin).astype(np.uint64)))
+    order = np.argsort(_by_row(row, key), kind="stable")
+    row, key, first, last, low = (x[order] for x in (row, key, first, last, low))
+    head = np.ones(len(order), bool)
+    head[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(head)
+    return row[at], key[at], first[at], last[at], np.diff(np.append(at, len(order))), (low - words.first[row]).astype(np.int32)
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
 def _segments(batches):
-    """Packed documents with their repeated anchors -> (hot, key, doc_id, fp, starts, words)."""
+    """Packed documents with their repeated anchors -> (hot, key, doc_id, fp, starts, words, windows)."""
     for batch in batches:
         batch = unpacked(batch, "text")
         for rows, data, offsets in text_chunks(batch):
             words = Words(data, offsets, NON_SPACE, SAME)
             start, anchor, grams = _anchors(words)
+            window = words.windows(WINDOW)[1]
             own = _by_row(words.doc[anchor], grams[anchor])
             kinds = []
             for c in (3, 4):
                 given = rows.column(c)
                 row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(given.offsets)))
                 kinds.append(np.isin(own, _by_row(row, np.asarray(given.flatten()).astype(np.int64).view(np.uint64))))
-            cold, hot = np.flatnonzero(kinds[0]), np.flatnonzero(kinds[1])
-            # hot anchors: every window by itself, with all its places in the document
-            window = words.windows(WINDOW)[1][hot]
-            place, row = start[hot], words.doc[start[hot]]
-            order = np.argsort(_by_row(row, window), kind="stable")
-            window, place, row = window[order], place[order], row[order]
-            first = np.ones(len(order), bool)
-            first[1:] = (window[1:] != window[:-1]) | (row[1:] != row[:-1])
-            head = np.flatnonzero(first)
-            # other anchors: the run of windows that share the anchor, as one segment
-            run = np.ones(len(cold), bool)
-            run[1:] = (anchor[cold][1:] != anchor[cold][:-1]) | (words.doc[start[cold]][1:] != words.doc[start[cold]][:-1])
-            begin = np.flatnonzero(run)
-            until = np.append(begin[1:], len(cold))[:len(begin)] - 1
-            low, high = start[cold[begin]], start[cold[until]] + WINDOW
-            size = words.end[high - 1] - words.start[low]  # the segment as it stands, white space included
+            # hot anchors: a run's key and the hashes of its windows; others: the segment as it stands, by anchor
+            row_h, key_h, first_h, last_h, n_h, place_h = _runs(words, start, anchor, window, np.flatnonzero(kinds[1]))
+            row_c, _, first_c, last_c, n_c, place_c = _runs(words, start, anchor, window, np.flatnonzero(kinds[0]))
+            many = last_h - first_h + 1
+            inner = window[np.repeat(first_h - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            low, high = start[first_c], start[last_c] + WINDOW
+            size = words.end[high - 1] - words.start[low]
             within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             text = data[np.repeat(words.start[low], size) + within]
-            n = len(head)
-            bounds = np.concatenate([np.zeros(n + 1, np.int64), np.cumsum(size)])
-            doc = np.concatenate([row[head], words.doc[low]])
-            places = np.concatenate([place - words.first[row], low - words.first[words.doc[low]]]).astype(np.int32)
-            counts = np.concatenate([np.diff(np.append(head, len(order))), np.ones(len(low), np.int64)])
+            hot, cold = len(row_h), len(row_c)
+            doc = np.concatenate([row_h, row_c])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(doc)) < n), pa.array(signed(np.concatenate([window[head], grams[anchor[cold[begin]]]]))),
+                [pa.array(np.arange(hot + cold) < hot), pa.array(signed(np.concatenate([key_h, grams[anchor[first_c]]]))),
                  rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(places)),
-                 _strings(text, bounds, pa.large_binary()).cast(pa.binary())],
-                ["hot", "key", "doc_id", "fp", "starts", "words"])
+                 _lists(np.concatenate([n_h, n_c]), pa.array(np.concatenate([place_h, place_c]))),
+                 _strings(text, np.concatenate([np.zeros(hot + 1, np.int64), np.cumsum(size)]), pa.large_binary()).cast(pa.binary()),
+                 _lists(np.concatenate([many, np.zeros(cold, np.int64)]), pa.array(signed(inner)))],
+                ["hot", "key", "doc_id", "fp", "starts", "words", "windows"])
 
 
 def shard_hits(doc: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +208,10 @@ def _shards(batches):
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         segment, word = shard_hits(np.asarray(t.column(1)), t.column(4))
         taken = t.take(pa.array(segment))
-        starts = np.asarray(t.column(3).flatten())[segment] + word
+        counts = np.diff(np.asarray(taken.column(3).offsets))
+        starts = np.asarray(taken.column(3).flatten()) + np.repeat(word, counts)
         return pa.RecordBatch.from_arrays(
-            [taken.column(1), taken.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(segment) + 1, dtype=np.int32)), pa.array(starts.astype(np.int32)))],
-            ["doc_id", "fp", "starts"])
+            [taken.column(1), taken.column(2), _lists(counts, pa.array(starts.astype(np.int32)))], ["doc_id", "fp", "starts"])
 
     rows = 0
     for batch in batches:
@@ -227,13 +244,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(~F.col("hot"), F.col("g"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("hot"))
     texts = packed(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"), "text"))
     cut = written(texts.join(places, "doc_id").select("doc_id", "fp", "text", "cold", "hot").mapInArrow(
-        _segments, "hot boolean, key long, doc_id long, fp long, starts array<int>, words binary"), "segments")
+        _segments, "hot boolean, key long, doc_id long, fp long, starts array<int>, words binary, windows array<long>"), "segments")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = (cut.where("not hot").select("key", "doc_id", "fp", "starts", "words").repartition(parts, "key").sortWithinPartitions("key")
             .mapInArrow(_shards, "doc_id long, fp long, starts array<int>"))
-    windows = cut.where("hot").select("key", "doc_id", "fp", "starts")
-    least = windows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    hot = windows.join(least, "key").where("doc_id > least").select("doc_id", "fp", "starts")
+    runs = cut.where("hot").select("key", "doc_id", "fp", "starts", "windows")
+    least = runs.groupBy("key").agg(F.min("doc_id").alias("least"))
+    # a run that a smaller document has word for word is a hit as a whole
+    hot = runs.join(least, "key").where("doc_id > least").select("doc_id", "fp", F.flatten(F.transform(
+        "starts", lambda s: F.sequence(s, s + F.size("windows") - 1))).alias("starts"))
+    # of the first document of each run every window by itself
+    alone = (runs.join(least.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"])
+             .select("doc_id", "fp", "starts", F.posexplode("windows").alias("o", "window"))
+             .select("window", "doc_id", "fp", F.transform("starts", lambda s: s + F.col("o")).alias("starts")))
+    low = alone.groupBy("window").agg(F.min("doc_id").alias("least"))
+    hot = hot.unionByName(alone.join(low, "window").where("doc_id > least").select("doc_id", "fp", "starts"))
     return cold.unionByName(hot).groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
