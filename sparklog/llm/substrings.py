@@ -161,23 +161,31 @@ def _segments(batches):
 
 
 def shard_hits(doc: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of segments (document, words as bytes) the windows that a smaller document has too: (segment, word in it)."""
+    """Of segments (document, words as bytes) the windows that a smaller document has too: (segment, word in it).
+
+    Equal segments go through the automaton once.
+    """
     import ahocorasick
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    texts = texts.cast(pa.large_binary())
-    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset))
-    flat = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
-    words = Words(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), NON_SPACE, SAME)
+    coded = texts.dictionary_encode()
+    code, distinct = np.asarray(coded.indices), coded.dictionary.cast(pa.large_binary())
+    by_text = np.lexsort((doc, code))
+    first = np.searchsorted(code[by_text], np.arange(len(distinct) + 1))
+    low, high = doc[by_text[first[:-1]]], doc[by_text[first[1:] - 1]]  # smallest and largest document of each text
+    sizes = np.diff(np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, 8 * distinct.offset))
+    flat = np.frombuffer(b"".join(distinct.to_pylist()), np.uint8)
+    # set apart by a space: texts begin and end with words
+    apart = np.full(len(flat) + len(sizes), 0x20, np.uint8)
+    apart[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+    words = Words(apart, np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64), NON_SPACE, SAME)
     at, window = words.windows(WINDOW)
     if not len(at):
         return none
     # confirm: windows of two documents or more, with the smallest
-    order = np.lexsort((doc[words.doc[at]], window))
-    new = np.ones(len(order), bool)
-    new[1:] = window[order][1:] != window[order][:-1]
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(order)) - 1
-    least, most = doc[words.doc[at[order[head]]]], doc[words.doc[at[order[tail]]]]
+    order = np.argsort(window, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], window[order][1:] != window[order][:-1]]))
+    owner = words.doc[at[order]]
+    least, most = np.minimum.reduceat(low[owner], head), np.maximum.reduceat(high[owner], head)
     repeated = np.flatnonzero(least < most)
     if not len(repeated):
         return none
@@ -192,12 +200,14 @@ def shard_hits(doc: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     for i, p in zip(repeated.tolist(), moved[at[order[head[repeated]]]].tolist()):
         automaton.add_word(text[p:p + WINDOW], i)
     automaton.make_automaton()
-    # locate: every occurrence in the segments
+    # locate: every occurrence in the distinct segments, then in every segment of that text
     found = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
     place = np.searchsorted(moved, found[:, 0] - WINDOW + 1)
-    segment = words.doc[place]
-    hit = least[found[:, 1]] < doc[segment]
-    return segment[hit], place[hit] - words.first[segment[hit]]
+    which = words.doc[place]
+    times = first[which + 1] - first[which]
+    segment = by_text[np.repeat(first[which] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+    hit = np.repeat(least[found[:, 1]], times) < doc[segment]
+    return segment[hit], np.repeat(place - words.first[which], times)[hit]
 
 
 def _shards(batches):
