@@ -136,9 +136,9 @@ DEFAULT_ACCEPT_THRESHOLD = 0.70
 ISOLATION_TREES = 100
 ISOLATION_SAMPLE = 256
 RANDOM_SEED = 42
-SVM_EPOCHS = 5
-SVM_RATE = 0.1
-SVM_MARGIN_BINS = 256
+SVM_GAP = 1e-3
+SVM_MARGIN_BINS = 4096
+SVM_QUANTILE_BINS = 256
 AUTO_STATISTICAL_BELOW = 75
 AUTO_FOREST_ABOVE = 100000
 

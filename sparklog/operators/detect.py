@@ -12,8 +12,8 @@ aggregates; scoring itself is a narrow projection.
   trees x 511 nodes) scores all rows in ``mapInPandas`` with numpy.
 * D04 one-class SVM: random Fourier features approximate the RBF kernel
   (Rahimi & Recht 2007); the primal one-class objective (Schölkopf et al. 2001)
-  is minimised on the capped training sample (D12, <= 10,000 rows) in one
-  group, and the linear scorer runs over all rows in ``mapInPandas``.
+  is minimised over the whole population by distributed passes until its duality
+  gap is small, and the linear scorer runs over all rows in a pandas UDF.
 """
 
 from __future__ import annotations
@@ -315,17 +315,53 @@ def scaled(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ D04 one-class SVM (RFF)
-def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: int = 256,
-            seed: int = R.RANDOM_SEED, epochs: int = R.SVM_EPOCHS) -> dict:
-    """Standardise, map with random Fourier features of the RBF kernel (gamma = 1/d), and
-    minimise the primal one-class objective by gradient steps over the whole population.
+def nearest_point(gram: np.ndarray) -> np.ndarray:
+    """Weights on the simplex that minimise a'Ga: the point of a hull nearest to 0 (Wolfe's active set)."""
+    n = len(gram)
+    a = np.zeros(n)
+    a[np.argmin(np.diag(gram))] = 1.0
+    small = 1e-12 * np.trace(gram) / n
+    for _ in range(100 * n):
+        grad = gram @ a
+        j = int(np.argmin(np.where(a > 0, np.inf, grad)))
+        if (a > 0).all() or grad[j] >= a @ grad - small:
+            break
+        on = a > 0
+        on[j] = True
+        while True:
+            k = np.flatnonzero(on)
+            system = np.block([[gram[np.ix_(k, k)], np.ones((len(k), 1))], [np.ones((1, len(k))), np.zeros((1, 1))]])
+            y = np.linalg.lstsq(system, np.append(np.zeros(len(k)), 1.0), rcond=None)[0][:-1]
+            if (y > 0).all():
+                a[:] = 0.0
+                a[k] = y
+                break
+            bad = y <= 0
+            part = a[k] + (y - a[k]) * min(1.0, float((a[k][bad] / (a[k][bad] - y[bad])).min()))
+            part[bad & (part <= part[bad].min())] = 0.0  # the first weight that would turn negative leaves
+            a[:] = 0.0
+            a[k] = np.maximum(part, 0.0) / np.maximum(part, 0.0).sum()
+            on = a > 0
+    return a
+
 
-    Every step is one distributed pass: tasks sum the mapped rows per margin bin, the sums are
-    reduced per (bin, component), and ``bins x components`` numbers reach the driver whatever the
-    table.  The bins give rho (the nu-quantile of the margins) and the violators' sum at once.
+def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: int = 256,
+            seed: int = R.RANDOM_SEED, gap: float = R.SVM_GAP) -> dict:
+    """Standardise, map with random Fourier features of the RBF kernel (gamma = 1/d), and minimise the
+    primal one-class objective |w|^2 / 2 - (mean margin of the nu share of rows with the smallest) over
+    the whole population, until the duality gap is at most ``gap`` of |w|^2.
+
+    Each step finds, in two distributed passes, the mean of the nu share of mapped rows whose margins are
+    smallest (a pass counts margins per bin, a pass sums the rows below the quantile's bin and those of
+    each of its sub-bins, so only margins below rho count, ties by their share).  Such means are the corners of the dual's
+    feasible set; w becomes the point nearest to 0 in the hull of those met, and w (w - mean) is the gap.
+    Whatever the table, ``bins`` counts and ``bins x components`` sums reach the driver.
     """
-    names, d, bins = list(names), len(names), R.SVM_MARGIN_BINS
-    row = feats.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    names, d = list(names), len(names)
+    coarse, fine = R.SVM_MARGIN_BINS, R.SVM_QUANTILE_BINS
+    row = feats.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names],
+                    *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    n = row["n"]
     mean = np.array([row[f"m_{c}"] or 0.0 for c in names])
     std = np.array([row[f"s_{c}"] or 0.0 for c in names])
     std = np.where(std == 0, 1.0, std)
@@ -334,39 +370,76 @@ def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: in
     b_rff = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
     scale = math.sqrt(2.0 / n_components)
 
-    def sums(w: np.ndarray | None) -> np.ndarray:
-        """bins x (1 + components): rows and their mapped sum per margin bin (all in bin 0 without weights)."""
-        reach = 1.0 if w is None else scale * float(np.abs(w).sum()) or 1.0  # |margin| can't exceed it
+    def mapped(pdf: pd.DataFrame) -> np.ndarray:
+        return scale * np.cos((pdf[names].to_numpy(dtype=np.float64) - mean) / std @ w_rff + b_rff)
+
+    def places(z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bin of every margin and its place inside the bin; |margin| can't exceed scale * sum |w|."""
+        x = (z @ w / (scale * float(np.abs(w).sum()) or 1.0) + 1) / 2 * coarse
+        at = np.clip(x.astype(np.int64), 0, coarse - 1)
+        return at, x - at
+
+    def margin_counts(w: np.ndarray) -> np.ndarray:
+        def local(it):
+            total = np.zeros(coarse, np.int64)
+            for pdf in it:
+                total += np.bincount(places(mapped(pdf), w)[0], minlength=coarse)
+            k = np.flatnonzero(total)
+            if len(k):
+                yield pd.DataFrame({"bin": k.astype(np.int32), "x": total[k]})
+
+        out = np.zeros(coarse, np.int64)
+        for r in feats.select(*names).mapInPandas(local, "bin int, x long").groupBy("bin").agg(F.sum("x").alias("x")).collect():
+            out[r["bin"]] = r["x"]
+        return out
 
+    def sums(w: np.ndarray, cut: int) -> np.ndarray:
+        """(1 + fine) x (1 + components): rows and their mapped sum below bin ``cut``, then per sub-bin of it."""
         def local(it):
-            total = np.zeros((bins, 1 + n_components))
+            total = np.zeros((1 + fine, 1 + n_components))
             for pdf in it:
-                z = scale * np.cos((pdf[names].to_numpy(dtype=np.float64) - mean) / std @ w_rff + b_rff)
-                at = np.zeros(len(z), np.int64) if w is None else np.clip(((z @ w / reach + 1) / 2 * bins).astype(np.int64), 0, bins - 1)
-                for k in np.unique(at):
-                    total[k, 0] += (at == k).sum()
-                    total[k, 1:] += z[at == k].sum(axis=0)
+                z = mapped(pdf)
+                at, inside = places(z, w)
+                sub = np.where(at < cut, 0, 1 + np.clip((inside * fine).astype(np.int64), 0, fine - 1))
+                sub[at > cut] = -1
+                for k in np.unique(sub[sub >= 0]):
+                    total[k, 0] += (sub == k).sum()
+                    total[k, 1:] += z[sub == k].sum(axis=0)
             k = np.flatnonzero(total[:, 0])
-            yield pd.DataFrame({"bin": k.astype(np.int32), "v": [r.tolist() for r in total[k]]})
+            if len(k):
+                yield pd.DataFrame({"bin": k.astype(np.int32), "v": [r.tolist() for r in total[k]]})
 
         part = feats.select(*names).mapInPandas(local, "bin int, v array<double>")
-        out = np.zeros((bins, 1 + n_components))
+        out = np.zeros((1 + fine, 1 + n_components))
         for r in part.select("bin", F.posexplode("v").alias("i", "x")).groupBy("bin", "i").agg(F.sum("x").alias("x")).collect():
             out[r["bin"], r["i"]] = r["x"]
         return out
 
-    first = sums(None).sum(axis=0)
-    n = max(first[0], 1.0)
-    w = first[1:] / n
-    rho = 0.0
-    for epoch in range(epochs):
-        by_bin = sums(w)
-        below = np.cumsum(by_bin[:, 0])
-        cut = int(np.searchsorted(below, nu * n))  # margins of the bins up to the nu-quantile violate rho
-        reach = scale * float(np.abs(w).sum()) or 1.0
-        rho = (2 * (cut + 1) / bins - 1) * reach
-        viol = by_bin[:cut + 1].sum(axis=0)
-        w = w - (w - viol[1:] / max(viol[0], 1.0)) * (R.SVM_RATE / (1.0 + epoch))
+    def lowest(w: np.ndarray) -> tuple[np.ndarray, float]:
+        """Mean of the nu share of mapped rows (one row at least) with the smallest margins, and rho, where it ends."""
+        share = max(nu * n, 1.0)
+        by_bin = sums(w, int(np.searchsorted(np.cumsum(margin_counts(w)), share)))
+        before = np.cumsum(by_bin[:, 0]) - by_bin[:, 0]
+        taken = np.clip(share - before, 0.0, by_bin[:, 0])
+        last = int(np.flatnonzero(taken)[-1])
+        part = taken / np.maximum(by_bin[:, 0], 1.0)
+        return part @ by_bin[:, 1:] / taken.sum(), float(by_bin[last, 1:] @ w / by_bin[last, 0])
+
+    w, rho = np.zeros(n_components), 0.0
+    if n:
+        w = sums(w, coarse)[0, 1:] / n  # the mean of all rows is feasible
+        corners = [w]
+        while True:
+            corner, rho = lowest(w)
+            if w @ (w - corner) <= gap * max(float(w @ w), 1e-6):
+                break
+            corners.append(corner)
+            points = np.array(corners)
+            a = nearest_point(points @ points.T)
+            if a @ points @ (a @ points) >= w @ w * (1 - 1e-12):  # no nearer point: as far as doubles go
+                break
+            w = a @ points
+            corners = [p for p, x in zip(corners, a) if x > 0]
     return {"mean": mean, "std": std, "w_rff": w_rff, "b_rff": b_rff, "w": w, "rho": rho,
             "n_components": n_components}
 

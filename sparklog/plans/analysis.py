@@ -54,7 +54,7 @@ class Model:
         self.forest = forest
         self.svm = svm
 
-    PARAMS = {"n_trees": R.ISOLATION_TREES, "sample_size": R.ISOLATION_SAMPLE, "svm_epochs": R.SVM_EPOCHS,
+    PARAMS = {"n_trees": R.ISOLATION_TREES, "sample_size": R.ISOLATION_SAMPLE, "svm_gap": R.SVM_GAP,
               "zscore_threshold": R.ZSCORE_THRESHOLD, "seed": R.RANDOM_SEED}
 
     def save(self, path: str) -> None:

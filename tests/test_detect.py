@@ -92,6 +92,31 @@ def test_one_class_svm_ranks_planted_outliers(spark):
     assert _auc(s, out) > 0.95
 
 
+def test_one_class_svm_reaches_the_minimum(spark):
+    """The fit's objective against a long plain Frank-Wolfe run over the same rows, a tenth of them equal."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, len(R.FEATURE_NAMES)))
+    x[:60] = x[0] + 3.0
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{f} double" for f in R.FEATURE_NAMES)).repartition(3)
+    nu = 0.05
+    m = D.svm_fit(df, nu=nu)
+    z = np.sqrt(2 / m["n_components"]) * np.cos((x - m["mean"]) / m["std"] @ m["w_rff"] + m["b_rff"])
+
+    def lowest(w):
+        return z[np.argsort(z @ w, kind="stable")[:int(nu * len(x))]].mean(0)
+
+    w = z.mean(0)
+    best = np.inf
+    for _ in range(20000):
+        s = lowest(w)
+        best = min(best, w @ w / 2 - w @ s)
+        w = w - (w - s) * np.clip(w @ (w - s) / ((w - s) @ (w - s)), 0, 1)
+    fitted = m["w"] @ m["w"] / 2 - m["w"] @ lowest(m["w"])
+    assert fitted <= best + R.SVM_GAP * (m["w"] @ m["w"])
+    assert np.linalg.norm(m["w"] - w) <= 0.05 * np.linalg.norm(w)
+    assert (z @ m["w"] < m["rho"] - 1e-9).mean() <= nu
+
+
 def test_algorithm_resolution():
     assert AN.resolve_algorithm("AUTO", 10) == "statistical"
     assert AN.resolve_algorithm("adaptive", 5000) == "ensemble"
