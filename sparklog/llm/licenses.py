@@ -15,6 +15,8 @@ repeating a document id are scanned one by one; other columns are ignored; an em
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,60 @@ TEMPLATES = {
     "not distributed with this file, You can obtain one at",
 }
 
+_GNU = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as " \
+    "published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+_GNU_ONLY = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License " \
+    "{}as published by the Free Software Foundation{}."
+_KINDS = {"GPL-1.0": ("program", "", "1"), "GPL-2.0": ("program", "", "2"), "GPL-3.0": ("program", "", "3"),
+          "LGPL-2.0": ("library", "Library ", "2"), "LGPL-2.1": ("library", "Lesser ", "2.1"), "LGPL-3.0": ("library", "Lesser ", "3"),
+          "AGPL-3.0": ("program", "Affero ", "3")}
+
+# The templates with their siblings; a name is the license and, after ~, which of its texts this is.
+SIBLINGS = {
+    **{f"{k}~statement": f"This work is licensed under the GNU {name}General Public License, version {v}."
+       for k, (_, name, v) in _KINDS.items() if k != "GPL-3.0"},
+    **{f"{k}~notice": _GNU.format(what, ";", name, ";", v) for k, (what, name, v) in _KINDS.items() if k != "GPL-3.0"},
+    **{f"{k}~only-before": _GNU_ONLY.format(what, name, f"version {v} ", "") for k, (what, name, v) in _KINDS.items()},
+    **{f"{k}~only-after": _GNU_ONLY.format(what, name, "", f"; version {v} of the License") for k, (what, name, v) in _KINDS.items()},
+    "GPL-1.0~old-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.",
+    "GPL-2.0~old-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation; either version 2, or (at your option) any later version.",
+    "GPL-3.0~old-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation; either version 3, or (at your option) any later version.",
+    "MIT-0~permission": TEMPLATES["MIT-permission"].replace(" subject to the following conditions:", "") + " THE SOFTWARE IS PROVIDED \"AS IS\"",
+    "NCSA~permission": TEMPLATES["MIT-permission"].replace("deal in the", "deal with the"),
+    "ECL-2.0~notice": TEMPLATES["Apache-2.0-notice"].replace("Apache License", "Educational Community License"),
+}
+_FAMILY = {"Apache-2.0-notice": "Apache-2.0", "GPL-3.0-notice": "GPL-3.0", "MIT-permission": "MIT", "CC-BY-4.0-statement": "CC-BY-4.0",
+           "MPL-2.0-notice": "MPL-2.0"}
+_LONE = {"GPL": "gnu general public license", "AGPL": "gnu affero general public license", "LGPL": "gnu lesser general public license"}
+
+
+def license_of(name: str) -> str:
+    return _FAMILY.get(name, name.split("~")[0])
+
+
+def reported(name: str) -> str:
+    """Names of texts as in ``TEMPLATES``: a GNU notice says so, whichever of its forms it is."""
+    base, _, text = name.partition("~")
+    return f"{base}-notice" if "GPL-" in base and text and text != "statement" else base
+
+
+def deciding(name: str) -> list[str]:
+    """Phrases (words joined by blanks, five at most) without which a text doesn't state this license."""
+    lic = license_of(name)
+    kind, _, version = lic.partition("-")
+    if kind in _LONE:
+        phrase = "gnu library general public license" if lic == "LGPL-2.0" else _LONE[kind]
+        return [phrase, f"version {version.removesuffix('.0').replace('.', ' ')}"]
+    return {"Apache-2.0": ["apache license version 2"], "ECL-2.0": ["educational community license version 2"],
+            "MPL-2.0": ["mozilla public license v 2"], "CC-BY-4.0": ["creative commons attribution 4 0"],
+            "MIT": ["mit license"] if name == "MIT" else ["to deal in the software", "do so subject to the"],
+            "MIT-0": ["to deal in the software", "do so the software"], "NCSA": ["to deal with the software"],
+            "BSD-redistribution": ["source and binary forms"]}.get(lic, [])
+
+
 _random = np.random.default_rng(77)
 _XOR = _random.integers(1, 2**63, BANDS, dtype=np.uint64)
 _MUL = _random.integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
@@ -57,10 +113,10 @@ def _whole(hashes: np.ndarray) -> np.uint64:
 
 
 class Templates:
-    """Shingle sets, band values and window sizes of the templates."""
+    """Shingle sets, band values, window sizes and deciding shingles of the templates."""
 
     def __init__(self, texts: dict[str, str]):
-        self.names, self.sets, self.words = [], [], []
+        self.names, self.sets, self.words, self.length, self.decide = [], [], [], [], []
         for name in sorted(texts):
             data = np.frombuffer(texts[name].encode(), np.uint8)
             words = Words(data, np.array([0, len(data)]), ALNUM, LOWER)
@@ -68,18 +124,36 @@ class Templates:
                 n = min(SHINGLE, len(words.hash))
                 self.names.append(name)
                 self.words.append(n)
-                self.sets.append(np.unique(words.windows(SHINGLE)[1] if n == SHINGLE else np.array([_whole(words.hash)], np.uint64)))
+                self.length.append(len(words.hash))
+                order = words.windows(SHINGLE)[1] if n == SHINGLE else np.array([_whole(words.hash)], np.uint64)
+                self.sets.append(np.unique(order))
+                self.decide.append(self._deciding(name, words.hash, order, n))
         self.bands = [self.band(s) for s in self.sets]
+        #: All shingles of the templates of a size, so that texts are searched once.
+        self.every = {n: np.unique(np.concatenate([s for s, k in zip(self.sets, self.words) if k == n])) for n in set(self.words)}
+
+    @staticmethod
+    def _deciding(name: str, words: np.ndarray, order: np.ndarray, size: int) -> list[np.ndarray]:
+        """Per deciding phrase, the template's shingles that hold it whole."""
+        out = []
+        for phrase in deciding(name):
+            data = np.frombuffer(phrase.encode(), np.uint8)
+            part = Words(data, np.array([0, len(data)]), ALNUM, LOWER).hash
+            at = [i for i in range(len(words) - len(part) + 1) if (words[i:i + len(part)] == part).all()]
+            shingles = [order[k] for i in at for k in range(max(0, i + len(part) - size), min(i, len(order) - 1) + 1)]
+            if not shingles:
+                raise ValueError(f"{name}: no shingle of the template holds '{phrase}'")
+            out.append(np.unique(np.array(shingles, np.uint64)))
+        return out
 
     @staticmethod
     def band(hashes: np.ndarray) -> np.ndarray:
         return ((hashes[:, None] ^ _XOR) * _MUL).min(0)
 
-    def find(self, words: Words) -> list[tuple[int, str, int, int, float]]:
-        """(row, license, first word, words, containment): windows that contain a template, the best of each run of windows."""
-        out = []
-        for name, size, wanted, band in zip(self.names, self.words, self.sets, self.bands):
-            t = len(wanted)
+    def _windows(self, words: Words):
+        """(template, row, first shingle, shingles of the window, its row's first place), each of three quarters containment."""
+        texts = {}
+        for size, every in self.every.items():
             if size == SHINGLE:
                 at, hashes = words.windows(SHINGLE)
             else:  # a template of fewer words: its word sequence anywhere
@@ -88,14 +162,21 @@ class Templates:
                 for k in range(size):
                     total += words.hash[at + k] * _ODD[k]
                 hashes = mix(total + mix(np.array([size], np.uint64)))
-            place = np.searchsorted(wanted, hashes)
-            hit = np.flatnonzero(wanted[np.minimum(place, t - 1)] == hashes)
+            place = np.searchsorted(every, hashes)
+            some = np.flatnonzero(every[np.minimum(place, len(every) - 1)] == hashes)
+            if len(some):  # shingle number inside its document, and the windows (document, start) that hold a hit
+                doc = words.doc[at]
+                begin = np.searchsorted(doc, np.arange(len(words.count)))
+                texts[size] = hashes, some, doc, begin, np.searchsorted(doc, np.arange(len(words.count)), "right") - begin
+        for i, (size, wanted, band) in enumerate(zip(self.words, self.sets, self.bands)):
+            if size not in texts:
+                continue
+            hashes, some, doc, begin, count = texts[size]
+            t = len(wanted)
+            place = np.searchsorted(wanted, hashes[some])
+            hit = some[wanted[np.minimum(place, t - 1)] == hashes[some]]
             if not len(hit):
                 continue
-            # shingle number inside its document, and the windows (document, start) that hold a hit
-            doc = words.doc[at]
-            begin = np.searchsorted(doc, np.arange(len(words.count)))
-            count = np.searchsorted(doc, np.arange(len(words.count)), "right") - begin
             step, width = max(1, t // 2), t + -(-t // 2)
             own = hit - begin[doc[hit]]
             last = own // step
@@ -103,24 +184,85 @@ class Templates:
             starts = last[:, None] - back[None, :]
             good = (starts >= 0) & (starts * step + width > own[:, None])
             pairs = np.unique(np.stack([np.repeat(doc[hit], good.sum(1)), starts[good] * step], 1), axis=0)
-            best: dict[int, tuple] = {}
             for d, s in pairs.tolist():
-                a, b = begin[d] + s, begin[d] + min(s + width, int(count[d]))
-                window = np.unique(hashes[a:b])
+                shingles = hashes[begin[d] + s:begin[d] + min(s + width, int(count[d]))]
+                window = np.unique(shingles)
                 if (self.band(window) == band).any():  # the window and the template meet in a band
                     inside = np.isin(wanted, window, assume_unique=True)
                     if 100 * inside.sum() >= CONTAINED * t:
-                        held = np.flatnonzero(np.isin(hashes[a:b], wanted))
-                        first, end = s + int(held[0]), s + int(held[-1]) + size
-                        found = (d, name, first, end - first, float(inside.sum()) / t)
-                        before = best.get(d)
-                        if before is not None and before[2] + before[3] > first:
-                            best[d] = max(before, found, key=lambda m: m[4])
-                        else:
-                            if before is not None:
-                                out.append(before)
-                            best[d] = found
-            out += best.values()
+                        yield i, d, s, shingles, float(inside.sum()) / t
+
+    def find(self, words: Words) -> list[tuple[int, str, int, int, float]]:
+        """(row, license, first word, words, containment): windows that contain a template, the best of each run of windows."""
+        out = []
+        best: dict[tuple, tuple] = {}
+        for i, d, s, shingles, share in self._windows(words):
+            held = np.flatnonzero(np.isin(shingles, self.sets[i]))
+            first, end = s + int(held[0]), s + int(held[-1]) + self.words[i]
+            found = (d, self.names[i], first, end - first, share)
+            before = best.get((i, d))
+            if before is not None and before[2] + before[3] > first:
+                best[i, d] = max(before, found, key=lambda m: m[4])
+            else:
+                if before is not None:
+                    out.append(before)
+                best[i, d] = found
+        return sorted([*out, *best.values()])
+
+    def _claim(self, i: int, s: int, shingles: np.ndarray, free: np.ndarray | None):
+        """What template ``i`` holds of a window: (-containment, -words of the template, words, first word), the
+        shortest run of words with all shingles held; None below three quarters or without a deciding phrase."""
+        wanted, size = self.sets[i], self.words[i]
+        place = np.minimum(np.searchsorted(wanted, shingles), len(wanted) - 1)
+        held = wanted[place] == shingles
+        if free is not None:
+            held &= np.lib.stride_tricks.sliding_window_view(free, size).all(1)
+        at = np.flatnonzero(held)
+        kinds = place[at]
+        n = len(np.unique(kinds))
+        if 100 * n < CONTAINED * len(wanted) or not all(np.isin(wanted[kinds], d).any() for d in self.decide[i]):
+            return None
+        seen: dict[int, int] = {}
+        left, run = 0, (len(shingles) + size, 0)
+        for right, k in enumerate(kinds.tolist()):
+            seen[k] = seen.get(k, 0) + 1
+            while seen[int(kinds[left])] > 1:
+                seen[int(kinds[left])] -= 1
+                left += 1
+            if len(seen) == n:
+                run = min(run, (int(at[right] - at[left]) + size, s + int(at[left])))
+        return -n / len(wanted), -self.length[i], *run
+
+    def stated(self, words: Words) -> list[tuple[int, str, int, int, float]]:
+        """As ``find``, but rival licenses share no words: the template held best takes its run first."""
+        out = []
+        rows: dict[int, list] = {}
+        for i, d, s, shingles, _ in self._windows(words):
+            rows.setdefault(d, []).append((i, s, shingles))
+        for d, windows in rows.items():
+            owner = np.full(int(words.count[d]), -1, np.int64)  # license of every word given away
+            known: dict[str, int] = {}
+            mine: dict[int, np.ndarray] = {}  # words given to a template
+            heap = [(c, k) for k, w in enumerate(windows) if (c := self._claim(*w, None))]
+            heapq.heapify(heap)
+            while heap:
+                claim, k = heapq.heappop(heap)
+                i, s, shingles = windows[k]
+                who = known.setdefault(license_of(self.names[i]), len(known))
+                part = slice(s, s + len(shingles) + self.words[i] - 1)
+                free = (owner[part] == -1) | (owner[part] == who)
+                if i in mine:
+                    free &= ~mine[i][part]
+                now = self._claim(i, s, shingles, free)
+                if now is None:
+                    continue
+                if now != claim:  # less is left of it; it waits for its turn
+                    heapq.heappush(heap, (now, k))
+                    continue
+                share, _, n, first = claim
+                owner[first:first + n] = who
+                mine.setdefault(i, np.zeros(len(owner), bool))[first:first + n] = True
+                out.append((d, self.names[i], first, n, -share))
         return sorted(out)
 
 
@@ -128,10 +270,19 @@ _FOUND = "array<struct<license:string,start:int,words:int,containment:double>>"
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """Per row: doc_id, n_words, matches."""
+    """Per row: doc_id, n_words, matches: every template of three quarters containment."""
+    return _scanned(docs, TEMPLATES if templates is None else templates, Templates.find)
+
+
+def license_statements(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    """Per row: doc_id, n_words, matches: the licenses stated, rivals decided by name, version and containment."""
+    return _scanned(docs, {**TEMPLATES, **SIBLINGS} if templates is None else templates, Templates.stated)
+
+
+def _scanned(docs: DataFrame, templates: dict[str, str], find) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    known = spark.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))  # a fixed parameter
+    known = spark.sparkContext.broadcast(Templates(templates))  # a fixed parameter
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("words", pa.int32()), ("containment", pa.float64())]))
 
     def scan(batches):
@@ -139,8 +290,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
             for rows, data, offsets in text_chunks(batch):
                 words = Words(data, offsets, ALNUM, LOWER)
                 found: list = [[] for _ in range(rows.num_rows)]
-                for d, name, start, n, share in known.value.find(words):
-                    found[d].append({"license": name, "start": start, "words": n, "containment": share})
+                for d, name, start, n, share in find(known.value, words):
+                    found[d].append({"license": reported(name), "start": start, "words": n, "containment": share})
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(words.count.astype(np.int64)), pa.array(found, kind)],
                                                  ["doc_id", "n_words", "matches"])
 
@@ -150,5 +301,5 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     """Which licenses every document states: doc_id, n_words, n_licenses, licenses (sorted, comma-joined)."""
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
-    return license_matches(table(spark, sf_dir, "documents")).select(
+    return license_statements(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))

@@ -68,3 +68,25 @@ def test_short_and_empty_templates_and_tables(spark, edge_docs, no_docs, small_d
     assert [d for d, _, x in found(lic.license_matches(edge_docs, few)) if x] == [6, 6, 7]
     assert lic.license_matches(no_docs).count() == 0
     assert found(lic.license_matches(small_docs)) == sorted((r.doc_id, len(words(r.text)), brute(r.text)) for r in small_docs.collect())
+
+
+def stated(spark, texts):
+    df = lic.license_statements(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOC))
+    return [",".join(sorted({m.license for m in r.matches})) for r in sorted(df.collect(), key=lambda r: r.doc_id)]
+
+
+def test_siblings_are_not_taken_for_each_other(spark):
+    gnu = {"GPL-2.0": ("program", "", "2"), "GPL-3.0": ("program", "", "3"), "LGPL-2.1": ("library", "Lesser ", "2.1"),
+           "LGPL-3.0": ("program", "Lesser ", "3"), "AGPL-3.0": ("program", "Affero ", "3")}
+    notice = ("This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as "
+              "published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. ")
+    line = "This work is licensed under the GNU {}General Public License, version {}. "
+    tail = "It comes without any warranty; see the GNU General Public License for more details, of which version 3 is one."
+    cases = [(notice.format(w, n, v) + tail, f"{k}-notice") for k, (w, n, v) in gnu.items()]
+    cases += [("Some words. " + line.format(n, v) + "More of them.", k) for k, (_, n, v) in gnu.items()]
+    cases += [(line.format("", 2) + line.format("", 3), "GPL-2.0,GPL-3.0"), (line.format("", 7), ""), (notice.format("program", "", "9"), ""),
+              (lic.TEMPLATES["MIT-permission"].replace("deal in", "deal with"), "NCSA"),
+              (lic.TEMPLATES["Apache-2.0-notice"].replace("Apache", "Other"), ""),
+              ((lic.TEMPLATES["MIT"] + " ") * 400, "MIT")]
+    cases += [(t, ",".join(sorted({n, "Apache-2.0"} if n == "Apache-2.0-notice" else {n}))) for n, t in lic.TEMPLATES.items()]
+    assert stated(spark, [t for t, _ in cases]) == [x for _, x in cases]
