@@ -13,7 +13,9 @@ not vocabulary.  Training is seeded and takes some seconds once per driver proce
 100 KB whatever the table) travel to the tasks.
 
 Defined cases: null or empty html, and a page without main blocks, give the empty text; unclosed and
-unmatched tags are repaired as browsers do for paragraphs, list items and cells; rows repeating a page
+unmatched tags are repaired as browsers do for paragraphs, list items and cells; a button, svg or other element
+without text that is left open ends with its parent or at the next block, a script, style or other raw text with
+the page; rows repeating a page
 id are extracted one by one; other columns are ignored; an empty table gives no row.
 """
 
@@ -23,6 +25,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +41,10 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("audio button canvas iframe math noscript object script select style svg template textarea title video".split())
+RAW_TAGS = frozenset("iframe script style textarea title".split())  # no tags inside: text up to the closing tag or the page's end
+SILENT_TAGS = frozenset("audio button canvas math noscript object select svg template video".split())
+FOREIGN = frozenset({"svg", "math"})  # '/>' ends these
+ALONE = frozenset({"button", "select"})  # never inside each other: the next one ends one left open
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 _MARK = re.compile(
@@ -47,6 +53,49 @@ _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _PART = re.compile(r"[a-z0-9]+")
 
 
+def marks(page: str) -> tuple[list[tuple], dict[int, int]]:
+    """The page's markup in order: (start, end, tag or '', closing, attributes), and which mark closes each
+    silent element that is closed inside its parent.  A raw-text element is one mark without a tag."""
+    out: list[tuple] = []
+    closed: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: Counter = Counter()
+    at = 0
+
+    def pop(tag: str) -> int:
+        """The mark that opened the innermost ``tag``, which is closed with all inside it; -1 if none is open."""
+        while count[tag]:
+            last, k = stack.pop()
+            count[last] -= 1
+            if last == tag:
+                return k
+        return -1
+
+    def foreign() -> bool:
+        return next((t in FOREIGN for t, _ in reversed(stack) if t in FOREIGN or t in BLOCK_TAGS), False)
+
+    while m := _MARK.search(page, at):
+        at = m.end()
+        tag, closing = (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
+        named = (m[3] if m[3] is not None else m[6]) or ""
+        if closing:
+            k = pop(tag)
+            if k >= 0 and tag in SILENT_TAGS:
+                closed[k] = len(out)
+        elif named.endswith("/") and (tag in FOREIGN or tag in RAW_TAGS and foreign()):
+            tag = ""
+        elif tag in RAW_TAGS:
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at, tag = end.end() if end else len(page), ""
+        elif tag and tag not in VOID_TAGS:
+            if tag in ALONE:
+                pop(tag)
+            stack.append((tag, len(out)))
+            count[tag] += 1
+        out.append((m.start(), at, tag, closing, named))
+    return out, closed
+
+
 class Block:
     __slots__ = ("text", "path", "linked")
 
@@ -59,7 +108,7 @@ def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []
     pieces: list[str] = []
-    linked = links = 0
+    linked = links = silent = 0
     at = 0
 
     def flush():
@@ -73,10 +122,11 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def close(tag: str, within: frozenset | set = frozenset()):
         """Pops to the innermost open ``tag``, unless an element of ``within`` is met before."""
-        nonlocal links
+        nonlocal links, silent
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
                 links -= sum(s[0] == "a" for s in stack[i:])
+                silent -= sum(s[0] in SILENT_TAGS for s in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in within:
@@ -84,44 +134,50 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def add(text: str):
         nonlocal linked
-        if text:
+        if text and not silent:
             text = entities.unescape(text) if "&" in text else text
             pieces.append(text)
             if links:
                 linked += len(text)
 
-    while True:
-        m = _MARK.search(page, at)
-        add(page[at:m.start()] if m else page[at:])
-        if not m:
-            break
-        at = m.end()
-        tag = m[2] or m[5]
+    found, closed = marks(page)
+    k = -1
+    while (k := k + 1) < len(found):
+        start, end, tag, closing, named = found[k]
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
+        if closing:
             if tag in BLOCK_TAGS:
                 flush()
             close(tag)
             continue
         if tag in SILENT_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if k in closed:
+                k = closed[k]
+                at = found[k][1]
+            else:  # left open: its parent's end or the next block ends it
+                if tag in ALONE:
+                    close(tag)
+                stack.append((tag, ()))
+                silent += 1
             continue
         if tag == "br":
             pieces.append(" ")
         if tag in BLOCK_TAGS:
             flush()
+            while silent:
+                close(next(t for t, _ in reversed(stack) if t in SILENT_TAGS))
             close("p", BLOCK_TAGS - {"p"})
             if tag in ITEMS:
                 close(tag, ITEMS[tag])
         if tag in VOID_TAGS:
             continue
-        named = m[3] if m[3] is not None else m[6]
         words = tuple(w for x in _NAMED.findall(named) for w in _PART.findall("".join(x).lower())) if "=" in named else ()
         stack.append((tag, words))
         links += tag == "a"
+    add(page[at:])
     flush()
     return out
 

@@ -25,6 +25,20 @@ def test_blocks_are_repaired_and_decoded():
     assert [b.path[-1][0] for b in blocks] == ["p", "p", "li", "li", "td", "td", "body", "body"] and blocks[6].linked > 0
 
 
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<math/>", "<svg class=i>", "<div><button>Menu</div>", "<button>Menu", "<button/>", "<noscript>", "<video src=x>",
+                                 "<select><option>x", "<div><canvas></div>", "<object data=x>", "<svg><title/><style/></svg>",
+                                 "<button>one<button>two</button>", "<noscript><div>Enable <svg/> it</div></noscript>"])
+def test_elements_left_open_do_not_swallow_the_page(odd):
+    page = f"<body>{odd}<article><p>one</p><p>two <svg><path d=x></svg>more <button><div>Go</div></button>words</p></article><svg></svg><button>x</button></body>"
+    assert [b.text for b in ex.leaf_blocks(page)] == ["one", "two more words"]
+
+
+def test_raw_text_left_open_ends_with_the_page():
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert [b.text for b in ex.leaf_blocks(f"<p>one</p><{tag}><p>two</p>")] == ["one"]
+        assert [b.text for b in ex.leaf_blocks(f"<p>one</p><{tag}><p>two</{tag}><p>three</p>")] == ["one", "three"]
+
+
 def test_gradients_match_differences():
     model, rnd = ex.Labeller(3), np.random.default_rng(0)
     x = rnd.normal(0, 1, (5, 3, ex.SIZE)).astype(np.float32)
