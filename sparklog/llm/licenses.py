@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _ODD, ALNUM, LOWER, Words, mix, small_batches, table, text_chunks
+from .license_texts import DECIDE, TEXTS
 
 SHINGLE = 5
 CONTAINED = 75
@@ -86,11 +87,15 @@ def license_of(name: str) -> str:
 def reported(name: str) -> str:
     """Names of texts as in ``TEMPLATES``: a GNU notice says so, whichever of its forms it is."""
     base, _, text = name.partition("~")
-    return f"{base}-notice" if "GPL-" in base and text and text != "statement" else base
+    if name == "CC-BY-4.0~attribution":
+        return "CC-BY-4.0-statement"
+    return f"{base}-notice" if "GPL-" in base and (text == "notice" or text.startswith(("only", "old"))) else base
 
 
 def deciding(name: str) -> list[str]:
     """Phrases (words joined by blanks, five at most) without which a text doesn't state this license."""
+    if name in TEXTS:  # a short one needs all its shingles
+        return DECIDE.get(name) or [TEXTS[name]]
     lic = license_of(name)
     kind, _, version = lic.partition("-")
     if kind in _LONE:
@@ -140,6 +145,9 @@ class Templates:
             data = np.frombuffer(phrase.encode(), np.uint8)
             part = Words(data, np.array([0, len(data)]), ALNUM, LOWER).hash
             at = [i for i in range(len(words) - len(part) + 1) if (words[i:i + len(part)] == part).all()]
+            if len(part) > size:  # a longer phrase: each of its shingles
+                out += [np.array([h], np.uint64) for i in at for h in order[i:i + len(part) - size + 1]]
+                continue
             shingles = [order[k] for i in at for k in range(max(0, i + len(part) - size), min(i, len(order) - 1) + 1)]
             if not shingles:
                 raise ValueError(f"{name}: no shingle of the template holds '{phrase}'")
@@ -276,7 +284,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
 
 def license_statements(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Per row: doc_id, n_words, matches: the licenses stated, rivals decided by name, version and containment."""
-    return _scanned(docs, {**TEMPLATES, **SIBLINGS} if templates is None else templates, Templates.stated)
+    return _scanned(docs, {**TEMPLATES, **SIBLINGS, **TEXTS} if templates is None else templates, Templates.stated)
 
 
 def _scanned(docs: DataFrame, templates: dict[str, str], find) -> DataFrame:

@@ -90,3 +90,14 @@ def test_siblings_are_not_taken_for_each_other(spark):
               ((lic.TEMPLATES["MIT"] + " ") * 400, "MIT")]
     cases += [(t, ",".join(sorted({n, "Apache-2.0"} if n == "Apache-2.0-notice" else {n}))) for n, t in lic.TEMPLATES.items()]
     assert stated(spark, [t for t, _ in cases]) == [x for _, x in cases]
+
+
+def test_usual_licenses_are_known(spark):
+    texts = lic.TEXTS
+    assert [x for x, n in zip(stated(spark, [f"Words before. {t} and after" for t in texts.values()]), texts) if lic.license_of(n) not in
+            {y.removesuffix("-notice").removesuffix("-statement") for y in x.split(",")}] == []
+    cases = [("SPDX-License-Identifier: MIT-0", "MIT-0"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+             ("SPDX-License-Identifier: MIT", "MIT"), ("released under CC BY-SA 4.0.", "CC-BY-SA-4.0"), (texts["BSD-3-Clause~text"], "BSD-3-Clause"),
+             ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+             (texts["ISC~text"], "ISC"), (texts["0BSD~text"], "0BSD"), ("a license for MIT students", "")]
+    assert stated(spark, [t for t, _ in cases]) == [x for _, x in cases]
