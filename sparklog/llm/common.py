@@ -168,3 +168,14 @@ class Words:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+#: DuckDB has no crc32: the byte table is built, then folded over the ASCII strings ``s`` of ``keys`` (views: crc32(s, c)).
+CRC_SQL = """crc_table(b, k, v) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc_table WHERE k < 8),
+crc(s, k, v) AS (
+  SELECT s, 1, CAST(4294967295 AS BIGINT) FROM ({keys})
+  UNION ALL SELECT s, crc.k + 1, xor(t.v, crc.v >> 8) FROM crc JOIN crc_table t
+    ON t.k = 8 AND t.b = xor(crc.v & 255, ascii(substr(s, crc.k, 1))) WHERE crc.k <= length(s)),
+crc32 AS (SELECT s, xor(v, 4294967295) AS c FROM crc WHERE k = length(s) + 1)"""

@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op9_url_filter": ["page_id", "host", "path", "rule", "verdict"],
     "op10_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op11_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op12_merkle_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_source_mix": ["doc_id", "size", "source_size", "target", "taken"],
 }
 
 
