@@ -5,22 +5,27 @@ technique of every keyword contained in ``lower(message) + ' ' + lower(event_typ
 in rule order; a rule only counts when its technique exists in the techniques table,
 and the first entry of the list is stored.
 
-Rule tables are small parameter DataFrames.  They are joined with the techniques
-table (small x small), size-checked, and turned into one literal map plus one
-``CASE`` chain, so mapping the big side needs no join and no shuffle.  Above the
-size bound the equi part becomes a regular join and the keyword part a broadcast
-nested-loop join followed by an aggregation keyed on the log id.
+Rules stay a DataFrame whatever their number.  Event ids are an equi-join.  Keywords go
+through an inverted index: each key stands under the rarest of its own 3-grams (a shorter
+key under itself), the logs' grams are joined with the index on equality, and ``contains``
+confirms the few (log, key) pairs that meet.  Before the join a table of one byte per hash
+slot, of fixed size, drops the grams that stand in no index entry, so a log without
+candidates sends no row.  Matches are combined per log by a partial aggregation.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 
 RULE_SCHEMA = "rule_order int, kind string, rule_key string, technique_id string"
-MAX_LITERAL_RULES = 10_000
+#: Characters of an index gram.
+GRAM = 3
+#: Hash slots of the pre-filter (one byte each; its size does not grow with the rules).
+SLOTS = 1 << 15
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -48,77 +53,72 @@ def _text(logs_cols=("message", "event_type")) -> Column:
                     F.lower(F.coalesce(F.col("event_type"), F.lit(""))))
 
 
-def map_techniques(logs: DataFrame, techniques: DataFrame, rules: DataFrame | None = None,
-                   max_literal_rules: int = MAX_LITERAL_RULES) -> DataFrame:
-    """Add ``mitre_technique_id`` and ``mitre_tactic`` (first existing match) to ``logs``."""
-    spark = logs.sparkSession
-    rules = rules if rules is not None else default_rules(spark)
-    live = resolved_rules(rules, techniques)
-    rows = live.limit(max_literal_rules + 1).collect()   # bounded: at most the literal bound + 1 rows
-    if len(rows) <= max_literal_rules:
-        return _map_with_literals(logs, rows)
-    return _map_with_joins(logs, live)
-
-
-def _map_with_literals(logs: DataFrame, live_rules) -> DataFrame:
-    id_rules = sorted((r for r in live_rules if r["kind"] == "event_id"), key=lambda r: r["rule_order"])
-    kw_rules = sorted((r for r in live_rules if r["kind"] == "keyword"), key=lambda r: r["rule_order"])
-    text = _text()
-    eid = F.col("event_id")
-
-    def pick(field: str) -> Column:
-        by_id = None
-        if id_rules:
-            kv = []
-            for r in id_rules:
-                kv += [F.lit(r["rule_key"]), F.lit(r[field])]
-            by_id = F.try_element_at(F.create_map(*kv), eid)
-        by_kw = None
-        for r in kw_rules:
-            cond = text.contains(r["rule_key"])
-            by_kw = F.when(cond, F.lit(r[field])) if by_kw is None else by_kw.when(cond, F.lit(r[field]))
-        parts = [p for p in (by_id, by_kw) if p is not None]
-        return F.coalesce(*parts) if parts else F.lit(None).cast("string")
-
-    # technique and tactic come from the same rule: pick the rule first, then both fields
-    return (logs.withColumn("mitre_technique_id", pick("technique_id").cast("string"))
-                .withColumn("mitre_tactic", pick("tactic").cast("string")))
-
-
-def _map_with_joins(logs: DataFrame, live: DataFrame) -> DataFrame:
-    """Path for rule tables above the literal bound: joins plus one keyed aggregation."""
-    base = logs.select("id", "event_id", _text().alias("_text"))
-    by_id = (base.join(live.filter(F.col("kind") == "event_id")
-                       .select(F.col("rule_key").alias("event_id"), "rule_order", "technique_id", "tactic"),
-                       "event_id")
-             .select("id", "rule_order", "technique_id", "tactic"))
-    kw = live.filter(F.col("kind") == "keyword").select("rule_key", "rule_order", "technique_id", "tactic")
-    by_kw = (base.join(kw, F.col("_text").contains(F.col("rule_key")))
-             .select("id", "rule_order", "technique_id", "tactic"))
-    best = (by_id.unionByName(by_kw)
-            .groupBy("id")
-            .agg(F.min_by(F.struct("technique_id", "tactic"), "rule_order").alias("_m")))
-    return (logs.join(best, "id", "left")
-            .withColumn("mitre_technique_id", F.col("_m.technique_id"))
-            .withColumn("mitre_tactic", F.col("_m.tactic"))
-            .drop("_m"))
+def _grams(text: Column, n: int) -> Column:
+    """Distinct ``n``-character substrings (of one pass over the characters)."""
+    if n == 0:
+        return F.array(F.lit(""))
+    chars = F.split(text, "")
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, 1 << 30), lambda a, b: F.concat(a, b))   # null past the end
+    return F.array_distinct(F.array_compact(out))
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
+
+
+def keyword_index(live: DataFrame) -> DataFrame:
+    """(gram, rule_key, rule_order, technique_id, tactic): every keyword rule under its rarest gram."""
+    grams = F.when(F.char_length("rule_key") >= GRAM, _grams(F.col("rule_key"), GRAM)).otherwise(F.array("rule_key"))
+    keys = live.filter(F.col("kind") == "keyword").groupBy("rule_key").agg(F.collect_list(F.struct("rule_order", "technique_id", "tactic")).alias("r"))
+    every = keys.select("rule_key", "r", F.explode(grams).alias("gram"))
+    counted = every.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("gram")))
+    chosen = counted.groupBy("rule_key").agg(F.min(F.struct("n", "gram")).alias("m"), F.first("r").alias("r"))
+    return chosen.select(F.col("m.gram").alias("gram"), "rule_key", F.inline("r"))
+
+
+def matching_rules(logs: DataFrame, live: DataFrame, key: str = "id") -> DataFrame:
+    """(key, rule_order, rule_key, technique_id, tactic): every resolved rule that a log meets."""
+    by_id = live.filter(F.col("kind") == "event_id").select(F.col("rule_key").alias("event_id"), "rule_order", "technique_id", "tactic")
+    out = [key, "rule_order", "rule_key", "technique_id", "tactic"]
+    found = logs.select(key, "event_id").join(by_id, "event_id").withColumnRenamed("event_id", "rule_key").select(*out)
+    index = keyword_index(live).persist()   # read by the filter and by the join
+    slots = index.select(_slot(F.col("gram")).alias("s"), F.char_length("gram").alias("n")).distinct().collect()   # at most 4 x SLOTS rows
+    if not slots:
+        return found
+    used = bytearray(SLOTS)
+    for r in slots:
+        used[r["s"]] = 1
+    table = F.lit(bytes(used))
+    texts = logs.select(key, _text().alias("_text"))
+    grams = F.concat(*[_grams(F.col("_text"), n) for n in sorted({r["n"] for r in slots})])
+    hits = texts.select(key, "_text", F.explode(F.filter(
+        grams, lambda g: F.substring(table, _slot(g) + 1, F.lit(1)) == F.lit(b"\x01"))).alias("gram"))
+    return found.unionByName(hits.join(index, "gram").filter(F.col("_text").contains(F.col("rule_key"))).select(*out))
+
+
+def map_techniques(logs: DataFrame, techniques: DataFrame, rules: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Add ``mitre_technique_id`` and ``mitre_tactic`` (first existing match) to ``logs``.
+
+    ``key`` names the logs' unique id; a row without one gets no mapping.
+    """
+    rules = rules if rules is not None else default_rules(logs.sparkSession)
+    matches = matching_rules(logs, resolved_rules(rules, techniques), key)
+    # technique and tactic come from the same rule
+    best = matches.groupBy(key).agg(F.min_by(F.struct("technique_id", "tactic"), F.struct("rule_order", "rule_key")).alias("_m"))
+    return (logs.join(best, key, "left")
+            .select(*[logs[c] for c in logs.columns], F.col("_m.technique_id").alias("mitre_technique_id"),
+                    F.col("_m.tactic").alias("mitre_tactic")))
 
 
 def technique_list(logs: DataFrame, techniques: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """The whole ordered, de-duplicated technique list of every log (id, techniques)."""
-    spark = logs.sparkSession
-    rules = rules if rules is not None else default_rules(spark)
-    live = resolved_rules(rules, techniques)
-    if live.count() > MAX_LITERAL_RULES:
-        raise ValueError("technique_list keeps literal rules only; use map_techniques for huge rule sets")
-    rows = sorted(live.collect(), key=lambda r: (r["rule_order"], r["rule_key"]))
-    text = _text()
-    entries = []
-    for r in rows:
-        hit = (F.col("event_id") == r["rule_key"]) if r["kind"] == "event_id" else text.contains(r["rule_key"])
-        entries.append(F.when(hit, F.lit(r["technique_id"])))
-    arr = F.array_distinct(F.array_compact(F.array(*entries))) if entries else F.array().cast("array<string>")
-    return logs.select("id", arr.alias("techniques"))
+    rules = rules if rules is not None else default_rules(logs.sparkSession)
+    matches = matching_rules(logs, resolved_rules(rules, techniques))
+    lists = matches.groupBy("id").agg(F.array_distinct(F.transform(
+        F.sort_array(F.collect_list(F.struct("rule_order", "rule_key", "technique_id"))), lambda m: m["technique_id"])).alias("techniques"))
+    return logs.select("id").join(lists, "id", "left").select("id", F.coalesce("techniques", F.array().cast("array<string>")).alias("techniques"))
 
 
 def update_anomaly_techniques(anomalies: DataFrame, mapped_logs: DataFrame) -> DataFrame:

@@ -1,51 +1,96 @@
 """Population statistics that stay distributed: exact percentiles, row positions, exact samples.
 
-``exact_percentiles`` reproduces numpy's linear-interpolation percentile without ever
-holding a column in one buffer: values are reduced to (column, value, count) by a
-partial aggregation, range-sorted, and counted per range; the ranges that hold the
-wanted ranks (one or two per percentile) are found from those counts and only their
-values are accumulated.  What reaches the driver is one row per column and range, and
-the order statistics themselves.
+``exact_percentiles`` reproduces numpy's linear-interpolation percentile by exact selection from
+histograms.  Every pass counts the values of each interval that still holds a wanted rank in ``BINS`` bins, with
+the least and greatest value of each bin; the bin with the rank becomes the next interval, until the rank falls on
+its least or greatest value.  No row is shuffled: an exchange carries bins, and the driver receives one row per wanted
+rank and pass.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Bins of an interval and pass.
+BINS = 4096
+_LARGEST = sys.float_info.max
+#: Natural logarithm below that of the least positive double.
+_LEAST_LOG = -745.2
+
+
+def _bin(v: Column, lo: float, hi: float, geometric: bool) -> Column:
+    """Number of the bin of ``v`` in [lo, hi], rising with ``v``; ``lo`` and ``hi`` never share one.
+
+    Equal bins, or ``geometric`` ones that grow with the distance from ``lo``, so that values of any
+    scale part after a few passes.  Infinite values have bins of their own.
+    """
+    low, high = max(lo, -_LARGEST), min(hi, _LARGEST)
+    half = 0.5 if math.isinf(high - low) else 1.0   # halves only where the span overflows
+    span = high * half - low * half
+    at = v * F.lit(half) - F.lit(low * half)
+    if span <= 0:
+        inner = F.lit(1)
+    elif geometric:
+        inner = F.when(at <= 0, 1).otherwise(2 + F.floor((F.log(at) - _LEAST_LOG) * F.lit(BINS / (math.log(span) - _LEAST_LOG))))
+    else:
+        inner = 1 + F.least(F.floor(at / F.lit(span) * BINS), F.lit(BINS - 1))
+    return F.when(v < low, 0).when(v > high, BINS + 9).otherwise(inner).cast("int")
+
+
 def order_statistics(df: DataFrame, cols: list[str], ranks) -> dict[str, dict[int, float]]:
-    """Per column the values at the 0-based ``ranks(n)`` of its n sorted non-NULL values."""
+    """Per column the values at the 0-based ``ranks(n)`` of its n sorted values (NULL and NaN don't count).
+
+    Key -1 holds n.
+    """
     spark = df.sparkSession
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v"))
-                                         for i, c in enumerate(cols)])).alias("x")).select("x.k", "x.v")
-    pairs = long.filter(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    srt = pairs.repartitionByRange("k", "v").withColumn("_p", F.spark_partition_id()).checkpoint()
-    sizes = sorted(map(tuple, srt.groupBy("k", "_p").agg(F.sum("c")).collect()))  # columns x ranges rows
-    total: dict[int, int] = {}
-    for k, _, n in sizes:
-        total[k] = total.get(k, 0) + n
-    wanted, before = [], {}
-    for k, part, n in sizes:
-        at = before.get(k, 0)
-        wanted += [(k, part, r, r - at) for r in ranks(total[k]) if at <= r < at + n]
-        before[k] = at + n
-    out: dict[str, dict[int, float]] = {c: {} for c in cols}
-    if wanted:
-        w = spark.createDataFrame(wanted, "k int, _p int, rank long, local long")
-        held = srt.join(F.broadcast(w.select("k", "_p").distinct()), ["k", "_p"])  # a row per wanted range
-        held = held.withColumn("end", F.sum("c").over(W.partitionBy("k", "_p").orderBy("v")))
-        hits = held.join(F.broadcast(w), ["k", "_p"]).filter("local < end and local >= end - c")
-        for r in hits.select("k", "rank", "v").collect():
-            out[cols[r["k"]]][r["rank"]] = r["v"]
-    for c, k in zip(cols, range(len(cols))):
-        out[c][-1] = total.get(k, 0)
+    kept = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)   # every pass reads it
+    try:
+        ends = kept.agg(*[f(f"c{i}").alias(f"{n}{i}") for i in range(len(cols)) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
+        out: dict[str, dict[int, float]] = {c: {-1: ends[f"n{i}"]} for i, c in enumerate(cols)}
+        # (column, lo, hi) -> [(rank, its place among the values of [lo, hi])]
+        open_: dict[tuple[int, float, float], list[tuple[int, int]]] = {}
+        for i, c in enumerate(cols):
+            n, lo, hi = ends[f"n{i}"], ends[f"lo{i}"], ends[f"hi{i}"]
+            for r in ranks(n) if n else []:
+                _narrowed(out[c], open_, i, r, r, lo, hi, n)
+        step = 0
+        while open_:
+            parts = list(open_)
+            binned = [F.when(F.col(f"c{i}").between(lo, hi), F.struct(F.lit(j).alias("j"), _bin(F.col(f"c{i}"), lo, hi, step % 2 == 1).alias("b"),
+                                                                      F.col(f"c{i}").alias("v"))) for j, (i, lo, hi) in enumerate(parts)]
+            bins = (kept.select(F.explode(F.array_compact(F.array(*binned))).alias("x")).groupBy("x.j", "x.b")
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")))
+            upto = bins.withColumn("end", F.sum("n").over(W.partitionBy("j").orderBy("b")))   # a window holds an interval's bins
+            wanted = spark.createDataFrame([(j, r, at) for j, p in enumerate(parts) for r, at in open_[p]], "j int, rank long, at long")
+            found = upto.join(F.broadcast(wanted), "j").where("at < end and at >= end - n").collect()   # a row per wanted rank
+            open_ = {}
+            for x in found:
+                i = parts[x["j"]][0]
+                _narrowed(out[cols[i]], open_, i, x["rank"], x["at"] - (x["end"] - x["n"]), x["lo"], x["hi"], x["n"])
+            step += 1
+    finally:
+        kept.unpersist()
     return out
 
 
+def _narrowed(found: dict[int, float], open_: dict, column: int, rank: int, at: int, lo: float, hi: float, n: int) -> None:
+    """Notes the value of place ``at`` among ``n`` values of [lo, hi], or the interval to search."""
+    if lo == hi or at == 0:
+        found[rank] = lo
+    elif at == n - 1:
+        found[rank] = hi
+    else:
+        open_.setdefault((column, lo, hi), []).append((rank, at))
+
+
 def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Exact linear percentiles (numpy's interpolation) of several columns in one pass."""
     def ranks(n: int) -> list[int]:

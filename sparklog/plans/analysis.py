@@ -169,7 +169,7 @@ def accepted_anomalies(scored: DataFrame, techniques: DataFrame, algorithm: str,
         (F.lit(detected_at) if detected_at is not None else F.col("timestamp")).alias("detected_at"),
         F.lit(session_id).cast("string").alias("session_id"),
         "event_id", "event_type", "message")
-    mapped = M.map_techniques(acc, techniques)
+    mapped = M.map_techniques(acc, techniques, key="log_id")
     return mapped.drop("event_id", "event_type", "message")
 
 

@@ -167,3 +167,31 @@ def test_approximate_percentile_option(t):
     v, target, err = info_a["percentile_threshold"], 0.85 * (len(s) - 1), len(s) / 10_000 + 1
     lo, hi = np.searchsorted(s, v, "left"), np.searchsorted(s, v, "right") - 1   # the value's tie range
     assert lo - err <= target <= hi + err
+
+
+HARD = {
+    "all scales": [s * 10.0 ** e for e in range(-320, 308, 2) for s in (-1.0, 1.0, 3.3)],
+    "denormals": [k * 5e-324 for k in range(-300, 300)],
+    "neighbours": [1.0 + k * 2.0 ** -52 for k in range(700)],
+    "outliers": [-1.7e308, 1.7e308] + [float(k % 37) for k in range(900)] + [1e-300 * k for k in range(90)],
+    "infinite": [float("-inf")] * 40 + [float("inf")] * 90 + [0.5, -0.5, 0.0, -0.0] * 30,
+    "one value": [0.1] * 50, "one row": [7.0], "two": [1.0, 2.0],
+}
+
+
+@pytest.mark.parametrize("name", sorted(HARD))
+def test_order_statistics_of_hard_values(spark, name):
+    vals = np.array(HARD[name])
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(v), float(v) / 3) for v in rng.permutation(vals)], "a double, b double").repartition(5)
+    extra = spark.createDataFrame([(None, float("nan"))], "a double, b double")   # neither counts
+    want, n = np.sort(vals), len(vals)
+    at = sorted({0, n - 1, n // 2, n // 3, (7 * n) // 8})
+    got = ST.order_statistics(df.union(extra), ["a", "b"], lambda n: at)
+    assert got["a"] == {-1: n, **{r: want[r] for r in at}}
+    assert got["b"] == {-1: n, **{r: np.sort(vals / 3)[r] for r in at}}
+
+
+def test_percentiles_of_nothing(spark):
+    assert ST.exact_percentiles(spark.createDataFrame([(None,)], "x double"), ["x"], [0.5]) == {"x": [None]}
+    assert ST.exact_percentiles(spark.createDataFrame([], "x double"), ["x"], [0.5]) == {"x": [None]}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,11 +87,50 @@ def test_technique_lookups(t):
     assert FL.lookup_key(t.techniques, "technique_id", "T1110").first().technique_name == "Brute Force"
 
 
-def test_technique_mapping_join_path_equals_literal_path(t):
-    lit = {r.id: (r.mitre_technique_id, r.mitre_tactic) for r in t.mapped_logs.collect()}
-    joined = M.map_techniques(t.logs, t.techniques, max_literal_rules=0)
-    got = {r.id: (r.mitre_technique_id, r.mitre_tactic) for r in joined.collect()}
-    assert got == lit
+def _mapped_by_loop(logs, rules, tactics):
+    """id -> ordered (technique, tactic) list of the rules that a log meets."""
+    live = sorted((o, k, kind, t) for o, kind, k, t in rules if t in tactics)
+    out = {}
+    for i, eid, message, event_type in logs:
+        text = (message or "").lower() + " " + (event_type or "").lower()
+        hits = [t for o, k, kind, t in live if (eid == k if kind == "event_id" else k in text)]
+        out[i] = list(dict.fromkeys(hits))
+    return out
+
+
+def _check_mapping(spark, logs, rules, tactics):
+    df = spark.createDataFrame(logs, "id long, event_id string, message string, event_type string")
+    tech = spark.createDataFrame(list(tactics.items()), "technique_id string, tactic string")
+    rdf = spark.createDataFrame(rules, M.RULE_SCHEMA)
+    want = _mapped_by_loop(logs, rules, tactics)
+    got = {r.id: r.techniques for r in M.technique_list(df, tech, rdf).collect()}
+    assert got == want
+    first = {r.id: (r.mitre_technique_id, r.mitre_tactic) for r in M.map_techniques(df, tech, rdf).collect()}
+    assert first == {i: (x[0], tactics[x[0]]) if x else (None, None) for i, x in want.items()}
+
+
+def test_technique_mapping_of_fifty_thousand_rules_equals_a_loop(spark):
+    rnd = random.Random(5)
+    word = lambda a, b, abc="abcdeé ": "".join(rnd.choice(abc) for _ in range(rnd.randint(a, b)))
+    keys = sorted({word(3, 12) for _ in range(60_000)})[:50_000]
+    rnd.shuffle(keys)
+    rules = [(i, "keyword", k, f"T{i % 700}") for i, k in enumerate(keys, 1)] + [(0, "event_id", str(i), f"T{i}") for i in range(0, 900, 3)]
+    logs = [(i, rnd.choice([None, "", str(rnd.randrange(1200))]), rnd.choice([None, "", word(0, 60, "ABcdeé xyz"), word(10, 120)]),
+             rnd.choice([None, word(0, 9)])) for i in range(400)]
+    _check_mapping(spark, logs, rules, {f"T{i}": f"tactic{i % 9}" for i in range(650)})
+
+
+@pytest.mark.parametrize("keys", [[""], ["a", "é"], ["su", "\U0001f600x", "a.c", "%_"], [], ["error", "err", "rror", "ERROR"]])
+def test_technique_mapping_of_short_empty_and_odd_keys(spark, keys):
+    logs = [(1, None, None, None), (2, "7", "su \U0001f600X", "A.C"), (3, "8", "abc Error %_", ""), (4, "", "é" * 3000 + "tail", "x")]
+    rules = [(i, "keyword", k, f"T{i}") for i, k in enumerate(keys, 1)] + [(0, "event_id", "8", "T99")] + [(9, "keyword", "tail", "T5")] * len(keys)
+    _check_mapping(spark, logs, rules, {f"T{i}": "x" for i in (1, 2, 3, 4, 5, 99)})
+
+
+def test_technique_mapping_plan_sends_only_candidates(t):
+    """The default rules: no nested loop, and only grams of the index leave the scan."""
+    plan = M.map_techniques(t.logs, t.techniques)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
 def test_exports_and_idempotent_load(spark, t, tmp_path):
