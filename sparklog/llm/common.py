@@ -45,8 +45,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the table that ``written`` made, once all its readers have written what they need."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if not path.getName().startswith("llm-"):
+            raise ValueError(f"{path} is no scratch table")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed(df: DataFrame, column: str = "text") -> DataFrame:
-    """``df`` with the string column as zstd-compressed UTF-8 (null: empty), to make an exchange of texts smaller."""
+    """``df`` with the string column as zstd-compressed UTF-8, to make an exchange of texts smaller."""
     import zstandard
     i = df.columns.index(column)
     schema = StructType([StructField(f.name, BinaryType()) if f.name == column else f for f in df.schema.fields])
@@ -54,7 +64,7 @@ def packed(df: DataFrame, column: str = "text") -> DataFrame:
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            blobs = [press.compress((t or "").encode()) for t in batch.column(i).to_pylist()]
+            blobs = [None if t is None else press.compress(t.encode()) for t in batch.column(i).to_pylist()]
             cols = [pa.array(blobs, pa.binary()) if k == i else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
@@ -65,7 +75,7 @@ def unpacked(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
     """The batch with the compressed column as strings again."""
     import zstandard
     spread, i = zstandard.ZstdDecompressor(), batch.schema.get_field_index(column)
-    texts = pa.array([spread.decompress(b).decode() for b in batch.column(i).to_pylist()], pa.large_string())
+    texts = pa.array([None if b is None else spread.decompress(b).decode() for b in batch.column(i).to_pylist()], pa.large_string())
     cols = [texts if k == i else batch.column(k) for k in range(batch.num_columns)]
     return pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 

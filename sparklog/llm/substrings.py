@@ -10,11 +10,11 @@ start in a document with a smaller id are removed.
    windows cover.  Only these segments can hold a repeated window; they are streamed, each to the
    shard of its anchor.
 3. A shard confirms the windows that occur in two documents or more, compiles them into an Aho-Corasick
-   automaton (a letter per word, built with pyahocorasick, a bounded number of segments at a time) and
-   runs every segment through it: each occurrence is located, and those that have a smaller document
+   automaton (phrases of ``PHRASE`` words as its letters, built with pyahocorasick, a bounded number of segments
+   at a time) and runs every segment through it: each occurrence is located, and those that have a smaller document
    elsewhere are hits.
-4. An anchor of more than ``HOT`` documents (a line or passage that a great part of all documents
-   shares) would fill one shard.  Its segments are compared as wholes instead, by a partial aggregation on
+4. An anchor of more than ``HOT`` places (a line or passage that a great part of all documents shares, or one that a
+   long text repeats in ever new surroundings) would fill one shard.  Its segments are compared as wholes instead, by a partial aggregation on
    the words, and the windows of each segment's first document one by one; occurrences are joined back (a
    skewed join is split by Spark).  Both ways find every occurrence.
 5. Hits return to their documents, which drop the covered words.
@@ -34,11 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, NON_SPACE, SAME, Words, mix, packed, signed, small_batches, table, text_chunks, unpacked, written
+from .common import _ODD, NON_SPACE, SAME, Words, dropped, mix, packed, signed, small_batches, table, text_chunks, unpacked, written
 
 WINDOW = 13
 ANCHOR = 5
-#: Documents of an anchor above which its windows are confirmed one by one.
+#: Words of a phrase that the automata spell, and words from one phrase to the next: two phrases cover a window.
+PHRASE = 7
+STEP = WINDOW - PHRASE
+#: Bits of a letter (a hash of the phrase; what is located is compared by the window's own hash).
+BITS = 6
+#: Places of an anchor, over all documents, above which its windows are confirmed one by one.
 HOT = 2000
 #: Segments compiled into one automaton (whole anchors; fewer than this plus ``HOT``).
 SHARD_SEGMENTS = 20_000
@@ -69,18 +74,20 @@ def _by_row(row: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(g, doc_id): the anchors of every row, each once."""
+    """(g, doc_id, n): the anchors of every row, each once, with the number of its places."""
     def find(batches):
         for batch in batches:
             for rows, data, offsets in text_chunks(batch):
                 words = Words(data, offsets, NON_SPACE, SAME)
                 _, anchor, grams = _anchors(words)
                 at = anchor[np.flatnonzero(np.diff(anchor, prepend=-1))]  # anchors never move back
-                at = at[np.unique(_by_row(words.doc[at], grams[at]), return_index=True)[1]]
+                _, one, places = np.unique(_by_row(words.doc[at], grams[at]), return_index=True, return_counts=True)
+                at = at[one]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(grams[at])), rows.column(0).take(pa.array(words.doc[at]))], ["g", "doc_id"])
+                    [pa.array(signed(grams[at])), rows.column(0).take(pa.array(words.doc[at])), pa.array(places.astype(np.int32))],
+                    ["g", "doc_id", "n"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(find, "g long, doc_id long")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(find, "g long, doc_id long, n int")
 
 
 def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,24 +196,34 @@ def shard_hits(doc: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     repeated = np.flatnonzero(least < most)
     if not len(repeated):
         return none
-    # compile: one letter per distinct word, segments set apart by a letter of no word
-    letter = np.unique(words.hash, return_inverse=True)[1].astype(np.uint32) + 2
-    letter[letter >= 0xD800] += 0x800  # surrogates are no letters
-    spelled = np.ones(len(letter) + len(sizes), np.uint32)
-    moved = np.arange(len(letter)) + words.doc  # a word's place once every segment ends with a letter 1
-    spelled[moved] = letter
+    # compile: two letters spell a phrase of PHRASE words, each of an alphabet of its own (a node's children are
+    # searched one by one, so alphabets are small); a segment is spelled once per phase, a phrase every STEP words, so
+    # that a window is two neighbouring phrases; a letter of no phrase stands after each spelling
+    begin, phrase = words.windows(PHRASE)
+    phase = words.doc[begin] * STEP + (begin - words.first[words.doc[begin]]) % STEP
+    turn = np.argsort(phase, kind="stable")
+    begin, phase, phrase = begin[turn], phase[turn], phrase[turn] >> np.uint64(64 - 2 * BITS)
+    moved = 2 * np.arange(len(begin)) + np.cumsum(np.concatenate([[False], phase[1:] != phase[:-1]]))
+    spelled = np.zeros(moved[-1] + 3, np.uint32)
+    spelled[moved] = (phrase >> np.uint64(BITS)) + np.uint64(1)
+    spelled[moved + 1] = (phrase & np.uint64((1 << BITS) - 1)) + np.uint64((1 << BITS) + 1)
     text = spelled.astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton()
-    for i, p in zip(repeated.tolist(), moved[at[order[head[repeated]]]].tolist()):
-        automaton.add_word(text[p:p + WINDOW], i)
+    spot = np.zeros(len(words.start), np.int64)
+    spot[begin] = moved
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in spot[at[order[head[repeated]]]].tolist():
+        automaton.add_word(text[p:p + 4])
     automaton.make_automaton()
-    # locate: every occurrence in the distinct segments, then in every segment of that text
-    found = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
-    place = np.searchsorted(moved, found[:, 0] - WINDOW + 1)
+    # locate: every place in the distinct segments whose window is one of the repeated ones, then every segment of that text
+    place = begin[np.searchsorted(moved, np.fromiter((e for e, _ in automaton.iter(text)), np.int64) - 3)]
+    known, here = window[order[head[repeated]]], window[np.searchsorted(at, place)]
+    which_window = np.minimum(np.searchsorted(known, here), len(known) - 1)
+    same = known[which_window] == here
+    place, lowest = place[same], least[repeated[which_window[same]]]
     which = words.doc[place]
     times = first[which + 1] - first[which]
     segment = by_text[np.repeat(first[which] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-    hit = np.repeat(least[found[:, 1]], times) < doc[segment]
+    hit = np.repeat(lowest, times) < doc[segment]
     return segment[hit], np.repeat(place - words.first[which], times)[hit]
 
 
@@ -217,11 +234,20 @@ def _shards(batches):
     def close():
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         segment, word = shard_hits(np.asarray(t.column(1)), t.column(4))
-        taken = t.take(pa.array(segment))
-        counts = np.diff(np.asarray(taken.column(3).offsets))
-        starts = np.asarray(taken.column(3).flatten()) + np.repeat(word, counts)
-        return pa.RecordBatch.from_arrays(
-            [taken.column(1), taken.column(2), _lists(counts, pa.array(starts.astype(np.int32)))], ["doc_id", "fp", "starts"])
+        order = np.lexsort((segment, np.asarray(t.column(2))[segment], np.asarray(t.column(1))[segment]))
+        segment, word = segment[order], word[order]
+        # every hit at every place of its segment
+        places = t.column(3)
+        bounds, flat = np.asarray(places.offsets), np.asarray(places.flatten())
+        many = (bounds[1:] - bounds[:-1])[segment]
+        upto = np.cumsum(many)
+        starts = flat[np.repeat(bounds[segment] - bounds[0] - (upto - many), many) + np.arange(int(many.sum()))] + np.repeat(word, many)
+        # a row per document and text
+        doc, fp = np.asarray(t.column(1))[segment], np.asarray(t.column(2))[segment]
+        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])])[:len(doc)])
+        ends = np.append(upto[head[1:] - 1], upto[-1:]) if len(head) else head
+        return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(fp[head]), _lists(np.diff(ends, prepend=0), pa.array(starts.astype(np.int32)))],
+                                          ["doc_id", "fp", "starts"])
 
     rows = 0
     for batch in batches:
@@ -244,17 +270,24 @@ def _shards(batches):
         yield close()
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, starts): per document (and text, by its hash ``fp``) the windows that a smaller document has."""
+def repeated_segments(docs: DataFrame) -> DataFrame:
+    """(hot, key, doc_id, fp, starts, words, windows): what may hold repeated windows; a cold key has at most ``HOT`` rows."""
     small_batches(docs.sparkSession)
-    found = anchor_rows(docs)
-    shared = (found.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("k"))
+    found = written(anchor_rows(docs), "anchors")   # read by the count and by the join
+    shared = (found.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("k"))
               .where("a < b").select("g", (F.col("k") > HOT).alias("hot")))
     places = found.join(shared, "g").groupBy("doc_id").agg(
         F.collect_list(F.when(~F.col("hot"), F.col("g"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("hot"))
     texts = packed(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"), "text"))
     cut = written(texts.join(places, "doc_id").select("doc_id", "fp", "text", "cold", "hot").mapInArrow(
         _segments, "hot boolean, key long, doc_id long, fp long, starts array<int>, words binary, windows array<long>"), "segments")
+    dropped(found)
+    return cut
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, starts): per document (and text, by its hash ``fp``) the windows that a smaller document has."""
+    cut = repeated_segments(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = (cut.where("not hot").select("key", "doc_id", "fp", "starts", "words").repartition(parts, "key").sortWithinPartitions("key")
             .mapInArrow(_shards, "doc_id long, fp long, starts array<int>"))
@@ -296,10 +329,19 @@ def _kept(batches, text: str, out):
             yield out(rows, words.count, removed, texts)
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as make it a new column name (in any case)."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def _with_starts(docs: DataFrame, columns: list[str]) -> DataFrame:
-    hits = repeated_windows(docs).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("starts").alias("_starts"))
-    rows = packed(docs.select(*columns, F.xxhash64("text").alias("_fp")))
-    return rows.join(hits, (F.col("doc_id") == F.col("_d")) & (F.col("_fp") == F.col("_f")), "left").select(*columns, "_starts")
+    """The columns with the text packed, and as the last one the hits of the row."""
+    fp, doc, of, starts = (_free(x, columns) for x in ("_fp", "_d", "_f", "_starts"))
+    hits = repeated_windows(docs).select(F.col("doc_id").alias(doc), F.col("fp").alias(of), F.col("starts").alias(starts))
+    rows = packed(docs.select(*columns, F.xxhash64("text").alias(fp)))
+    return rows.join(hits, (F.col("doc_id") == F.col(doc)) & (F.col(fp) == F.col(of)), "left").select(*columns, starts)
 
 
 def deduplicated_words(docs: DataFrame) -> DataFrame:
@@ -314,7 +356,7 @@ def deduplicated_words(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated windows cut out of ``text``: a text that loses words becomes its kept words joined
-    by one space (``n_chars``, where there is one, follows), any other text stays as it is."""
+    by one space (``n_chars``, where there is one, follows), any other text, null included, stays as it is."""
     names = docs.columns
     chars = names.index("n_chars") if "n_chars" in names else None
 
