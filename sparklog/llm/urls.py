@@ -12,7 +12,7 @@ are split.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits nothing and is allowed;
 an empty path prefix fits every path; rules repeated in the list count once (block before allow); rows
-repeating a page id are judged per distinct (page_id, url) and returned once; other columns are ignored;
+repeating a page id or url are each returned; other columns are ignored;
 an empty table gives no row, an empty list allows every url.
 """
 
@@ -73,33 +73,31 @@ def bloom_blocks(keys: DataFrame) -> DataFrame:
 
 
 def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """Per distinct (page_id, url): page_id, url, host, path, rule (host + path or null), verdict."""
+    """Every row with page_id, url, host, path, rule (host + path or null), verdict; a url is judged once."""
     listed = canonical_list(rules)
     sizes = listed.agg(F.coalesce(F.collect_set(F.char_length("path")), F.array().cast("array<int>")).alias("lens"),
                        F.greatest(F.ceil(F.count(F.lit(1)) * BITS_PER_KEY / 256), F.lit(1)).cast("long").alias("blocks"))
     host, path = host_and_path(F.col("url"))
-    pages = urls.select("page_id", "url").distinct().withColumn("host", host).withColumn("path", path)
+    pages = urls.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     labels = F.split("host", "\\.")
     # one parameter row: the path lengths that occur in the list, and the size of the filter
-    wide = pages.where("host != ''").crossJoin(sizes)
+    wide = urls.select("url").distinct().withColumn("host", host).withColumn("path", path).where("host != ''").crossJoin(sizes)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter("lens", lambda n: n <= F.char_length("path")), lambda n: F.substr("path", F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\x00"), p))))
-    tried = wide.select("page_id", "url", "blocks", F.explode(F.array_distinct(keys)).alias("key"))
+    tried = wide.select("url", "blocks", F.explode(F.array_distinct(keys)).alias("key"))
     tried = tried.withColumn("block", _block(F.col("key"), F.col("blocks")))
     filled = bloom_blocks(listed).drop("blocks")
     maybe = F.lit(True)
     for i, w in enumerate(_words(F.col("key"))):
         maybe = maybe & (F.col(f"w{i}").bitwiseAND(w) == w)
-    possible = tried.join(filled, "block").where(maybe).select("page_id", "url", "key")
+    possible = tried.join(filled, "block").where(maybe).select("url", "key")
     hits = possible.join(listed, "key")
-    best = hits.groupBy("page_id", "url").agg(F.max(F.struct(
+    best = hits.groupBy("url").agg(F.max(F.struct(
         F.char_length("host").alias("a"), F.char_length("path").alias("b"),
         F.concat("host", "path").alias("rule"), F.col("verdict"))).alias("best"))
-    return pages.join(best.select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), "best"),
-                      F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")), "left").select(
-        "page_id", "url", "host", "path", F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return pages.join(best, "url", "left").select(
+        "page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession, rules=None) -> DataFrame:
@@ -114,12 +112,12 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-u AS (SELECT DISTINCT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://([^?#]*)', 1, 's') ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://([^?#]*)', 1, 's') ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/]*(.*)$', 1, 's') AS path FROM u),
-h AS (SELECT p.page_id, p.url, r.host || r.path AS rule, r.verdict,
-  row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY length(r.host) DESC, length(r.path) DESC) AS k
-  FROM p JOIN rules r ON ('.' || p.host) LIKE ('%.' || r.host) AND starts_with(p.path, r.path))
+h AS (SELECT p.url, r.host || r.path AS rule, r.verdict,
+  row_number() OVER (PARTITION BY p.url ORDER BY length(r.host) DESC, length(r.path) DESC) AS k
+  FROM (SELECT DISTINCT url, host, path FROM p) p JOIN rules r ON ('.' || p.host) LIKE ('%.' || r.host) AND starts_with(p.path, r.path))
 SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
-FROM p LEFT JOIN h ON h.page_id IS NOT DISTINCT FROM p.page_id AND h.url IS NOT DISTINCT FROM p.url AND h.k = 1
+FROM p LEFT JOIN h ON h.url = p.url AND h.k = 1
 """
