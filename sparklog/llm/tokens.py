@@ -4,8 +4,9 @@ Encoding uses the tokenizers library.  A byte-level BPE never merges across pre-
 splits a chunk of texts into pre-tokens with numpy, asks the library only for pre-tokens that it has
 not met before, and takes the rest from a table hash -> ids (bounded, started anew when full).  The
 split follows the vocabulary's published pattern for code points below U+0250; a text with any other
-code point, or with a control or no-break white space, is handed to the library as a whole.  Strings
-of special tokens in a text are ordinary text.
+code point, or with a control or no-break white space, is handed to the library as a whole, and so is one
+with the string of a special token, which becomes that token's id, as the library has it (``literal_specials``
+takes such strings as ordinary text instead).
 
 Token files: ORC, range-partitioned and sorted by document id, so that a stripe holds a run of ids.
 The id list is an ORC integer column (run-length encoded), row indexes carry the id ranges and a Bloom
@@ -53,13 +54,14 @@ def _classes() -> np.ndarray:
 class Encoder:
     """Encodes chunks of texts with one vocabulary; one per worker process."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal_specials: bool = False):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = literal_specials
+        self.special = [] if literal_specials else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = _classes()
         self.code = np.random.default_rng(3).integers(1, 2**63, _FAST + 1, dtype=np.uint64)
         self.bytes_of: np.ndarray | None = None
@@ -136,6 +138,11 @@ class Encoder:
         odd = np.zeros(docs, bool)
         if (kind == 9).any():
             odd[np.searchsorted(at, np.flatnonzero(kind == 9), "right") - 1] = True
+        for special in self.special:
+            place = text.find(special)
+            while place >= 0:
+                odd[np.searchsorted(at, place, "right") - 1] = True
+                place = text.find(special, place + 1)
         starts = self._starts(code, kind, at)
         doc = np.searchsorted(at, starts, "right") - 1
         ends = np.append(starts[1:], len(code))
@@ -178,13 +185,13 @@ class Encoder:
         return flat, np.concatenate([[0], np.cumsum(per_doc)])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, literal_specials: bool = False) -> Encoder:
+    if (path, literal_specials) not in _encoders:
+        _encoders[path, literal_specials] = Encoder(path, literal_specials)
+    return _encoders[path, literal_specials]
 
 
 def vocabulary_path(path: str | None) -> str:
@@ -195,22 +202,24 @@ def vocabulary_path(path: str | None) -> str:
     return path
 
 
-def encoded_chunks(batches, path: str | None, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded_chunks(batches, path: str | None, end_id: int,
+                   literal_specials: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids, id offsets) with ``end_id`` appended to every text's ids."""
-    coder = encoder(vocabulary_path(path))
+    coder = encoder(vocabulary_path(path), literal_specials)
     for batch in batches:
         for rows, data, offsets in text_chunks(batch):
             ids, at = coder.chunk(data, offsets)
             yield rows, np.insert(ids, at[1:], np.int32(end_id)), at + np.arange(len(at))
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID,
+                      literal_specials: bool = False) -> None:
     """Writes ORC files of (doc_id, ids) in ascending doc_id order at ``path``."""
     spark = docs.sparkSession
     small_batches(spark)
 
     def encode(batches):
-        for rows, ids, at in encoded_chunks(batches, vocabulary, end_id):
+        for rows, ids, at in encoded_chunks(batches, vocabulary, end_id, literal_specials):
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 

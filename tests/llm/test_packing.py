@@ -15,9 +15,7 @@ from sparklog.llm import packing, tokens
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(tokens.vocabulary_path(None))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary_path(None))
 
 
 def best_fit_decreasing(lengths, capacity):
@@ -40,7 +38,7 @@ def check(docs, library, capacity=2048):
         cut = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
         for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
             want.append((r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
-    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     by = {}
     for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -54,8 +52,10 @@ def check(docs, library, capacity=2048):
     assert least <= len(by) <= max(best_fit_decreasing([x[3] for x in want], capacity) * 1.02 + 1, least)
 
 
-def test_odd_documents(edge_docs, no_docs, library):
-    check(edge_docs, library)
+def test_odd_documents(spark, edge_docs, no_docs, library):
+    special = spark.createDataFrame([(None, "no id"), (None, "a <|endoftext|> b"), (None, None), (70, "<|endoftext|> x" * 3000)],
+                                    "doc_id long, text string")
+    check(edge_docs.select("doc_id", "text").union(special), library)
     assert packing.packed_documents(no_docs).count() == 0
 
 

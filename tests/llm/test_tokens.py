@@ -14,17 +14,20 @@ from sparklog.llm import common, tokens
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(tokens.vocabulary_path(None))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary_path(None))
 
 
-def test_chunks_equal_the_library(library):
+@pytest.mark.parametrize("literal", [False, True])
+def test_chunks_equal_the_library(literal):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokens.vocabulary_path(None))
+    library.encode_special_tokens = literal
     rnd = random.Random(1)
     parts = ["a", "b", "é", " ", "  ", "\n", "'s", "'", "'re", "'ll", "ve", "1", "22", "!", "#", "\t", "漢", "<|endoftext|>", "don't", "st",
              "'v", "''", " ", "\x1c", "word", " The", "²", "ǅ"]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(5000)] + ["", " ", "\n\n", "x" * 300, "it's " * 50]
-    coder, got = tokens.Encoder(tokens.vocabulary_path(None)), []
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(5000)] + ["", " ", "\n\n", "x" * 300, "it's " * 50,
+        "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "<|endoftext", "|>"]
+    coder, got = tokens.Encoder(tokens.vocabulary_path(None), literal), []
     for _, data, offsets in common.text_chunks(pa.record_batch([pa.array(texts)], ["text"])):
         ids, at = coder.chunk(data, offsets)
         got += [list(ids[a:b]) for a, b in zip(at[:-1], at[1:])]
@@ -39,17 +42,19 @@ def check(spark, docs, library, tmp_path):
     path = f"{tmp_path}/files"
     tokens.write_token_files(docs, path)
     rows = sorted(((r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in docs.collect()),
-                  key=lambda r: (r[0], digest(r[1])))
+                  key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1])))
     want, at = [], 0
     for doc, ids in rows:
         want.append((doc, at, len(ids), digest(ids)))
         at += len(ids)
-    assert sorted(map(tuple, tokens.token_index(spark, path).collect())) == sorted(want)
+    assert sorted(map(tuple, tokens.token_index(spark, path).collect()), key=str) == sorted(want, key=str)
     return path
 
 
 def test_files_of_odd_documents(spark, edge_docs, no_docs, library, tmp_path):
-    check(spark, edge_docs, library, tmp_path)
+    special = spark.createDataFrame([(None, "no id"), (None, "a <|endoftext|> b"), (None, None), (70, "<|endoftext|>"), (71, "x<|endoftext|>y" * 9)],
+                                    "doc_id long, text string")
+    check(spark, edge_docs.select("doc_id", "text").union(special), library, tmp_path)
     tokens.write_token_files(no_docs, f"{tmp_path}/none")
     assert tokens.token_index(spark, f"{tmp_path}/none").count() == 0
 
