@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import parse as P
+from . import csvfiles as CSV
 
 MEDIA_SUFFIXES = (".evtx", ".log", ".syslog", ".txt")
 
@@ -114,43 +115,38 @@ def parse_files(spark: SparkSession, path: str, as_of: _dt.datetime, parser: str
     through their own header (S03).  Files without a row here are listed by ``ingest_report``.
     """
     lines = read_lines(spark, path)
-    j = lines.join(detect_formats(lines, parser), "file_path")
+    formats = detect_formats(lines, parser)
+    j = lines.join(formats, "file_path")
     src = F.element_at(F.split(F.col("file_path"), "/"), -1)
     sys_rows = P.parse_syslog(j.filter(F.col("format") == "syslog").drop("format"), as_of)
     txt = j.filter(F.col("format") == "text").drop("format").withColumn("source_name", src)
     txt_rows = P.parse_plaintext(txt, as_of).drop("source_name")
-    csv_rows = parse_csv_lines(j.filter(F.col("format") == "csv").drop("format"), as_of)
+    csv_files = formats.filter(F.col("format") == "csv").select("file_path")
+    csv_rows = parse_csv_records(CSV.csv_records(CSV.csv_lines(spark, path).join(csv_files, "file_path", "left_semi")), as_of)
     return (sys_rows.drop("priority", "facility").unionByName(txt_rows, allowMissingColumns=True)
             .unionByName(csv_rows, allowMissingColumns=True))
 
 
-def _csv_fields(line: Column) -> Column:
-    """The fields of one CSV line (RFC 4180 quoting) as an array."""
-    # fields are split at commas outside quotes, then unquoted
-    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'((?:[^,"]|"(?:[^"]|"")*+")*+),'), 1)
-    return F.transform(cells, lambda c: F.when(
-        F.trim(c).startswith('"') & F.trim(c).endswith('"') & (F.length(F.trim(c)) > 1),
-        F.replace(F.substr(F.trim(c), F.lit(2), F.length(F.trim(c)) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+def parse_csv_records(records: DataFrame, as_of: _dt.datetime) -> DataFrame:
+    """S03 over (file_path, line_number, record, sub) of CSV files: every file by the names in its own first record.
 
-
-def parse_csv_lines(lines: DataFrame, as_of: _dt.datetime) -> DataFrame:
-    """S03 over (file_path, line_number, line) of CSV files: every file by the names in its own first line.
-
-    A quoted field may not span lines.  Fields beyond the header are dropped, missing ones are NULL.
+    Fields beyond the header are dropped, missing ones are NULL; ``line_number`` is that of a record's first line.
     """
-    heads = lines.groupBy("file_path").agg(F.min("line_number").alias("_first"), F.min_by("line", "line_number").alias("_head"))
-    j = lines.join(heads, "file_path").filter(F.col("line_number") > F.col("_first"))
-    names = F.transform(_csv_fields(F.col("_head")), lambda c: P.strip(c))
+    place = F.struct("line_number", "sub")
+    heads = records.groupBy("file_path").agg(F.min(place).alias("_first"), F.min_by("record", place).alias("_head"))
+    j = records.join(heads, "file_path").filter(place > F.col("_first"))
+    names = F.transform(CSV.csv_fields(F.col("_head")), lambda c: P.strip(c))
     rows = j.select("file_path", "line_number", F.element_at(F.split("file_path", "/"), -1).alias("_src"),
-                    names.alias("_n"), _csv_fields(F.col("line")).alias("_v"))
+                    names.alias("_n"), CSV.csv_fields(F.col("record")).alias("_v"))
     cells = F.transform("_n", lambda n, i: F.struct(n.alias("k"), F.nullif(F.get("_v", i), F.lit("")).alias("v")))
     m = F.map_from_entries(F.filter(cells, lambda e: e["k"].isNotNull() & (e["k"] != "")))
     return P.parse_maps(rows.withColumn("_map", m), as_of, "csv", ["file_path", "line_number"])
 
 
 def read_csv_logs(spark: SparkSession, path: str, as_of: _dt.datetime) -> DataFrame:
-    """CSV files (each by its own header) -> log fields via key aliases; '.tsv' files are read comma-delimited too."""
-    return parse_csv_lines(read_lines(spark, path), as_of)
+    """CSV files (each by its own header, quoted fields over any number of lines) -> log fields via key aliases;
+    '.tsv' files are read comma-delimited too."""
+    return parse_csv_records(CSV.csv_records(CSV.csv_lines(spark, path)), as_of)
 
 
 def ingest_report(spark: SparkSession, path: str, as_of: _dt.datetime, parser: str | None = None) -> DataFrame:
@@ -162,12 +158,17 @@ def ingest_report(spark: SparkSession, path: str, as_of: _dt.datetime, parser: s
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
         F.col("path").alias("file_path"), F.col("length").alias("bytes"))
     lines = read_lines(spark, path)
-    counted = lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("lines")).join(detect_formats(lines, parser), "file_path")
+    formats = detect_formats(lines, parser)
+    counted = lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("lines")).join(formats, "file_path")
+    # a CSV file's records, which may span lines
+    csv_files = formats.filter(F.col("format") == "csv").select("file_path")
+    records = (CSV.csv_records(CSV.csv_lines(spark, path).join(csv_files, "file_path", "left_semi"))
+               .groupBy("file_path").agg(F.count(F.lit(1)).alias("records")))
     parsed = parse_files(spark, path, as_of, parser).groupBy("file_path").agg(F.count(F.lit(1)).alias("parsed"))
     n, p = F.coalesce("lines", F.lit(0)), F.coalesce("parsed", F.lit(0))
-    body = F.greatest(n - (F.col("format") == "csv").cast("int"), F.lit(0))  # a header is no record
+    body = F.coalesce(F.col("records") - 1, n)  # a header is no record
     evtx = F.lower("file_path").endswith(".evtx")
-    return files.join(counted, "file_path", "left").join(parsed, "file_path", "left").select(
+    return files.join(counted, "file_path", "left").join(parsed, "file_path", "left").join(records, "file_path", "left").select(
         "file_path", "bytes", F.when(evtx, "evtx").otherwise(F.col("format")).alias("format"), n.cast("bigint").alias("lines"),
         p.cast("bigint").alias("parsed"), F.when(evtx, F.lit(0)).otherwise(F.coalesce(body, F.lit(0)) - p).cast("bigint").alias("errors"),
         F.when(evtx, "unsupported").when(p > 0, "ok").when(n > 0, "no rows").otherwise("unreadable").alias("status"))
