@@ -137,8 +137,9 @@ ISOLATION_TREES = 100
 ISOLATION_SAMPLE = 256
 RANDOM_SEED = 42
 SVM_GAP = 1e-3
-SVM_MARGIN_BINS = 4096
-SVM_QUANTILE_BINS = 256
+SVM_MARGIN_BINS = 32
+SVM_SAMPLE = 32768
+SVM_DIRECTIONS = 24
 AUTO_STATISTICAL_BELOW = 75
 AUTO_FOREST_ABOVE = 100000
 

@@ -345,20 +345,132 @@ def nearest_point(gram: np.ndarray) -> np.ndarray:
     return a
 
 
+def _low_mean(z: np.ndarray, w: np.ndarray, nu: float) -> np.ndarray:
+    """Mean of the nu share of the rows ``z`` (one row at least) with the smallest margins; a row may count in part."""
+    share = max(nu * len(z), 1.0)
+    order = np.argsort(z @ w, kind="stable")[:math.ceil(share)]
+    part = np.ones(len(order))
+    part[-1] -= len(order) - share
+    return part @ z[order] / share
+
+
+def _hull_steps(corners: list[np.ndarray], z: np.ndarray, nu: float, gap: float, most: int) -> list[np.ndarray]:
+    """The points that the fit would visit if ``z`` were all rows, from the hull of ``corners`` (the mean of ``z`` without any)."""
+    corners = list(corners) or [z.mean(axis=0)]
+    visited: list[np.ndarray] = []
+    while len(visited) < most:
+        points = np.array(corners)
+        a = nearest_point(points @ points.T)
+        w = a @ points
+        if visited and w @ w >= visited[-1] @ visited[-1] * (1 - 1e-12):
+            break
+        visited.append(w)
+        corners = [p for p, x in zip(corners, a) if x > 0]
+        low = _low_mean(z, w, nu)
+        if w @ (w - low) <= gap * max(float(w @ w), 1e-6):
+            break
+        corners.append(low)
+    return visited
+
+
+class _Margins:
+    """Distributed passes over the margins of mapped rows, for several directions at once (``passes`` counts them)."""
+
+    def __init__(self, feats: DataFrame, mapped, n: int, components: int):
+        self.feats, self.mapped, self.n, self.components, self.passes = feats, mapped, n, components, 0
+
+    def _sums(self, dirs: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Directions x bins x (1 + components): rows and their mapped sum, below ``lo`` (bin 0) and per bin of [lo, hi)."""
+        mapped, size, n_bins = self.mapped, 1 + self.components, R.SVM_MARGIN_BINS
+
+        def local(it):
+            total = np.zeros((len(dirs), 1 + n_bins, size))
+            for pdf in it:
+                z = mapped(pdf)
+                at = np.floor((z @ dirs.T - lo) / np.maximum(hi - lo, 1e-300) * n_bins) + 1
+                for j in range(len(dirs)):
+                    rows = np.flatnonzero(at[:, j] <= n_bins)
+                    bins = np.maximum(at[rows, j], 0).astype(np.int64)
+                    order = np.argsort(bins, kind="stable")
+                    rows, bins = rows[order], bins[order]
+                    head = np.flatnonzero(np.diff(bins, prepend=-1))
+                    if len(head):
+                        total[j, bins[head], 0] += np.diff(np.append(head, len(bins)))
+                        total[j, bins[head], 1:] += np.add.reduceat(z[rows], head, axis=0)
+            flat = total.reshape(-1, size)
+            k = np.flatnonzero(flat[:, 0])
+            if len(k):
+                yield pd.DataFrame({"k": k.astype(np.int32), "v": [r.tobytes() for r in flat[k]]})
+
+        def add(it):
+            total: dict[int, np.ndarray] = {}
+            for pdf in it:
+                rows = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(-1, size)
+                for k, row in zip(pdf["k"].tolist(), rows):
+                    if k in total:
+                        total[k] += row
+                    else:
+                        total[k] = row.copy()
+            if total:
+                yield pd.DataFrame({"k": np.array(list(total), np.int32), "v": [r.tobytes() for r in total.values()]})
+
+        self.passes += 1
+        # a vector per task, direction and bin is exchanged, whatever the table; the sums are added up as they stream by
+        kind = "k int, v binary"
+        out = np.zeros((len(dirs) * (1 + n_bins), size))
+        for r in self.feats.mapInPandas(local, kind).repartition("k").mapInPandas(add, kind).collect():
+            out[r["k"]] = np.frombuffer(r["v"], np.float64)
+        return out.reshape(len(dirs), 1 + n_bins, size)
+
+    def lowest(self, dirs: np.ndarray, lo: np.ndarray, hi: np.ndarray, nu: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+        """Per direction the mean of the nu share of rows (one at least) with the smallest margins, and the margin where it ends (the start of its bin).
+
+        ``lo`` and ``hi`` say where that margin is thought to lie.  The search narrows or leaves them until
+        the rows that share the last bin can move a margin of the mean by ``tolerance`` at most.
+        """
+        share = max(nu * self.n, 1.0)
+        bound = math.sqrt(2.0 / self.components) * np.abs(dirs).sum(axis=1) * (1 + 1e-9) + 1e-12
+        lo, hi = np.maximum(lo, -bound), np.minimum(hi, bound)
+        means, ends = np.zeros_like(dirs), np.zeros(len(dirs))
+        todo = np.arange(len(dirs))
+        while len(todo):
+            again = []
+            for j, bins in zip(todo, self._sums(dirs[todo], lo[todo], hi[todo])):
+                upto = np.cumsum(bins[:, 0])
+                width = (hi[j] - lo[j]) / R.SVM_MARGIN_BINS
+                b = int(np.searchsorted(upto, share - 1e-6))
+                if b == 0 and lo[j] > -bound[j]:
+                    lo[j], hi[j] = -bound[j], lo[j]
+                elif b == len(upto):
+                    lo[j], hi[j] = hi[j] - width * 1e-3, bound[j]
+                else:
+                    rest = share - (upto[b] - bins[b, 0])
+                    if width * rest / share > tolerance and width > 1e-12 * bound[j] and b:
+                        start = lo[j] + (b - 1) * width
+                        lo[j], hi[j] = start - width * 1e-3, start + width * 1.001
+                    else:
+                        inside = bins[b, 1:] / bins[b, 0]
+                        means[j] = (bins[:b, 1:].sum(axis=0) + inside * rest) / share
+                        ends[j] = min(lo[j] + (b - 1) * width, inside @ dirs[j]) if b else inside @ dirs[j]
+                        continue
+                again.append(j)
+            todo = np.array(again, dtype=np.int64)
+        return means, ends
+
+
 def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: int = 256,
             seed: int = R.RANDOM_SEED, gap: float = R.SVM_GAP) -> dict:
     """Standardise, map with random Fourier features of the RBF kernel (gamma = 1/d), and minimise the
     primal one-class objective |w|^2 / 2 - (mean margin of the nu share of rows with the smallest) over
     the whole population, until the duality gap is at most ``gap`` of |w|^2.
 
-    Each step finds, in two distributed passes, the mean of the nu share of mapped rows whose margins are
-    smallest (a pass counts margins per bin, a pass sums the rows below the quantile's bin and those of
-    each of its sub-bins, so only margins below rho count, ties by their share).  Such means are the corners of the dual's
-    feasible set; w becomes the point nearest to 0 in the hull of those met, and w (w - mean) is the gap.
-    Whatever the table, ``bins`` counts and ``bins x components`` sums reach the driver.
+    The means of the nu share of rows whose margins along some direction are smallest are the corners of the dual's
+    feasible set; w is the point nearest to 0 in the hull of those met, and w (w - mean) is the gap.  Which
+    directions are worth asking for is worked out on a hashed sample of at most about ``R.SVM_SAMPLE`` rows on the driver: from
+    the corners known, it steps on as the fit would, and the whole population then answers for all of these directions
+    (w itself first) in one pass that sums rows per bin of the margins around the sample's quantile.  The sample only proposes; corners, gap and rho come from all rows.
     """
     names, d = list(names), len(names)
-    coarse, fine = R.SVM_MARGIN_BINS, R.SVM_QUANTILE_BINS
     row = feats.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names],
                     *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
     n = row["n"]
@@ -373,75 +485,39 @@ def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: in
     def mapped(pdf: pd.DataFrame) -> np.ndarray:
         return scale * np.cos((pdf[names].to_numpy(dtype=np.float64) - mean) / std @ w_rff + b_rff)
 
-    def places(z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bin of every margin and its place inside the bin; |margin| can't exceed scale * sum |w|."""
-        x = (z @ w / (scale * float(np.abs(w).sum()) or 1.0) + 1) / 2 * coarse
-        at = np.clip(x.astype(np.int64), 0, coarse - 1)
-        return at, x - at
-
-    def margin_counts(w: np.ndarray) -> np.ndarray:
-        def local(it):
-            total = np.zeros(coarse, np.int64)
-            for pdf in it:
-                total += np.bincount(places(mapped(pdf), w)[0], minlength=coarse)
-            k = np.flatnonzero(total)
-            if len(k):
-                yield pd.DataFrame({"bin": k.astype(np.int32), "x": total[k]})
-
-        out = np.zeros(coarse, np.int64)
-        for r in feats.select(*names).mapInPandas(local, "bin int, x long").groupBy("bin").agg(F.sum("x").alias("x")).collect():
-            out[r["bin"]] = r["x"]
-        return out
-
-    def sums(w: np.ndarray, cut: int) -> np.ndarray:
-        """(1 + fine) x (1 + components): rows and their mapped sum below bin ``cut``, then per sub-bin of it."""
-        def local(it):
-            total = np.zeros((1 + fine, 1 + n_components))
-            for pdf in it:
-                z = mapped(pdf)
-                at, inside = places(z, w)
-                sub = np.where(at < cut, 0, 1 + np.clip((inside * fine).astype(np.int64), 0, fine - 1))
-                sub[at > cut] = -1
-                for k in np.unique(sub[sub >= 0]):
-                    total[k, 0] += (sub == k).sum()
-                    total[k, 1:] += z[sub == k].sum(axis=0)
-            k = np.flatnonzero(total[:, 0])
-            if len(k):
-                yield pd.DataFrame({"bin": k.astype(np.int32), "v": [r.tolist() for r in total[k]]})
-
-        part = feats.select(*names).mapInPandas(local, "bin int, v array<double>")
-        out = np.zeros((1 + fine, 1 + n_components))
-        for r in part.select("bin", F.posexplode("v").alias("i", "x")).groupBy("bin", "i").agg(F.sum("x").alias("x")).collect():
-            out[r["bin"], r["i"]] = r["x"]
-        return out
-
-    def lowest(w: np.ndarray) -> tuple[np.ndarray, float]:
-        """Mean of the nu share of mapped rows (one row at least) with the smallest margins, and rho, where it ends."""
-        share = max(nu * n, 1.0)
-        by_bin = sums(w, int(np.searchsorted(np.cumsum(margin_counts(w)), share)))
-        before = np.cumsum(by_bin[:, 0]) - by_bin[:, 0]
-        taken = np.clip(share - before, 0.0, by_bin[:, 0])
-        last = int(np.flatnonzero(taken)[-1])
-        part = taken / np.maximum(by_bin[:, 0], 1.0)
-        return part @ by_bin[:, 1:] / taken.sum(), float(by_bin[last, 1:] @ w / by_bin[last, 0])
-
-    w, rho = np.zeros(n_components), 0.0
+    w, rho, passes = np.zeros(n_components), 0.0, 0
     if n:
-        w = sums(w, coarse)[0, 1:] / n  # the mean of all rows is feasible
-        corners = [w]
+        key = F.col("id") if "id" in feats.columns else F.struct(*names)
+        chosen = feats.where(stats.hash_uniform(key, seed=seed) < R.SVM_SAMPLE / n).select(*names).toPandas()
+        z = mapped(chosen if len(chosen) else feats.select(*names).limit(1).toPandas())
+        margins = _Margins(feats.select(*names), mapped, n, n_components)
+        corners: list[np.ndarray] = []
         while True:
-            corner, rho = lowest(w)
-            if w @ (w - corner) <= gap * max(float(w @ w), 1e-6):
-                break
-            corners.append(corner)
-            points = np.array(corners)
+            # the whole sample's steps, then those of its quarters, whose noise differs: near the end they show new corners
+            steps = _hull_steps(corners, z, nu, gap / 50, R.SVM_DIRECTIONS)
+            size = max(float(steps[-1] @ steps[-1]), 1e-6)
+            if corners:
+                for k in range(4):
+                    steps += _hull_steps(corners, z[k::4], nu, gap / 50, 1 + R.SVM_DIRECTIONS // 4)[1:]
+            dirs = np.array(steps)
+            sample = np.sort(z @ dirs.T, axis=0)
+            at = nu * len(z)
+            lo, hi = sample[int(at * 0.6)] if at >= 50 else sample[0], sample[min(int(at * 1.5) + 1, len(z) - 1)]
+            slack = (hi - lo) * 0.02 + 1e-9
+            low, ends = margins.lowest(dirs, lo - slack, hi + slack, nu, 0.2 * gap * size)
+            if corners:   # the first direction is w
+                rho = float(ends[0])
+                if w @ (w - low[0]) + 0.2 * gap * size <= gap * max(float(w @ w), 1e-6):
+                    break
+            points = np.array(corners + list(low))
             a = nearest_point(points @ points.T)
-            if a @ points @ (a @ points) >= w @ w * (1 - 1e-12):  # no nearer point: as far as doubles go
+            nearer = a @ points
+            if corners and nearer @ nearer >= w @ w * (1 - 1e-12):  # no nearer point: as far as doubles go
                 break
-            w = a @ points
-            corners = [p for p, x in zip(corners, a) if x > 0]
+            w, corners = nearer, [p for p, x in zip(points, a) if x > 0]
+        passes = margins.passes
     return {"mean": mean, "std": std, "w_rff": w_rff, "b_rff": b_rff, "w": w, "rho": rho,
-            "n_components": n_components}
+            "n_components": n_components, "passes": passes}
 
 
 def svm_raw(feats: DataFrame, model: dict, names=FEATURES, out: str = "_svm_score_raw") -> DataFrame:

@@ -49,7 +49,6 @@ def order_statistics(df: DataFrame, cols: list[str], ranks) -> dict[str, dict[in
 
     Key -1 holds n.
     """
-    spark = df.sparkSession
     kept = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
     kept = kept.persist(StorageLevel.MEMORY_AND_DISK)   # every pass reads it
     try:
@@ -69,8 +68,9 @@ def order_statistics(df: DataFrame, cols: list[str], ranks) -> dict[str, dict[in
             bins = (kept.select(F.explode(F.array_compact(F.array(*binned))).alias("x")).groupBy("x.j", "x.b")
                     .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")))
             upto = bins.withColumn("end", F.sum("n").over(W.partitionBy("j").orderBy("b")))   # a window holds an interval's bins
-            wanted = spark.createDataFrame([(j, r, at) for j, p in enumerate(parts) for r, at in open_[p]], "j int, rank long, at long")
-            found = upto.join(F.broadcast(wanted), "j").where("at < end and at >= end - n").collect()   # a row per wanted rank
+            wanted = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(r).alias("rank"), F.lit(at).alias("at")) for j, p in enumerate(parts) for r, at in open_[p]])
+            mine = F.filter(wanted, lambda x: (x["j"] == F.col("j")) & (x["at"] < F.col("end")) & (x["at"] >= F.col("end") - F.col("n")))
+            found = upto.select("j", "n", "lo", "hi", "end", F.inline(mine.alias("x")).alias("_j", "rank", "at")).collect()   # a row per wanted rank
             open_ = {}
             for x in found:
                 i = parts[x["j"]][0]

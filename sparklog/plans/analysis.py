@@ -25,7 +25,7 @@ from ..functions import rules as R
 from ..operators import detect as D
 from ..operators import features as FE
 from ..operators import mitre as M
-from ..session import path_exists
+from ..session import materialized, path_exists
 
 SUPPORTED = ("ensemble", "isolation_forest", "one_class_svm", "statistical")
 KEEP = ("id", "timestamp", "source", "event_id", "event_type", "severity", "message")
@@ -104,18 +104,18 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
     feats, model.encoders = FE.feature_frame_and_encoders(logs, keep=KEEP, encoders=model.encoders)
     feats = feats.withColumn("keyword_score", D.keyword_score_expr())
     if persist:
-        # materialise once: the parameter aggregates below would otherwise race to compute it
-        feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+        # written once: every parameter aggregate and every pass of a fit below reads it
+        feats = materialized(feats, "features")
         n_rows = feats.count()
     else:
         n_rows = None
-    members = []
+    base, members = feats, []   # what members are fitted on: no member's own score is computed for it
     if algorithm in ("statistical", "ensemble"):
         if model.zparams is None:
             model.zparams = D.zscore_fit(feats).persist(StorageLevel.MEMORY_AND_DISK)
         feats = D.zscore_score(feats, model.zparams)
         members.append("statistical")
-    failed, raw, base = [], {}, feats
+    failed, raw = [], {}
     if algorithm in ("isolation_forest", "ensemble"):
         try:
             if model.forest is None:
@@ -150,7 +150,7 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
             weights.append(("keyword_score", R.SINGLE_KEYWORD_WEIGHT))
     blended = D.blend(feats, weights, "combined")
     if persist:
-        blended = blended.persist(StorageLevel.MEMORY_AND_DISK)
+        blended = materialized(blended, "scores")
     final, n = D.redistribute(blended, "combined", "anomaly_score", return_count=True)
     scored, thr = D.percentile_cut(final, "anomaly_score", n=n, approx_accuracy=approx_accuracy)
     return scored, {"algorithm": algorithm, "percentile_threshold": thr, "members": members, "failed": failed}, model

@@ -146,7 +146,7 @@ query("d04_one_class_svm_scores")(lambda t: AN.score_logs(t.logs, "one_class_svm
 query("d06_ensemble_scores")(lambda t: AN.score_logs(t.logs, "ensemble")[0]
                              .select("id", "stat_score", "if_score", "svm_score", "keyword_score", "anomaly_score",
                                      "prediction"))
-query("d16_analysis_ensemble")(lambda t: AN.analyze_logs(t.logs, t.techniques, "auto", 0.70, as_of=AS_OF,
+query("d16_analysis_ensemble")(lambda t: AN.analyze_logs(t.logs, t.techniques, "ensemble", 0.70, as_of=AS_OF,
                                                          session_id="run")[0]
                                .select("log_id", "anomaly_score", "severity", "algorithm", "mitre_technique_id",
                                        "mitre_tactic", "explanation"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of the library expects.  They are applied with
 # ``spark.conf.set`` on an existing session too, so a cluster session keeps its
@@ -70,3 +71,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return existing
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparklog-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialized(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: computed once, whoever reads it and whichever executor is
+    lost, with a short plan and prunable columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -115,6 +115,20 @@ def test_one_class_svm_reaches_the_minimum(spark):
     assert fitted <= best + R.SVM_GAP * (m["w"] @ m["w"])
     assert np.linalg.norm(m["w"] - w) <= 0.05 * np.linalg.norm(w)
     assert (z @ m["w"] < m["rho"] - 1e-9).mean() <= nu
+    assert m["passes"] <= 20
+
+
+def test_one_class_svm_fits_all_rows_when_the_sample_misses_many(spark, monkeypatch):
+    """A sample of some 600 rows proposes; the gap over all 4,000 rows still closes."""
+    monkeypatch.setattr(R, "SVM_SAMPLE", 600)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(3900, len(R.FEATURE_NAMES))), rng.normal(size=(100, len(R.FEATURE_NAMES))) * 4])
+    x[:400] = x[0]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{f} double" for f in R.FEATURE_NAMES)).repartition(4)
+    m = D.svm_fit(df, nu=0.02, gap=0.01)
+    z = np.sqrt(2 / m["n_components"]) * np.cos((x - m["mean"]) / m["std"] @ m["w_rff"] + m["b_rff"])
+    low = z[np.argsort(z @ m["w"], kind="stable")[:80]].mean(0)
+    assert m["w"] @ (m["w"] - low) <= 0.011 * (m["w"] @ m["w"]) and m["passes"] <= 60
 
 
 def test_algorithm_resolution():

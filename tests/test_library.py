@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +69,28 @@ def test_tables_are_read_where_they_are(spark, tmp_path):
     assert tables(spark, str(tmp_path)).events.count() == 300
 
 
+@pytest.mark.parametrize("bad", [
+    "SELECT 1 AS `a'`, reflect('java.lang.System','getProperty','user.dir') AS `b'`", "SELECT * FROM image.`/etc`", "SELECT * FROM `parquet`.`/tmp/x`",
+    "SELECT * FROM libsvm.`/etc/passwd`", "SELECT (SELECT java_method('java.lang.System','getProperty','x'))", "SELECT * FROM (SELECT * FROM text.`/etc`) x",
+    "SELECT 1 WHERE EXISTS (SELECT * FROM csv.`/etc/passwd`)", "SELECT id FROM logs WHERE id IN (SELECT value FROM text.`/etc`)",
+    "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM logs", "SELECT * FROM IDENTIFIER('text.`/etc`')", "SELECT IDENTIFIER('reflect')('a','b')",
+    "SELECT input_file_name() FROM logs", "SELECT system.builtin.reflect('a','b')", "SELECT nosuchfunction(1)", "SELECT * FROM nosuchtable(1)", "SELECT FROM WHERE (",
+    "SELECT x FROM logs LATERAL VIEW reflect('a','b') v AS x", "SELECT 1 UNION SELECT * FROM avro.`/x`"])
+def test_guard_reads_the_parsed_plan(spark, bad):
+    with pytest.raises(ValueError):
+        FL.validate_select(bad)
+
+
+@pytest.mark.parametrize("good", [
+    "SELECT 'reflect(1); -- DROP /* x */' AS a", "SELECT `a'b` FROM (SELECT 1 AS `a'b`) t", "SELECT \"SET parquet.`/x`\" AS s;",
+    "SELECT source, count(*) n, rank() OVER (ORDER BY count(*)) r FROM logs GROUP BY source HAVING count(*) > 1 ORDER BY n DESC LIMIT 5",
+    "SELECT l.id FROM logs l LEFT JOIN logs m ON l.id = m.id WHERE l.id IN (SELECT max(id) FROM logs) AND NOT EXISTS (SELECT 1 FROM logs WHERE id < 0)",
+    "SELECT x FROM logs LATERAL VIEW explode(array(1, 2)) v AS x", "SELECT * FROM range(3)", "SELECT CASE WHEN id > 1 THEN CAST(id AS string) END FROM logs",
+    "SELECT a FROM VALUES (1), (2) AS t(a) UNION ALL SELECT 3", "SELECT DISTINCT upper(source) FROM default.logs", "SELECT filter(array(1, 2), v -> v > 1)"])
+def test_guard_lets_queries_pass(spark, good):
+    assert FL.validate_select(good) == good.rstrip(";")
+
+
 def test_guarded_sql(spark, t):
     t.logs.createOrReplaceTempView("logs")
     assert FL.guarded_sql(spark, "SELECT id FROM logs").count() <= 1000
@@ -183,3 +208,11 @@ def test_report_periods(spark):
                               "session_id string, start_time timestamp_ntz, end_time timestamp_ntz")
     assert {r.session_id: r.analysis_period for r in A.report_periods(s).collect()} == {
         "a": "2024-01-01 00:00:00 to 2024-01-02 03:04:05", "b": "2024-01-03 00:00:00 to Present"}
+
+
+def test_entry_without_the_optional_packages():
+    """Queries of the library stay when the optional subpackage can't be imported."""
+    code = ("import sys; sys.modules['ahocorasick'] = sys.modules['zstandard'] = sys.modules['public_tokenizers'] = None; sys.modules['sparklog.llm'] = None\n"
+            "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), len(e.oracle_sql()))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) >= 129, out.stderr
