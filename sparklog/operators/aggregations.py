@@ -112,11 +112,13 @@ def technique_summary(anomalies: DataFrame, techniques: DataFrame) -> DataFrame:
     """A10 (+J03, G05): per technique name/tactic, detections and severity of the max score."""
     t = techniques.select("technique_id", "technique_name", F.col("tactic").alias("t_tactic"))
     a = anomalies.filter(F.col("mitre_technique_id").isNotNull())
-    j = a.join(F.broadcast(t), a["mitre_technique_id"] == t["technique_id"], "left")
+    # counted first: what is joined is a row per technique and tactic
+    per = a.groupBy("mitre_technique_id", "mitre_tactic").agg(_n().alias("n"), F.max("anomaly_score").alias("score"))
+    j = per.join(t, per["mitre_technique_id"] == t["technique_id"], "left")
     g = (j.groupBy(F.col("mitre_technique_id").alias("id"),
                    F.coalesce("technique_name", "mitre_technique_id").alias("name"),
                    F.coalesce("mitre_tactic", "t_tactic", F.lit("Unknown")).alias("tactic"))
-         .agg(_n().alias("detections"), F.coalesce(F.max("anomaly_score"), F.lit(0.0)).alias("max_score")))
+         .agg(F.sum("n").cast("bigint").alias("detections"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score")))
     return (g.select("id", "name", "tactic", "detections",
                      X.stored_severity("max_score").alias("severity"))
             .orderBy(F.desc("detections"), "id"))

@@ -16,15 +16,6 @@ from pyspark.sql import Window as W
 from ..functions import expr as X
 from . import stats
 
-BROADCAST_ROWS = 1_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is within ``max_rows``; else ``df`` unchanged."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def anomalies_with_logs(anomalies: DataFrame, logs: DataFrame, log_cols=None) -> DataFrame:
     """Inner equi-join anomalies.log_id = logs.id."""
     log_cols = log_cols or ["timestamp", "source", "event_id", "event_type", "hostname", "username", "message"]
