@@ -1,11 +1,13 @@
 """Quality rules (operator 10): weak supervision over rule votes, in DataFrame functions only.
 
-Every rule reads a document's counts and votes good (+1), bad (-1) or abstains (0).  The votes of all
-documents are counted per vote pattern (at most 3 ** rules rows, whatever the corpus), expectation-
-maximisation over those counts estimates each rule's accuracy on good and on bad documents, and the
-posterior probability of "good" under the estimated accuracies is the verdict, in place of an
-all-rules-must-pass filter.  The posterior is a sum of learned log-odds per vote, evaluated as a
-column expression.
+Every rule reads a document's counts and votes good (+1), bad (-1) or abstains (0).  Counts that measure the
+same thing are one rule, so that no signal votes twice; the rule on symbols has a second, stronger bad vote
+(-2) instead.  The votes of all documents are counted per vote pattern (at most 3 ** rules rows, whatever the
+corpus).  Expectation-maximisation over those counts estimates how often each rule votes what on good
+documents and on each kind of bad ones (``KINDS``: a document is bad in one way, and lacking the signs of
+another way makes it no better; a kind shows at least one of its signs), and the posterior probability of "good" is the verdict, in place of an
+all-rules-must-pass filter.  One weak sign leaves a document; two signs, or the stronger vote, don't.
+The posterior is evaluated as a column expression.
 
 Defined cases: a null text has no words (all counts 0, ``base_failed`` true); an empty table keeps the
 starting accuracies; repeated rows and ids are judged row by row; other columns are neither read nor
@@ -26,12 +28,19 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _SIGNALS = [*_COUNTS, "n_lines", "n_upper", "n_exclaim"]
 WINDOW = 5
 ITERATIONS = 50
-#: Starting point of the estimate: share of good documents; P(vote | good) and P(vote | bad).
+#: Kinds of bad documents and the rules that tell them.
+KINDS = {"fragments": ("length", "word_length"), "symbols": ("symbols",), "copies": ("dup_lines", "repeats"), "shouting": ("capitals", "exclaims")}
+#: Starting point of the estimate: share of good documents (the kinds share the rest), P(vote | good), and
+#: P(vote | bad) of the rules that tell the kind; the other rules vote on it as on good documents.
 START_PRIOR = 0.9
 START_GOOD = {-1: 0.02, 0: 0.5, 1: 0.48}
 START_BAD = {-1: 0.5, 0: 0.35, 1: 0.15}
-#: Pseudo-counts that keep every estimate strictly inside (0, 1).
-SMOOTH = 1.0
+#: The same for symbols: -1 a symbol to four words (tables, prices and code have them too), -2 two to five words (single
+#: words between separators, words wrapped in symbols).
+START_SYMBOLS = ({-2: 0.0005, -1: 0.02, 0: 0.9795}, {-2: 0.5, -1: 0.3, 0: 0.2})
+STARTS = {"symbols": START_SYMBOLS}
+#: Weight of the starting point: it counts as if this share of the corpus had been judged by it, at every size.
+BELIEF = 0.05
 
 
 def _dropped(text: Column, chars: str) -> Column:
@@ -78,59 +87,78 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     return step.withColumn("_q", F.col("_q.s").withField("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))))
 
 
-def rules(q) -> dict[str, tuple[Column, Column]]:
-    """Rule -> (votes good, votes bad); neither: it abstains."""
+def votes(q) -> dict[str, Column]:
+    """Rule -> vote: 1 good, 0 abstains, -1 bad, and of symbols also -2."""
     words = F.greatest(q["n_words"], F.lit(1))
     lines = F.greatest(q["n_lines"], F.lit(1))
+
+    def bad(condition: Column) -> Column:
+        return F.when(condition, -1).otherwise(0)
+
     return {
-        "length": (q["n_words"] >= 20, q["n_words"] < 10),
-        "word_length": (q["word_chars"].between(3 * words, 10 * words), ~q["word_chars"].between(2 * words, 16 * words)),
-        "symbols_per_word": (F.lit(False), 4 * q["n_symbols"] > words),
-        "symbols_per_char": (F.lit(False), 20 * q["n_symbols"] > q["word_chars"]),
-        "plain_share": (F.lit(False), 15 * (q["n_symbols"] + q["n_exclaim"]) > q["word_chars"]),
-        "dup_lines": (F.lit(False), 4 * q["n_dup_lines"] > lines),
-        "repeats": (F.lit(False), 5 * q["n_repeat_words"] > words),
-        "capitals": (F.lit(False), 2 * q["n_upper"] > q["word_chars"]),
-        "exclaims": (F.lit(False), 4 * q["n_exclaim"] > words),
+        "length": F.when(q["n_words"] < 10, -1).when(q["n_words"] >= 20, 1).otherwise(0),
+        "word_length": F.when(~q["word_chars"].between(2 * words, 16 * words), -1)
+                        .when(q["word_chars"].between(3 * words, 10 * words), 1).otherwise(0),
+        "symbols": F.when(5 * q["n_symbols"] > 2 * words, -2).otherwise(bad(4 * q["n_symbols"] > words)),
+        "dup_lines": bad(4 * q["n_dup_lines"] > lines),
+        "repeats": bad(5 * q["n_repeat_words"] > words),
+        "capitals": bad(2 * q["n_upper"] > q["word_chars"]),
+        "exclaims": bad(4 * q["n_exclaim"] > words),
     }
 
 
-def _votes(q) -> dict[str, Column]:
-    return {k: F.when(bad, -1).when(good, 1).otherwise(0) for k, (good, bad) in rules(q).items()}
+def shares(cast: tuple[int, ...], kinds: list[int], priors: list[float], model: list[list[dict]]) -> list[float]:
+    """Posterior of every class (good first) given a document's votes; a kind without any of its bad votes has none."""
+    signs = {0, *(k for k, v in zip(kinds, cast) if v < 0)}
+    logs = {c: math.log(priors[c]) + sum(math.log(table[v]) for v, table in zip(cast, model[c])) for c in signs}
+    top = max(logs.values())
+    mass = [math.exp(logs[c] - top) if c in signs else 0.0 for c in range(len(priors))]
+    return [m / sum(mass) for m in mass]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[dict], list[dict]]:
-    """EM over (votes, count) patterns: share of good documents, and per rule P(vote | good), P(vote | bad).
+def estimate(patterns: list[tuple[tuple[int, ...], int]], starts: list[tuple[dict, dict]],
+             kinds: list[int]) -> tuple[list[float], list[list[dict]]]:
+    """EM over (votes, count) patterns: the share of every class, and per class and rule P(vote | class).
 
-    A rule is never taken to vote bad more often on good documents than on bad ones (nor good more
-    often on bad ones), which fixes which of the two classes is "good".
+    Class 0 is "good", class k the k-th kind of bad.  ``starts`` holds a rule's starting P(vote | good) and
+    P(vote | bad), ``kinds`` the kind that it tells.  A rule is never taken to vote bad more often on good
+    documents than on its kind (nor good more often on its kind), which keeps the classes what they are.
     """
-    prior, good, bad = START_PRIOR, [dict(START_GOOD) for _ in range(n_rules)], [dict(START_BAD) for _ in range(n_rules)]
+    classes = range(max(kinds) + 1)
+    start = [[bad if k == c else good for (good, bad), k in zip(starts, kinds)] for c in classes]
+    prior = [START_PRIOR] + [(1 - START_PRIOR) / max(kinds)] * max(kinds)
+    priors, model = prior, start
     total = sum(count for _, count in patterns)
+    weight = max(1.0, BELIEF * total)
     for _ in range(ITERATIONS):
-        mass = 0.0
-        seen = [[{v: SMOOTH * p for v, p in start.items()} for start in (START_GOOD, START_BAD)] for _ in range(n_rules)]
-        for votes, count in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(a[v] / b[v]) for v, a, b in zip(votes, good, bad))
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            mass += p * count
-            for r, v in enumerate(votes):
-                seen[r][0][v] += p * count
-                seen[r][1][v] += (1 - p) * count
-        prior = (SMOOTH * START_PRIOR + mass) / (SMOOTH + total)
-        for r in range(n_rules):
-            good[r], bad[r] = ({v: n / sum(y.values()) for v, n in y.items()} for y in seen[r])
-            for v, low, high in ((-1, good[r], bad[r]), (1, bad[r], good[r])):
-                low[v] = min(low[v], high[v])
-    return prior, good, bad
-
-
-def _posterior(votes: dict[str, Column], prior: float, good: list[dict], bad: list[dict]) -> Column:
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for vote, a, b in zip(votes.values(), good, bad):
-        w = {v: math.log(a[v] / b[v]) for v in a}
-        odds = odds + F.when(vote < 0, w[-1]).when(vote > 0, w[1]).otherwise(w[0])
-    return 1 / (1 + F.exp(-odds))
+        mass = [weight * p for p in prior]
+        seen = [[{v: weight * share * p for v, p in table.items()} for table in rules] for share, rules in zip(prior, start)]
+        for cast, count in patterns:
+            for c, p in enumerate(shares(cast, kinds, priors, model)):
+                mass[c] += p * count
+                for r, v in enumerate(cast):
+                    seen[c][r][v] += p * count
+        priors = [m / (weight + total) for m in mass]
+        model = [[{v: n / sum(table.values()) for v, n in table.items()} for table in rules] for rules in seen]
+        for r, k in enumerate(kinds):
+            for v in model[0][r]:
+                low, high = (model[0][r], model[k][r]) if v < 0 else (model[k][r], model[0][r])
+                low[v] = min(low[v], high[v]) if v else low[v]
+    return priors, model
+
+
+def _posterior(cast: dict[str, Column], kinds: list[int], priors: list[float], model: list[list[dict]]) -> Column:
+    """P(good): per kind with a sign, the votes' likelihood against that of "good"."""
+    against = F.lit(0.0)
+    for c in range(1, len(priors)):
+        odds, sign = F.lit(math.log(priors[c] / priors[0])), F.lit(False)
+        for vote, k, good, bad in zip(cast.values(), kinds, model[0], model[c]):
+            weight = F.lit(math.log(bad[0] / good[0]))
+            for v in good:
+                weight = F.when(vote == v, math.log(bad[v] / good[v])).otherwise(weight)
+            odds, sign = odds + weight, sign | (vote < 0) if k == c else sign
+        against = against + F.when(sign, F.exp(odds)).otherwise(0.0)
+    return 1 / (1 + against)
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -138,12 +166,14 @@ def judged(rows: DataFrame) -> DataFrame:
 
     ``rows`` is read twice (vote counts, verdicts), so hand in a written table.
     """
-    votes = _votes(F.col("_q"))
-    counted = rows.groupBy(*[v.alias(k) for k, v in votes.items()]).agg(F.count(F.lit(1)).alias("_n"))
-    patterns = sorted((tuple(r[k] for k in votes), r["_n"]) for r in counted.collect())  # at most 3 ** rules rows
-    prior, good, bad = estimate(patterns, len(votes))
+    cast = votes(F.col("_q"))
+    counted = rows.groupBy(*[v.alias(k) for k, v in cast.items()]).agg(F.count(F.lit(1)).alias("_n"))
+    patterns = sorted((tuple(r[k] for k in cast), r["_n"]) for r in counted.collect())  # at most 3 ** rules rows
+    told = {rule: i for i, rules in enumerate(KINDS.values(), 1) for rule in rules}
+    kinds = [told[rule] for rule in cast]
+    priors, model = estimate(patterns, [STARTS.get(rule, (START_GOOD, START_BAD)) for rule in cast], kinds)
     base = (F.col("_q.n_words") < 10) | (100 * F.col("_q.n_repeat_words") > 20 * F.col("_q.n_words"))
-    return (rows.withColumn("_p", _posterior(votes, prior, good, bad)).withColumn("_base", base)
+    return (rows.withColumn("_p", _posterior(cast, kinds, priors, model)).withColumn("_base", base)
             .withColumn("_kept", ~F.col("_base") & (F.col("_p") >= 0.5)))
 
 
