@@ -107,56 +107,58 @@ def votes(q) -> dict[str, Column]:
     }
 
 
-def shares(cast: tuple[int, ...], kinds: list[int], priors: list[float], model: list[list[dict]]) -> list[float]:
+def shares(cast: tuple[int, ...], kinds: list[int], priors: list[float], good: list[dict], bad: list[dict]) -> list[float]:
     """Posterior of every class (good first) given a document's votes; a kind without any of its bad votes has none."""
     signs = {0, *(k for k, v in zip(kinds, cast) if v < 0)}
-    logs = {c: math.log(priors[c]) + sum(math.log(table[v]) for v, table in zip(cast, model[c])) for c in signs}
+    logs = {c: math.log(priors[c]) + sum(math.log(b[v] / g[v]) for v, k, g, b in zip(cast, kinds, good, bad) if k == c) for c in signs}
     top = max(logs.values())
     mass = [math.exp(logs[c] - top) if c in signs else 0.0 for c in range(len(priors))]
     return [m / sum(mass) for m in mass]
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], starts: list[tuple[dict, dict]],
-             kinds: list[int]) -> tuple[list[float], list[list[dict]]]:
-    """EM over (votes, count) patterns: the share of every class, and per class and rule P(vote | class).
+             kinds: list[int]) -> tuple[list[float], list[dict], list[dict]]:
+    """EM over (votes, count) patterns: the share of every class, and per rule P(vote | good) and P(vote | its kind).
 
     Class 0 is "good", class k the k-th kind of bad.  ``starts`` holds a rule's starting P(vote | good) and
-    P(vote | bad), ``kinds`` the kind that it tells.  A rule is never taken to vote bad more often on good
-    documents than on its kind (nor good more often on its kind), which keeps the classes what they are.
+    P(vote | bad), ``kinds`` the kind that it tells; on other kinds it votes as on good documents.  A rule is
+    never taken to vote bad more often on good documents than on its kind (nor good more often on its
+    kind), which keeps the classes what they are.
     """
-    classes = range(max(kinds) + 1)
-    start = [[bad if k == c else good for (good, bad), k in zip(starts, kinds)] for c in classes]
     prior = [START_PRIOR] + [(1 - START_PRIOR) / max(kinds)] * max(kinds)
-    priors, model = prior, start
+    priors, good, bad = prior, [g for g, _ in starts], [b for _, b in starts]
     total = sum(count for _, count in patterns)
     weight = max(1.0, BELIEF * total)
     for _ in range(ITERATIONS):
         mass = [weight * p for p in prior]
-        seen = [[{v: weight * share * p for v, p in table.items()} for table in rules] for share, rules in zip(prior, start)]
+        seen = [[{v: weight * prior[c] * p for v, p in table.items()} for c, table in ((0, g), (k, b))] for (g, b), k in zip(starts, kinds)]
         for cast, count in patterns:
-            for c, p in enumerate(shares(cast, kinds, priors, model)):
+            post = shares(cast, kinds, priors, good, bad)
+            for c, p in enumerate(post):
                 mass[c] += p * count
-                for r, v in enumerate(cast):
-                    seen[c][r][v] += p * count
+            for (g, b), v, k in zip(seen, cast, kinds):
+                g[v] += post[0] * count
+                b[v] += post[k] * count
         priors = [m / (weight + total) for m in mass]
-        model = [[{v: n / sum(table.values()) for v, n in table.items()} for table in rules] for rules in seen]
-        for r, k in enumerate(kinds):
-            for v in model[0][r]:
-                low, high = (model[0][r], model[k][r]) if v < 0 else (model[k][r], model[0][r])
+        good, bad = ([{v: n / sum(table.values()) for v, n in table.items()} for table in side] for side in zip(*seen))
+        for g, b in zip(good, bad):
+            for v in g:
+                low, high = (g, b) if v < 0 else (b, g)
                 low[v] = min(low[v], high[v]) if v else low[v]
-    return priors, model
+    return priors, good, bad
 
 
-def _posterior(cast: dict[str, Column], kinds: list[int], priors: list[float], model: list[list[dict]]) -> Column:
+def _posterior(cast: dict[str, Column], kinds: list[int], priors: list[float], good: list[dict], bad: list[dict]) -> Column:
     """P(good): per kind with a sign, the votes' likelihood against that of "good"."""
     against = F.lit(0.0)
     for c in range(1, len(priors)):
         odds, sign = F.lit(math.log(priors[c] / priors[0])), F.lit(False)
-        for vote, k, good, bad in zip(cast.values(), kinds, model[0], model[c]):
-            weight = F.lit(math.log(bad[0] / good[0]))
-            for v in good:
-                weight = F.when(vote == v, math.log(bad[v] / good[v])).otherwise(weight)
-            odds, sign = odds + weight, sign | (vote < 0) if k == c else sign
+        for vote, k, g, b in zip(cast.values(), kinds, good, bad):
+            if k == c:
+                weight = F.lit(math.log(b[0] / g[0]))
+                for v in g:
+                    weight = F.when(vote == v, math.log(b[v] / g[v])).otherwise(weight)
+                odds, sign = odds + weight, sign | (vote < 0)
         against = against + F.when(sign, F.exp(odds)).otherwise(0.0)
     return 1 / (1 + against)
 
@@ -171,9 +173,9 @@ def judged(rows: DataFrame) -> DataFrame:
     patterns = sorted((tuple(r[k] for k in cast), r["_n"]) for r in counted.collect())  # at most 3 ** rules rows
     told = {rule: i for i, rules in enumerate(KINDS.values(), 1) for rule in rules}
     kinds = [told[rule] for rule in cast]
-    priors, model = estimate(patterns, [STARTS.get(rule, (START_GOOD, START_BAD)) for rule in cast], kinds)
+    priors, good, bad = estimate(patterns, [STARTS.get(rule, (START_GOOD, START_BAD)) for rule in cast], kinds)
     base = (F.col("_q.n_words") < 10) | (100 * F.col("_q.n_repeat_words") > 20 * F.col("_q.n_words"))
-    return (rows.withColumn("_p", _posterior(cast, kinds, priors, model)).withColumn("_base", base)
+    return (rows.withColumn("_p", _posterior(cast, kinds, priors, good, bad)).withColumn("_base", base)
             .withColumn("_kept", ~F.col("_base") & (F.col("_p") >= 0.5)))
 
 

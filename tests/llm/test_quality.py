@@ -44,7 +44,7 @@ def verdicts(texts):
     base = max(1.0, 0.05 * len(texts))
 
     def posterior(v):
-        weight = [share[c] * math.prod(tables[c][r][v[r]] for r in range(7)) if not c or any(v[r] < 0 for r in own) else 0
+        weight = [share[c] * math.prod(tables[c if r in own else 0][r][v[r]] for r in range(7)) if not c or any(v[r] < 0 for r in own) else 0
                   for c, own in enumerate(SIGNS)]
         return [w / sum(weight) for w in weight]
 
@@ -110,7 +110,7 @@ def test_estimate_recovers_planted_accuracies():
         votes = tuple(0 if rnd.random() < 0.1 else (1 if rnd.random() < a else -1) if y else (-1 if rnd.random() < b else 1)
                       for a, b in zip(good, bad))
         counts[votes] = counts.get(votes, 0) + 1
-    (prior, _), (g, b) = quality.estimate(sorted(counts.items()), [COMMON] * 4, [1] * 4)
+    (prior, _), g, b = quality.estimate(sorted(counts.items()), [COMMON] * 4, [1] * 4)
     assert abs(prior - 0.85) < 0.03
     assert all(abs(x[1] / (x[1] + x[-1]) - y) < 0.05 for x, y in zip(g, good))
     assert all(abs(x[-1] / (x[1] + x[-1]) - y) < 0.08 for x, y in zip(b, bad))
