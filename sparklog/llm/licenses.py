@@ -5,9 +5,11 @@ template is one shingle).  A template of t shingles is sought in windows of 1.5
 every t / 2 shingles, so a whole copy lies inside some window.  A window that holds three quarters of the
 template's shingles has a Jaccard similarity of at least 0.75 / (1 + 1.5 - 0.75) = 0.43 with it, and
 meets it in one of ``BANDS`` = 25 one-minhash bands with probability 1 - (1 - 0.43) ** 25 > 1 - 1e-6.
-Retrieved templates are verified by exact containment: at least 75 % of the template's shingles are
-among the window's.  Equal minhashes mean a shared shingle, so windows without any template shingle meet
-no template and are not formed.  Documents are not shuffled; templates are a parameter (fixed texts).
+The bands of all templates form one table (band, minhash) -> templates per window size; the minhashes of
+every window are looked up in it, and the templates that it returns are verified by exact containment:
+at least 75 % of the template's shingles are among the window's.  Equal minhashes mean a shared shingle, so
+windows without any shingle of any template meet no band and are not formed.  Documents are not
+shuffled; templates are a parameter (fixed texts).
 
 Defined cases: a null or wordless text has no license; a template without words is left out; rows
 repeating a document id are scanned one by one; other columns are ignored; an empty table gives no row.
@@ -133,7 +135,12 @@ class Templates:
                 order = words.windows(SHINGLE)[1] if n == SHINGLE else np.array([_whole(words.hash)], np.uint64)
                 self.sets.append(np.unique(order))
                 self.decide.append(self._deciding(name, words.hash, order, n))
-        self.bands = [self.band(s) for s in self.sets]
+        #: (shingle size, set size) -> per band, its minhashes in order and the template of each.
+        self.tables = {}
+        for kind in sorted({(n, len(s)) for n, s in zip(self.words, self.sets)}):
+            members = np.array([i for i, (n, s) in enumerate(zip(self.words, self.sets)) if (n, len(s)) == kind])
+            values = np.stack([self.band(self.sets[i]) for i in members])
+            self.tables[kind] = [(values[order, b], members[order]) for b in range(BANDS) for order in [np.argsort(values[:, b], kind="stable")]]
         #: All shingles of the templates of a size, so that texts are searched once.
         self.every = {n: np.unique(np.concatenate([s for s, k in zip(self.sets, self.words) if k == n])) for n in set(self.words)}
 
@@ -159,46 +166,60 @@ class Templates:
         return ((hashes[:, None] ^ _XOR) * _MUL).min(0)
 
     def _windows(self, words: Words):
-        """(template, row, first shingle, shingles of the window, its row's first place), each of three quarters containment."""
-        texts = {}
-        for size, every in self.every.items():
-            if size == SHINGLE:
-                at, hashes = words.windows(SHINGLE)
-            else:  # a template of fewer words: its word sequence anywhere
-                at, hashes = words.windows(size)
-                total = np.zeros(len(at), np.uint64)
-                for k in range(size):
-                    total += words.hash[at + k] * _ODD[k]
-                hashes = mix(total + mix(np.array([size], np.uint64)))
-            place = np.searchsorted(every, hashes)
-            some = np.flatnonzero(every[np.minimum(place, len(every) - 1)] == hashes)
-            if len(some):  # shingle number inside its document, and the windows (document, start) that hold a hit
-                doc = words.doc[at]
-                begin = np.searchsorted(doc, np.arange(len(words.count)))
-                texts[size] = hashes, some, doc, begin, np.searchsorted(doc, np.arange(len(words.count)), "right") - begin
-        for i, (size, wanted, band) in enumerate(zip(self.words, self.sets, self.bands)):
+        """(template, row, first shingle, shingles of the window, containment), each of three quarters containment."""
+        out = []
+        texts: dict[int, tuple] = {}
+        for (size, t), table in self.tables.items():
             if size not in texts:
-                continue
+                texts[size] = self._shingles(words, size)
             hashes, some, doc, begin, count = texts[size]
-            t = len(wanted)
-            place = np.searchsorted(wanted, hashes[some])
-            hit = some[wanted[np.minimum(place, t - 1)] == hashes[some]]
-            if not len(hit):
+            if not len(some):
                 continue
             step, width = max(1, t // 2), t + -(-t // 2)
-            own = hit - begin[doc[hit]]
-            last = own // step
-            back = np.arange(-(-width // step) + 1)
-            starts = last[:, None] - back[None, :]
-            good = (starts >= 0) & (starts * step + width > own[:, None])
-            pairs = np.unique(np.stack([np.repeat(doc[hit], good.sum(1)), starts[good] * step], 1), axis=0)
-            for d, s in pairs.tolist():
-                shingles = hashes[begin[d] + s:begin[d] + min(s + width, int(count[d]))]
-                window = np.unique(shingles)
-                if (self.band(window) == band).any():  # the window and the template meet in a band
-                    inside = np.isin(wanted, window, assume_unique=True)
-                    if 100 * inside.sum() >= CONTAINED * t:
-                        yield i, d, s, shingles, float(inside.sum()) / t
+            own = some - begin[doc[some]]  # the windows that hold a shingle of any template
+            starts = (own // step)[:, None] - np.arange(-(-width // step) + 1)[None, :]
+            held = (starts >= 0) & (starts * step + width > own[:, None])
+            windows = np.unique(np.stack([np.repeat(doc[some], held.sum(1)), starts[held] * step], 1), axis=0)
+            first = begin[windows[:, 0]] + windows[:, 1]
+            end = np.minimum(first + width, begin[windows[:, 0]] + count[windows[:, 0]])
+            for w, i in self._met(hashes, first, end, table):
+                shingles, wanted = hashes[first[w]:end[w]], self.sets[i]
+                inside = int(np.isin(wanted, shingles).sum())
+                if 100 * inside >= CONTAINED * t:
+                    out.append((i, int(windows[w, 0]), int(windows[w, 1]), shingles, inside / t))
+        return sorted(out, key=lambda m: m[:3])
+
+    def _shingles(self, words: Words, size: int) -> tuple:
+        """Hashes of all shingles of the size, those that some template has, their documents, and each document's first and count."""
+        if size == SHINGLE:
+            at, hashes = words.windows(SHINGLE)
+        else:  # a template of fewer words: its word sequence anywhere
+            at, hashes = words.windows(size)
+            total = np.zeros(len(at), np.uint64)
+            for k in range(size):
+                total += words.hash[at + k] * _ODD[k]
+            hashes = mix(total + mix(np.array([size], np.uint64)))
+        every = self.every[size]
+        some = np.flatnonzero(every[np.minimum(np.searchsorted(every, hashes), len(every) - 1)] == hashes)
+        doc = words.doc[at]
+        rows = np.arange(len(words.count))
+        begin = np.searchsorted(doc, rows)
+        return hashes, some, doc, begin, np.searchsorted(doc, rows, "right") - begin
+
+    @staticmethod
+    def _met(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, table: list) -> list[tuple[int, int]]:
+        """(window, template) pairs that share the minhash of a band."""
+        size = end - first
+        place = np.cumsum(size) - size
+        flat = hashes[np.repeat(first - place, size) + np.arange(size.sum())]
+        met = []
+        for xor, mul, (values, members) in zip(_XOR, _MUL, table):
+            low = np.minimum.reduceat((flat ^ xor) * mul, place)
+            left, right = np.searchsorted(values, low), np.searchsorted(values, low, "right")
+            n = right - left
+            w = np.repeat(np.arange(len(low)), n)
+            met.append(np.stack([w, members[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + left[w]]], 1))
+        return np.unique(np.concatenate(met), axis=0).tolist()
 
     def find(self, words: Words) -> list[tuple[int, str, int, int, float]]:
         """(row, license, first word, words, containment): windows that contain a template, the best of each run of windows."""

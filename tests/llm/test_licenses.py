@@ -57,6 +57,87 @@ def test_against_a_plain_scan(spark):
     assert found(got) == sorted((d, len(words(t)), brute(t)) for d, t in docs)
 
 
+def whole(text, templates):
+    """The licenses that the registered scan states: windows by a plain scan of every start, best held template first."""
+    known = lic.Templates(templates)
+    w = words(text)
+    windows = []
+    for i, name in enumerate(known.names):
+        v = words(templates[name])
+        n = min(5, len(v))
+        want = {tuple(v[k:k + n]) for k in range(len(v) - n + 1)}
+        step, width = max(1, len(want) // 2), len(want) + -(-len(want) // 2)
+        signs = [words(p) for p in lic.deciding(name)]
+        need = [{g for g in want if any(g[k:k + len(p)] == tuple(p) for k in range(n))} if len(p) <= n else
+                None for p in signs]
+        need = [{tuple(p[k:k + n])} for p, x in zip(signs, need) if x is None for k in range(len(p) - n + 1)] + [x for x in need if x is not None]
+        sh = [tuple(w[k:k + n]) for k in range(len(w) - n + 1)]
+        for s in range(0, max(1, len(sh)), step) if want & set(sh) else ():
+            if 100 * len(want & set(sh[s:s + width])) >= 75 * len(want):
+                windows.append((i, n, want, need, s, min(s + width, len(sh)), len(v)))
+    owner, used, out = [None] * len(w), {}, set()
+
+    def claim(i, n, want, need, s, e, length):
+        who = lic.license_of(known.names[i])
+        ok = [owner[k] in (None, who) and k not in used.get(i, ()) for k in range(len(w))]
+        at = [k for k in range(s, e) if tuple(w[k:k + n]) in want and all(ok[k:k + n])]
+        kinds = {tuple(w[k:k + n]) for k in at}
+        if 100 * len(kinds) < 75 * len(want) or not all(kinds & x for x in need):
+            return None
+        runs = []
+        for a, k in enumerate(at):
+            left = set(kinds)
+            for m in at[a:]:
+                left.discard(tuple(w[m:m + n]))
+                if not left:
+                    runs.append((m - k + n, k))
+                    break
+        return (-len(kinds) / len(want), -length, *min(runs))
+
+    while True:
+        best = min(((c, k) for k, x in enumerate(windows) if (c := claim(*x))), default=None)
+        if best is None:
+            return ",".join(sorted(out))
+        (_, _, n, first), k = best
+        i = windows[k][0]
+        out.add(lic.reported(known.names[i]))
+        owner[first:first + n] = [lic.license_of(known.names[i])] * n
+        used.setdefault(i, set()).update(range(first, first + n))
+
+
+def test_registered_scan_against_a_plain_scan(spark, small_docs, tmp_path):
+    every = {**lic.TEMPLATES, **lic.SIBLINGS, **lic.TEXTS}
+    rnd = random.Random(8)
+    docs = [(d, t) for d, t in rows() if d < 30 and t is not None and len(t) < 4000]
+    for d in range(1000, 1040):
+        parts = []
+        for _ in range(3):
+            v = every[rnd.choice(sorted(every))].split()
+            for _ in range(rnd.choice([0, 0, 1])):
+                v[rnd.randrange(len(v))] = "changed"
+            parts += [" ".join(v), "other words stand here"[:rnd.choice([0, 5, 22])]]
+        docs.append((d, " ".join(parts)))
+    docs += [(r.doc_id + 2000, r.text) for r in small_docs.collect()]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.n_words, r.n_licenses, r.licenses) for r in lic.op7_license_scan(spark, str(tmp_path)).collect()}
+    want = set()
+    for d, t in docs:
+        names = whole(t, every)
+        want.add((d, len(words(t)), len(names.split(",")) if names else 0, names))
+    assert got == want and sum(bool(x[3]) for x in want) > 45
+
+
+def test_only_the_bands_retrieve():
+    """Without the band tables nothing is found; each template is returned by them for its own text."""
+    every = {**lic.TEMPLATES, **lic.SIBLINGS, **lic.TEXTS}
+    known = lic.Templates(every)
+    data = " . ".join(every.values()).encode()
+    scan = lic.Words(lic.np.frombuffer(data, lic.np.uint8), lic.np.array([0, len(data)]), lic.ALNUM, lic.LOWER)
+    assert {m[1] for m in known.find(scan)} == set(every)
+    known.tables = {k: [(v[:0], m[:0]) for v, m in t] for k, t in known.tables.items()}
+    assert known.find(scan) == [] and known.stated(scan) == []
+
+
 def test_place_of_a_match(spark):
     text = "some words before " + lic.TEMPLATES["GPL-3.0"] + " and after it"
     m = lic.license_matches(spark.createDataFrame([(1, text, "")], DOC)).first().matches
