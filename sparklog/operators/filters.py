@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import rules as R
+from .joins import within_session
 
 ANALYSIS_COLUMNS = ["id", "timestamp", "source", "event_id", "event_type", "severity", "message",
                     "hostname", "username", "process_name", "process_id"]
@@ -98,8 +99,7 @@ def list_anomalies(anomalies: DataFrame, logs: DataFrame, sessions: DataFrame |
     """F10 (+J01, J07): anomalies joined to their log, optional session lower bound and severity."""
     a = anomalies
     if session_id is not None and sessions is not None:
-        lb = sessions.filter(F.col("session_id") == session_id).select(F.col("start_time").alias("_lb"))
-        a = a.join(F.broadcast(lb), F.col("detected_at") >= F.col("_lb")).drop("_lb")
+        a = within_session(a, sessions, session_id, None, open_ended=True)
     if severity:
         a = a.filter(F.col("severity") == severity.upper())
     j = a.join(logs.select(F.col("id").alias("_lid"), "timestamp", "source", "event_type", "message"),

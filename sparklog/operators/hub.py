@@ -10,11 +10,15 @@ the map side before anything is shuffled.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import rules as R
+from ..session import materialized
+from .joins import upsert
 
 HUB_KEY = ["original_id", "source_node"]
 ANOMALY_FIELDS = ["id", "anomaly_score", "severity", "algorithm", "mitre_technique_id", "mitre_tactic",
@@ -25,13 +29,86 @@ def _n() -> Column:
     return F.count(F.lit(1)).cast("bigint")
 
 
+PACKAGE_SCHEMA = "package_id string, source_node string, anomalies array<map<string,string>>, logs_summary map<string,string>"
+#: Columns of the node registry that a package of a known node updates; a new node's row is inserted whole.
+NODE_UPDATES = ["hostname", "status", "last_seen", "total_logs", "total_anomalies", "ip_address", "last_sync"]
+NODE_FIELDS = ["node_id", "hostname", "role", "status", "last_seen", "total_logs", "total_anomalies", "ip_address", "last_sync"]
+
+
+def _packages(spark: SparkSession, path: str) -> DataFrame:
+    """One row per package file: its path, id (a file without one: the digest of its path), node, anomalies, summary."""
+    pk = spark.read.schema(PACKAGE_SCHEMA).option("multiLine", True).json(path)
+    return pk.select(F.col("_metadata.file_path").alias("package_path"), "package_id",
+                     F.coalesce("source_node", F.lit("unknown")).alias("source_node"), "anomalies", "logs_summary") \
+        .withColumn("package_id", F.coalesce("package_id", F.md5("package_path")))
+
+
+def _package_nodes(packages: DataFrame) -> DataFrame:
+    summary = F.col("logs_summary")
+    return packages.filter(F.size(summary) > 0).select(
+        "package_id", "package_path", "source_node", *[summary[c].alias(c) for c in ("node_id", "hostname", "role", "ip_address")],
+        *[F.coalesce(summary[c].try_cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in ("total_logs", "total_anomalies")])
+
+
 def read_sync_packages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Sync-package JSON files -> (anomaly rows with source_node, node summaries)."""
-    pk = spark.read.option("multiLine", True).json(path)
-    rows = pk.select("package_id", "source_node", F.explode_outer("anomalies").alias("a")) \
-        .filter(F.col("a").isNotNull()).select("package_id", "source_node", "a.*")
-    nodes = pk.select("package_id", "source_node", "logs_summary.*")
-    return rows, nodes
+    """Sync-package JSON files -> (anomaly rows with package and source_node, node summaries).
+
+    A field that an anomaly lacks gets its default (score 0, severity 'UNKNOWN', algorithm 'unknown', no
+    node: 'unknown'); one that is there and null stays null.  A message is never null.
+    """
+    packages = _packages(spark, path)
+    rows = packages.select("package_id", "package_path", "source_node", F.explode("anomalies").alias("_a"))
+    a = F.col("_a")
+
+    def field(name: str, default: str) -> Column:
+        return F.when(F.map_contains_key(a, name), a[name]).otherwise(F.lit(default))
+
+    fields = {"id": a["id"].try_cast("bigint"), "anomaly_score": field("anomaly_score", "0").try_cast("double"),
+              "severity": field("severity", "UNKNOWN"), "algorithm": field("algorithm", "unknown"),
+              "message": F.coalesce(a["message"], F.lit(""))}
+    rows = rows.filter(a.isNotNull()).select(
+        "package_id", "package_path", "source_node", *[fields.get(c, a[c]).alias(c) for c in ANOMALY_FIELDS])
+    return rows, _package_nodes(packages)
+
+
+def import_packages(spark: SparkSession, path: str, hub: DataFrame | None, nodes: DataFrame, imported_at: _dt.datetime,
+                    this_node: str = "hub") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S12 + J08 + J13 + J15: all package files under ``path`` -> (hub rows to append, nodes afterwards, sync log rows).
+
+    Files count in path order: of an anomaly that several hold, the first keeps it; a node's last summary
+    is its state.  A known node's row is updated (status 'inactive'), a new one inserted; ``last_sync`` and
+    ``total_anomalies`` are those of the import.  The log has a row per file, with no anomalies too.
+    """
+    rows, summaries = read_sync_packages(spark, path)
+    incoming = rows.select(F.col("package_path").alias("import_batch"), F.col("id").alias("original_id"), "source_node", "anomaly_score", "severity",
+                           "algorithm", "mitre_technique_id", "mitre_tactic", F.col("timestamp").alias("log_timestamp"), "source", "event_type",
+                           "message", "hostname", "username")
+    # both results read the merge: written once
+    merged = materialized(merge_into_hub(hub, incoming, imported_at), "hub-import")
+
+    kept = merged.groupBy(F.col("import_batch").alias("package_path")).agg(_n().alias("anomalies_synced"))
+    log = (_packages(spark, path).select(F.col("package_id").alias("sync_id"), "source_node", "package_path",
+                                         F.coalesce(F.array_size("anomalies"), F.lit(0)).cast("bigint").alias("total_in_package"))
+           .join(kept, "package_path", "left")
+           .select("sync_id", "source_node", F.lit(this_node).alias("target_node"), F.lit("usb").alias("sync_method"),
+                   F.coalesce("anomalies_synced", F.lit(0)).cast("bigint").alias("anomalies_synced"), "total_in_package",
+                   F.lit(imported_at).alias("synced_at"), "package_path"))
+
+    fields = [c for c in NODE_FIELDS if c in summaries.columns and c != "node_id"]
+    latest = (summaries.filter(F.col("node_id").isNotNull()).groupBy("node_id")
+              .agg(F.max(F.struct("package_path", *fields)).alias("_n")).select("node_id", *[F.col(f"_n.{c}").alias(c) for c in fields])
+              .withColumn("status", F.lit("inactive")).withColumn("last_seen", F.lit(imported_at)).withColumn("last_sync", F.lit(imported_at)))
+    return merged.drop("import_batch"), upsert(nodes, latest, "node_id", NODE_UPDATES), log
+
+
+def write_package(anomalies: DataFrame, logs: DataFrame, node: dict, target: str, path: str, package_id: str,
+                  created_at: _dt.datetime, top: int = 500) -> None:
+    """The package as a JSON file in folder ``path``, with ``node``'s fields in the summary; ``import_packages`` reads it."""
+    package = export_package(anomalies, logs, node["node_id"], target, top)
+    extra = [F.lit(v).alias(k) for k, v in node.items() if k != "node_id"]
+    (package.withColumn("package_id", F.lit(package_id)).withColumn("created_at", F.lit(created_at))
+     .withColumn("logs_summary", F.struct("logs_summary.*", *extra)).coalesce(1)
+     .write.mode("overwrite").option("ignoreNullFields", "false").json(path))
 
 
 def export_package(anomalies: DataFrame, logs: DataFrame, node_id: str, target: str, top: int = 500) -> DataFrame:

@@ -583,12 +583,16 @@ SELECT t.tactic, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS detections,
 FROM mitre_techniques t LEFT JOIN det d ON d.technique_id = t.technique_id GROUP BY t.tactic
 """)(lambda t: A.coverage_by_tactic(t.anomalies, t.techniques))
 
-query("a37_system_overview", """
+query("a37_system_overview", f"""
+, {HUB_SQL}
+, cur AS (SELECT source_node AS node_id FROM hub WHERE import_batch = 0 AND CAST(substr(source_node, 6) AS INT) < 3 GROUP BY source_node)
+, upd AS (SELECT source_node AS node_id FROM hub WHERE CAST(substr(source_node, 6) AS INT) >= 1 GROUP BY source_node)
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM logs) AS total_logs,
        (SELECT CAST(count(*) AS BIGINT) FROM anomalies) AS total_anomalies,
        (SELECT CAST(count(*) AS BIGINT) FROM analysis_sessions) AS total_sessions,
-       (SELECT session_id FROM analysis_sessions ORDER BY start_time DESC, session_id DESC LIMIT 1) AS last_session
-""")(lambda t: A.system_overview(t.logs, t.anomalies, t.sessions))
+       (SELECT session_id FROM analysis_sessions ORDER BY start_time DESC, session_id DESC LIMIT 1) AS last_session,
+       (SELECT CAST(count(*) AS BIGINT) FROM cur WHERE node_id NOT IN (SELECT node_id FROM upd)) AS nodes_online
+""")(lambda t: A.system_overview(t.logs, t.anomalies, t.sessions, _node_upsert(t)))
 
 query("a38_listed_severity", """
 , listed AS (SELECT * FROM anomalies ORDER BY anomaly_score DESC, id ASC LIMIT 100)

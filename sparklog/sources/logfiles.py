@@ -183,7 +183,10 @@ def read_windows_events(spark: SparkSession, path: str, as_of: _dt.datetime) ->
 
 
 def register_datasets(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Dataset id = safe stem (32) + '_' + sha256[:12]; a registered sha keeps its first entry."""
+    """Dataset id = safe stem (32) + '_' + sha256[:12]; a registered sha keeps its first entry.
+
+    Of equal files of one batch the first by path is registered.
+    """
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
@@ -192,6 +195,8 @@ def register_datasets(spark: SparkSession, path: str, manifest: DataFrame | None
     new = files.select(F.concat(safe, F.lit("_"), F.substring(sha, 1, 12)).alias("dataset_id"),
                        name.alias("filename"), F.col("path").alias("file_path"), sha.alias("sha256"),
                        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("uploaded_at"))
+    first = new.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in new.columns if c != "sha256"]), "file_path").alias("_f"))
+    new = first.select("sha256", "_f.*").select(*new.columns)
     if manifest is not None:
         new = new.join(manifest.select("sha256"), "sha256", "left_anti")
     return new

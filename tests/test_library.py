@@ -38,6 +38,61 @@ def test_sync_package_round_trip_is_idempotent(spark, t, tmp_path):
     assert again.count() == 0
 
 
+def test_import_of_packages_updates_hub_nodes_and_log(spark, tmp_path):
+    import json
+    at = dt.datetime(2024, 2, 1, 5)
+    node = {"node_id": "n1", "hostname": "h1", "role": "terminal", "total_logs": 50, "total_anomalies": 3, "ip_address": "10.0.0.1"}
+    packages = {
+        "a": {"package_id": "p1", "source_node": "n1", "logs_summary": node, "anomalies": [
+            {"id": 1, "anomaly_score": 0.9, "severity": "HIGH", "algorithm": "x", "message": "m" * 600, "timestamp": "2024-01-01"},
+            {"id": 2}, {"id": 2, "severity": "LOW"}, {"id": 3, "severity": None, "message": None, "anomaly_score": None}]},
+        "b": {"package_id": "p2", "source_node": "n1", "logs_summary": {**node, "total_logs": 60, "total_anomalies": 4}, "anomalies": [
+            {"id": 1, "anomaly_score": 0.1}, {"id": 4, "anomaly_score": 1}]},
+        "c": {"anomalies": [{"id": 1}], "logs_summary": {}},
+        "d": {"package_id": "p4", "source_node": "n2", "logs_summary": {"node_id": "n2"}}}
+    for name, p in packages.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(p, indent=1))
+    nodes = spark.createDataFrame([("n1", "old", "hub", "active", dt.datetime(2024, 1, 1), 1, 1, "x", None, "kept"),
+                                   ("n9", "h9", "hub", "active", dt.datetime(2024, 1, 1), 9, 9, "y", None, "kept")],
+                                  "node_id string, hostname string, role string, status string, last_seen timestamp, total_logs long, "
+                                  "total_anomalies long, ip_address string, last_sync timestamp, note string")
+    held = spark.createDataFrame([(4, "n1")], "original_id long, source_node string")
+    rows, after, log = H.import_packages(spark, str(tmp_path), held, nodes, at)
+    got = {(r.source_node, r.original_id): r for r in rows.collect()}
+    assert set(got) == {("n1", 1), ("n1", 2), ("n1", 3), ("unknown", 1)}
+    assert (got["n1", 1].anomaly_score, len(got["n1", 1].message), got["n1", 1].log_timestamp) == (0.9, 500, "2024-01-01")
+    assert (got["n1", 3].anomaly_score, got["n1", 3].severity, got["n1", 3].algorithm, got["n1", 3].message) == (None, None, "unknown", "")
+    assert (got["unknown", 1].anomaly_score, got["unknown", 1].severity, got["unknown", 1].imported_at) == (0.0, "UNKNOWN", at)
+    n = {r.node_id: r for r in after.collect()}
+    assert (n["n1"].hostname, n["n1"].role, n["n1"].status, n["n1"].total_logs, n["n1"].total_anomalies, n["n1"].last_sync, n["n1"].note) == (
+        "h1", "hub", "inactive", 60, 4, at, "kept")
+    assert (n["n9"].status, n["n9"].last_sync) == ("active", None)
+    assert (n["n2"].status, n["n2"].total_anomalies, n["n2"].last_seen) == ("inactive", 0, at)
+    audit = {r.package_path[-6:]: r for r in log.collect()}
+    assert {k: (r.source_node, r.anomalies_synced, r.total_in_package) for k, r in audit.items()} == {
+        "a.json": ("n1", 3, 4), "b.json": ("n1", 0, 2), "c.json": ("unknown", 1, 1), "d.json": ("n2", 0, 0)}
+    assert audit["a.json"].sync_id == "p1" and len(audit["c.json"].sync_id) == 32 and audit["d.json"].synced_at == at
+
+
+def test_package_file_is_what_the_import_reads(spark, t, tmp_path):
+    node = {"node_id": "n1", "hostname": "h", "role": "terminal", "ip_address": "1.2.3.4"}
+    H.write_package(t.anomalies, t.logs, node, "hub", str(tmp_path / "p"), "pk", dt.datetime(2024, 2, 1))
+    rows, nodes = H.read_sync_packages(spark, str(tmp_path / "p"))
+    want = {(r.id, r.anomaly_score, r.severity, r.message) for r in H.package_rows(t.anomalies, t.logs).collect()}
+    assert {(r.id, r.anomaly_score, r.severity, r.message) for r in rows.collect()} == {(*x[:3], x[3] or "") for x in want}
+    n = nodes.first()
+    assert (n.package_id, n.hostname, n.total_logs, n.total_anomalies) == ("pk", "h", t.logs.count(), t.anomalies.count())
+
+
+def test_equal_files_of_a_batch_are_registered_once(spark, tmp_path):
+    from sparklog.sources import logfiles as LF
+    for name, text in (("A b.log", "same"), ("z.log", "same"), ("c.log", "other")):
+        (tmp_path / name).write_text(text)
+    got = LF.register_datasets(spark, str(tmp_path)).collect()
+    assert sorted(r.filename.replace("%20", " ") for r in got) == ["A b.log", "c.log"]
+    assert LF.register_datasets(spark, str(tmp_path), spark.createDataFrame([(got[0].sha256,)], "sha256 string")).count() == 1
+
+
 def test_guard_looks_outside_literals_and_at_functions(spark):
     assert FL.validate_select("SELECT id FROM logs WHERE message = 'failed to SET; -- x'")
     for bad in ("SELECT reflect('java.lang.System','getProperty','user.dir')", "SELECT * FROM parquet.`/tmp/x`",
