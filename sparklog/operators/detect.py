@@ -2,7 +2,7 @@
 
 All detectors score every row of a feature frame (``id`` + 20 feature columns).
 Population parameters (means, deviations, min/max, percentile) are one-row
-aggregates joined back with a broadcast — the only shuffles are those
+aggregates whose values become literals — the only shuffles are those
 aggregates; scoring itself is a narrow projection.
 
 * D01 z-score, D02 IQR, D05 keyword rules, D07/D06 blends, D08 rescale and D09
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..functions import rules as R
+from ..session import materialized
 from . import stats
 
 FEATURES = R.FEATURE_NAMES
@@ -39,21 +41,33 @@ FEATURES = R.FEATURE_NAMES
 # ------------------------------------------------------------------ helpers
 def _minmax(df: DataFrame, col: str, out: str, zero_when_flat: bool = True) -> DataFrame:
     """(x - min) / (max - min) over the population; 0 for every row when max == min."""
-    mm = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    j = df.join(F.broadcast(mm), F.lit(True), "inner")
-    rng = F.col("_mx") - F.col("_mn")
-    val = F.when(rng == 0, F.lit(0.0)).otherwise((F.col(col) - F.col("_mn")) / rng)
-    return j.withColumn(out, val).drop("_mn", "_mx")
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    return df.withColumn(out, _between(F.col(col), lo, hi, lambda rng: rng == 0))
+
+
+def _between(value: Column, lo: float | None, hi: float | None, flat) -> Column:
+    """(value - lo) / (hi - lo), 0 where ``flat`` says so of the span; null bounds (no row) give null."""
+    lo, rng = F.lit(lo).cast("double"), F.lit(hi).cast("double") - F.lit(lo).cast("double")
+    return F.when(flat(rng), F.lit(0.0)).otherwise((value - lo) / rng)
+
+
+#: Features of one aggregate: more would hold over 100 buffer fields and leave generated code.
+_MOMENT_FEATURES = 10
+
+
+def _moments(feats: DataFrame, names) -> DataFrame:
+    """One row: mean_x and std_x (population) of every feature x."""
+    names, out = list(names), None
+    for i in range(0, len(names), _MOMENT_FEATURES):
+        part = feats.agg(*[f(c).alias(f"{k}_{c}") for c in names[i:i + _MOMENT_FEATURES] for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
+        out = part if out is None else out.crossJoin(part)
+    return out
 
 
 # ------------------------------------------------------------------ D01 z-score
 def zscore_fit(feats: DataFrame, names=FEATURES) -> DataFrame:
     """Means and population deviations (0 -> 1e-10) of every feature: one row."""
-    aggs = []
-    for f in names:
-        aggs += [F.avg(f).alias(f"mean_{f}"), F.stddev_pop(f).alias(f"std_{f}")]
-    p = feats.agg(*aggs)
-    return p.select(*[c for f in names for c in (
+    return _moments(feats, names).select(*[c for f in names for c in (
         F.col(f"mean_{f}"),
         F.when(F.col(f"std_{f}") == 0, F.lit(R.ZERO_STD_REPLACEMENT)).otherwise(F.col(f"std_{f}")).alias(f"std_{f}"))])
 
@@ -61,9 +75,9 @@ def zscore_fit(feats: DataFrame, names=FEATURES) -> DataFrame:
 def zscore_score(feats: DataFrame, params: DataFrame, names=FEATURES, out: str = "stat_score",
                  threshold: float = R.ZSCORE_THRESHOLD) -> DataFrame:
     """max |z| over features, min-max scaled over the population; stat_pred -1 when max |z| > threshold."""
-    j = feats.join(F.broadcast(params), F.lit(True), "inner")
-    maxz = F.greatest(*[F.abs((F.col(f) - F.col(f"mean_{f}")) / F.col(f"std_{f}")) for f in names])
-    j = j.withColumn("max_z", maxz).drop(*params.columns)
+    p = params.first()
+    maxz = F.greatest(*[F.abs((F.col(f) - F.lit(p[f"mean_{f}"]).cast("double")) / F.lit(p[f"std_{f}"]).cast("double")) for f in names])
+    j = feats.withColumn("max_z", maxz)
     j = j.withColumn("stat_pred", F.when(F.col("max_z") > threshold, F.lit(-1)).otherwise(F.lit(1)))
     return _minmax(j, "max_z", out)
 
@@ -256,6 +270,28 @@ def forest_fit(feats: DataFrame, names=FEATURES, n_trees: int = R.ISOLATION_TREE
             .applyInPandas(_tree_builder(list(names), seed), FOREST_SCHEMA))
 
 
+def _flat_tree(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(feature, threshold, children, path length, levels) of a tree's nodes: the right child of node k is
+    children[2 k], its left one children[2 k + 1], a leaf its own child; a leaf's path length is depth + c(size)."""
+    feature, leaf = nodes["feature"].to_numpy(np.int64), nodes["feature"].to_numpy() < 0
+    children = np.stack([np.where(leaf, np.arange(len(nodes)), nodes[c].to_numpy(np.int64)) for c in ("right_child", "left_child")], axis=1).ravel()
+    depth = nodes["depth"].to_numpy(np.int64)
+    path = depth + np.array([_c(int(z)) for z in nodes["leaf_size"]])
+    return np.maximum(feature, 0), nodes["threshold"].to_numpy(np.float64), children, path, int(depth.max())
+
+
+def _path_lengths(x: np.ndarray, trees: list) -> np.ndarray:
+    """Summed path length of every row: all rows step down a level at a time, those at a leaf stay there."""
+    values, start, total = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+    for feature, threshold, children, path, levels in trees:
+        node = np.zeros(len(x), dtype=np.int64)
+        for _ in range(levels):
+            left = values.take(start + feature.take(node)) < threshold.take(node)
+            node = children.take(2 * node + left)
+        total += path.take(node)
+    return total
+
+
 def forest_raw(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_size: int = R.ISOLATION_SAMPLE,
                out: str = "_if_score_raw", max_nodes: int = 2_000_000) -> DataFrame:
     """``feats`` with the anomaly score 2^(-E[h(x)]/c(psi)) of every row; only the features go to Python."""
@@ -263,11 +299,7 @@ def forest_raw(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_size:
     nodes = forest.orderBy("tree", "node").limit(max_nodes + 1).toPandas()
     if len(nodes) > max_nodes:
         raise ValueError(f"forest has more than {max_nodes} nodes, above the broadcast bound")
-    trees = []
-    for _, g in nodes.groupby("tree", sort=True):
-        trees.append((g["feature"].to_numpy(np.int64), g["threshold"].to_numpy(np.float64),
-                      g["left_child"].to_numpy(np.int64), g["right_child"].to_numpy(np.int64),
-                      g["leaf_size"].to_numpy(np.int64), g["depth"].to_numpy(np.int64)))
+    trees = [_flat_tree(g) for _, g in nodes.groupby("tree", sort=True)]
     psi = int(nodes.loc[nodes["node"] == 0, "leaf_size"].max()) if len(nodes) else 1
     c_psi = _c(min(sample_size, max(psi, 1))) or 1.0
     bc = feats.sparkSession.sparkContext.broadcast((trees, c_psi))
@@ -276,23 +308,9 @@ def forest_raw(feats: DataFrame, forest: DataFrame, names=FEATURES, sample_size:
     @F.pandas_udf("double")
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         trees_, cpsi = bc.value
-        # path length of every node if it were the leaf: depth + c(size), computed once per tree
-        prepared = [(feat, thr, lch, rch, dep + np.array([_c(int(z)) for z in size]))
-                    for feat, thr, lch, rch, size, dep in trees_]
         for pdf in it:
-            x = pdf[names].to_numpy(dtype=np.float64)
-            total = np.zeros(len(pdf))
-            for feat, thr, lch, rch, path_len in prepared:
-                node = np.zeros(len(pdf), dtype=np.int64)
-                active = feat[node] >= 0
-                while active.any():
-                    ia = np.flatnonzero(active)
-                    nd = node[ia]
-                    go_left = x[ia, feat[nd]] < thr[nd]
-                    node[ia] = np.where(go_left, lch[nd], rch[nd])
-                    active = feat[node] >= 0
-                total += path_len[node]
-            yield pd.Series(np.power(2.0, -(total / max(len(prepared), 1)) / cpsi))
+            total = _path_lengths(pdf[names].to_numpy(dtype=np.float64), trees_)
+            yield pd.Series(np.power(2.0, -(total / max(len(trees_), 1)) / cpsi))
 
     return feats.withColumn(out, score(F.struct(*names)))
 
@@ -304,14 +322,13 @@ def forest_score(feats: DataFrame, forest: DataFrame, names=FEATURES, out: str =
 
 def scaled(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Raw member scores min-max scaled: {raw column: scaled column}.  The Python scorers run once: their
-    output is kept for the one min/max pass and the consumers."""
-    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
-    bounds = raw.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))])
-    out = raw.join(F.broadcast(bounds), F.lit(True), "inner")  # one row
+    output is written for the one min/max pass and the consumers."""
+    raw = materialized(raw, "raw-scores")
+    bounds = raw.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    out = raw
     for c, name in columns.items():
-        span = F.col(f"hi_{c}") - F.col(f"lo_{c}")
-        out = out.withColumn(name, F.when(span > 0, (F.col(c) - F.col(f"lo_{c}")) / span).otherwise(F.lit(0.0)))
-    return out.drop(*bounds.columns, *columns)
+        out = out.withColumn(name, _between(F.col(c), bounds[f"lo_{c}"], bounds[f"hi_{c}"], lambda span: ~F.coalesce(span > 0, F.lit(False))))
+    return out.drop(*columns)
 
 
 # ------------------------------------------------------------------ D04 one-class SVM (RFF)
@@ -373,20 +390,64 @@ def _hull_steps(corners: list[np.ndarray], z: np.ndarray, nu: float, gap: float,
     return visited
 
 
+#: Rows of a block of ``_packed``.
+_BLOCK_ROWS = 1024
+
+
+def _packed(feats: DataFrame) -> DataFrame:
+    """The rows of double columns as blocks (``width``, ``block``: the values column by column), written once:
+    the passes of a fit read every row a dozen times, and a block goes to Python as it is."""
+    width = len(feats.columns)
+
+    def pack(it):
+        for batch in it:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            blocks = [x[:, i:i + _BLOCK_ROWS].tobytes() for i in range(0, batch.num_rows, _BLOCK_ROWS)]
+            yield pa.RecordBatch.from_pydict({"width": pa.array([width] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.binary())})
+
+    # small row groups: a reader holds one uncompressed
+    return materialized(feats.mapInArrow(pack, "width int, block binary"), "blocks", **{"parquet.block.size": 4 << 20})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows x columns of every block of ``_packed``."""
+    for batch in batches:
+        for width, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield np.frombuffer(block.as_buffer(), np.float64).reshape(width, -1).T
+
+
+def _may_be_below(rough, x: np.ndarray, dirs: np.ndarray, hi: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """Which rows may have a margin below ``hi`` along some direction: all that have, and few others.
+
+    Margins of the ``rough`` map are off by at most 1.7e-5 of their bound (its values by 1e-6 of theirs, a sum of
+    256 single products by 256 roundings); 1e-4 is allowed for.  In blocks that stay in the cache.
+    """
+    room = 1e-4 * math.sqrt(2.0 / dirs.shape[1]) * np.abs(dirs).sum(axis=1) + 1e-12
+    limit, across = np.nextafter((hi + room).astype(np.float32), np.float32(np.inf)), dirs.T.astype(np.float32)
+    out = np.zeros(len(x), dtype=bool)
+    for i in range(0, len(x), rows):
+        out[i:i + rows] = (rough(x[i:i + rows]) @ across <= limit).any(axis=1)
+    return out
+
+
 class _Margins:
     """Distributed passes over the margins of mapped rows, for several directions at once (``passes`` counts them)."""
 
-    def __init__(self, feats: DataFrame, mapped, n: int, components: int):
-        self.feats, self.mapped, self.n, self.components, self.passes = feats, mapped, n, components, 0
+    def __init__(self, blocks: DataFrame, mapped, rough, n: int, components: int):
+        self.blocks, self.mapped, self.rough, self.n, self.components, self.passes = blocks, mapped, rough, n, components, 0
 
     def _sums(self, dirs: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Directions x bins x (1 + components): rows and their mapped sum, below ``lo`` (bin 0) and per bin of [lo, hi)."""
-        mapped, size, n_bins = self.mapped, 1 + self.components, R.SVM_MARGIN_BINS
+        mapped, rough, size, n_bins = self.mapped, self.rough, 1 + self.components, R.SVM_MARGIN_BINS
 
         def local(it):
             total = np.zeros((len(dirs), 1 + n_bins, size))
-            for pdf in it:
-                z = mapped(pdf)
+            for x in _unpacked(it):
+                # rows above every ``hi`` count nowhere: single precision leaves most of them out
+                x = x[_may_be_below(rough, x, dirs, hi)]
+                if not len(x):
+                    continue
+                z = mapped(x)
                 at = np.floor((z @ dirs.T - lo) / np.maximum(hi - lo, 1e-300) * n_bins) + 1
                 for j in range(len(dirs)):
                     rows = np.flatnonzero(at[:, j] <= n_bins)
@@ -400,7 +461,7 @@ class _Margins:
             flat = total.reshape(-1, size)
             k = np.flatnonzero(flat[:, 0])
             if len(k):
-                yield pd.DataFrame({"k": k.astype(np.int32), "v": [r.tobytes() for r in flat[k]]})
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "v": pa.array([r.tobytes() for r in flat[k]], pa.binary())})
 
         def add(it):
             total: dict[int, np.ndarray] = {}
@@ -418,7 +479,7 @@ class _Margins:
         # a vector per task, direction and bin is exchanged, whatever the table; the sums are added up as they stream by
         kind = "k int, v binary"
         out = np.zeros((len(dirs) * (1 + n_bins), size))
-        for r in self.feats.mapInPandas(local, kind).repartition("k").mapInPandas(add, kind).collect():
+        for r in self.blocks.mapInArrow(local, kind).repartition("k").mapInPandas(add, kind).collect():
             out[r["k"]] = np.frombuffer(r["v"], np.float64)
         return out.reshape(len(dirs), 1 + n_bins, size)
 
@@ -471,26 +532,30 @@ def svm_fit(feats: DataFrame, names=FEATURES, nu: float = 0.01, n_components: in
     (w itself first) in one pass that sums rows per bin of the margins around the sample's quantile.  The sample only proposes; corners, gap and rho come from all rows.
     """
     names, d = list(names), len(names)
-    row = feats.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names],
-                    *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
-    n = row["n"]
-    mean = np.array([row[f"m_{c}"] or 0.0 for c in names])
-    std = np.array([row[f"s_{c}"] or 0.0 for c in names])
+    n, row = feats.count(), _moments(feats, names).first()
+    mean = np.array([row[f"mean_{c}"] or 0.0 for c in names])
+    std = np.array([row[f"std_{c}"] or 0.0 for c in names])
     std = np.where(std == 0, 1.0, std)
     rng = np.random.default_rng(seed)
     w_rff = rng.normal(0.0, math.sqrt(2.0 / d), size=(d, n_components))
     b_rff = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
     scale = math.sqrt(2.0 / n_components)
 
-    def mapped(pdf: pd.DataFrame) -> np.ndarray:
-        return scale * np.cos((pdf[names].to_numpy(dtype=np.float64) - mean) / std @ w_rff + b_rff)
+    def mapped(x: np.ndarray) -> np.ndarray:
+        return scale * np.cos((x - mean) / std @ w_rff + b_rff)
+
+    def rough(x: np.ndarray) -> np.ndarray:
+        # whole turns are taken off in double precision
+        turns = ((x - mean) / std @ w_rff + b_rff) / (2.0 * math.pi)
+        turns -= np.rint(turns)
+        return np.float32(scale) * np.cos(np.float32(2.0 * math.pi) * turns.astype(np.float32))
 
     w, rho, passes = np.zeros(n_components), 0.0, 0
     if n:
         key = F.col("id") if "id" in feats.columns else F.struct(*names)
         chosen = feats.where(stats.hash_uniform(key, seed=seed) < R.SVM_SAMPLE / n).select(*names).toPandas()
-        z = mapped(chosen if len(chosen) else feats.select(*names).limit(1).toPandas())
-        margins = _Margins(feats.select(*names), mapped, n, n_components)
+        z = mapped((chosen if len(chosen) else feats.select(*names).limit(1).toPandas()).to_numpy(dtype=np.float64))
+        margins = _Margins(_packed(feats.select(*[F.col(c).cast("double") for c in names])), mapped, rough, n, n_components)
         corners: list[np.ndarray] = []
         while True:
             # the whole sample's steps, then those of its quarters, whose noise differs: near the end they show new corners

@@ -149,7 +149,7 @@ def score_logs(logs: DataFrame, algorithm: str = "ensemble", model: Model | None
         if with_keywords:
             weights.append(("keyword_score", R.SINGLE_KEYWORD_WEIGHT))
     blended = D.blend(feats, weights, "combined")
-    if persist:
+    if persist and not raw:   # ``scaled`` has written the raw scores: the rest is a projection of them
         blended = materialized(blended, "scores")
     final, n = D.redistribute(blended, "combined", "anomaly_score", return_count=True)
     scored, thr = D.percentile_cut(final, "anomaly_score", n=n, approx_accuracy=approx_accuracy)

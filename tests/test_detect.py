@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,59 @@ def test_order_statistics_of_hard_values(spark, name):
 def test_percentiles_of_nothing(spark):
     assert ST.exact_percentiles(spark.createDataFrame([(None,)], "x double"), ["x"], [0.5]) == {"x": [None]}
     assert ST.exact_percentiles(spark.createDataFrame([], "x double"), ["x"], [0.5]) == {"x": [None]}
+
+
+def test_path_lengths_equal_a_walk_down_each_tree():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    trees = []
+    for k in range(9):
+        nodes = D._grow_tree(x[rng.choice(300, 1 + 8 * k)], np.random.default_rng(k), 6)
+        trees.append(pd.DataFrame(nodes, columns=["feature", "threshold", "left_child", "right_child", "leaf_size", "depth"]))
+
+    def walked(row):
+        total = 0.0
+        for t in trees:
+            k = 0
+            while t["feature"][k] >= 0:
+                k = t["left_child"][k] if row[t["feature"][k]] < t["threshold"][k] else t["right_child"][k]
+            total += t["depth"][k] + D._c(int(t["leaf_size"][k]))
+        return total
+    assert D._path_lengths(x, [D._flat_tree(t) for t in trees]).tolist() == [walked(r) for r in x]
+
+
+def test_rows_left_out_of_a_pass_have_no_margin_below():
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 1e3):
+        x, w, b = rng.normal(size=(5000, 20)) * scale, rng.normal(0, 0.3, (20, 256)), rng.uniform(0, 6.28, 256)
+        dirs, size = rng.normal(size=(7, 256)) * 0.02, np.sqrt(2 / 256)
+        exact = size * np.cos(x @ w + b) @ dirs.T
+        hi = np.sort(exact, axis=0)[50]
+
+        def rough(x):
+            turns = (x @ w + b) / (2 * np.pi)
+            return np.float32(size) * np.cos(np.float32(2 * np.pi) * (turns - np.rint(turns)).astype(np.float32))
+        kept = D._may_be_below(rough, x, dirs, hi)
+        assert kept[(exact <= hi).any(axis=1)].all() and kept.sum() < 500
+
+
+def test_blocks_hold_every_row(spark):
+    df = spark.range(5003).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 3 == 0, F.col("id") * 0.5).alias("b")).repartition(3)
+    packed = D._packed(df)
+    got = np.concatenate(list(D._unpacked(iter(packed.toArrow().to_batches()))))
+    got = got[np.argsort(got[:, 0])]
+    want = np.arange(5003) * 0.5
+    assert (got[:, 0] == np.arange(5003)).all() and (got[::3, 1] == want[::3]).all() and np.isnan(got[1::3, 1]).all()
+    assert packed.count() >= 5
+
+
+def test_population_aggregates_stay_in_generated_code(t):
+    """Each of the aggregates has at most 100 buffer fields; scores need no join."""
+    from sparklog.operators import features as FE
+    f = FE.feature_frame(t.logs)
+    plan = D.zscore_fit(f)._jdf.queryExecution().executedPlan().toString()
+    aggregates = [x for x in plan.splitlines() if "HashAggregate" in x and "partial_" in x and "stddev_pop" in x]
+    assert aggregates and max(5 * x.count("partial_stddev_pop") for x in aggregates) <= 100
+    assert max(x.count("partial_stddev_pop") for x in aggregates) <= 10
+    scored = D.zscore_score(f, D.zscore_fit(f))
+    assert "NestedLoop" not in scored._jdf.queryExecution().executedPlan().toString()
