@@ -191,12 +191,12 @@ def tactic_heatmap_long(hub: DataFrame) -> DataFrame:
     """A31 long form: every (node, tactic) pair of the observed sets, zero-filled.
 
     The spine is nodes x tactics of the *observed* distinct sets (the zero-filled matrix is the feature),
-    joined with the per-pair counts.
+    joined with the per-pair counts.  All three come from the counts, written once: the hub is replayed once.
     """
     h = hub.filter(F.col("mitre_tactic").isNotNull())
-    counts = h.groupBy("source_node", "mitre_tactic").agg(_n().alias("count"))
-    nodes = h.select("source_node").distinct()
-    tactics = h.select("mitre_tactic").distinct()
+    counts = materialized(h.groupBy("source_node", "mitre_tactic").agg(_n().alias("count")), "heatmap")
+    nodes = counts.select("source_node").distinct()
+    tactics = counts.select("mitre_tactic").distinct()
     spine = nodes.crossJoin(tactics)
     return (spine.join(counts, ["source_node", "mitre_tactic"], "left")
             .select("source_node", "mitre_tactic", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))

@@ -157,12 +157,9 @@ def derive_hub_anomalies(anomalies: DataFrame, logs: DataFrame, copies: int = 2)
                    F.col("timestamp").alias("log_timestamp"), "source", "event_type",
                    F.substring(F.coalesce("message", F.lit("")), 1, 500).alias("message"),
                    "hostname", "username")
-    parts = [one.withColumn("imported_at", X.ntz(AS_OF) - F.make_dt_interval(hours=F.lit(24 * (copies - i))))
-             .withColumn("import_batch", F.lit(i)) for i in range(copies)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    batches = one.withColumn("import_batch", F.explode(F.array(*[F.lit(i) for i in range(copies)])))   # the join is done once
+    imported_at = X.ntz(AS_OF) - F.make_dt_interval(hours=(F.lit(copies) - F.col("import_batch")) * 24)
+    return batches.select(*one.columns, imported_at.alias("imported_at"), "import_batch")
 
 
 def derive_device_log(logs: DataFrame) -> DataFrame:
