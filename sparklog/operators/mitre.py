@@ -5,8 +5,9 @@ technique of every keyword contained in ``lower(message) + ' ' + lower(event_typ
 in rule order; a rule only counts when its technique exists in the techniques table,
 and the first entry of the list is stored.
 
-Rules stay a DataFrame whatever their number.  Event ids are an equi-join.  Keywords go
-through an inverted index: each key stands under the rarest of its own 3-grams (a shorter
+Rules are a DataFrame whatever their number.  Up to ``DIRECT_RULES`` of them (the reference
+has 24) become conditions of the scan, in rule order, in generated code.  Of more, event ids are an
+equi-join and keywords go through an inverted index: each key stands under the rarest of its own 3-grams (a shorter
 key under itself), the logs' grams are joined with the index on equality, and ``contains``
 confirms the few (log, key) pairs that meet.  Before the join a table of one byte per hash
 slot, of fixed size, drops the grams that stand in no index entry, so a log without
@@ -15,17 +16,20 @@ candidates sends no row.  Matches are combined per log by a partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 
 RULE_SCHEMA = "rule_order int, kind string, rule_key string, technique_id string"
+RULE_FIELDS = ["rule_order", "rule_key", "technique_id", "tactic"]
 #: Characters of an index gram.
 GRAM = 3
 #: Hash slots of the pre-filter (one byte each; its size does not grow with the rules).
 SLOTS = 1 << 15
+#: Rules that are tested one by one in the scan; more go through joins.
+DIRECT_RULES = 256
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -78,8 +82,54 @@ def keyword_index(live: DataFrame) -> DataFrame:
     return chosen.select(F.col("m.gram").alias("gram"), "rule_key", F.inline("r"))
 
 
+def _direct_rules(live: DataFrame) -> list[Row] | None:
+    """The resolved rules in rule order, None of more than ``DIRECT_RULES``."""
+    rows = live.select("kind", *RULE_FIELDS).limit(DIRECT_RULES + 1).collect()
+    if len(rows) > DIRECT_RULES:
+        return None
+    rows = [r for r in rows if r["rule_key"] is not None and r["kind"] in ("event_id", "keyword")]
+    return sorted(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in RULE_FIELDS))
+
+
+def _conditions(logs: DataFrame, rules: list[Row], key: str) -> tuple[DataFrame, list[Column]]:
+    """The logs' key, event id and lower-cased text (computed once a row), and a condition per rule on them."""
+    texts = logs.select(key, "event_id", _text().alias("_text"))
+    return texts, [F.col("event_id") == r["rule_key"] if r["kind"] == "event_id" else F.col("_text").contains(r["rule_key"]) for r in rules]
+
+
+def _rule(rules: list[Row], place: Column) -> Column:
+    """The rule at a 0-based ``place`` as a struct (a constant array, null for a null place)."""
+    return F.try_element_at(F.array(*[F.struct(
+        F.lit(r["rule_order"]).cast("int").alias("rule_order"),
+        *[F.lit(r[c]).cast("string").alias(c) for c in RULE_FIELDS[1:]]) for r in rules]), place + 1)
+
+
 def matching_rules(logs: DataFrame, live: DataFrame, key: str = "id") -> DataFrame:
     """(key, rule_order, rule_key, technique_id, tactic): every resolved rule that a log meets."""
+    rules = _direct_rules(live)
+    if not rules:
+        return _joined_rules(logs, live, key)
+    texts, met = _conditions(logs, rules, key)
+    hits = texts.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(met)]))).alias("_i"))
+    return hits.select(key, _rule(rules, F.col("_i")).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in RULE_FIELDS])
+
+
+def _first_rules(logs: DataFrame, live: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """Rows (key, _b), one for every key with a match, and the first rule (a struct) as a column of it."""
+    rules = _direct_rules(live)
+    if not rules:
+        best = _joined_rules(logs, live, key).groupBy(key).agg(
+            F.min_by(F.struct("technique_id", "tactic"), F.struct("rule_order", "rule_key")).alias("_b"))
+        return best, F.col("_b")
+    texts, met = _conditions(logs, rules, key)
+    place = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(met)])   # rules stand in order: a row's first
+    # no filter on the place: it would be pushed below the exchange that deals the logs out, and tested in the few tasks there
+    best = texts.groupBy(key).agg(F.min(place).alias("_b"))
+    return best, _rule(rules, F.col("_b"))
+
+
+def _joined_rules(logs: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """``matching_rules`` of any number of rules."""
     by_id = live.filter(F.col("kind") == "event_id").select(F.col("rule_key").alias("event_id"), "rule_order", "technique_id", "tactic")
     out = [key, "rule_order", "rule_key", "technique_id", "tactic"]
     found = logs.select(key, "event_id").join(by_id, "event_id").withColumnRenamed("event_id", "rule_key").select(*out)
@@ -104,12 +154,11 @@ def map_techniques(logs: DataFrame, techniques: DataFrame, rules: DataFrame | No
     ``key`` names the logs' unique id; a row without one gets no mapping.
     """
     rules = rules if rules is not None else default_rules(logs.sparkSession)
-    matches = matching_rules(logs, resolved_rules(rules, techniques), key)
     # technique and tactic come from the same rule
-    best = matches.groupBy(key).agg(F.min_by(F.struct("technique_id", "tactic"), F.struct("rule_order", "rule_key")).alias("_m"))
+    best, first = _first_rules(logs, resolved_rules(rules, techniques), key)
     return (logs.join(best, key, "left")
-            .select(*[logs[c] for c in logs.columns], F.col("_m.technique_id").alias("mitre_technique_id"),
-                    F.col("_m.tactic").alias("mitre_tactic")))
+            .select(*[logs[c] for c in logs.columns], first["technique_id"].alias("mitre_technique_id"),
+                    first["tactic"].alias("mitre_tactic")))
 
 
 def technique_list(logs: DataFrame, techniques: DataFrame, rules: DataFrame | None = None) -> DataFrame:

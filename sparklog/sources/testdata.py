@@ -177,6 +177,22 @@ def derive_device_log(logs: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a task when a table is dealt out.
+ROWS_PER_TASK = 250_000
+
+
+def split_sizes(df: DataFrame) -> list[int]:
+    """Rows of each split that has any (one number a split; no column is read, Parquet footers hold the counts)."""
+    return [r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+
+
+def dealt_parts(sizes: list[int], cores: int) -> int | None:
+    """Parts to deal the rows into, None where the largest split is at most half above an even part."""
+    total = sum(sizes)
+    parts = max(cores, -(-total // ROWS_PER_TASK))
+    return parts if sizes and max(sizes) * parts > 1.5 * total else None
+
+
 class Tables:
     """Lazily derived tables of one test-data folder."""
 
@@ -189,12 +205,18 @@ class Tables:
         """One driver table, read from its own path.
 
         A table with fewer splits than the session has cores is dealt out inside the
-        plan; projections and filters are still pushed below that exchange.
+        plan; projections and filters are still pushed below that exchange.  So is one whose
+        splits hold uneven or too many rows: a row group is read by one task whatever its size.
         """
         if name not in self._raw:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             cores = self.spark.sparkContext.defaultParallelism
-            self._raw[name] = df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            else:
+                parts = dealt_parts(split_sizes(df), cores)
+                df = df.repartition(parts) if parts else df
+            self._raw[name] = df
         return self._raw[name]
 
     @cached_property

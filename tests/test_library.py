@@ -15,6 +15,7 @@ from sparklog.operators import filters as FL
 from sparklog.operators import hub as H
 from sparklog.operators import mitre as M
 from sparklog.sources import sinks as SK
+from sparklog.sources import testdata as TD
 from sparklog.sources.testdata import tables
 
 
@@ -213,6 +214,71 @@ def test_technique_mapping_plan_sends_only_candidates(t):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_few_rules_are_tested_in_the_scan_and_equal_the_joins(spark, monkeypatch):
+    rnd = random.Random(7)
+    word = lambda a, b: "".join(rnd.choice("abc é") for _ in range(rnd.randint(a, b)))
+    # ids repeat (with other texts) or are null; rules share an order, a key or a technique
+    logs = spark.createDataFrame([(rnd.choice([None, *range(150)]), rnd.choice([None, "1", "2"]), rnd.choice([None, word(0, 30)]), rnd.choice([None, word(0, 5)]))
+                                  for _ in range(400)], "id long, event_id string, message string, event_type string")
+    keywords = {(i % 9, word(0, 4)): f"T{i % 7}" for i in range(30)} | {(None, "a"): "T3"}
+    rules = spark.createDataFrame([(o, "keyword", k, x) for (o, k), x in keywords.items()]
+                                  + [(0, "event_id", "1", "T1"), (5, "event_id", "2", "T2"), (1, "other", "a", "T4")], M.RULE_SCHEMA)
+    tech = spark.createDataFrame([(f"T{i}", f"x{i}") for i in range(6)], "technique_id string, tactic string")
+
+    def found():
+        mapped = M.map_techniques(logs, tech, rules)
+        met = M.matching_rules(logs, M.resolved_rules(rules, tech))
+        return mapped, sorted(map(str, mapped.collect())), sorted(map(str, met.collect()))
+    plan, direct, met = found()
+    assert "Generate" not in plan._jdf.queryExecution().toString()
+    monkeypatch.setattr(M, "DIRECT_RULES", 0)
+    assert found()[1:] == (direct, met)
+
+
+def test_mapping_is_done_after_the_logs_are_dealt_out(t):
+    """Nothing of the rules is pushed below the exchange that spreads a table's few splits."""
+    plan = M.map_techniques(t.logs.repartition(3), t.techniques)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tested = [i for i, x in enumerate(plan) if "Contains(" in x]
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    assert tested
+    for i in tested:   # an exchange stands below each test, in the branch of that test
+        under = [x for k, x in enumerate(plan[i + 1:], i + 1) if depth[k] > depth[i]]
+        assert any("Repartition 3" in x for x in under), plan[i]
+
+
+@pytest.mark.parametrize("sizes, cores, parts", [([], 4, None), ([10, 10, 10, 10], 4, None), ([100, 0, 0, 0], 4, 4), ([30, 10, 10, 10], 4, 4), ([14, 10, 10, 10], 4, None),
+                                                 ([6_000_000], 12, 24), ([3_000_000] * 12, 12, 144), ([250_000] * 24, 12, None)])
+def test_uneven_or_large_splits_are_dealt_out(sizes, cores, parts):
+    assert TD.dealt_parts(sizes, cores) == parts
+
+
+def test_a_table_of_one_row_group_is_spread_over_tasks(spark, tmp_path, monkeypatch):
+    n = 40_000
+    spark.range(n).selectExpr("id", "uuid() AS v").coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    monkeypatch.setattr(TD, "ROWS_PER_TASK", 5_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        plain = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert plain.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and max(TD.split_sizes(plain)) == n
+        got = TD.tables(spark, str(tmp_path)).raw("one")
+        sizes = TD.split_sizes(got)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(sizes) == n and max(sizes) <= 10_000
+
+
+def test_heatmap_replays_the_hub_once(t):
+    plan = t.hub_anomalies._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Join Inner") == 1   # the batches are copies of one join
+    heat = H.tactic_heatmap_long(H.hub_state(t.hub_anomalies))
+    assert "event_id" not in heat._jdf.queryExecution().optimizedPlan().toString()   # reads the counts, not the events
+    rows = {(r.source_node, r.mitre_tactic): r["count"] for r in heat.collect()}
+    want = {(r.source_node, r.mitre_tactic): r["count"] for r in H.hub_state(t.hub_anomalies).filter("mitre_tactic IS NOT NULL")
+            .groupBy("source_node", "mitre_tactic").count().collect()}
+    assert {k: v for k, v in rows.items() if v} == want
+    assert len(rows) == len({k[0] for k in want}) * len({k[1] for k in want})
+
+
 def test_exports_and_idempotent_load(spark, t, tmp_path):
     SK.export_result(t.logs.select("id", "source"), str(tmp_path / "csv"), "csv", limit=10)
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 10
